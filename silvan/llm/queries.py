@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from silvan.llm import sharding
+from silvan.llm import quality, sharding
 
-MODULES = (sharding,)
+MODULES = (sharding, quality)
 
 
 def queries():
