@@ -45,7 +45,7 @@ RULES = (
     Rule("few_words", lambda m: m("n_words") < MIN_WORDS),
     Rule("repeated_windows", lambda m: 100 * m("n_repeat_words") > 50 * m("n_words"), windows=True),
     Rule("symbols", lambda m: 10 * m("n_symbols") > m("n_words")),
-    Rule("repeated_lines", lambda m: 100 * m("n_dup_lines") > 30 * m("n_lines")),
+    Rule("repeated_lines", lambda m: (m("n_dup_lines") >= 3) & (100 * m("n_dup_lines") > 30 * m("n_lines"))),
     Rule("word_length", lambda m: (m("word_chars") > 20 * m("n_words")) | (m("word_chars") < 2 * m("n_words"))),
     Rule("shouting", lambda m: 2 * m("n_capitals") > m("word_chars")),
     Rule("exclamation", lambda m: 2 * m("n_exclamations") > m("n_words")),
@@ -202,7 +202,7 @@ m AS (
   FROM t LEFT JOIN rep ON rep.doc_id = t.doc_id)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
-       NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words OR 10 * n_symbols > n_words OR 100 * n_dup_lines > 30 * n_lines
+       NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words OR 10 * n_symbols > n_words OR (n_dup_lines >= 3 AND 100 * n_dup_lines > 30 * n_lines)
             OR word_chars > 20 * n_words OR word_chars < 2 * n_words OR 2 * n_capitals > word_chars OR 2 * n_exclamations > n_words) AS kept
 FROM m
 """
