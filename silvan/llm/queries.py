@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from silvan.llm import quality, sharding
+from silvan.llm import mixing, packing, quality, sharding, url_filter
 
-MODULES = (sharding, quality)
+MODULES = (url_filter, mixing, packing, sharding, quality)
 
 
 def queries():
