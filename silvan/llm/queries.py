@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from silvan.llm import language, mixing, packing, quality, sharding, token_count, url_filter
+from silvan.llm import language, mixing, packing, pii, quality, sharding, token_count, url_filter
 
-MODULES = (url_filter, mixing, packing, token_count, sharding, quality, language)
+MODULES = (url_filter, pii, mixing, packing, token_count, sharding, quality, language)
 
 
 def queries():
