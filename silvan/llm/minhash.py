@@ -28,7 +28,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from silvan.llm.common import materialise, table
@@ -297,6 +297,20 @@ def near_duplicates(docs: DataFrame, percent: int = 80, words: int = 5, bands: i
     return own.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
+def drop_near_duplicates(docs: DataFrame, percent: int = 80, words: int = 5) -> DataFrame:
+    """docs, all columns, with one document of each group: the one with the smallest doc_id.
+
+    Of several rows with one doc_id the one with the smallest text stays; rows without a doc_id cannot be named and stay.
+    """
+    found = materialise(near_duplicates(docs, percent, words).filter("doc_id is not null"), "duplicates")
+    gone = found.filter("doc_id != component_id").select("doc_id").distinct()
+    out = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    if found.groupBy("doc_id").count().filter("count > 1").isEmpty():
+        return out
+    nth = F.row_number().over(Window.partitionBy(F.coalesce(F.col("doc_id").cast("string"), F.uuid())).orderBy("text"))
+    return out.withColumn("__nth", nth).filter("__nth = 1").drop("__nth")
+
+
 def op3_minhash_dedup(spark, sf_dir):
     found = near_duplicates(table(spark, sf_dir, "documents"), percent=85)
     return found.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))

@@ -151,14 +151,14 @@ def order_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: i
     return sorted(out, key=lambda x: -x[2] / x[1])
 
 
-def quality_filter(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """All columns of docs and `rejected_by`: the first rule of the cascade that rejects the document, null if it is kept.
+def quality_filter(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = SAMPLE_ROWS, output: str = "rejected_by") -> DataFrame:
+    """All columns of docs and `output`: the first rule of the cascade that rejects the document, null if it is kept.
 
-    A column of docs called rejected_by is replaced.
+    A column of docs of that name is replaced.
     """
     ordered = tuple(r for r, _, _ in order_rules(docs, rules, sample_rows))
-    df = _cascade(docs.drop("rejected_by").withColumn("__text", F.coalesce("text", F.lit(""))), ordered)
-    return df.withColumnRenamed("__rejected", "rejected_by").drop("__text")
+    df = _cascade(docs.drop(output).withColumn("__text", F.coalesce("text", F.lit(""))), ordered)
+    return df.withColumnRenamed("__rejected", output).drop("__text")
 
 
 def op8_quality_rules(spark, sf_dir):

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from silvan.llm import language, minhash, mixing, packing, pii, quality, sharding, token_count, url_filter
+from silvan.llm import embed_dedup, language, minhash, mixing, packing, pii, quality, sharding, token_count, url_filter
 
-MODULES = (url_filter, pii, minhash, mixing, packing, token_count, sharding, quality, language)
+MODULES = (url_filter, pii, minhash, mixing, packing, token_count, sharding, quality, language, embed_dedup)
 
 
 def queries():
