@@ -1 +1 @@
-
+"""Domain tables, the query catalogue and the job list."""

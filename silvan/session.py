@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import shutil
+import tempfile
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -21,5 +26,18 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, **conf: s
     return spark
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends the package to the workers once, unless they find it by PYTHONPATH or in their working folder."""
+    root = Path(__file__).resolve().parent.parent
+    if str(root) in os.environ.get("PYTHONPATH", "").split(os.pathsep) or Path.cwd() == root:
+        return
+    context = spark.sparkContext
+    if getattr(context, "_silvan_shipped", False):
+        return
+    made = shutil.make_archive(os.path.join(tempfile.mkdtemp(), "silvan"), "zip", root, "silvan")
+    context.addPyFile(made)
+    context._silvan_shipped = True
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
