@@ -11,7 +11,9 @@ other columns are ignored.
 
 from __future__ import annotations
 
+import json
 import os
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,9 +25,12 @@ from silvan.llm.common import table
 
 MAX_LENGTH = 1024
 END = 0
-#: Texts given to the tokenizer at once, in characters, at least one text.
-CHARS_AT_ONCE = 1 << 20
+_END = END.to_bytes(4, "little")
 VOCABULARY = "byte_bpe_50k.json"
+#: The pieces that byte-level vocabularies of this kind are cut into before merging: a fixed value.
+PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Runs of white space from this length are left to the tokenizer itself.
+_LONG_SPACE = re.compile(r"\s{500}")
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -34,30 +39,56 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
-_held: dict[str, object] = {}
+def _bytes_of_characters() -> dict[str, int]:
+    """Byte-level vocabularies write printable bytes as themselves and the others, in order, as characters from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in plain]
+    return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(others)}
 
 
-def tokenizer(path: str):
-    """The tokenizer of a vocabulary file, one for each worker."""
-    if path not in _held:
+class Encoder:
+    """Ids of whole texts, as the tokenizer gives them.
+
+    The ids of a byte-level vocabulary are the ranks of its merges, so for such a file a second, faster engine gives the
+    same ids; texts that hold a special token or a very long run of white space go to the tokenizer itself.
+    """
+
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        _held[path] = Tokenizer.from_file(path)
-    return _held[path]
+        self.tok, self.fast = Tokenizer.from_file(path), None
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        self.special = [t["content"] for t in spec["added_tokens"]]
+        cut = spec["pre_tokenizer"] or {}
+        plain = cut.get("type") == "ByteLevel" and cut.get("use_regex") and not cut.get("add_prefix_space") and not spec["normalizer"]
+        if plain and spec["model"]["type"] == "BPE" and not spec["model"].get("ignore_merges"):
+            import tiktoken
+
+            byte = _bytes_of_characters()
+            ranks = {bytes(byte[c] for c in word): i for word, i in spec["model"]["vocab"].items() if word not in self.special}
+            self.fast = tiktoken.Encoding("fast", pat_str=PIECES, mergeable_ranks=ranks, special_tokens={})
 
+    def __call__(self, texts: list[str | None]) -> Iterator[bytes]:
+        """Little-endian unsigned 32-bit ids of each text."""
+        for text in texts:
+            if not text:
+                yield b""
+            elif self.fast is None or any(t in text for t in self.special) or _LONG_SPACE.search(text):
+                yield np.asarray(self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
+            else:
+                yield self.fast.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False).tobytes()
 
-def encode_all(tok, texts: list[str | None]) -> Iterator[np.ndarray]:
-    """The ids of each text with the end id; texts of bounded total length are encoded together."""
-    at = 0
-    while at < len(texts):
-        end, chars = at, 0
-        while end < len(texts) and (end == at or chars + len(texts[end] or "") <= CHARS_AT_ONCE):
-            chars += len(texts[end] or "")
-            end += 1
-        for e in tok.encode_batch_fast([t or "" for t in texts[at:end]], add_special_tokens=False):
-            yield np.append(np.asarray(e.ids, np.uint32), np.uint32(END))
-        at = end
+
+_held: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    """One for each worker and vocabulary."""
+    if path not in _held:
+        _held[path] = Encoder(path)
+    return _held[path]
 
 
 def cuts(n: int, longest: int = MAX_LENGTH) -> list[int]:
@@ -74,18 +105,18 @@ def pack_documents(docs: DataFrame, vocabulary: str | None = None, max_length: i
     cuts(1, max_length)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok = tokenizer(path)
+        encode = encoder(path)
         for batch in batches:
             rows, ids, start, length, total = [], [], [], [], []
-            texts = batch.column("text").to_pylist()
-            for i, x in enumerate(encode_all(tok, texts)):
-                at, raw = 0, x.tobytes()
-                for n in cuts(len(x), max_length):
+            for i, raw in enumerate(encode(batch.column("text").to_pylist())):
+                raw += _END
+                at, n_ids = 0, len(raw) // 4
+                for n in cuts(n_ids, max_length):
                     rows.append(i)
                     ids.append(raw[4 * at : 4 * (at + n)])
                     start.append(at)
                     length.append(n)
-                    total.append(len(x))
+                    total.append(n_ids)
                     at += n
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id").take(pa.array(rows, pa.int32())), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(ids, pa.binary()), pa.array(total, pa.int64())],

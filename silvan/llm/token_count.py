@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from silvan.llm.common import materialise, table
-from silvan.llm.packing import encode_all, tokenizer, vocabulary_path
+from silvan.llm.packing import encoder, vocabulary_path
 
 #: <|endoftext|> of the vocabulary.
 END = 50_256
@@ -40,21 +40,21 @@ def flatten(docs: DataFrame, vocabulary: str | None = None, end: int = END, bloc
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        tok, part = tokenizer(path), TaskContext.get().partitionId()
+        encode, part = encoder(path), TaskContext.get().partitionId()
         file = block = inside = 0
         parts: list[np.ndarray] = []
         held, ended = 0, []
 
         def row(ids: np.ndarray, ended: list) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays(
-                [pa.array([(part << 32) + file], pa.int64()), pa.array([block], pa.int64()), pa.array([ids.astype("<u2").tobytes()], pa.binary()), pa.array([ended], pa.list_(doc_type))],
+                [pa.array([(part << 32) + file], pa.int64()), pa.array([block], pa.int64()), pa.array([ids.tobytes()], pa.binary()), pa.array([ended], pa.list_(doc_type))],
                 ["file", "block", "ids", "doc_ids"],
             )
 
         for batch in batches:
             doc_type = batch.column("doc_id").type
-            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encode_all(tok, batch.column("text").to_pylist()), strict=True):
-                ids[-1] = end  # in place of the packing end id
+            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encode(batch.column("text").to_pylist()), strict=True):
+                ids = np.append(np.frombuffer(ids, "<u4").astype("<u2"), np.uint16(end))
                 if inside == docs_per_file:
                     if held:
                         yield row(np.concatenate(parts), ended)
