@@ -89,7 +89,7 @@ def strip_envelope(text: Column, start: str = r"\*\*\* ?START[^\n]*", end: str =
     """What stands between the line of the start mark and the end mark; without marks, all of it. Both marks are looked for in
     the whole text, so the tail can't survive."""
     head = F.regexp_replace(text, rf"(?s)^.*?{start}\n?", "")
-    return F.trim(F.regexp_replace(head, rf"(?s){end}.*$", ""))
+    return F.regexp_replace(F.regexp_replace(head, rf"(?s){end}.*$", ""), r"^\s+|\s+$", "")
 
 
 def section_parts(title: Column, default: str = "Main") -> tuple[Column, Column]:
