@@ -29,7 +29,7 @@ KINDS = ("email", "ip", "card", "phone")
 ACCEPT = 0.9
 
 _LOCAL = "[A-Za-z0-9._%+-]"
-_OCTET = "0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
+_OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 #: (what a text must hold, pattern, wide pattern's must, wide pattern). A run is tried from its start, or from where the last match ended.
 _PATTERNS = {
     "email": (
