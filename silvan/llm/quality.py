@@ -37,13 +37,12 @@ class Rule:
 
     name: str
     rejects: Callable[[Metric], Column]
-    windows: bool = False
 
 
 #: The first two are the base; the others reject what prose in no language looks like.
 RULES = (
     Rule("few_words", lambda m: m("n_words") < MIN_WORDS),
-    Rule("repeated_windows", lambda m: 100 * m("n_repeat_words") > 50 * m("n_words"), windows=True),
+    Rule("repeated_windows", lambda m: 100 * m("n_repeat_words") > 50 * m("n_words")),
     Rule("symbols", lambda m: 10 * m("n_symbols") > m("n_words")),
     Rule("repeated_lines", lambda m: (m("n_dup_lines") >= 3) & (100 * m("n_dup_lines") > 30 * m("n_lines"))),
     Rule("word_length", lambda m: (m("word_chars") > 20 * m("n_words")) | (m("word_chars") < 2 * m("n_words"))),
@@ -61,87 +60,92 @@ def _lines(text: Column) -> Column:
     return F.filter(F.split(text, "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]"))
 
 
-def _expressions(text: Column, words: Column, positions: Column) -> dict[str, Column]:
-    """Each metric as an expression of the text, its words and the starts of repeated windows."""
-    long = lambda c: c.cast("long")
+def _let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value) with the value worked out once, however often f uses it and wherever the optimizer moves the expression."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def _repeat_words(words: Column) -> Column:
+    """Words in 3-word windows found twice or more.
+
+    A window is one long, its hash above its start, so one sort of a primitive array puts equal windows side by side;
+    neighbours with equal hash bits count as equal only if their words are.
+    """
+    n = F.size(words)
+    short = n < (1 << 24)
+    high = F.when(short, F.lit(-1 << 24)).otherwise(F.lit(-1 << 31))
+    low = F.when(short, F.lit((1 << 24) - 1)).otherwise(F.lit((1 << 31) - 1)).cast("long")
+    word = lambda i: F.get(words, i.cast("int"))
+    pack = lambda i: F.xxhash64(word(i), word(i + 1), word(i + 2)).bitwiseAND(high).bitwiseOR(i.cast("long"))
+
+    def starts(windows: Column) -> Column:
+        def same(x: Column, y: Column) -> Column:
+            p, q = x.bitwiseAND(low), y.bitwiseAND(low)
+            equal = x.bitwiseXOR(y).bitwiseAND(high) == 0
+            for k in (0, 1, 2):
+                equal = equal & (word(p + k) == word(q + k))
+            return F.coalesce(equal, F.lit(False))
+
+        beside = lambda x, j: same(x, F.get(windows, j - 1)) | same(x, F.get(windows, j + 1))
+        return F.sort_array(F.transform(F.filter(windows, beside), lambda x: x.bitwiseAND(low)))
+
     covered = F.aggregate(
-        positions,
+        _let(F.sort_array(F.transform(F.sequence(F.lit(0), n - 3), pack)), starts),
         F.struct(F.lit(-3).cast("long").alias("last"), F.lit(0).cast("long").alias("n")),
         lambda a, x: F.struct(x.alias("last"), (a["n"] + F.least(F.lit(3).cast("long"), x - a["last"])).alias("n")),
         lambda a: a["n"],
     )
+    return F.when(n > 3, covered).otherwise(F.lit(0).cast("long"))
+
+
+def _expressions(text: Column, words: Column) -> dict[str, Column]:
+    """Each metric as an expression of the text and its words."""
+    long = lambda c: c.cast("long")
     return {
         "n_words": long(F.size(words)),
         "word_chars": long(_without(text, SPACE_CHARS)),
         "n_symbols": long(F.length(text) - _without(text, SYMBOLS)),
         "n_lines": long(F.size(_lines(text))),
         "n_dup_lines": long(F.size(_lines(text)) - F.size(F.array_distinct(_lines(text)))),
-        "n_repeat_words": F.coalesce(covered, F.lit(0).cast("long")),
+        "n_repeat_words": _repeat_words(words),
         "n_capitals": long(F.length(text) - F.length(F.regexp_replace(text, r"\p{Lu}", ""))),
         "n_exclamations": long(F.length(text) - _without(text, "!")),
     }
 
 
-def _with_windows(df: DataFrame, words: str, alive: Column, sorted_: str, found: str) -> DataFrame:
-    """Adds the sorted starts of all 3-word windows found twice or more, null where not alive.
+def _of_text(f: Callable[[dict[str, Column]], Column]) -> Column:
+    """f of the metrics of the column text, split into words once."""
+    return _let(F.coalesce("text", F.lit("")), lambda t: _let(words_of(t), lambda w: f(_expressions(t, w))))
 
-    A window is one long, its hash above its start, so one sort of a primitive array puts equal windows side by side;
-    neighbours with equal hash bits count as equal only if their words are.
-    """
-    n = F.size(words)
-    word = lambda i: F.get(F.col(words), i.cast("int"))
-    high = F.when(n < (1 << 24), F.lit(-1 << 24)).otherwise(F.lit(-1 << 31))
-    pack = lambda i: F.xxhash64(word(i), word(i + 1), word(i + 2)).bitwiseAND(high).bitwiseOR(i.cast("long"))
-    windows = F.sort_array(F.transform(F.sequence(F.lit(0), n - 3), pack))
-    df = df.withColumn(sorted_, F.when(alive & (n > 3), windows))
-    low = F.when(n < (1 << 24), F.lit((1 << 24) - 1)).otherwise(F.lit((1 << 31) - 1)).cast("long")
 
-    def same(x: Column, y: Column) -> Column:
-        p, q = x.bitwiseAND(low), y.bitwiseAND(low)
-        equal = word(p) == word(q)
-        for k in (1, 2):
-            equal = equal & (word(p + k) == word(q + k))
-        return F.coalesce((x.bitwiseXOR(y).bitwiseAND(high) == 0) & equal, F.lit(False))
+def quality_metrics(docs: DataFrame) -> DataFrame:
+    """doc_id and all metrics of each document."""
+    return docs.select("doc_id", _of_text(lambda m: F.struct(*(e.alias(k) for k, e in m.items()))).alias("m")).select("doc_id", "m.*")
+
 
-    beside = lambda x, j: same(x, F.get(F.col(sorted_), j - 1)) | same(x, F.get(F.col(sorted_), j + 1))
-    return df.withColumn(found, F.sort_array(F.transform(F.filter(F.col(sorted_), beside), lambda x: x.bitwiseAND(low))))
+def cascade(rules: tuple[Rule, ...]) -> Column:
+    """The first rule of this order that rejects the column text, or null; what comes after it is not worked out."""
 
+    def first(m: dict[str, Column]) -> Column:
+        out = None
+        for r in rules:
+            c = r.rejects(m.__getitem__)
+            out = F.when(c, r.name) if out is None else out.when(c, r.name)
+        return out
 
-def quality_metrics(docs: DataFrame) -> DataFrame:
-    """doc_id and all metrics of each document."""
-    df = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("words", words_of(F.col("text")))
-    df = _with_windows(df, "words", F.lit(True), "windows", "starts")
-    exprs = _expressions(F.col("text"), F.col("words"), F.col("starts"))
-    return df.select("doc_id", *(e.alias(k) for k, e in exprs.items()))
-
-
-def _cascade(df: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
-    """df, which has __text, with __rejected: the first rule of this order that rejects the row, or null."""
-    df = df.withColumn("__words", words_of(F.col("__text"))).withColumn("__rejected", F.lit(None).cast("string"))
-    made = []
-    for rule in rules:
-        alive = F.col("__rejected").isNull()
-        starts = F.lit(None).cast("array<bigint>")
-        if rule.windows:
-            df = _with_windows(df, "__words", alive, "__windows", "__starts")
-            starts = F.col("__starts")
-            made += ["__windows", "__starts"]
-        exprs = _expressions(F.col("__text"), F.col("__words"), starts)
-        df = df.withColumn("__rejected", F.when(~alive, F.col("__rejected")).when(rule.rejects(exprs.__getitem__), F.lit(rule.name)))
-        df = df.drop(*made)
-    return df.drop("__words")
+    return _of_text(first)
 
 
 def order_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = SAMPLE_ROWS) -> list[tuple[Rule, float, float]]:
     """The rules with their seconds and share of rejected documents on the sample, best rejection per cost first."""
-    sample = docs.select(F.coalesce("text", F.lit("")).alias("__text")).limit(sample_rows).cache()
+    sample = docs.select("text").limit(sample_rows).cache()
     try:
         rows = sample.count()
         if not rows:
             return [(r, 0.0, 0.0) for r in rules]
         out = []
         for rule in rules:
-            hit = _cascade(sample, (rule,)).agg(F.count("__rejected"))
+            hit = sample.agg(F.count(cascade((rule,))))
             hit.first()  # compiles the code
             began = time.perf_counter()
             n = hit.first()[0]
@@ -157,8 +161,7 @@ def quality_filter(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows
     A column of docs of that name is replaced.
     """
     ordered = tuple(r for r, _, _ in order_rules(docs, rules, sample_rows))
-    df = _cascade(docs.drop(output).withColumn("__text", F.coalesce("text", F.lit(""))), ordered)
-    return df.withColumnRenamed("__rejected", output).drop("__text")
+    return docs.withColumn(output, cascade(ordered))
 
 
 def op8_quality_rules(spark, sf_dir):
