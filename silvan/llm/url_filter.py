@@ -35,13 +35,14 @@ def labelled_urls() -> list[tuple[str, str]]:
     """A small labelled table: unwanted trades on hosts and paths of their kind, and ordinary pages."""
     bad = "casino poker slots betting jackpot porn xxx sex escort viagra pills pharma payday loans torrent warez crack keygen".split()
     good = "news wiki docs library school museum garden science history recipes travel weather music art sport health forum blog".split()
+    neutral = "home main site page list index item place thing net web portal".split()
     hosts = ("www.{}.com", "{}-online.net", "best{}.org", "m.{}.example.com")
     paths = ("/", "/{}/index.html", "/en/{}/12", "/page/{}?id=7")
     out = []
     for label, words in (("block", bad), ("allow", good)):
         for i, w in enumerate(words):
-            other = good[(i * 5 + 3) % len(good)]
             for k, (h, p) in enumerate(zip(hosts, paths, strict=True)):
+                other = neutral[(i * 5 + k) % len(neutral)]
                 # Half of the URLs say it in the host, half in the path.
                 host, path = (h.format(w), p.format(other)) if k % 2 == 0 else (h.format(other), p.format(w))
                 out.append((f"http://{host}{path}", label))
