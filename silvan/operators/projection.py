@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from silvan.functions import vector as V
+from silvan.session import cut
 
 #: Vectors that a fit on the driver takes, at most.
 FIT_ROWS = 20_000
@@ -86,6 +87,7 @@ def parent_means(tree: DataFrame, placed: DataFrame, dims: int, id_: str = "id")
         kids = t.join(ups.withColumnRenamed("id", "up"), "up").join(done, "id")
         mean = kids.groupBy(F.col("up").alias("id")).agg(*(F.avg(F.col("coords")[k]).alias(f"c{k}") for k in range(dims)))
         fresh = mean.select("id", F.array(*(f"c{k}" for k in range(dims))).alias("coords"))
+        fresh = cut(fresh)
         done = done.unionByName(fresh)
         out.append(fresh)
     raise ValueError("the tree has a cycle")

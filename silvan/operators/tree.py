@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from silvan.session import cut
+
 #: Levels after which a loop is taken for a cycle.
 MAX_DEPTH = 64
 
@@ -18,6 +20,7 @@ def closure(tree: DataFrame, id_: str = "id", parent: str = "parent_id") -> Data
     out = [level]
     for k in range(1, MAX_DEPTH):
         level = level.join(edges, F.col("ancestor") == F.col("child")).select(F.col("up").alias("ancestor"), "descendant", F.lit(k).alias("distance"))
+        level = cut(level)
         if level.isEmpty():
             return reduce(DataFrame.unionByName, out)
         out.append(level)
@@ -32,6 +35,7 @@ def heights(tree: DataFrame, id_: str = "id", parent: str = "parent_id") -> Data
     for k in range(1, MAX_DEPTH):
         reached = wave.select(F.col("parent_id").alias("id")).filter("id is not null").distinct()
         wave = t.join(reached, "id", "left_semi").join(done.select("id"), "id", "left_anti").select("id", "parent_id", F.lit(k).alias("height"))
+        wave = cut(wave)
         if wave.isEmpty():
             return done.select("id", "height")
         done = done.unionByName(wave)

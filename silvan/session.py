@@ -39,5 +39,17 @@ def ship(spark: SparkSession) -> None:
     context._silvan_shipped = True
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """df with its lineage cut, for loops that use a step's result more than once: a checkpoint where a shared folder is set,
+    else kept in the session's storage."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        shared = context.getConf().get("spark.checkpoint.dir")
+        if not shared:
+            return df.persist()
+        context.setCheckpointDir(shared)
+    return df.checkpoint()
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
