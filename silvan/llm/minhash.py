@@ -6,12 +6,14 @@ A pair of a bucket is verified in turn: its signatures are compared batch by bat
 posterior probability of a similarity of `threshold` falls below `miss`; the survivors are verified on their full sets.
 
 No bucket is paired off in full. Its smallest member is its head, and only member and head are compared:
-- a member that is surely similar to the head (posterior above 1 - `miss`) is held by it and leaves the bucket;
+- a member that is similar to the head is held by it and leaves the bucket;
 - all others stay and meet the next head, for `HEAD_ROUNDS` rounds; the few then left are compared to each other;
-- by the triangle inequality of the Jaccard distance, only a member whose similarity to the head can be
-  2 * threshold - 1 or more can be similar to one that the head holds; such a member is compared to those.
-These last comparisons run in blocks of bounded size over signatures, and only survivors leave a block. So all links
-between different components are found, and links within a component only as far as the component needs them.
+- by the triangle inequality of the Jaccard distance, only a member whose similarity to the head is 2 * threshold - 1 or
+  more can be similar to one that the head holds, and only if their distances to the head differ by no more than
+  1 - threshold. Such a member, unless it is in the head's component by then, is compared to those.
+These last comparisons run in blocks of bounded size: what survives on signatures is verified there on the full sets,
+likeliest first, and a pair that is of one component by then is passed over; only verified links leave a block. So all
+links between different components are found, and links within a component only as far as the component needs them.
 
 Edge cases: a document with fewer words than a shingle has its whole sequence as its only shingle; without words, or with
 a null text, its set is empty and it is linked with nothing; repeated rows have equal sets; rows with the same doc_id are
@@ -38,8 +40,8 @@ BANDS, ROWS, BATCH = 32, 5, 32
 SEED = 7
 MISS = 1e-6
 HEAD_ROUNDS = 4
-#: Rows of a block on either side.
-LEFT_BLOCK, RIGHT_BLOCK = 512, 4_096
+#: Rows and numbers in sets of a block on either side, about.
+LEFT_ROWS, RIGHT_ROWS, LEFT_SETS, RIGHT_SETS = 256, 4_096, 1 << 20, 1 << 22
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
 
@@ -93,41 +95,35 @@ class Minima:
 
 @dataclass(frozen=True)
 class Bounds:
-    """What numbers of equal signature bytes mean, from the posterior of the similarity under a uniform prior.
+    """least: for each batch, the equal signature bytes below which P(similarity >= threshold) < miss.
 
-    A byte is equal with probability c = s + (1 - s) / 256 for a similarity s.
-    least: for each batch, matches below which P(s >= threshold) < miss; sure: matches of the whole signature from which it
-    is > 1 - miss; near: matches from which P(s >= 2 * threshold - 1) >= miss.
+    The posterior has a uniform prior; a byte is equal with probability c = s + (1 - s) / 256 for a similarity s.
     """
 
     least: tuple[int, ...]
-    sure: int
-    near: int
     batch: int
 
     @staticmethod
     def of(threshold: float, n: int, batch: int = BATCH, miss: float = MISS) -> Bounds:
         c = np.linspace(1 / 256, 1, 20_001)[:-1] + 0.5 * (255 / 256) / 20_000
-        at = lambda s: s + (1 - s) / 256
+        high = c >= threshold + (1 - threshold) / 256
 
-        def above(s: float, m: int, n: int) -> float:
+        def above(m: int, n: int) -> float:
             logs = m * np.log(c) + (n - m) * np.log(1 - c)
             w = np.exp(logs - logs.max())
-            return float(w[c >= at(s)].sum() / w.sum())
+            return float(w[high].sum() / w.sum())
 
-        first = lambda s, n, p: next((m for m in range(n + 1) if above(s, m, n) >= p), n + 1)
-        steps = range(batch, n + 1, batch)
-        return Bounds(tuple(first(threshold, k, miss) for k in steps), first(threshold, n, 1 - miss), first(max(0.0, 2 * threshold - 1), n, miss), batch)
+        return Bounds(tuple(next((m for m in range(k + 1) if above(m, k) >= miss), k + 1) for k in range(batch, n + 1, batch)), batch)
 
-    def survives(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Rows of two signature arrays that no batch prunes."""
+    def survives(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rows of two signature arrays that no batch prunes, and their equal bytes."""
         alive, matches = np.arange(len(a)), np.zeros(len(a), np.int32)
         for k, least in enumerate(self.least):
             cut = slice(k * self.batch, (k + 1) * self.batch)
             matches = matches + (a[alive, cut] == b[alive, cut]).sum(axis=1, dtype=np.int32)
             keep = matches >= least
             alive, matches = alive[keep], matches[keep]
-        return alive
+        return alive, matches
 
 
 def signatures(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
@@ -165,82 +161,151 @@ def _matrix(column: pa.Array, n: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, n)
 
 
-def _judge(pairs: DataFrame, classes: DataFrame, bounds: Bounds, n: int) -> DataFrame:
-    """pairs (x, y) with `link` (survives), `sure` and `near`."""
+def _prune(pairs: DataFrame, classes: DataFrame, bounds: Bounds, n: int) -> DataFrame:
+    """Those pairs (x, y) whose signatures survive."""
     sigs = classes.select(F.col("rep").alias("x"), F.col("sig").alias("sx"))
     both = pairs.join(sigs, "x").join(sigs.toDF("y", "sy"), "y")
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = _matrix(batch.column("sx"), n), _matrix(batch.column("sy"), n)
-            link = np.zeros(len(a), bool)
-            link[bounds.survives(a, b)] = True
-            matches = (a == b).sum(axis=1)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("x"), batch.column("y"), pa.array(link), pa.array(link & (matches >= bounds.sure)), pa.array(matches >= bounds.near)], ["x", "y", "link", "sure", "near"]
-            )
+            alive, _ = bounds.survives(_matrix(batch.column("sx"), n), _matrix(batch.column("sy"), n))
+            yield batch.select(["x", "y"]).take(pa.array(alive))
 
     kind = pairs.schema["x"].dataType.simpleString()
-    return both.select("x", "y", "sx", "sy").mapInArrow(judge, f"x {kind}, y {kind}, link boolean, sure boolean, near boolean")
+    return both.select("x", "y", "sx", "sy").mapInArrow(judge, f"x {kind}, y {kind}")
+
+
+def _exact(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """pairs (x, y) with the sizes of the intersection and the union of their full sets."""
+    both = pairs.join(sets.toDF("x", "a"), "x").join(sets.toDF("y", "b"), "y")
+    both = both.select("x", "y", F.size(F.array_intersect("a", "b")).cast("long").alias("shared"), (F.size("a") + F.size("b")).cast("long").alias("both"))
+    return both.select("x", "y", "shared", (F.col("both") - F.col("shared")).alias("whole"))
+
+
+def shared_size(a: np.ndarray, b: np.ndarray) -> int:
+    """Size of the intersection of two arrays of distinct numbers."""
+    both = np.sort(np.concatenate((a, b)))
+    return int((both[1:] == both[:-1]).sum())
+
 
+def _compare_blocks(left: DataFrame, right: DataFrame, bounds: Bounds, n: int, percent: int, slack: float, same: bool) -> DataFrame:
+    """Verified links (x, y) of left and right within each g between different components, whose d differ by slack at most.
 
-def _compare_blocks(left: DataFrame, right: DataFrame, bounds: Bounds, n: int) -> DataFrame:
-    """Surviving pairs (x, y) of left (g, x, sx) and right (g, y, sy) within each g. Both sides of a g are cut into blocks
-    by hash, and a block meets every block of the other side, so a task's rows are bounded for any size of g."""
+    Both are tables (g, id, sig, set, d, c), c the component so far. Both sides of a g are cut into blocks by hash, and a
+    block meets every block of the other side, so a task's rows are bounded for any size of g. same: both are one table.
+    """
 
-    def blocks(df: DataFrame, id_: str, rows: int, side: str) -> tuple[DataFrame, DataFrame]:
-        sizes = df.groupBy("g").agg(F.ceil(F.count("*") / rows).cast("long").alias(f"n{side}"))
-        return df, sizes
+    def sizes(df: DataFrame, rows: int, numbers: int, name: str) -> DataFrame:
+        return df.groupBy("g").agg(F.greatest(F.ceil(F.count("*") / rows), F.ceil(F.sum(F.size("set")) / numbers)).cast("long").alias(name))
 
-    _, nl = blocks(left, "x", LEFT_BLOCK, "l")
-    _, nr = blocks(right, "y", RIGHT_BLOCK, "r")
-    sizes = nl.join(nr, "g")
-    place = lambda id_, count: F.pmod(F.xxhash64(id_, F.lit(SEED)), F.col(count))
-    left = left.join(sizes, "g").select("g", place("x", "nl").alias("lb"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("nr") - 1)).alias("rb"), F.col("x").alias("id"), F.col("sx").alias("sig"))
-    right = right.join(sizes, "g").select("g", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nl") - 1)).alias("lb"), place("y", "nr").alias("rb"), F.col("y").alias("id"), F.col("sy").alias("sig"))
+    counts = sizes(left, LEFT_ROWS, LEFT_SETS, "nl").join(sizes(right, RIGHT_ROWS, RIGHT_SETS, "nr"), "g")
+    place = lambda count: F.pmod(F.xxhash64("id", F.lit(SEED)), F.col(count))
+    each = lambda count: F.explode(F.sequence(F.lit(0).cast("long"), F.col(count) - 1))
+    payload = ("id", "sig", "set", "d", "c")
+    left = left.join(counts, "g").select("g", place("nl").alias("lb"), each("nr").alias("rb"), *payload)
+    right = right.join(counts, "g").select("g", each("nl").alias("lb"), place("nr").alias("rb"), *payload)
+    right = right.select(*(F.col(c).alias(f"{c}_") for c in ("g", "lb", "rb", *payload)))  # columns of its own: both may come from one table
     kind = left.schema["id"].dataType.simpleString()
 
     def compare(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        out = []
+        out: list[tuple] = []
         if len(a) and len(b):
-            ids, other = b["id"].to_numpy(), np.frombuffer(b"".join(b["sig"]), np.uint8).reshape(-1, n)
-            for x, sig in zip(a["id"], a["sig"], strict=True):
-                mine = np.broadcast_to(np.frombuffer(sig, np.uint8), other.shape)
-                out += [(x, y) for y in ids[bounds.survives(mine, other)] if x != y]
+            ids, far, owner = b["id_"].to_numpy(), b["d_"].to_numpy(), b["c_"].to_numpy()
+            other, sets = np.frombuffer(b"".join(b["sig_"]), np.uint8).reshape(-1, n), b["set_"].to_numpy()
+            joined: dict = {}
+
+            def root(c):
+                while c in joined:
+                    c = joined[c]
+                return c
+
+            for x, sig, mine, d, c in zip(a["id"], a["sig"], a["set"], a["d"], a["c"], strict=True):
+                rows = np.flatnonzero((np.abs(far - d) <= slack) & (owner != c) & ((ids < x) if same else (ids != x)))
+                alive, matches = bounds.survives(np.broadcast_to(np.frombuffer(sig, np.uint8), (len(rows), n)), other[rows])
+                for k in rows[alive[np.argsort(-matches, kind="stable")]]:
+                    p, q = len(mine), len(sets[k])
+                    if root(c) == root(owner[k]) or 100 * min(p, q) < percent * max(p, q):
+                        continue
+                    shared = shared_size(mine, sets[k])
+                    if 100 * shared >= percent * (p + q - shared):
+                        out.append((x, ids[k]))
+                        joined[root(c)] = root(owner[k])
         return pd.DataFrame(out, columns=["x", "y"])
 
-    key = ["g", "lb", "rb"]
-    return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(compare, f"x {kind}, y {kind}")
+    return left.groupBy("g", "lb", "rb").cogroup(right.groupBy("g_", "lb_", "rb_")).applyInPandas(compare, f"x {kind}, y {kind}")
+
+
+def _several(members: DataFrame, found: DataFrame | None) -> DataFrame:
+    """members (key, x) of buckets with members of more than one component."""
+    if found is None:
+        ends = members.groupBy("key").agg(F.min("x").alias("y"), F.max("x").alias("z"))
+    else:
+        owned = members.join(found.withColumnRenamed("id", "x"), "x", "left").withColumn("c", F.coalesce("component", "x"))
+        ends = owned.groupBy("key").agg(F.min("c").alias("y"), F.max("c").alias("z"))
+    return members.join(ends.filter("y != z").select("key"), "key")
 
 
-def candidate_links(classes: DataFrame, bounds: Bounds, n: int, rounds: int = HEAD_ROUNDS) -> DataFrame:
-    """Pairs (x, y) of class representatives that survive, enough of them to join all that is similar."""
-    active = classes.select(F.col("rep").alias("x"), F.explode("keys").alias("key"))
-    links, sure_links, near_links = [], [], []
+def full_sets(docs: DataFrame, ids: DataFrame, classes: DataFrame, words: int) -> DataFrame:
+    """rep, set of each class in ids (rep): its document is read again, so only what was a candidate holds a set."""
+    chosen = classes.select("rep", "fp").join(ids, "rep", "left_semi").withColumnRenamed("rep", "doc_id")
+    texts = docs.select("doc_id", "text").join(chosen, "doc_id")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, held = [], []
+            for doc_id, text, fp in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), batch.column("fp").to_pylist(), strict=True):
+                s = shingle_set(text, words)
+                if fingerprint(s) == fp:  # another row may have the same doc_id
+                    ids.append(doc_id)
+                    held.append(s.view(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, batch.column("doc_id").type), pa.array(held, pa.list_(pa.int64()))], ["rep", "set"])
+
+    return texts.select("doc_id", "text", "fp").mapInArrow(sets, f"rep {kind}, set array<bigint>")
+
+
+def find_links(docs: DataFrame, classes: DataFrame, words: int, percent: int, n: int, miss: float, rounds: int = HEAD_ROUNDS) -> DataFrame:
+    """Verified links (x, y) between class representatives, enough of them to join all that is similar."""
+    t = percent / 100
+    at, near_at = Bounds.of(t, n, BATCH, miss), Bounds.of(max(0.0, 2 * t - 1), n, BATCH, miss)
+    similar, near_similar = F.expr(f"100 * shared >= {percent} * whole"), F.expr(f"100 * shared >= {2 * percent - 100} * whole")
+    sigs = classes.select(F.col("rep").alias("id"), "sig")
+    active = materialise(_several(classes.select(F.col("rep").alias("x"), F.explode("keys").alias("key")), None), "buckets")
+    sets = full_sets(docs, active.select(F.col("x").alias("rep")).distinct(), classes, words)
+    sets = materialise(sets.dropDuplicates(["rep"]), "sets")
+    judged = []
     for nth in range(rounds):
-        heads = active.groupBy("key").agg(F.min("x").alias("y"), F.max("x").alias("z")).filter("y != z").select("key", "y")
-        met = materialise(active.join(heads, "key").filter("x != y"), f"met-{nth}")
-        judged = materialise(_judge(met.select("x", "y").distinct(), classes, bounds, n), f"judged-{nth}")
-        links.append(judged.filter("link").select("x", "y"))
-        sure_links.append(judged.filter("sure").select("x", "y"))
-        near_links.append(judged.filter("near and not sure").select("x", "y"))
-        left = met.join(judged.filter("sure").select("x", "y"), ["x", "y"], "left_anti").select("x", "key")
-        active = materialise(left, f"active-{nth}")
+        heads = active.groupBy("key").agg(F.min("x").alias("y"))
+        met = active.join(heads, "key").filter("x != y")
+        exact = materialise(_exact(_prune(met.select("x", "y").distinct(), classes, near_at, n), sets), f"judged-{nth}")
+        judged.append(exact)
+        left = met.join(exact.filter(similar).select("x", "y"), ["x", "y"], "left_anti").select("x", "key")
+        active = materialise(_several(left, None), f"active-{nth}")
         if active.isEmpty():
             break
-    else:
-        sigs = classes.select(F.col("rep").alias("x"), F.col("sig").alias("sx"))
-        several = active.groupBy("key").agg(F.min("x").alias("y"), F.max("x").alias("z")).filter("y != z").select("key")
-        rest = active.join(several, "key").join(sigs, "x").select(F.col("key").alias("g"), "x", "sx")
-        links.append(_compare_blocks(rest, rest.toDF("g", "y", "sy"), bounds, n))
-    union = lambda parts: _union(parts)
-    near = materialise(union(near_links).distinct().toDF("x", "g"), "near")
+    judged_all = _union(judged).distinct()
+    links = [judged_all.filter(similar).select("x", "y")]
+    found = materialise(connected_components(links[0], "x", "y"), "found").withColumnRenamed("component", "c")
+    payload = classes.select(F.col("rep").alias("id"), "sig").join(sets.withColumnRenamed("rep", "id"), "id")
+
+    def with_payload(df: DataFrame) -> DataFrame:
+        return df.join(payload, "id").join(found, "id", "left").select("g", "id", "sig", "set", "d", F.coalesce("c", "id").alias("c"))
+
+    if not active.isEmpty():
+        rest = _several(active, found.withColumnRenamed("c", "component"))
+        rest = with_payload(rest.select(F.col("key").alias("g"), F.col("x").alias("id"), F.lit(0.0).alias("d")))
+        links.append(materialise(_compare_blocks(rest, rest, at, n, percent, 1.0, True), "rest"))
+        found = materialise(connected_components(_union(links), "x", "y"), "found").withColumnRenamed("component", "c")
+    distance = (1 - F.col("shared") / F.col("whole")).alias("d")
+    near = judged_all.filter(near_similar & ~similar).select(F.col("x").alias("id"), F.col("y").alias("g"), distance)
+    near = near.join(found, "id", "left").join(found.toDF("g", "head"), "g", "left")
+    near = materialise(near.filter(F.coalesce("c", "id") != F.coalesce("head", "g")).select("g", "id", "d"), "near")
     if not near.isEmpty():
-        sigs = classes.select(F.col("rep").alias("x"), F.col("sig").alias("sx"))
-        held = union(sure_links).distinct().select(F.col("y").alias("g"), F.col("x"))
-        held = held.join(near.select("g").distinct(), "g", "left_semi").join(sigs, "x").select("g", F.col("x").alias("y"), F.col("sx").alias("sy"))
-        links.append(_compare_blocks(near.join(sigs, "x").select("g", "x", "sx"), held, bounds, n))
-    return materialise(union(links).select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).distinct(), "candidates")
+        held = judged_all.filter(similar).select(F.col("y").alias("g"), F.col("x").alias("id"), distance)
+        held = held.join(near.select("g").distinct(), "g", "left_semi")
+        # Equal distances must not differ by a rounding error.
+        links.append(materialise(_compare_blocks(with_payload(near), with_payload(held), at, n, percent, 1 - t + 1e-9, False), "held"))
+    return _union(links)
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
@@ -250,47 +315,13 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return out
 
 
-def verify(pairs: DataFrame, docs: DataFrame, classes: DataFrame, words: int, percent: int) -> DataFrame:
-    """Those pairs (x, y) with 100 * intersection >= percent * union of their full sets."""
-    ids = pairs.select(F.col("x").alias("doc_id")).unionByName(pairs.select(F.col("y").alias("doc_id"))).distinct()
-    texts = docs.select("doc_id", "text").join(ids, "doc_id").join(classes.select(F.col("rep").alias("doc_id"), "fp"), "doc_id")
-    kind = docs.schema["doc_id"].dataType.simpleString()
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [shingle_set(t, words) for t in batch.column("text").to_pylist()]
-            own = pa.array([fingerprint(s) == fp for s, fp in zip(found, batch.column("fp").to_pylist(), strict=True)])
-            out = pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([s.tobytes() for s in found], pa.binary())], ["x", "set"])
-            yield out.filter(own)
-
-    held = materialise(texts.mapInArrow(sets, f"x {kind}, set binary").dropDuplicates(["x"]), "sets")
-    both = pairs.join(held.toDF("x", "a"), "x").join(held.toDF("y", "b"), "y")
-
-    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for a, b in zip(batch.column("a"), batch.column("b"), strict=True):
-                p, q = np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64)
-                shared = 0
-                if 100 * min(len(p), len(q)) >= percent * max(len(p), len(q)):
-                    both_ = np.sort(np.concatenate((p, q)))
-                    shared = int((both_[1:] == both_[:-1]).sum())
-                keep.append(100 * shared >= percent * (len(p) + len(q) - shared))
-            yield pa.RecordBatch.from_arrays([batch.column("x"), batch.column("y")], ["x", "y"]).filter(pa.array(keep, pa.bool_()))
-
-    return both.select("x", "y", "a", "b").mapInArrow(exact, f"x {kind}, y {kind}")
-
-
 def near_duplicates(docs: DataFrame, percent: int = 80, words: int = 5, bands: int = BANDS, rows: int = ROWS, miss: float = MISS) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (the smallest doc_id of its group). percent: the least similarity."""
-    n = bands * rows
-    bounds = Bounds.of(percent / 100, n, BATCH, miss)
     docs = docs.select("doc_id", "text")
     signed = materialise(signatures(docs, words, bands, rows), "signatures")
     classes = signed.filter("n > 0 and doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys"), F.first("sig").alias("sig"))
     classes = materialise(classes, "classes")
-    pairs = candidate_links(classes, bounds, n)
-    links = verify(pairs, docs, classes, words, percent)
+    links = find_links(docs, classes, words, percent, bands * rows, miss)
     found = connected_components(links, "x", "y")
     owner = classes.select("fp", "rep").join(found.withColumnRenamed("id", "rep"), "rep", "left").select("fp", F.coalesce("component", "rep").alias("component"))
     own = signed.select("doc_id", "n", "fp").join(owner, "fp", "left")
