@@ -29,8 +29,10 @@ from silvan.llm.components import connected_components
 SAMPLE = 4_096
 MAX_TILES = 256
 BLOCK = 4_096
-#: Leading axes of the first and of the second comparison.
-LEADS = (8, 24)
+#: Leading axes that the tiles' boxes have.
+BOX_AXES = 8
+#: Share of the sample's pairs that may be left after the first comparison; it takes as many leading axes as that needs.
+LEFT = 0.01
 #: Rows of the left block compared at once, and pairs completed at once.
 STRIP, PAIRS = 512, 1 << 16
 
@@ -47,11 +49,25 @@ def principal_axes(sample: np.ndarray) -> np.ndarray:
     return vectors[:, np.argsort(-values)]
 
 
+def _suffix(x: np.ndarray, k: int) -> np.ndarray:
+    return np.sqrt((x[:, k:] ** 2).sum(axis=1))
+
+
+def leading(rotated: np.ndarray, threshold: float) -> tuple[int, int]:
+    """Leading axes of the first and of the second comparison, from pairs of the sample's rows: steps of 8 until few are left."""
+    a, b, d = rotated[0:1024:2], rotated[1:1024:2], rotated.shape[1]
+    for k in range(8, d, 8):
+        left = a[:, :k] @ b[:, :k].T + np.outer(_suffix(a, k), _suffix(b, k)) >= threshold
+        if not left.size or left.mean() <= LEFT:
+            return k, min(d, 2 * k)
+    return d, d
+
+
 class Tiles:
     """Boxes of the leading axes from median splits of the sample along its widest axis."""
 
     def __init__(self, sample: np.ndarray, n: int):
-        self.axes = min(LEADS[0], sample.shape[1])
+        self.axes = min(BOX_AXES, sample.shape[1])
         self.splits: list[tuple[int, float, int, int]] = []  # axis, value, child below, child from it; a child < 0 is tile -1 - child
         self.low, self.high = [], []
         self.root = self._grow(sample[:, : self.axes], n, np.full(self.axes, -1.0), np.full(self.axes, 1.0))
@@ -110,17 +126,15 @@ def unite(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
             label[:] = up
 
 
-def linked(raw_a: np.ndarray, raw_b: np.ndarray, axes: np.ndarray, threshold: float, same: bool):
+def linked(raw_a: np.ndarray, raw_b: np.ndarray, axes: np.ndarray, threshold: float, same: bool, leads: tuple[int, int]):
     """Yields arrays (i, j) of rows with cosine >= threshold; within one block (same) only i < j."""
     ua, ub = unit(raw_a), unit(raw_b)
     a, b = ua @ axes, ub @ axes
-    ends = [min(k, a.shape[1]) for k in LEADS]
-    suffix = lambda x, k: np.sqrt((x[:, k:] ** 2).sum(axis=1))
-    k, k2 = ends
+    k, k2 = leads
     # One product gives what the leading axes have and what the others can add.
-    lead_a = np.column_stack((a[:, :k], suffix(a, k))).astype(np.float32)
-    lead_b = np.column_stack((b[:, :k], suffix(b, k))).astype(np.float32)
-    rest_a, rest_b = suffix(a, k2), suffix(b, k2)
+    lead_a = np.column_stack((a[:, :k], _suffix(a, k))).astype(np.float32)
+    lead_b = np.column_stack((b[:, :k], _suffix(b, k))).astype(np.float32)
+    rest_a, rest_b = _suffix(a, k2), _suffix(b, k2)
     for at in range(0, len(a), STRIP):
         bound = lead_a[at : at + STRIP] @ lead_b.T
         i, j = np.nonzero(bound >= threshold - 1e-5)
@@ -144,7 +158,7 @@ def _cosine(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.einsum("ij,ij->i", x, y) / (np.sqrt(np.einsum("ij,ij->i", x, x)) * np.sqrt(np.einsum("ij,ij->i", y, y)))
 
 
-def _compare(classes: DataFrame, tiles: Tiles, axes: np.ndarray, threshold: float, width: int) -> DataFrame:
+def _compare(classes: DataFrame, tiles: Tiles, axes: np.ndarray, threshold: float, width: int, leads: tuple[int, int]) -> DataFrame:
     """id, links, root for each class and pair of blocks in which it has links. classes: id, copies, tile, vec (binary)."""
     spark = classes.sparkSession
     blocks = {r["tile"]: -(-r["count"] // BLOCK) for r in classes.groupBy("tile").count().collect()}
@@ -173,7 +187,7 @@ def _compare(classes: DataFrame, tiles: Tiles, axes: np.ndarray, threshold: floa
         lb = la if same else lb
         label, links = np.arange(len(ids)), np.zeros(len(ids), np.int64)
         if len(la) and len(lb):
-            for p, q in linked(x[la], x[lb], axes, threshold, same):
+            for p, q in linked(x[la], x[lb], axes, threshold, same, leads):
                 p, q = la[p], lb[q]
                 np.add.at(links, p, copies[q])
                 np.add.at(links, q, copies[p])
@@ -217,7 +231,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9, id_col: str = "vec_
                     yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("copies"), pa.array(tile), pa.array(raw, pa.binary())], ["id", "copies", "tile", "vec"])
 
         placed = materialise(own.select("id", "copies", "v").mapInArrow(place, f"id {kind}, copies long, tile long, vec binary"), "tiles")
-        part = _compare(placed, tiles, axes, threshold, width)
+        part = _compare(placed, tiles, axes, threshold, width, leading(sample @ axes, threshold))
         found = part if found is None else found.unionByName(part)
     if found is None:
         return rows.select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
