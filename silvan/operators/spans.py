@@ -66,7 +66,14 @@ def build(leaves: DataFrame, target: int, overlap: int, most: int, keys: tuple[s
     whole = F.array_join(F.transform("l", lambda x: x["text"]), " ")
     words = F.split(F.col("l")[0]["text"], " ")
     big = (F.size("l") == 1) & (F.col("l")[0]["n"] > most)
-    cut = F.transform(windows(words, target, overlap), lambda w: F.struct(F.array_join(F.slice(words, w["lo"] + 1, w["hi"] - w["lo"]), " ").alias("text"), (w["hi"] - w["lo"]).cast("long").alias("n_words"), w["lo"].alias("lo"), w["hi"].alias("hi"), F.lit("split-large-unit").alias("kind")))
+
+    def pieces(held: Column) -> Column:
+        piece = lambda w: F.array_join(F.slice(held, w["lo"] + 1, w["hi"] - w["lo"]), " ")
+        kind = F.lit("split-large-unit").alias("kind")
+        return F.transform(windows(held, target, overlap), lambda w: F.struct(piece(w).alias("text"), (w["hi"] - w["lo"]).cast("long").alias("n_words"), w["lo"].alias("lo"), w["hi"].alias("hi"), kind))
+
+    # The words are bound once; named inside the windows' steps, they would be split again at each.
+    cut = F.get(F.transform(F.array(words), pieces), F.lit(0))
     kind = F.when(F.size("l") > 1, "aggregate-small-units").otherwise("single-unit")
     none = F.lit(None).cast("int")
     one = F.array(F.struct(whole.alias("text"), F.aggregate("l", F.lit(0).cast("long"), lambda a, x: a + x["n"]).alias("n_words"), none.alias("lo"), none.alias("hi"), kind.alias("kind")))
