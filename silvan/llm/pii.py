@@ -12,7 +12,7 @@ makes them slow or deep.
 
 Edge cases: a null or empty text has no spans; long texts are read whole; with no candidates at all the labelers keep
 their prior reliabilities; repeated rows get the same spans; an empty table gives no rows; `find_pii` and `redact` keep
-other columns and replace one called pii.
+other columns and replace one of their output's name, pii by default.
 """
 
 from __future__ import annotations
@@ -219,25 +219,25 @@ def score(weights: list[float], kind: str, code: int) -> float:
     return 1 / (1 + math.exp(-sum(a * b for a, b in zip(weights, _features(kind, code), strict=True))))
 
 
-def find_pii(docs: DataFrame, accept: float = ACCEPT) -> DataFrame:
-    """docs with `pii`: array<struct<kind, start, end, base>>, by kind as in KINDS, then start. docs is read twice: to count votes, and to decide."""
+def find_pii(docs: DataFrame, accept: float = ACCEPT, output: str = "pii") -> DataFrame:
+    """docs with `output`: array<struct<kind, start, end, base>>, by kind as in KINDS, then start. docs is read twice: to count votes, and to decide."""
     counts = count_votes(docs)
     _, probability = estimate(counts)
     weights = train(counts, probability)
     accepted = {kind: [c for k, c in counts if k == kind and not decode(c)[2] and score(weights, k, c) >= accept] for kind in KINDS}
-    df = _coded(docs.drop("pii").withColumn("__text", F.coalesce("text", F.lit(""))), "__text")
+    df = _coded(docs.drop(output).withColumn("__text", F.coalesce("text", F.lit(""))), "__text")
     parts = []
     for kind in KINDS:
         base = lambda x: F.pmod(x["code"], F.lit(2)) == 1
         kept = F.filter(f"__{kind}", _with(accepted[kind], lambda codes, x: base(x) | x["code"].isin(codes) if codes else base(x)))
         parts.append(F.array_sort(F.transform(kept, _with(kind, lambda k, x: F.struct(x["start"].cast("long").alias("start"), x["end"].cast("long").alias("end"), F.lit(k).alias("kind"), base(x).alias("base"))))))
-    df = df.withColumn("pii", F.concat(*parts))
+    df = df.withColumn(output, F.concat(*parts))
     return df.drop("__text", *(f"__{kind}" for kind in KINDS))
 
 
-def redact(found: DataFrame) -> DataFrame:
+def redact(found: DataFrame, pii: str = "pii") -> DataFrame:
     """found with each span of its text replaced by the kind's name in brackets; what overlaps goes with the first. n_chars, if there, counts anew; pii goes."""
-    spans = F.array_sort(F.transform("pii", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"))))
+    spans = F.array_sort(F.transform(pii, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"))))
 
     def step(a: Column, x: Column) -> Column:
         # substring takes ints; positions within one text are.
@@ -247,10 +247,10 @@ def redact(found: DataFrame) -> DataFrame:
 
     rest = lambda a: F.concat(a["out"], F.substring("text", (a["at"] + 1).cast("int"), F.length("text")))
     clean = F.aggregate(spans, F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out")), step, rest)
-    out = found.withColumn("text", F.when(F.size("pii") > 0, clean).otherwise(F.col("text")))
+    out = found.withColumn("text", F.when(F.size(pii) > 0, clean).otherwise(F.col("text")))
     if "n_chars" in found.columns:
         out = out.withColumn("n_chars", F.coalesce(F.length("text").cast(found.schema["n_chars"].dataType), F.col("n_chars")))
-    return out.drop("pii")
+    return out.drop(pii)
 
 
 def _joined(spans: Column) -> Column:
