@@ -1,7 +1,10 @@
 """Mixing sources to target weights: Sainte-Laguë apportionment of equal-token blocks, then seeded block selection.
 
+A block is one word at every size: a larger one cannot be dealt to sources and shards that have fewer words than it, and
+what apportionment costs does not depend on the number of blocks.
+
 A source's target is its share by weight of `share` times all words, but at most `most` times its own words; what is
-above is shared again by weight among the others. The targets are bought in blocks of equal size: blocks go one by one
+above is shared again by weight among the others. The targets are bought in blocks: blocks go one by one
 to the source with the highest quotient target / (2 * blocks + 1), and each source's blocks go in the same way to its
 shards by their words. A shard is a circle of its documents in a seeded order: the blocks taken are whole turns and then
 one run of blocks from a seeded start, so words are repeated only when all of a shard's words were taken.
@@ -33,9 +36,6 @@ SEED = 42
 MAX_SOURCES = 100_000
 ROWS_PER_SHARD = 500
 MAX_SHARDS = 20_000
-#: Blocks that the whole mix is cut into, about: a block is one word if the mix has fewer words.
-BLOCKS = 1_000_000
-MAX_BLOCK = 1_024
 
 
 def targets(sizes: Sequence[int], weights: Sequence[float], share: float = SHARE, most: float = MOST) -> list[float]:
@@ -109,7 +109,6 @@ def _mixed(sized: DataFrame, weights: Sequence[float], share: float, most: int,
     named.sort(key=lambda r: (r["source"] is None, (r["source"] or "").encode("utf-8", "surrogatepass")))
     sizes = [r["size"] for r in named]
     aims = targets(sizes, [weights[i % len(weights)] for i in range(len(named))], share, most)
-    block = max(1, min(MAX_BLOCK, int(sum(aims) / BLOCKS)))
     per_shard = max(ROWS_PER_SHARD, sum(r["rows"] for r in named) // MAX_SHARDS)
     text, long = pa.string(), pa.int64()
     plan = spark.createDataFrame(
@@ -131,14 +130,14 @@ def _mixed(sized: DataFrame, weights: Sequence[float], share: float, most: int,
     )
     shards = placed.groupBy("nth_source", "nth_shard").agg(F.sum("size").alias("words")).collect()
     shards.sort(key=lambda r: (r["nth_source"], r["nth_shard"]))
-    quota = sainte_lague(int(sum(aims) / block + 0.5), aims, [int(most * s) // block if block > 1 else int(most * s) for s in sizes])
+    quota = sainte_lague(int(sum(aims) + 0.5), aims, [int(most * s) for s in sizes])
     bought, begins = [], 0
     for i in range(len(named)):
         end = begins
         while end < len(shards) and shards[end]["nth_source"] == i:
             end += 1
         words = [r["words"] for r in shards[begins:end]]
-        bought += sainte_lague(quota[i], words, [int(most * w) // block for w in words])
+        bought += sainte_lague(quota[i], words, [int(most * w) for w in words])
         begins = end
     quotas = spark.createDataFrame(
         pa.table(
@@ -146,7 +145,7 @@ def _mixed(sized: DataFrame, weights: Sequence[float], share: float, most: int,
                 "nth_source": pa.array([r["nth_source"] for r in shards], long),
                 "nth_shard": pa.array([r["nth_shard"] for r in shards], long),
                 "words": pa.array([r["words"] for r in shards], long),
-                "quota": pa.array([q * block for q in bought], long),
+                "quota": pa.array(bought, long),
             }
         )
     )

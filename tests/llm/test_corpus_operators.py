@@ -152,6 +152,18 @@ def test_mix(docs):
     assert mixing.mix_sources(docs([])).count() == 0
 
 
+def test_mix_of_short_sources_beside_millions_of_words(docs):
+    rows = [(i, "w " * 300_000, "z") for i in range(10)] + [(10, "one", "a"), (11, "one two three", "b"), (12, None, "c")]
+    rows += [(100 + i, "word" if i % 2 else "a b c", "m") for i in range(1200)]
+    taken, target = Counter(), {}
+    for r in mixing.mix_sources(docs(rows)).collect():
+        assert r["taken"] <= 2 * r["size"]
+        taken[r["source"]] += r["taken"]
+        target[r["source"]] = r["target"]
+    assert (target["a"], target["b"], target["c"], target["m"]) == (2, 6, 0, 4800)
+    assert all(abs(taken[k] - v) <= 1 for k, v in target.items()) and taken["a"] == 2
+
+
 def test_sharding(docs):
     assert sharding.lpt([(7, "a"), (6, "b"), (5, "c"), (4, "d"), (3, "e")], 2) == {"a": 0, "b": 1, "c": 1, "d": 0, "e": 0}
     rng = random.Random(5)
