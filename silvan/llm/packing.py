@@ -70,13 +70,16 @@ class Encoder:
             ranks = {bytes(byte[c] for c in word): i for word, i in spec["model"]["vocab"].items() if word not in self.special}
             self.fast = tiktoken.Encoding("fast", pat_str=PIECES, mergeable_ranks=ranks, special_tokens={})
 
-    def __call__(self, texts: list[str | None]) -> Iterator[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
+    def __call__(self, texts: list[str | None], special: bool = True) -> Iterator[bytes]:
+        """Little-endian unsigned 32-bit ids of each text. special: the name of a special token in a text gives its id, else it is ordinary text."""
         for text in texts:
             if not text:
                 yield b""
-            elif self.fast is None or any(t in text for t in self.special) or _LONG_SPACE.search(text):
-                yield np.asarray(self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
+            elif self.fast is None or special and any(t in text for t in self.special) or _LONG_SPACE.search(text):
+                self.tok.encode_special_tokens = not special
+                ids = self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids
+                self.tok.encode_special_tokens = False
+                yield np.asarray(ids, "<u4").tobytes()
             else:
                 yield self.fast.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False).tobytes()
 

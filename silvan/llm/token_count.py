@@ -8,7 +8,8 @@ in the next one; a file's summaries are one narrow row per block.
 
 Edge cases: ids after a file's last end are a document that is not closed (closed = false); two ends in a row are a
 document of 0 tokens; a file without ids has no documents; block boundaries fall anywhere, on an end too; repeated rows
-are documents of their own. In `flatten`, a null text is a document of 0 tokens; other columns are ignored.
+are documents of their own. In `flatten`, a null text is a document of 0 tokens; the name of a special token in a text is
+ordinary text, so an end id closes a document and stands nowhere else; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -53,8 +54,10 @@ def flatten(docs: DataFrame, vocabulary: str | None = None, end: int = END, bloc
 
         for batch in batches:
             doc_type = batch.column("doc_id").type
-            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encode(batch.column("text").to_pylist()), strict=True):
+            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encode(batch.column("text").to_pylist(), special=False), strict=True):
                 ids = np.append(np.frombuffer(ids, "<u4").astype("<u2"), np.uint16(end))
+                if np.count_nonzero(ids == end) != 1:  # a file must have as many ends as doc_ids
+                    raise ValueError(f"the end id {end} stands inside of document {doc_id}")
                 if inside == docs_per_file:
                     if held:
                         yield row(np.concatenate(parts), ended)

@@ -131,6 +131,21 @@ def test_token_files_hold_all_documents(docs):
     assert got == sorted(len(next(e([r[1]]))) // 4 for r in EDGES)
 
 
+def test_end_mark_inside_of_texts(spark, docs, tmp_path):
+    mark = "<|endoftext|>"
+    texts = ["one", f"a {mark} b", "two words", mark + mark, f"x{' ' * 600}{mark}", None, "three more words"]
+    df = docs(list(enumerate(texts))).coalesce(1)
+    for r in token_count.flatten(df, docs_per_file=4).collect():
+        assert (np.frombuffer(r["ids"], "<u2") == token_count.END).sum() == len(r["doc_ids"])
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: r["n_tokens"] for r in token_count.op6_token_counts(spark, str(tmp_path)).collect()}
+    e = packing.encoder(packing.vocabulary_path())
+    plain = [e.fast.encode(t or "", disallowed_special=()) for t in texts]
+    assert got == {i: len(ids) for i, ids in enumerate(plain)}
+    assert [np.frombuffer(x, "<u4").tolist() for x in e(texts, special=False)] == plain
+    assert token_count.END in np.frombuffer(next(e([texts[1]])), "<u4")  # packing's ids stay the tokenizer's
+
+
 def test_language(docs):
     rng = random.Random(6)
     word = {"en": ["the", "tion", "ing", "and"], "de": ["der", "sch", "ung", "und"]}
