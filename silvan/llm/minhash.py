@@ -16,21 +16,23 @@ likeliest first, and a pair that is of one component by then is passed over; onl
 links between different components are found, and links within a component only as far as the component needs them.
 
 Edge cases: a document with fewer words than a shingle has its whole sequence as its only shingle; without words, or with
-a null text, its set is empty and it is linked with nothing; repeated rows have equal sets; rows with the same doc_id are
-one node; a row whose doc_id is null joins its class but stands for none; an empty table gives no rows; other columns
-are ignored.
+a null text, its set is empty and it is linked with nothing; repeated rows have equal sets; a class has a number of its
+own, so rows with the same doc_id or none are judged by their texts; doc_id only says which row of a group is chosen: the
+one with the smallest, null last, and of several texts with that doc_id the one whose hash is smallest; a group without
+any doc_id has a null component_id; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from silvan.llm.common import materialise, table
@@ -126,8 +128,13 @@ class Bounds:
         return alive, matches
 
 
+def _hashed(docs: DataFrame) -> DataFrame:
+    """docs with h, a hash of doc_id and text: both together tell a row from all but its exact copies."""
+    return docs.withColumn("__h", F.xxhash64("doc_id", "text"))
+
+
 def signatures(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
-    """doc_id, n (size of the set), fp (its fingerprint), keys (one hash for each band), sig (a byte for each minimum)."""
+    """doc_id, h (of _hashed), n (size of the set), fp (its fingerprint), keys (one hash for each band), sig (a byte for each minimum)."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,11 +157,11 @@ def signatures(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
                 keys.append(key.view(np.int64))
                 sig.append((m & np.uint32(0xFF)).astype(np.uint8).tobytes())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(fp, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(sig, pa.binary())],
-                ["doc_id", "n", "fp", "keys", "sig"],
+                [batch.column("doc_id"), batch.column("__h"), pa.array(n, pa.int64()), pa.array(fp, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(sig, pa.binary())],
+                ["doc_id", "h", "n", "fp", "keys", "sig"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(sign, f"doc_id {kind}, n long, fp binary, keys array<bigint>, sig binary")
+    return _hashed(docs.select("doc_id", "text")).mapInArrow(sign, f"doc_id {kind}, h long, n long, fp binary, keys array<bigint>, sig binary")
 
 
 def _matrix(column: pa.Array, n: int) -> np.ndarray:
@@ -246,22 +253,24 @@ def _several(members: DataFrame, found: DataFrame | None) -> DataFrame:
 
 
 def full_sets(docs: DataFrame, ids: DataFrame, classes: DataFrame, words: int) -> DataFrame:
-    """rep, set of each class in ids (rep): its document is read again, so only what was a candidate holds a set."""
-    chosen = classes.select("rep", "fp").join(ids, "rep", "left_semi").withColumnRenamed("rep", "doc_id")
-    texts = docs.select("doc_id", "text").join(chosen, "doc_id")
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    """rep, set of each class in ids (rep): its chosen row is read again, so only what was a candidate holds a set."""
+    chosen = classes.select("rep", "fp", F.col("h").alias("__h")).join(ids, "rep", "left_semi")
+    texts = _hashed(docs.select("doc_id", "text")).join(chosen, "__h")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, held = [], []
-            for doc_id, text, fp in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), batch.column("fp").to_pylist(), strict=True):
+            ids, held, last = [], [], None
+            for rep, text, fp in zip(batch.column("rep").to_pylist(), batch.column("text").to_pylist(), batch.column("fp").to_pylist(), strict=True):
+                if rep == last:  # exact copies of a row come one after the other
+                    continue
                 s = shingle_set(text, words)
-                if fingerprint(s) == fp:  # another row may have the same doc_id
-                    ids.append(doc_id)
+                if fingerprint(s) == fp:  # another row may have the same hash
+                    ids.append(rep)
                     held.append(s.view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, batch.column("doc_id").type), pa.array(held, pa.list_(pa.int64()))], ["rep", "set"])
+                    last = rep
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(held, pa.list_(pa.int64()))], ["rep", "set"])
 
-    return texts.select("doc_id", "text", "fp").mapInArrow(sets, f"rep {kind}, set array<bigint>")
+    return texts.select("rep", "text", "fp").mapInArrow(sets, "rep long, set array<bigint>")
 
 
 def find_links(docs: DataFrame, classes: DataFrame, words: int, percent: int, n: int, miss: float, rounds: int = HEAD_ROUNDS) -> DataFrame:
@@ -315,36 +324,52 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return out
 
 
-def near_duplicates(docs: DataFrame, percent: int = 80, words: int = 5, bands: int = BANDS, rows: int = ROWS, miss: float = MISS) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id (the smallest doc_id of its group). percent: the least similarity."""
+def _grouped(docs: DataFrame, percent: int, words: int, bands: int, rows: int, miss: float) -> DataFrame:
+    """One row per document: doc_id, h (of _hashed), n_shingles, component_id, and of its group's chosen row: like (it or an exact copy of it), kept (it)."""
     docs = docs.select("doc_id", "text")
-    signed = materialise(signatures(docs, words, bands, rows), "signatures")
-    classes = signed.filter("n > 0 and doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys"), F.first("sig").alias("sig"))
+    signed = materialise(signatures(docs, words, bands, rows).withColumn("row", F.monotonically_increasing_id()), "signatures")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "h", "row")).alias("least")
+    classes = signed.filter("n > 0").groupBy("fp").agg(least, F.first("keys").alias("keys"), F.first("sig").alias("sig"))
+    # Numbers of classes in the order of their chosen rows: the smallest of a component is that of the component's.
+    classes = classes.orderBy("least").select(F.monotonically_increasing_id().alias("rep"), "fp", "least.doc_id", "least.h", "least.row", "keys", "sig")
     classes = materialise(classes, "classes")
     links = find_links(docs, classes, words, percent, bands * rows, miss)
-    found = connected_components(links, "x", "y")
-    owner = classes.select("fp", "rep").join(found.withColumnRenamed("id", "rep"), "rep", "left").select("fp", F.coalesce("component", "rep").alias("component"))
-    own = signed.select("doc_id", "n", "fp").join(owner, "fp", "left")
-    return own.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    found = connected_components(links, "x", "y").withColumnRenamed("id", "rep")
+    first = F.struct("doc_id", "h", "row").alias("first")
+    found = found.join(classes.select(F.col("rep").alias("component"), first), "component").select("rep", F.col("first").alias("above"))
+    owner = classes.select("fp", "rep", first).join(found, "rep", "left").select("fp", F.coalesce("above", "first").alias("first"))
+    own = signed.select("doc_id", "h", "n", "row", "fp").join(owner, "fp", "left")
+    alone = F.col("first").isNull()
+    like = alone | (F.col("h") == F.col("first.h")) & F.col("doc_id").eqNullSafe(F.col("first.doc_id"))
+    kept = alone | (F.col("row") == F.col("first.row"))
+    return own.select("doc_id", "h", F.col("n").alias("n_shingles"), F.when(alone, F.col("doc_id")).otherwise(F.col("first.doc_id")).alias("component_id"), like.alias("like"), kept.alias("kept"))
+
+
+def near_duplicates(docs: DataFrame, percent: int = 80, words: int = 5, bands: int = BANDS, rows: int = ROWS, miss: float = MISS) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id (the smallest doc_id of its group), kept (one row of each group). percent: the least similarity."""
+    return _grouped(docs, percent, words, bands, rows, miss).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def drop_near_duplicates(docs: DataFrame, percent: int = 80, words: int = 5) -> DataFrame:
-    """docs, all columns, with one document of each group: the one with the smallest doc_id.
+    """docs, all columns, with one document of each group: the one with the smallest doc_id, null last.
 
-    Of several rows with one doc_id the one with the smallest text stays; rows without a doc_id cannot be named and stay.
+    Of exact copies of that one, the one with the smallest other columns stays; a document without words stays as it is.
     """
-    found = materialise(near_duplicates(docs, percent, words).filter("doc_id is not null"), "duplicates")
-    gone = found.filter("doc_id != component_id").select("doc_id").distinct()
-    out = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
-    if found.groupBy("doc_id").count().filter("count > 1").isEmpty():
-        return out
-    nth = F.row_number().over(Window.partitionBy(F.coalesce(F.col("doc_id").cast("string"), F.uuid())).orderBy("text"))
-    return out.withColumn("__nth", nth).filter("__nth = 1").drop("__nth")
+    found = materialise(_grouped(docs, percent, words, BANDS, ROWS, MISS).filter("not kept").select(F.col("doc_id").alias("__id"), F.col("h").alias("__g"), "like"), "duplicates")
+    key = (F.col("__h") == F.col("__g")) & F.col("doc_id").eqNullSafe(F.col("__id"))
+    out = _hashed(docs).join(found.filter("not like").select("__id", "__g").distinct(), key, "left_anti")
+    copied = found.filter("like").select("__id", "__g").distinct()
+    if copied.isEmpty():
+        return out.select(docs.columns)
+    once = out.join(copied, key, "left_semi")
+    by = F.struct(*(f.name for f in docs.schema if not re.search("map<|variant", f.dataType.simpleString())))
+    once = once.groupBy("__h", "doc_id").agg(F.min_by(F.struct(*docs.columns), by).alias("one")).select("one.*")
+    return out.join(copied, key, "left_anti").select(docs.columns).unionByName(once.select(docs.columns))
 
 
 def op3_minhash_dedup(spark, sf_dir):
     found = near_duplicates(table(spark, sf_dir, "documents"), percent=85)
-    return found.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
 QUERIES = {"op3_minhash_dedup": op3_minhash_dedup}

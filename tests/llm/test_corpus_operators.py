@@ -78,6 +78,22 @@ def test_near_duplicates_edges(docs):
     assert sorted((r["doc_id"] or 0) for r in minhash.drop_near_duplicates(docs([*EDGES, (9, "A  b c")])).collect()) == [0, 1, 2, 3, 4, 5, 6]
 
 
+def test_rows_that_share_a_doc_id_or_have_none(docs):
+    rng = random.Random(12)
+    text = lambda: " ".join(f"w{rng.randrange(10**6)}" for _ in range(100))
+    a, b, c, d, e, f = (text() for _ in range(6))
+    near = edited(rng, f.split(), 1)
+    # 7: a copy of 3 beside a text of its own; 8: two texts, of which one has a near copy; exact copies with and without ids.
+    rows = [(3, a), (7, a), (7, b), (8, c), (8, f), (9, near), (10, d), (10, d), (None, e), (None, e), (None, e), (None, a), (None, f"{e} more words at the end of it"), (None, None), (None, None)]
+    got = Counter((r["doc_id"], r["text"]) for r in minhash.drop_near_duplicates(docs(rows)).collect())
+    nameless = [k for k in got if k[0] is None and k[1]]
+    assert len(nameless) == 1 and nameless[0][1].startswith(e) and got.pop(nameless[0]) == 1
+    assert got == Counter([(3, a), (7, b), (8, c), (8, f), (10, d), (None, None), (None, None)])
+    found = [(r["doc_id"], r["component_id"], r["kept"]) for r in minhash.near_duplicates(docs(rows)).collect()]
+    want = [(3, 3, True), (7, 3, False), (7, 7, True), (8, 8, True), (8, 8, True), (9, 8, False), (10, 10, True), (10, 10, False), (None, 3, False)]
+    assert Counter(found) == Counter(want + [(None, None, True)] * 3 + [(None, None, False)] * 3)
+
+
 def test_bounds_keep_what_is_similar():
     b, rng = minhash.Bounds.of(0.85, 160), np.random.default_rng(1)
     x = rng.integers(0, 256, (4000, 160)).astype(np.uint8)
