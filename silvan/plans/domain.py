@@ -1,7 +1,9 @@
 """The domain's tables as re-shapings of the supplied ones.
 
 A corpus is a language, a version a (language, source). Units: version -> document -> line, text on lines only. A second,
-unbalanced tree: region -> nation -> (supplier | customer -> order). The same rules as SQL stand in DOMAIN_SQL.
+unbalanced tree: region -> nation -> (supplier | customer -> order). The same rules as SQL stand in DOMAIN_SQL, whose
+joins leave out documents with a null lang or source; here null is a name like others, ranked last as in the SQL, and
+`NAMELESS` in labels and paths.
 """
 
 from __future__ import annotations
@@ -14,11 +16,13 @@ from silvan.session import read_table
 DOC, LINE = 1_000_000_000, 1_000_000_000_000
 #: Lines of a document, at most, in the numbering of units.
 LINES = 100_000
+#: Label of a null source.
+NAMELESS = "(none)"
 
 
 def _ranked(df: DataFrame, cols: list[str], name: str) -> DataFrame:
     """Distinct names with their rank: as many rows as there are languages or sources."""
-    return df.select(*cols).distinct().withColumn(name, F.row_number().over(Window.orderBy(*cols)).cast("long"))
+    return df.select(*cols).distinct().withColumn(name, F.row_number().over(Window.orderBy(*(F.asc_nulls_last(c) for c in cols))).cast("long"))
 
 
 def corpora(spark: SparkSession, d: str) -> DataFrame:
@@ -27,21 +31,24 @@ def corpora(spark: SparkSession, d: str) -> DataFrame:
 
 def versions(spark: SparkSession, d: str) -> DataFrame:
     v = _ranked(read_table(spark, d, "documents"), ["lang", "source"], "version_id")
-    return v.join(F.broadcast(corpora(spark, d)), v["lang"] == F.col("name")).select("version_id", "corpus_id", "lang", "source")
+    return v.join(F.broadcast(corpora(spark, d)), v["lang"].eqNullSafe(F.col("name"))).select("version_id", "corpus_id", "lang", "source")
 
 
 def numbered_documents(spark: SparkSession, d: str) -> DataFrame:
-    return read_table(spark, d, "documents").join(F.broadcast(versions(spark, d)), ["lang", "source"])
+    v = versions(spark, d).withColumnsRenamed({"lang": "lang_", "source": "source_"})
+    same = F.col("lang").eqNullSafe(F.col("lang_")) & F.col("source").eqNullSafe(F.col("source_"))
+    df = read_table(spark, d, "documents").join(F.broadcast(v), same)
+    return df.select("lang", "source", *(c for c in df.columns if c not in ("lang", "source", "lang_", "source_")))
 
 
 def units(spark: SparkSession, d: str) -> DataFrame:
     """unit_id, version_id, corpus_id, parent_id, depth, height, label, text, path."""
     cols = ["unit_id", "version_id", "corpus_id", "parent_id", "depth", "height", "label", "text", "path"]
-    none = F.lit(None).cast("string")
-    roots = versions(spark, d).select(F.col("version_id").alias("unit_id"), "version_id", "corpus_id", F.lit(None).cast("long").alias("parent_id"), F.lit(0).alias("depth"), F.lit(2).alias("height"), F.col("source").alias("label"), none.alias("text"), F.concat(F.lit("/"), "source").alias("path"))
+    none, source = F.lit(None).cast("string"), F.coalesce("source", F.lit(NAMELESS))
+    roots = versions(spark, d).select(F.col("version_id").alias("unit_id"), "version_id", "corpus_id", F.lit(None).cast("long").alias("parent_id"), F.lit(0).alias("depth"), F.lit(2).alias("height"), source.alias("label"), none.alias("text"), F.concat(F.lit("/"), source).alias("path"))
     docs = numbered_documents(spark, d)
     key = F.col("doc_id").cast("string")
-    path = F.concat(F.lit("/"), "source", F.lit("/"), key)
+    path = F.concat(F.lit("/"), source, F.lit("/"), key)
     middle = docs.select((F.col("doc_id") + DOC).alias("unit_id"), "version_id", "corpus_id", F.col("version_id").alias("parent_id"), F.lit(1).alias("depth"), F.lit(1).alias("height"), key.alias("label"), none.alias("text"), path.alias("path"))
     lines = docs.select("doc_id", "version_id", "corpus_id", path.alias("p"), F.posexplode(F.split("text", "\n")).alias("n", "text"))
     label = F.concat_ws(":", F.col("doc_id").cast("string"), (F.col("n") + 1).cast("string"))

@@ -81,3 +81,19 @@ def test_empty_bounds_and_cells(spark):
     p = spark.createDataFrame([(1, 0, 0.0, 0.0), (2, 0, 1.0, 0.0), (3, 0, 0.0, 1.0), (4, 0, 1.0, 1.0)], "id long, g int, x double, y double")
     cells = projection.voronoi(p, "g", "id").collect()
     assert len(cells) == 4 and all(len(r["cell"]) == 4 for r in cells)
+
+
+def test_units_of_documents_without_lang_or_source(spark, tmp_path):
+    from silvan.plans import catalog
+    from silvan.plans import domain as D
+
+    rows = [(1, "a\nb", "en", "s"), (2, "c", None, "s"), (3, "d\ne", "en", None), (4, "f", None, None), (5, "g", None, "s")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    units = D.units(spark, str(tmp_path)).collect()
+    assert len(units) == len({u["unit_id"] for u in units}) == 4 + 5 + 7
+    assert sorted(u["text"] for u in units if u["text"]) == list("abcdefg")
+    assert all(u["path"] and u["label"] for u in units)
+    roots = {u["unit_id"]: (u["corpus_id"], u["label"]) for u in units if u["depth"] == 0}
+    assert roots == {1: (1, "s"), 2: (1, D.NAMELESS), 3: (2, "s"), 4: (2, D.NAMELESS)}
+    assert {u["unit_id"] - D.DOC: u["version_id"] for u in units if u["depth"] == 1} == {1: 1, 2: 3, 3: 2, 4: 4, 5: 3}
+    assert catalog.QUERIES["coverage_by_version"](spark, str(tmp_path)).count() == 4
