@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from silvan.llm.common import materialise, table, words_of
+from silvan.llm.common import SPACE, SPACE_CHARS, materialise, table, words_of
 
 #: Fixed values of the contract.
 WEIGHTS = (5, 2, 1)
@@ -168,18 +168,21 @@ def _mixed(sized: DataFrame, weights: Sequence[float], share: float, most: int,
 
 def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     """The mix as documents, with all columns of docs and more columns for none: each row whole as often as its turns, then
-    the words of its run and of what the run meets again, joined by single spaces. n_chars, if there, counts anew.
+    the words of its run and of what the run meets again, with the white space between them; a run over all its words is
+    the whole text. n_chars, if there, counts anew.
 
     Rows that are equal in doc_id, source and text have a decision each and are told apart by a number within their key.
     """
     key = F.struct(F.col("doc_id"), F.col("source"), F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("check"))
     plan = mix_sources(docs, **how).groupBy(F.struct("doc_id", "source", "check").alias("__key"))
-    plan = plan.agg(F.sort_array(F.collect_list(F.struct("first", "run", "again", "turns"))).alias("__takes"))
+    plan = plan.agg(F.sort_array(F.collect_list(F.struct("first", "run", "again", "turns", "size"))).alias("__takes"))
     nth = F.row_number().over(Window.partitionBy("__key").orderBy(F.lit(0)))
     df = docs.withColumn("__key", key).withColumn("__nth", nth).join(plan, "__key").withColumn("__take", F.element_at("__takes", F.col("__nth")))
-    words = words_of(F.col("text"))
-    piece = lambda start, n: F.array_join(F.slice(words, (start + 1).cast("int"), n.cast("int")), " ")
+    # Each word with the white space after it.
+    words = F.split(F.regexp_replace("text", f"^{SPACE}", ""), r"(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])")
+    cut = lambda start, n: F.rtrim(F.array_join(F.slice(words, (start + 1).cast("int"), n.cast("int")), ""), F.lit(SPACE_CHARS))
     t = F.col("__take")
+    piece = lambda start, n: F.when(n == t["size"], F.col("text")).otherwise(cut(start, n))
     texts = F.concat(
         F.transform(F.sequence(F.lit(0), t["turns"].cast("int")), lambda i: F.when(i > 0, F.col("text"))),
         F.array(F.when(t["run"] > 0, piece(t["first"], t["run"])), F.when(t["again"] > 0, piece(F.lit(0), t["again"]))),

@@ -1,6 +1,7 @@
 import heapq
 import itertools
 import random
+import re
 import sys
 from collections import Counter, defaultdict
 from fractions import Fraction
@@ -180,6 +181,27 @@ def test_mix_of_short_sources_beside_millions_of_words(docs):
     assert all(abs(taken[k] - v) <= 1 for k, v in target.items()) and taken["a"] == 2
 
 
+def test_mixed_texts_keep_their_white_space(docs):
+    rng = random.Random(13)
+    gap = lambda: rng.choice([" ", "\n", "\n\n\t", "  ", "\r\n", "\x0b"])
+    rows = [(i, gap() + "".join(f"w{i}_{k}é{gap()}" for k in range(rng.randint(1, 40))), rng.choice("aaaaabcccc")) for i in range(100, 400)] + EDGES[:3]
+    texts, takes, got = {r[0]: r[1] for r in rows}, {}, defaultdict(list)
+    for r in mixing.mix_sources(docs(rows)).collect():
+        takes[r["doc_id"]] = r
+    for r in mixing.mixed_documents(docs(rows)).collect():
+        got[r["doc_id"]].append(r["text"])
+    cut = 0
+    for i, r in takes.items():
+        ends = [m.span() for m in re.finditer(r"[^ \t-\r]+", texts[i] or "")]
+        want = [texts[i]] * r["turns"] if r["size"] else [x for x in got[i] if not (x or "").strip()]
+        for first, n in ((r["first"], r["run"]), (0, r["again"])):
+            if n:
+                want.append(texts[i] if n == r["size"] else texts[i][ends[first][0] : ends[first + n - 1][1]])
+                cut += n < r["size"]
+        assert sorted(got[i], key=repr) == sorted(want, key=repr)
+    assert cut and any(not r["turns"] and r["run"] == r["size"] > 1 for r in takes.values())
+
+
 def test_sharding(docs):
     assert sharding.lpt([(7, "a"), (6, "b"), (5, "c"), (4, "d"), (3, "e")], 2) == {"a": 0, "b": 1, "c": 1, "d": 0, "e": 0}
     rng = random.Random(5)
