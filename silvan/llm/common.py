@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import threading
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,18 +28,80 @@ def shared_dir(spark: SparkSession) -> str:
     return "file:///tmp/checkpoints/silvan"
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as Parquet into the shared folder and reads it again: lineage is cut there, and a lost executor loses nothing.
+_open = threading.local()
 
-    The files go when the driver's JVM ends.
-    """
-    spark = df.sparkSession
+
+def _delete(spark: SparkSession, paths: list[str], at_exit: bool = False) -> None:
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for p in paths:
+        where = jvm.org.apache.hadoop.fs.Path(p)
+        files = where.getFileSystem(conf)
+        files.deleteOnExit(where) if at_exit else files.delete(where, True)
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder. It goes with the innermost `scratch`, else when the driver's JVM ends."""
     path = f"{shared_dir(spark)}/silvan/{name}-{uuid.uuid4().hex}"
+    _delete(spark, [path], at_exit=True)
+    scopes = getattr(_open, "scopes", [])
+    if scopes:
+        scopes[-1].append(path)
+    return path
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """What is materialised inside is deleted at the end, but for what the function it gives has written: the results."""
+    scopes = _open.__dict__.setdefault("scopes", [])
+    mine: list[str] = []
+    scopes.append(mine)
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        held = scopes.pop()
+        try:
+            return materialise(df, name)
+        finally:
+            scopes.append(held)
+
+    try:
+        yield keep
+    finally:
+        scopes.remove(mine)
+        _delete(spark, mine)
+
+
+def materialise(df: DataFrame, name: str) -> DataFrame:
+    """Writes df as Parquet into the shared folder and reads it again: lineage is cut there, and a lost executor loses nothing."""
+    path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value) with the value worked out once, however often f uses it and wherever the optimizer moves the expression."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+#: Elements that `running` goes through one by one.
+RUN = 128
+
+
+def running(values: Column, zero: Column, combine: Callable[[Column, Column], Column]) -> Column:
+    """For each element of the array the combination of all elements before it, `zero` for the first.
+
+    An array can only be built up by copying it, so one fold over n elements takes n * n steps; the elements are folded in
+    blocks, then the blocks. values should be bound by `let`.
+    """
+    none = F.filter(F.array(zero), lambda _: F.lit(False))
+
+    def fold(array: Column, value: Callable[[Column], Column]) -> Column:
+        step = lambda a, x: F.struct(combine(a["at"], value(x)).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out"))
+        return F.aggregate(array, F.struct(zero.alias("at"), none.alias("out")), step)
+
+    starts = F.sequence(F.lit(0), F.greatest(F.size(values) - 1, F.lit(0)), F.lit(RUN))
+    blocks = F.transform(starts, lambda b: fold(F.slice(values, b + 1, RUN), lambda x: x))
+    shift = lambda inner, bases: F.flatten(F.transform(inner, lambda x, i: F.transform(x["out"], lambda v: combine(F.get(bases, i), v))))
+    return let(blocks, lambda inner: let(fold(inner, lambda x: x["at"])["out"], lambda bases: shift(inner, bases)))
 
 
 def words_of(text: Column) -> Column:
@@ -49,5 +114,22 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """name, or name with underscores after it, that no column of df has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def columns_of(df: DataFrame) -> list[Column]:
+    """The columns of df whatever their names hold."""
+    return [F.col(quoted(c)) for c in df.columns]
+
+
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -8,11 +8,13 @@ labeler is, and a logistic regression on the votes and the length is trained on
 classifier decides on the candidates that are not base. It and the estimates are a few hundred numbers on the driver.
 
 Positions are code points, end exclusive. Patterns use possessive loops and start only where a run starts, so no text
-makes them slow or deep.
+makes them slow or deep; positions are running sums over blocks of matches, so a text with very many of them takes time in
+proportion.
 
 Edge cases: a null or empty text has no spans; long texts are read whole; with no candidates at all the labelers keep
-their prior reliabilities; repeated rows get the same spans; an empty table gives no rows; `find_pii` and `redact` keep
-other columns and replace one of their output's name, pii by default.
+their prior reliabilities; of two spans of one kind that overlap the base one stays, and ties of the vote fall to the
+classifier's threshold; repeated rows get the same spans; an empty table gives no rows; `find_pii` and `redact` keep other
+columns, whatever their names, and replace one of their output's name, pii by default.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from silvan.llm.common import table
+from silvan.llm.common import fresh, let, quoted, running, table
 
 KINDS = ("email", "ip", "card", "phone")
 ACCEPT = 0.9
@@ -79,18 +81,40 @@ def _with(value: object, f: Callable) -> Callable:
 
 
 def _spans(text: Column, pattern: str, must: Column) -> Column:
-    """array<struct<start, end, hit>> of the leftmost non-overlapping matches; the texts between them give the positions."""
-    gaps, hits = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    pairs = F.zip_with(F.slice(gaps, 1, F.size(hits)), hits, lambda g, h: F.struct(F.length(g).alias("gap"), h.alias("hit")))
-    none = F.array().cast("array<struct<start:int,end:int,hit:string>>")
+    """array<struct<start, end, hit, before, after>> of the leftmost non-overlapping matches; the texts between them give
+    the positions. before: up to 40 characters, no further back than to the match before the last one; after: one."""
+    none = F.array().cast("array<struct<start:int,end:int,hit:string,before:string,after:string>>")
+    zero = F.lit(0)
 
-    def step(a: Column, x: Column) -> Column:
-        start = a["at"] + x["gap"]
-        end = start + F.length(x["hit"])
-        return F.struct(end.alias("at"), F.concat(a["out"], F.array(F.struct(start.alias("start"), end.alias("end"), x["hit"].alias("hit")))).alias("out"))
+    def place(gaps: Column, hits: Column) -> Column:
+        lengths = F.transform(hits, lambda h, i: F.length(F.get(gaps, i)) + F.length(h))
 
-    found = F.aggregate(pairs, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda a: a["out"])
-    return F.when(must, found).otherwise(none)
+        def one(ends: Column) -> Callable:
+            def span(h: Column, i: Column) -> Column:
+                start = F.get(ends, i) + F.length(F.get(gaps, i))
+                near = F.concat_ws("", F.right(F.get(gaps, i - 1), F.lit(40)), F.right(F.get(hits, i - 1), F.lit(40)), F.right(F.get(gaps, i), F.lit(40)))
+                after = F.left(F.concat(F.left(F.get(gaps, i + 1), F.lit(1)), F.left(F.coalesce(F.get(hits, i + 1), F.lit("")), F.lit(1))), F.lit(1))
+                return F.struct(start.alias("start"), (start + F.length(h)).alias("end"), h.alias("hit"), F.right(near, F.lit(40)).alias("before"), after.alias("after"))
+
+            return span
+
+        return let(lengths, lambda n: let(running(n, zero, lambda a, x: a + x), lambda ends: F.transform(hits, one(ends))))
+
+    found = lambda hits: F.when(F.size(hits) > 0, let(F.split(text, pattern, -1), lambda gaps: place(gaps, hits))).otherwise(none)
+    return F.when(must, let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), found)).otherwise(none)
+
+
+def _apart(base: Column, wide: Column) -> Column:
+    """Those of wide that touch none of base: in the order of starts, no base span before ends later, none after starts earlier."""
+    none = F.filter(wide, lambda _: F.lit(False))
+    far = 1 << 30
+    mark = lambda kind: lambda x: F.struct(x["start"].alias("start"), F.lit(kind).alias("wide"), x["end"].alias("end"), x.alias("span"))
+    ends = lambda m: running(F.transform(m, lambda x: F.when(x["wide"] == 0, x["end"]).otherwise(-1)), F.lit(-1), F.greatest)
+    starts = lambda m: F.reverse(running(F.reverse(F.transform(m, lambda x: F.when(x["wide"] == 0, x["start"]).otherwise(far))), F.lit(far), F.least))
+    clear = lambda x, i, e, s: (x["wide"] == 1) & (F.get(e, i) <= x["start"]) & (F.get(s, i) >= x["end"])
+    kept = lambda m: let(ends(m), lambda e: let(starts(m), lambda s: F.transform(F.filter(m, lambda x, i: clear(x, i, e, s)), lambda x: x["span"])))
+    both = F.sort_array(F.concat(F.transform(base, mark(0)), F.transform(wide, mark(1))))
+    return F.when(F.size(wide) == 0, none).when(F.size(base) == 0, wide).otherwise(let(both, kept))
 
 
 def _digits(hit: Column) -> Column:
@@ -107,11 +131,11 @@ def _valid(kind: str, hit: Column) -> Column:
     return F.lit(True)
 
 
-def _votes(kind: str, text: Column, x: Column, base: bool) -> Column:
+def _votes(kind: str, x: Column, base: bool) -> Column:
     """One number for the votes (0 against, 1 none, 2 for, in base 3 and in the order of LABELERS), whether the span is base, and its length."""
-    hit, before = x["hit"], F.substring(text, F.greatest(x["start"] - 40, F.lit(0)) + 1, F.least(x["start"], F.lit(40)))
+    hit, before = x["hit"], x["before"]
     plain = F.regexp_replace(hit, r"[\[\] ()]", "") if kind != "phone" else hit
-    edge = F.concat(F.right(before, F.lit(1)), F.lit("|"), F.substring(text, x["end"] + 1, F.lit(1)))
+    edge = F.concat(F.right(before, F.lit(1)), F.lit("|"), x["after"])
     for_ = lambda c: F.when(c, 2).otherwise(0)
     votes = (
         F.lit(2 if base else 1),
@@ -126,32 +150,29 @@ def _votes(kind: str, text: Column, x: Column, base: bool) -> Column:
     return code * 2 + (1 if base else 0)
 
 
-def _candidates(text: Column) -> dict[str, tuple[Column, Column]]:
-    """For each kind the base spans and the others: array<struct<start, end, hit>>."""
-    digit = text.rlike("[0-9]")
-    out = {}
-    for kind, (must, strict, wide_must, wide) in _PATTERNS.items():
-        here = F.lit(True) if kind == "email" else digit
-        base = F.filter(_spans(text, strict, here & (F.lit(True) if must is None else F.contains(text, F.lit(must)))), _with(kind, lambda k, x: _valid(k, x["hit"])))
-        out[kind] = base, _spans(text, wide, here & text.rlike(wide_must))
-    return out
+def _coded(text: Column) -> Column:
+    """struct with a field for each kind: array<struct<start, end, code>>, base spans and those others that touch no base span of their kind."""
 
+    def coded(kind: str, base: Column, wide: Column) -> Column:
+        code = lambda is_base: lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), _votes(kind, x, is_base).alias("code"))
+        return let(base, lambda b: let(wide, lambda w: F.concat(F.transform(b, code(True)), F.transform(_apart(b, w), code(False)))))
 
-def _coded(df: DataFrame, text: str) -> DataFrame:
-    """df with __email .. __phone: array<struct<start, end, code>>, base spans and those others that touch no base span of their kind."""
-    for kind, (base, wide) in _candidates(F.col(text)).items():
-        df = df.withColumns({f"__b_{kind}": base, f"__w_{kind}": wide})
-    apart = lambda kind: F.filter(f"__w_{kind}", lambda w: ~F.exists(f"__b_{kind}", lambda b: (b["start"] < w["end"]) & (w["start"] < b["end"])))
-    code = lambda kind, base: lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), _votes(kind, F.col(text), x, base).alias("code"))
-    for kind in KINDS:
-        df = df.withColumn(f"__{kind}", F.concat(F.transform(f"__b_{kind}", code(kind, True)), F.transform(apart(kind), code(kind, False))))
-    return df.drop(*(f"__{w}_{kind}" for kind in KINDS for w in "bw"))
+    def all_kinds(text: Column) -> Column:
+        digit, out = text.rlike("[0-9]"), []
+        for kind, (must, strict, wide_must, wide) in _PATTERNS.items():
+            here = F.lit(True) if kind == "email" else digit
+            found = _spans(text, strict, here & (F.lit(True) if must is None else F.contains(text, F.lit(must))))
+            base = F.filter(found, _with(kind, lambda k, x: _valid(k, x["hit"])))
+            out.append(coded(kind, base, _spans(text, wide, here & text.rlike(wide_must))).alias(kind))
+        return F.struct(*out)
+
+    return let(F.coalesce(text, F.lit("")), all_kinds)
 
 
 def count_votes(docs: DataFrame) -> dict[tuple[str, int], int]:
     """How often each kind's candidates have each pattern of votes, over all documents: at most 4 * 3^6 * 2 numbers."""
-    df = _coded(docs.select(F.coalesce("text", F.lit("")).alias("__text")), "__text")
-    codes = F.concat(*(F.transform(f"__{kind}", _with(k, lambda k, x: F.struct(F.lit(k).alias("kind"), x["code"].alias("code")))) for k, kind in enumerate(KINDS)))
+    df = docs.select(_coded(F.col("text")).alias("found"))
+    codes = F.concat(*(F.transform(f"found.{kind}", _with(k, lambda k, x: F.struct(F.lit(k).alias("kind"), x["code"].alias("code")))) for k, kind in enumerate(KINDS)))
     rows = df.select(F.explode(codes).alias("c")).groupBy("c.kind", "c.code").count().collect()
     return {(KINDS[r["kind"]], r["code"]): r["count"] for r in rows}
 
@@ -225,34 +246,59 @@ def find_pii(docs: DataFrame, accept: float = ACCEPT, output: str = "pii") -> Da
     _, probability = estimate(counts)
     weights = train(counts, probability)
     accepted = {kind: [c for k, c in counts if k == kind and not decode(c)[2] and score(weights, k, c) >= accept] for kind in KINDS}
-    df = _coded(docs.drop(output).withColumn("__text", F.coalesce("text", F.lit(""))), "__text")
-    parts = []
-    for kind in KINDS:
-        base = lambda x: F.pmod(x["code"], F.lit(2)) == 1
-        kept = F.filter(f"__{kind}", _with(accepted[kind], lambda codes, x: base(x) | x["code"].isin(codes) if codes else base(x)))
-        parts.append(F.array_sort(F.transform(kept, _with(kind, lambda k, x: F.struct(x["start"].cast("long").alias("start"), x["end"].cast("long").alias("end"), F.lit(k).alias("kind"), base(x).alias("base"))))))
-    df = df.withColumn(output, F.concat(*parts))
-    return df.drop("__text", *(f"__{kind}" for kind in KINDS))
+    base = lambda x: F.pmod(x["code"], F.lit(2)) == 1
+    span = lambda k, x: F.struct(x["start"].cast("long").alias("start"), x["end"].cast("long").alias("end"), F.lit(k).alias("kind"), base(x).alias("base"))
 
+    def decide(found: Column) -> Column:
+        kept = {kind: F.filter(found[kind], _with(accepted[kind], lambda codes, x: base(x) | x["code"].isin(codes) if codes else base(x))) for kind in KINDS}
+        return F.concat(*(F.array_sort(F.transform(k, _with(kind, span))) for kind, k in kept.items()))
+
+    return docs.drop(output).withColumn(output, let(_coded(F.col("text")), decide))
 
-def redact(found: DataFrame, pii: str = "pii") -> DataFrame:
-    """found with each span of its text replaced by the kind's name in brackets; what overlaps goes with the first. n_chars, if there, counts anew; pii goes."""
-    spans = F.array_sort(F.transform(pii, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"))))
 
-    def step(a: Column, x: Column) -> Column:
-        # substring takes ints; positions within one text are.
-        between = F.substring("text", (a["at"] + 1).cast("int"), (x["start"] - a["at"]).cast("int"))
-        new = F.concat(a["out"], between, F.lit("["), F.upper(x["kind"]), F.lit("]"))
-        return F.struct(F.greatest(a["at"], x["end"]).alias("at"), F.when(x["start"] >= a["at"], new).otherwise(a["out"]).alias("out"))
+#: Characters of the pieces into which a text is cut before parts of it are read by position.
+PIECE = 4_096
 
-    rest = lambda a: F.concat(a["out"], F.substring("text", (a["at"] + 1).cast("int"), F.length("text")))
-    clean = F.aggregate(spans, F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out")), step, rest)
-    out = found.withColumn("text", F.when(F.size(pii) > 0, clean).otherwise(F.col("text")))
+
+def _without_spans(text: Column, spans: Column) -> Column:
+    """text with each of the sorted spans replaced by its kind; one that starts before an earlier one's end goes with that one."""
+    part = lambda piece, k, start, stop: F.substring(piece, F.greatest(start - k * PIECE, F.lit(0)) + 1, F.least(stop, (k + 1) * PIECE) - F.greatest(start, k * PIECE))
+
+    def between(pieces: Column, start: Column, stop: Column) -> Column:
+        first, last = F.floor(start / PIECE).cast("int"), F.floor((stop - 1) / PIECE).cast("int")
+        parts = F.transform(F.sequence(first, last), lambda k: part(F.get(pieces, k), k, start, stop))
+        return F.when(stop > start, F.array_join(parts, "")).otherwise("")
+
+    def build(pieces: Column, ends: Column, last: Column) -> Column:
+        new = lambda x, i: F.concat(between(pieces, F.get(ends, i), x["start"]), F.lit("["), F.upper(x["kind"]), F.lit("]"))
+        parts = F.transform(spans, lambda x, i: F.when(x["start"] >= F.get(ends, i), new(x, i)).otherwise(""))
+        return F.concat(F.array_join(parts, ""), between(pieces, last, F.length(text)))
+
+    def cut(stops: Column) -> Column:
+        ends = running(stops, F.lit(0), F.greatest)
+        pieces = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
+        return let(pieces, lambda p: let(ends, lambda e: let(F.array_max(stops), lambda last: build(p, e, last))))
+
+    return let(F.transform(spans, lambda x: x["end"]), cut)
+
+
+def redact(found: DataFrame, pii: str = "pii") -> DataFrame:
+    """found with each span of its text replaced by the kind's name in brackets; what overlaps goes with the first. n_chars, if there, counts anew; pii goes."""
+    by_start = lambda x: F.struct(x["start"].cast("int").alias("start"), x["end"].cast("int").alias("end"), x["kind"].alias("kind"))
+    spans = F.col(quoted(pii))
+    clean = let(F.array_sort(F.transform(spans, by_start)), lambda s: _without_spans(F.col("text"), s))
+    out = found.withColumn("text", F.when(F.size(spans) > 0, clean).otherwise(F.col("text")))
     if "n_chars" in found.columns:
         out = out.withColumn("n_chars", F.coalesce(F.length("text").cast(found.schema["n_chars"].dataType), F.col("n_chars")))
     return out.drop(pii)
 
 
+def redacted(docs: DataFrame) -> DataFrame:
+    """docs, all columns, with personal data replaced by its kind."""
+    output = fresh(docs, "pii")
+    return redact(find_pii(docs, output=output), output)
+
+
 def _joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
 
