@@ -1,15 +1,18 @@
 """Quality rules as a short-circuit cascade, with DataFrame functions only.
 
-Each rule's cost (seconds for the sample) and selectivity (share of the sample that it rejects) are estimated on a
-sample of at most `SAMPLE_ROWS` documents; the rules then run in order of rejection per cost, and a document that one
-rule rejects isn't looked at by those after it. The order changes what the cascade costs, never which documents it keeps.
+Each rule's cost (seconds on the sample beyond those of no rule) and selectivity (share of the sample that it rejects)
+are estimated on a sample of at most `SAMPLE_ROWS` documents; the rules then run in order of rejection per cost, and a
+document that one rule rejects isn't looked at by those after it. The order changes what the cascade costs, never which
+documents it keeps. It may differ between runs, as times do, and so may the name of the rule that is found to reject a
+document; whether one does is always the same.
 
 Words are maximal runs of characters other than space and tab to carriage return.
 
 Edge cases: a null text counts as an empty one; an empty text has no words, so the rule on few words rejects it; long
-texts are read whole; repeated rows are judged one by one and alike; an empty table gives no rows (the rules then stay
-in the order given). Columns of the input other than doc_id and text are kept by `quality_filter` and ignored by
-`quality_metrics`.
+texts are read whole (in the sample, which decides no verdict, up to `SAMPLE_CHARS` characters of a text tell its cost);
+rules of equal rejection per cost stay in the order given; repeated rows are judged one by one and alike; an empty table
+gives no rows (the rules then stay in the order given). Columns of the input other than doc_id and text, whatever their
+names, are kept by `quality_filter` and `accepted` and ignored by `quality_metrics`.
 """
 
 from __future__ import annotations
@@ -21,10 +24,15 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from silvan.llm.common import SPACE_CHARS, table, words_of
+from silvan.llm.common import SPACE_CHARS, let, table, words_of
 
 #: Documents on which costs and selectivities are estimated, at most.
 SAMPLE_ROWS = 512
+SAMPLE_CHARS = 1 << 16
+#: How often the time of a job on the sample is taken.
+TIMES = 3
+#: Seconds below which a difference of times is noise.
+NOISE = 2e-3
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
 
@@ -60,11 +68,6 @@ def _lines(text: Column) -> Column:
     return F.filter(F.split(text, "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]"))
 
 
-def _let(value: Column, f: Callable[[Column], Column]) -> Column:
-    """f(value) with the value worked out once, however often f uses it and wherever the optimizer moves the expression."""
-    return F.get(F.transform(F.array(value), f), F.lit(0))
-
-
 def _repeat_words(words: Column) -> Column:
     """Words in 3-word windows found twice or more.
 
@@ -90,7 +93,7 @@ def _repeat_words(words: Column) -> Column:
         return F.sort_array(F.transform(F.filter(windows, beside), lambda x: x.bitwiseAND(low)))
 
     covered = F.aggregate(
-        _let(F.sort_array(F.transform(F.sequence(F.lit(0), n - 3), pack)), starts),
+        let(F.sort_array(F.transform(F.sequence(F.lit(0), n - 3), pack)), starts),
         F.struct(F.lit(-3).cast("long").alias("last"), F.lit(0).cast("long").alias("n")),
         lambda a, x: F.struct(x.alias("last"), (a["n"] + F.least(F.lit(3).cast("long"), x - a["last"])).alias("n")),
         lambda a: a["n"],
@@ -115,7 +118,7 @@ def _expressions(text: Column, words: Column) -> dict[str, Column]:
 
 def _of_text(f: Callable[[dict[str, Column]], Column]) -> Column:
     """f of the metrics of the column text, split into words once."""
-    return _let(F.coalesce("text", F.lit("")), lambda t: _let(words_of(t), lambda w: f(_expressions(t, w))))
+    return let(F.coalesce("text", F.lit("")), lambda t: let(words_of(t), lambda w: f(_expressions(t, w))))
 
 
 def quality_metrics(docs: DataFrame) -> DataFrame:
@@ -123,60 +126,89 @@ def quality_metrics(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", _of_text(lambda m: F.struct(*(e.alias(k) for k, e in m.items()))).alias("m")).select("doc_id", "m.*")
 
 
+def _first(rules: tuple[Rule, ...], m: Metric) -> Column:
+    """The first rule of this order that rejects, or null; what comes after it is not worked out."""
+    out = None
+    for r in rules:
+        c = r.rejects(m)
+        out = F.when(c, r.name) if out is None else out.when(c, r.name)
+    return F.lit(None).cast("string") if out is None else out
+
+
 def cascade(rules: tuple[Rule, ...]) -> Column:
-    """The first rule of this order that rejects the column text, or null; what comes after it is not worked out."""
+    """The first rule of this order that rejects the column text, or null."""
+    return _of_text(lambda m: _first(rules, m.__getitem__))
 
-    def first(m: dict[str, Column]) -> Column:
-        out = None
-        for r in rules:
-            c = r.rejects(m.__getitem__)
-            out = F.when(c, r.name) if out is None else out.when(c, r.name)
-        return out
 
-    return _of_text(first)
+def judged(rules: tuple[Rule, ...], metrics: tuple[str, ...]) -> Column:
+    """struct of these metrics of the column text and `rejected_by`, the verdict of `cascade`: each of them is worked out once
+    for both, all others only for documents that get so far in the cascade."""
+
+    def both(m: dict[str, Column]) -> Column:
+        shared = F.struct(*(m[k].alias(k) for k in metrics))
+        verdict = lambda s: _first(rules, lambda k: s[k] if k in metrics else m[k])
+        return let(shared, lambda s: F.struct(*(s[k].alias(k) for k in metrics), verdict(s).alias("rejected_by")))
+
+    return _of_text(both)
 
 
 def order_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = SAMPLE_ROWS) -> list[tuple[Rule, float, float]]:
-    """The rules with their seconds and share of rejected documents on the sample, best rejection per cost first."""
-    sample = docs.select("text").limit(sample_rows).cache()
-    try:
-        rows = sample.count()
-        if not rows:
-            return [(r, 0.0, 0.0) for r in rules]
-        out = []
-        for rule in rules:
-            hit = sample.agg(F.count(cascade((rule,))))
-            hit.first()  # compiles the code
+    """The rules with their seconds and share of rejected documents on the sample, best rejection per cost first.
+
+    The sample is the first documents that a scan meets, no more than sample_rows of them, from as few partitions as hold
+    them. A rule's time is the least of a few jobs on the sample, less that of a job without one.
+    """
+    rows = docs.select(F.left("text", F.lit(SAMPLE_CHARS)).alias("text")).take(sample_rows)
+    if not rows:
+        return [(r, 0.0, 0.0) for r in rules]
+    sample = docs.sparkSession.createDataFrame([(r["text"],) for r in rows], "text string").coalesce(1)
+
+    def timed(verdict: Column) -> tuple[float, int]:
+        hit, took = sample.agg(F.count(verdict)), []
+        n = hit.first()[0]  # compiles the code
+        for _ in range(TIMES):
             began = time.perf_counter()
-            n = hit.first()[0]
-            out.append((rule, time.perf_counter() - began, n / rows))
-    finally:
-        sample.unpersist()
+            hit.first()
+            took.append(time.perf_counter() - began)
+        return min(took), n
+
+    idle, _ = timed(F.when(F.col("text") == "", 1))
+    out = []
+    for rule in rules:
+        took, n = timed(cascade((rule,)))
+        out.append((rule, max(NOISE, took - idle), n / len(rows)))
     return sorted(out, key=lambda x: -x[2] / x[1])
 
 
+def _ordered(docs: DataFrame, rules: tuple[Rule, ...], sample_rows: int) -> tuple[Rule, ...]:
+    return tuple(r for r, _, _ in order_rules(docs, rules, sample_rows))
+
+
 def quality_filter(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = SAMPLE_ROWS, output: str = "rejected_by") -> DataFrame:
-    """All columns of docs and `output`: the first rule of the cascade that rejects the document, null if it is kept.
+    """All columns of docs and `output`: a rule of the cascade that rejects the document, null if it is kept.
 
     A column of docs of that name is replaced.
     """
-    ordered = tuple(r for r, _, _ in order_rules(docs, rules, sample_rows))
-    return docs.withColumn(output, cascade(ordered))
+    return docs.withColumn(output, cascade(_ordered(docs, rules, sample_rows)))
+
+
+def accepted(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+    """docs, all columns, without the documents that a rule rejects."""
+    return docs.filter(cascade(_ordered(docs, rules, sample_rows)).isNull())
+
+
+#: What op8 returns of every document.
+RETURNED = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
 def op8_quality_rules(spark, sf_dir):
-    """All metrics are returned, so none can be skipped; the cascade's order decides which rule's verdict is read first."""
     docs = table(spark, sf_dir, "documents")
-    ordered = [r for r, _, _ in order_rules(docs)]
-    df = quality_metrics(docs)
-    rejected = F.coalesce(*(F.when(r.rejects(F.col), F.lit(r.name)) for r in ordered))
+    df = docs.select("doc_id", judged(_ordered(docs, RULES, SAMPLE_ROWS), RETURNED).alias("m")).select("doc_id", "m.*")
     base = F.lit(False)
     for r in RULES:
         if r.name in BASE:
             base = base | r.rejects(F.col)
-    return df.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), rejected.isNull().alias("kept")
-    )
+    return df.select("doc_id", *RETURNED, base.alias("base_failed"), F.col("rejected_by").isNull().alias("kept"))
 
 
 QUERIES = {"op8_quality_rules": op8_quality_rules}

@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -78,6 +79,67 @@ def test_quality_order_changes_no_verdict(docs):
     assert len(quality.order_rules(df.limit(0))) == len(quality.RULES)
 
 
+def test_quality_short_circuits_and_its_query_goes_through_the_cascade(spark, docs, tmp_path):
+    rng = random.Random(14)
+    prose = " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 9))) for _ in range(80))
+    reached = quality.Rule("reached", lambda m: F.raise_error(F.lit("reached")).isNotNull())
+    few = quality.RULES[0]
+    # A document that a rule rejects is not looked at by the next one; a document that none rejects is.
+    verdict = lambda text: docs([(1, text)]).select(quality.judged((few, reached), quality.RETURNED).alias("m")).first()["m"]["rejected_by"]
+    assert verdict("too short") == "few_words"
+    with pytest.raises(Exception, match="reached"):
+        verdict(prose)
+    rows = [(1, prose), (2, prose.upper()), (3, prose + " a b c" * 60), (4, prose.replace(" ", "$ ")), *EDGES]
+    docs(rows).write.parquet(str(tmp_path / "documents.parquet"))
+    got = [tuple(r) for r in quality.op8_quality_rules(spark, str(tmp_path)).collect()]
+    want = []
+    for r in rows:
+        m = metrics(r[1])
+        failed = m[0] < 50 or 100 * m[4] > 50 * m[0]
+        want.append((r[0], *m, failed, not failed and r[0] not in (2, 4)))
+    assert Counter(got) == Counter(want)
+    assert all(t >= quality.NOISE and 0 <= s <= 1 for _, t, s in quality.order_rules(docs(rows)))
+
+
+def test_pii_takes_time_in_proportion_to_the_spans_of_a_text(docs):
+    text = " ".join(f"u{i}@h{i % 7}.com" for i in range(64_000))
+    began = time.perf_counter()
+    r = pii.find_pii(docs([(1, text)])).select("text", F.size("pii").alias("n"), F.element_at("pii", -1).alias("last")).first()
+    assert r["n"] == 64_000 and (r["last"]["start"], r["last"]["end"]) == (text.rindex(" ") + 1, len(text))
+    assert time.perf_counter() - began < 120
+    # Many spans of both sorts in one text: what touches a base span is no candidate of its own.
+    text = " and ".join(f"j{i} [at] foo [dot] com or a{i}@b.com" for i in range(3_000))
+    found = pii.find_pii(docs([(1, text)]))
+    spans = found.first()["pii"]
+    assert sum(x["base"] for x in spans) == 3_000 and all(a["end"] <= b["start"] for a, b in zip(spans, spans[1:]) if a["kind"] == b["kind"])
+    assert pii.redact(found).first()["text"].count("[EMAIL]") == len([x for x in spans if x["kind"] == "email"])
+
+
+def test_running_combinations(spark):
+    from silvan.llm.common import let, running
+
+    rng = random.Random(15)
+    rows = [([rng.randint(-9, 9) for _ in range(n)],) for n in (0, 1, 127, 128, 129, 1000)]
+    df = spark.createDataFrame(rows, "v array<int>")
+    total = let(F.col("v"), lambda v: running(v, F.lit(0), lambda a, x: a + x))
+    most = let(F.col("v"), lambda v: running(v, F.lit(-99), F.greatest))
+    for r in df.select("v", total.alias("t"), most.alias("m")).collect():
+        assert r["t"] == [sum(r["v"][:i]) for i in range(len(r["v"]))] and r["m"] == [max([-99, *r["v"][:i]]) for i in range(len(r["v"]))]
+
+
+def test_pii_against_a_slow_redaction(docs):
+    rng = random.Random(16)
+    texts = ["é" * rng.choice([3, 4090, 4096, 5000]) + "".join(rng.choice(["a@b.cd ", "10.0.0.1", " +49 30 123456 7", "x", "😀 ", "4111 1111 1111 1111", "\n"]) for _ in range(30)) for _ in range(40)]
+    found = pii.find_pii(docs(list(enumerate(texts))))
+    for r, s in zip(found.orderBy("doc_id").collect(), pii.redact(found).orderBy("doc_id").collect(), strict=True):
+        out, at = "", 0
+        for start, end, kind in sorted((x["start"], x["end"], x["kind"]) for x in r["pii"]):
+            if start >= at:
+                out += r["text"][at:start] + f"[{kind.upper()}]"
+            at = max(at, end)
+        assert s["text"] == out + r["text"][at:] and s["n_chars"] == len(s["text"])
+
+
 def test_encoder_gives_the_tokenizers_ids():
     e = packing.encoder(packing.vocabulary_path())
     rng = random.Random(3)
