@@ -184,28 +184,45 @@ def test_separator_scan_against_brute_force(spark):
     assert got == sorted(want)
 
 
-def test_token_files_hold_all_documents(docs):
-    df = docs(EDGES)
-    blocks = token_count.flatten(df, block_tokens=50, docs_per_file=3).cache()
-    assert [x for r in blocks.orderBy("file", "block").collect() for x in r["doc_ids"]].count(4) == 2
+def test_token_files_round_trip(spark, docs, tmp_path):
+    df = docs([*EDGES, (7, "tail")]).coalesce(2)
+    rows = token_count.write_token_files(df, str(tmp_path / "f"), docs_per_file=3).collect()
     e = packing.encoder(packing.vocabulary_path())
-    got = sorted(r["n_tokens"] for r in token_count.count_tokens(blocks.select("file", "block", "ids")).collect())
-    assert got == sorted(len(next(e([r[1]]))) // 4 for r in EDGES)
-
-
-def test_end_mark_inside_of_texts(spark, docs, tmp_path):
-    mark = "<|endoftext|>"
-    texts = ["one", f"a {mark} b", "two words", mark + mark, f"x{' ' * 600}{mark}", None, "three more words"]
-    df = docs(list(enumerate(texts))).coalesce(1)
-    for r in token_count.flatten(df, docs_per_file=4).collect():
-        assert (np.frombuffer(r["ids"], "<u2") == token_count.END).sum() == len(r["doc_ids"])
-    df.write.parquet(str(tmp_path / "documents.parquet"))
-    got = {r["doc_id"]: r["n_tokens"] for r in token_count.op6_token_counts(spark, str(tmp_path)).collect()}
+    assert sorted((r["doc_id"] or -1) for r in rows) == sorted((r[0] or -1) for r in [*EDGES, (7, "tail")])
+    names = {r["file"] for r in rows}
+    raw = {n: np.fromfile(tmp_path / "f" / n, "<u2") for n in names}
+    assert all((raw[n] == token_count.END).sum() == sum(r["file"] == n for r in rows) <= 3 for n in names)
+    # Blocks of few ids: documents go over many of them, and ends fall on their borders.
+    got = token_count.count_token_files(spark, str(tmp_path / "f"), block_tokens=7).collect()
+    assert all(r["closed"] for r in got)
+    assert Counter(r["n_tokens"] for r in got) == Counter(len(next(e([r[1]]))) // 4 for r in [*EDGES, (7, "tail")])
+    (tmp_path / "f" / "odd.ids").write_bytes(b"abc")
+    with pytest.raises(Exception, match="whole number"):
+        token_count.count_token_files(spark, str(tmp_path / "f")).count()
+    with pytest.raises(ValueError):
+        token_count.write_token_files(df, str(tmp_path), end=70_000)
+    with pytest.raises(Exception, match="does not fit"):
+        token_count.write_token_files(docs([(1, "the")]), str(tmp_path / "g"), end=int(np.frombuffer(next(e(["the"])), "<u4")[0])).count()
+
+
+def test_token_counts_by_doc_id(spark, docs, tmp_path):
+    """The query against a plain count: end marks in texts, repeated rows, nulls, a long text, files and blocks of few."""
+    rng, mark = random.Random(17), "<|endoftext|>"
+    texts = ["one", f"a {mark} b", "two words", mark + mark, f"x{' ' * 600}{mark}", None, "", "three more words", "word " * 20_000]
+    texts += [" ".join(rng.choice(["é", "token", mark, "12", "\n"]) for _ in range(rng.randint(0, 30))) for _ in range(60)]
+    rows = list(enumerate(texts)) + [(3, texts[3]), (3, texts[3])]
     e = packing.encoder(packing.vocabulary_path())
-    plain = [e.fast.encode(t or "", disallowed_special=()) for t in texts]
-    assert got == {i: len(ids) for i, ids in enumerate(plain)}
-    assert [np.frombuffer(x, "<u4").tolist() for x in e(texts, special=False)] == plain
+    plain = {i: len(e.fast.encode(t or "", disallowed_special=())) for i, t in enumerate(texts)}
+    want = Counter((i, plain[i]) for i, _ in rows)
+    docs(rows).repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    assert Counter((r["doc_id"], r["n_tokens"]) for r in token_count.op6_token_counts(spark, str(tmp_path)).collect()) == want
+    assert Counter((r["doc_id"], r["n_tokens"]) for r in token_count.document_tokens(docs(rows), docs_per_file=5, block_tokens=11).collect()) == want
+    assert [np.frombuffer(x, "<u4").tolist() for x in e(texts, special=False)] == [e.fast.encode(t or "", disallowed_special=()) for t in texts]
     assert token_count.END in np.frombuffer(next(e([texts[1]])), "<u4")  # packing's ids stay the tokenizer's
+    none = tmp_path / "none"
+    docs([]).write.parquet(str(none / "documents.parquet"))
+    got = token_count.op6_token_counts(spark, str(none))
+    assert got.count() == 0 and got.columns == ["doc_id", "file", "nth", "start", "n_tokens"]
 
 
 def test_language(docs):
