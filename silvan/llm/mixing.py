@@ -13,8 +13,10 @@ The driver holds sources and shards with their sizes, one row each (at most `MAX
 `ROWS_PER_SHARD` rows, or more where that would be more than `MAX_SHARDS` shards), never documents.
 
 Edge cases: a null text or source is a document of 0 words or a source of its own, last in order; documents of 0 words
-take 0; repeated rows are documents of their own; if nothing has words all targets are 0; an empty table gives no rows;
-other columns are ignored by `mix_sources` and kept by `mixed_documents`.
+take 0; a very long text is a document like others, whole or in a run, however many shards' words it has; equal quotients
+go to the first source or shard; repeated rows are documents of their own; if nothing has words all targets are 0; an
+empty table gives no rows; other columns, whatever their names, are ignored by `mix_sources` and kept by
+`mixed_documents`.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from silvan.llm.common import SPACE, SPACE_CHARS, materialise, table, words_of
+from silvan.llm.common import SPACE, SPACE_CHARS, columns_of, materialise, table, words_of
 
 #: Fixed values of the contract.
 WEIGHTS = (5, 2, 1)
@@ -174,24 +176,26 @@ def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     Rows that are equal in doc_id, source and text have a decision each and are told apart by a number within their key.
     """
     key = F.struct(F.col("doc_id"), F.col("source"), F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("check"))
-    plan = mix_sources(docs, **how).groupBy(F.struct("doc_id", "source", "check").alias("__key"))
-    plan = plan.agg(F.sort_array(F.collect_list(F.struct("first", "run", "again", "turns", "size"))).alias("__takes"))
-    nth = F.row_number().over(Window.partitionBy("__key").orderBy(F.lit(0)))
-    df = docs.withColumn("__key", key).withColumn("__nth", nth).join(plan, "__key").withColumn("__take", F.element_at("__takes", F.col("__nth")))
+    plan = mix_sources(docs, **how).groupBy(F.struct("doc_id", "source", "check").alias("key"))
+    plan = plan.agg(F.sort_array(F.collect_list(F.struct("first", "run", "again", "turns", "size"))).alias("takes"))
+    # The row travels as one value, so its columns' names meet none of ours.
+    rows = docs.select(F.struct(*columns_of(docs)).alias("row"), key.alias("key"))
+    nth = F.row_number().over(Window.partitionBy("key").orderBy(F.lit(0)))
+    df = rows.withColumn("nth", nth).join(plan, "key").select("row", F.element_at("takes", F.col("nth")).alias("take"))
+    text, t = F.col("row.text"), F.col("take")
     # Each word with the white space after it.
-    words = F.split(F.regexp_replace("text", f"^{SPACE}", ""), r"(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])")
+    words = F.split(F.regexp_replace(text, f"^{SPACE}", ""), r"(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])")
     cut = lambda start, n: F.rtrim(F.array_join(F.slice(words, (start + 1).cast("int"), n.cast("int")), ""), F.lit(SPACE_CHARS))
-    t = F.col("__take")
-    piece = lambda start, n: F.when(n == t["size"], F.col("text")).otherwise(cut(start, n))
+    piece = lambda start, n: F.when(n == t["size"], text).otherwise(cut(start, n))
     texts = F.concat(
-        F.transform(F.sequence(F.lit(0), t["turns"].cast("int")), lambda i: F.when(i > 0, F.col("text"))),
+        F.transform(F.sequence(F.lit(0), t["turns"].cast("int")), lambda i: F.when(i > 0, text)),
         F.array(F.when(t["run"] > 0, piece(t["first"], t["run"])), F.when(t["again"] > 0, piece(F.lit(0), t["again"]))),
     )
-    out = df.withColumn("__texts", F.array_compact(texts)).drop("text", "__key", "__nth", "__take", "__takes")
-    out = out.select("*", F.explode("__texts").alias("text")).drop("__texts")
+    new = {"text": F.col("text")}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(docs.columns)
+        new["n_chars"] = F.length("text").cast(docs.schema["n_chars"].dataType)
+    out = df.select("row", F.explode(F.array_compact(texts)).alias("text"))
+    return out.select(*(new.get(c, F.col("row")[c]).alias(c) for c in docs.columns))
 
 
 def op4_mixing(spark, sf_dir):

@@ -104,18 +104,36 @@ def test_bounds_keep_what_is_similar():
     assert len(b.survives(x, rng.integers(0, 256, (4000, 160)).astype(np.uint8))[0]) == 0
 
 
-def test_block_comparison_finds_links_between_components(spark):
+def test_block_comparison_finds_links_between_components(spark, monkeypatch):
     rng = np.random.default_rng(2)
     m, n, rows = minhash.Minima(160), 160, []
     base = rng.integers(0, 1 << 62, 200).astype(np.uint64)
+    sets = {}
     for i in range(40):
         s = np.unique(np.concatenate((base[i % 3 :: 1][:190], rng.integers(0, 1 << 62, i % 25).astype(np.uint64))))
-        rows.append((0, i, (m(s) & np.uint32(255)).astype(np.uint8).tobytes(), s.view(np.int64).tolist(), 0.0, i))
-    df = spark.createDataFrame(rows, "g int, id long, sig binary, set array<bigint>, d double, c long")
-    got = [tuple(r) for r in minhash._compare_blocks(df, df, minhash.Bounds.of(0.85, n), n, 85, 1.0, True).collect()]
-    sets = {r[1]: set(r[3]) for r in rows}
-    pairs = [(a, b) for a, b in itertools.combinations(sets, 2) if 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])]
-    assert groups_of(sets, got) == groups_of(sets, pairs) and set(got) <= {(b, a) for a, b in pairs}
+        rows.append((0, i, (m(s) & np.uint32(255)).astype(np.uint8).tobytes(), len(s), 0.0, i))
+        sets[i] = s.view(np.int64).tolist()
+    df = spark.createDataFrame(rows, "g int, id long, sig binary, n long, d double, c long")
+    full = spark.createDataFrame(list(sets.items()), "rep long, set array<bigint>")
+    for size in (16, 256):  # several blocks, and one
+        monkeypatch.setattr(minhash, "LEFT_ROWS", size)
+        monkeypatch.setattr(minhash, "RIGHT_ROWS", size)
+        got = [tuple(r) for r in minhash._compare_blocks(df, df, full, minhash.Bounds.of(0.85, n), n, 85, 1.0, True).collect()]
+        exact = {i: set(s) for i, s in sets.items()}
+        pairs = [(a, b) for a, b in itertools.combinations(exact, 2) if 100 * len(exact[a] & exact[b]) >= 85 * len(exact[a] | exact[b])]
+        assert groups_of(exact, got) == groups_of(exact, pairs) and set(got) <= {(b, a) for a, b in pairs}
+
+
+def test_left_over_members_are_compared_on_full_sets(docs, monkeypatch):
+    """Without rounds every bucket's members go through the blocks: the same links."""
+    rng = random.Random(21)
+    base = [[f"w{rng.randrange(5000)}" for _ in range(100)] for _ in range(3)]
+    rows = [(k, edited(rng, base[k % 3], rng.randint(0, 4))) for k in range(90)]
+    want, _ = brute(rows, 85), monkeypatch.setattr(minhash, "LEFT_ROWS", 8)
+    monkeypatch.setattr(minhash, "RIGHT_ROWS", 16)
+    monkeypatch.setattr(minhash.find_links, "__defaults__", (1,))
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(docs(rows), percent=85).collect()}
+    assert got == want
 
 
 def test_apportionment():
@@ -145,7 +163,7 @@ def test_targets():
 
 def test_mix(docs):
     rng = random.Random(4)
-    rows = [(i, " ".join(f"w{i}_{k}" for k in range(rng.randint(0, 60))), rng.choice(["a", "b", "b", "b", "ç", None])) for i in range(400)] + EDGES[:5]
+    rows = [(i, " ".join(f"w{i}_{k}" for k in range(rng.randint(0, 60))), rng.choice(["a", "b", "b", "b", "ç", None])) for i in range(400)] + EDGES
     df = docs(rows)
     got = mixing.mix_sources(df).collect()
     by = defaultdict(lambda: [0, 0, 0.0])
@@ -294,3 +312,33 @@ def test_pipeline_against_plain_python(spark, docs, tmp_path):
             assert "[EMAIL]" in df.filter("doc_id = 4").first()["text"]
     assert names == ["quality rules", "MinHash near-dedup", "PII", "mixing", "packing"] and df.agg(F.sum("length")).first()[0] > 0
     assert "corpus_pipeline" in sys.modules
+
+
+def test_pipeline_keeps_columns_of_any_name(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(18)
+    prose = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 9))) for _ in range(n))
+    odd = ["__text", "__email", "__b_ip", "__key", "__nth", "__texts", "__take", "__rejected_by", "pii", "rejected_by", "row", "key", "take", "takes", "h", "g", "like", "gone", "a.b", "c`d", "text.x", "id", "size", "m"]
+    twice = prose(80)
+    rows = [(1, twice, "en", "a", 1), (2, twice, "en", "b", 2), (2, twice, "en", "b", 2), (3, prose(90) + " x@y.org", None, None, None), (None, prose(70), "en", "a", 3), (4, None, "en", "a", 0), (5, " ", "en", "a", 1), (6, prose(9000), "en", "b", 9)]
+    full = [(*r, *(f"{c}{r[0]}" for c in odd)) for r in rows]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join("`" + c.replace("`", "``") + "` string" for c in odd)
+    df = spark.createDataFrame(full, schema)
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES[:4]):
+        out = stage(spark, df, str(tmp_path))
+        assert out.columns == df.columns
+        out.write.parquet(str(tmp_path / f"odd{k}"))
+        df = spark.read.parquet(str(tmp_path / f"odd{k}"))
+        assert all(r[c] == f"{c}{r['doc_id']}" for r in df.collect() for c in odd)
+        if k == 1:
+            assert sorted((r["doc_id"] or 0) for r in df.collect()) == [0, 1, 3, 6]
+    assert corpus_pipeline.STAGES[4][1](spark, df, str(tmp_path)).count() > 0
+
+
+def test_pipeline_of_an_empty_table(spark, docs, tmp_path):
+    import corpus_pipeline
+
+    docs([]).write.parquet(str(tmp_path / "documents.parquet"))
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert out.count() == 0 and "sequence_id" in out.columns
