@@ -11,15 +11,20 @@ No bucket is paired off in full. Its smallest member is its head, and only membe
 - by the triangle inequality of the Jaccard distance, only a member whose similarity to the head is 2 * threshold - 1 or
   more can be similar to one that the head holds, and only if their distances to the head differ by no more than
   1 - threshold. Such a member, unless it is in the head's component by then, is compared to those.
-These last comparisons run in blocks of bounded size: what survives on signatures is verified there on the full sets,
-likeliest first, and a pair that is of one component by then is passed over; only verified links leave a block. So all
-links between different components are found, and links within a component only as far as the component needs them.
+These last comparisons run in blocks of bounded size, first on signatures and sizes alone: a pair of blocks names those of
+its members that have a pair left. Only these get their full sets, in the same pairs of blocks, and are verified there,
+likeliest first; a pair that is of one component by then is passed over, and only verified links leave a block. So all
+links between different components are found, and links within a component only as far as the component needs them; what
+is shipped is signatures, sets of survivors and links, never pairs. `HEAD_ROUNDS` and the block sizes say how the work is
+dealt, not what is found.
 
 Edge cases: a document with fewer words than a shingle has its whole sequence as its only shingle; without words, or with
 a null text, its set is empty and it is linked with nothing; repeated rows have equal sets; a class has a number of its
 own, so rows with the same doc_id or none are judged by their texts; doc_id only says which row of a group is chosen: the
 one with the smallest, null last, and of several texts with that doc_id the one whose hash is smallest; a group without
-any doc_id has a null component_id; an empty table gives no rows; other columns are ignored.
+any doc_id has a null component_id, and kept still says which of its rows stays; very long texts are read whole, and their
+sets only make blocks smaller; a similarity of exactly the threshold links; an empty table gives no rows; other columns,
+whatever their names, are ignored by `near_duplicates` and kept by `drop_near_duplicates`.
 """
 
 from __future__ import annotations
@@ -35,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from silvan.llm.common import materialise, table
+from silvan.llm.common import columns_of, materialise, scratch, table
 from silvan.llm.components import connected_components
 
 BANDS, ROWS, BATCH = 32, 5, 32
@@ -195,51 +200,74 @@ def shared_size(a: np.ndarray, b: np.ndarray) -> int:
     return int((both[1:] == both[:-1]).sum())
 
 
-def _compare_blocks(left: DataFrame, right: DataFrame, bounds: Bounds, n: int, percent: int, slack: float, same: bool) -> DataFrame:
+def _compare_blocks(left: DataFrame, right: DataFrame, sets: DataFrame, bounds: Bounds, n: int, percent: int, slack: float, same: bool) -> DataFrame:
     """Verified links (x, y) of left and right within each g between different components, whose d differ by slack at most.
 
-    Both are tables (g, id, sig, set, d, c), c the component so far. Both sides of a g are cut into blocks by hash, and a
-    block meets every block of the other side, so a task's rows are bounded for any size of g. same: both are one table.
+    Both are tables (g, id, sig, n, d, c), n the size of the set, c the component so far; sets: rep, set. Both sides of a g
+    are cut into blocks by hash, and a block meets every block of the other side, so a task's rows are bounded for any size
+    of g. same: both are one table.
     """
 
     def sizes(df: DataFrame, rows: int, numbers: int, name: str) -> DataFrame:
-        return df.groupBy("g").agg(F.greatest(F.ceil(F.count("*") / rows), F.ceil(F.sum(F.size("set")) / numbers)).cast("long").alias(name))
+        return df.groupBy("g").agg(F.greatest(F.ceil(F.count("*") / rows), F.ceil(F.sum("n") / numbers)).cast("long").alias(name))
 
     counts = sizes(left, LEFT_ROWS, LEFT_SETS, "nl").join(sizes(right, RIGHT_ROWS, RIGHT_SETS, "nr"), "g")
     place = lambda count: F.pmod(F.xxhash64("id", F.lit(SEED)), F.col(count))
     each = lambda count: F.explode(F.sequence(F.lit(0).cast("long"), F.col(count) - 1))
-    payload = ("id", "sig", "set", "d", "c")
+    key, payload = ("g", "lb", "rb"), ("id", "sig", "n", "d", "c")
+    apart = lambda df, more: df.select(*(F.col(c).alias(f"{c}_") for c in (*key, *payload, *more)))  # noqa: E731, columns of its own: both may come from one table
     left = left.join(counts, "g").select("g", place("nl").alias("lb"), each("nr").alias("rb"), *payload)
     right = right.join(counts, "g").select("g", each("nl").alias("lb"), place("nr").alias("rb"), *payload)
-    right = right.select(*(F.col(c).alias(f"{c}_") for c in ("g", "lb", "rb", *payload)))  # columns of its own: both may come from one table
-    kind = left.schema["id"].dataType.simpleString()
+    kinds = {c: left.schema[c].dataType.simpleString() for c in ("g", "id")}
+
+    def candidates(a: pd.DataFrame, b: pd.DataFrame) -> Iterator[tuple[int, np.ndarray]]:
+        """Each row of a with the rows of b that it may be linked with, likeliest first."""
+        ids, far, owner, size = b["id_"].to_numpy(), b["d_"].to_numpy(), b["c_"].to_numpy(), b["n_"].to_numpy()
+        other = np.frombuffer(b"".join(b["sig_"]), np.uint8).reshape(-1, n)
+        for row, (x, sig, mine, d, c) in enumerate(zip(a["id"], a["sig"], a["n"], a["d"], a["c"], strict=True)):
+            near = 100 * np.minimum(size, mine) >= percent * np.maximum(size, mine)
+            rows = np.flatnonzero(near & (np.abs(far - d) <= slack) & (owner != c) & ((ids < x) if same else (ids != x)))
+            alive, matches = bounds.survives(np.broadcast_to(np.frombuffer(sig, np.uint8), (len(rows), n)), other[rows])
+            if len(alive):
+                yield row, rows[alive[np.argsort(-matches, kind="stable")]]
+
+    def survivors(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        mine, others = [], np.zeros(len(b), bool)
+        if len(a) and len(b):
+            for row, rows in candidates(a, b):
+                mine.append(row)
+                others[rows] = True
+        kept = [(side, *k, i) for side, df, rows, names in ((0, a, mine, (*key, "id")), (1, b, np.flatnonzero(others), tuple(f"{c}_" for c in (*key, "id")))) for *k, i in df.iloc[rows][list(names)].itertuples(index=False)]
+        return pd.DataFrame(kept, columns=["side", *key, "id"])
 
-    def compare(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+    def verify(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         out: list[tuple] = []
         if len(a) and len(b):
-            ids, far, owner = b["id_"].to_numpy(), b["d_"].to_numpy(), b["c_"].to_numpy()
-            other, sets = np.frombuffer(b"".join(b["sig_"]), np.uint8).reshape(-1, n), b["set_"].to_numpy()
-            joined: dict = {}
+            ids, owner, sets, joined = b["id_"].to_numpy(), b["c_"].to_numpy(), b["set_"].to_numpy(), {}
 
             def root(c):
                 while c in joined:
                     c = joined[c]
                 return c
 
-            for x, sig, mine, d, c in zip(a["id"], a["sig"], a["set"], a["d"], a["c"], strict=True):
-                rows = np.flatnonzero((np.abs(far - d) <= slack) & (owner != c) & ((ids < x) if same else (ids != x)))
-                alive, matches = bounds.survives(np.broadcast_to(np.frombuffer(sig, np.uint8), (len(rows), n)), other[rows])
-                for k in rows[alive[np.argsort(-matches, kind="stable")]]:
-                    p, q = len(mine), len(sets[k])
-                    if root(c) == root(owner[k]) or 100 * min(p, q) < percent * max(p, q):
+            held = list(zip(a["id"], a["set"], a["c"], strict=True))
+            for row, rows in candidates(a, b):
+                x, mine, c = held[row]
+                for k in rows:
+                    if root(c) == root(owner[k]):
                         continue
                     shared = shared_size(mine, sets[k])
-                    if 100 * shared >= percent * (p + q - shared):
+                    if 100 * shared >= percent * (len(mine) + len(sets[k]) - shared):
                         out.append((x, ids[k]))
                         joined[root(c)] = root(owner[k])
         return pd.DataFrame(out, columns=["x", "y"])
 
-    return left.groupBy("g", "lb", "rb").cogroup(right.groupBy("g_", "lb_", "rb_")).applyInPandas(compare, f"x {kind}, y {kind}")
+    both = left.groupBy(*key).cogroup(apart(right, ()).groupBy(*(f"{c}_" for c in key)))
+    found = materialise(both.applyInPandas(survivors, f"side int, g {kinds['g']}, lb long, rb long, id {kinds['id']}"), "survivors")
+    held = sets.withColumnRenamed("rep", "id")
+    side = lambda df, which: df.join(found.filter(F.col("side") == which).drop("side"), [*key, "id"], "left_semi").join(held, "id")
+    last = apart(side(right, 1), ("set",))
+    return side(left, 0).groupBy(*key).cogroup(last.groupBy(*(f"{c}_" for c in key))).applyInPandas(verify, f"x {kinds['id']}, y {kinds['id']}")
 
 
 def _several(members: DataFrame, found: DataFrame | None) -> DataFrame:
@@ -278,7 +306,6 @@ def find_links(docs: DataFrame, classes: DataFrame, words: int, percent: int, n:
     t = percent / 100
     at, near_at = Bounds.of(t, n, BATCH, miss), Bounds.of(max(0.0, 2 * t - 1), n, BATCH, miss)
     similar, near_similar = F.expr(f"100 * shared >= {percent} * whole"), F.expr(f"100 * shared >= {2 * percent - 100} * whole")
-    sigs = classes.select(F.col("rep").alias("id"), "sig")
     active = materialise(_several(classes.select(F.col("rep").alias("x"), F.explode("keys").alias("key")), None), "buckets")
     sets = full_sets(docs, active.select(F.col("x").alias("rep")).distinct(), classes, words)
     sets = materialise(sets.dropDuplicates(["rep"]), "sets")
@@ -295,15 +322,15 @@ def find_links(docs: DataFrame, classes: DataFrame, words: int, percent: int, n:
     judged_all = _union(judged).distinct()
     links = [judged_all.filter(similar).select("x", "y")]
     found = materialise(connected_components(links[0], "x", "y"), "found").withColumnRenamed("component", "c")
-    payload = classes.select(F.col("rep").alias("id"), "sig").join(sets.withColumnRenamed("rep", "id"), "id")
+    payload = classes.select(F.col("rep").alias("id"), "sig", "n")
 
     def with_payload(df: DataFrame) -> DataFrame:
-        return df.join(payload, "id").join(found, "id", "left").select("g", "id", "sig", "set", "d", F.coalesce("c", "id").alias("c"))
+        return df.join(payload, "id").join(found, "id", "left").select("g", "id", "sig", "n", "d", F.coalesce("c", "id").alias("c"))
 
     if not active.isEmpty():
         rest = _several(active, found.withColumnRenamed("c", "component"))
         rest = with_payload(rest.select(F.col("key").alias("g"), F.col("x").alias("id"), F.lit(0.0).alias("d")))
-        links.append(materialise(_compare_blocks(rest, rest, at, n, percent, 1.0, True), "rest"))
+        links.append(materialise(_compare_blocks(rest, rest, sets, at, n, percent, 1.0, True), "rest"))
         found = materialise(connected_components(_union(links), "x", "y"), "found").withColumnRenamed("component", "c")
     distance = (1 - F.col("shared") / F.col("whole")).alias("d")
     near = judged_all.filter(near_similar & ~similar).select(F.col("x").alias("id"), F.col("y").alias("g"), distance)
@@ -313,7 +340,7 @@ def find_links(docs: DataFrame, classes: DataFrame, words: int, percent: int, n:
         held = judged_all.filter(similar).select(F.col("y").alias("g"), F.col("x").alias("id"), distance)
         held = held.join(near.select("g").distinct(), "g", "left_semi")
         # Equal distances must not differ by a rounding error.
-        links.append(materialise(_compare_blocks(with_payload(near), with_payload(held), at, n, percent, 1 - t + 1e-9, False), "held"))
+        links.append(materialise(_compare_blocks(with_payload(near), with_payload(held), sets, at, n, percent, 1 - t + 1e-9, False), "held"))
     return _union(links)
 
 
@@ -329,25 +356,27 @@ def _grouped(docs: DataFrame, percent: int, words: int, bands: int, rows: int, m
     docs = docs.select("doc_id", "text")
     signed = materialise(signatures(docs, words, bands, rows).withColumn("row", F.monotonically_increasing_id()), "signatures")
     least = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "h", "row")).alias("least")
-    classes = signed.filter("n > 0").groupBy("fp").agg(least, F.first("keys").alias("keys"), F.first("sig").alias("sig"))
+    classes = signed.filter("n > 0").groupBy("fp").agg(least, F.first("keys").alias("keys"), F.first("sig").alias("sig"), F.first("n").alias("n"))
     # Numbers of classes in the order of their chosen rows: the smallest of a component is that of the component's.
-    classes = classes.orderBy("least").select(F.monotonically_increasing_id().alias("rep"), "fp", "least.doc_id", "least.h", "least.row", "keys", "sig")
+    classes = classes.orderBy("least").select(F.monotonically_increasing_id().alias("rep"), "fp", "least.doc_id", "least.h", "least.row", "keys", "sig", "n")
     classes = materialise(classes, "classes")
     links = find_links(docs, classes, words, percent, bands * rows, miss)
     found = connected_components(links, "x", "y").withColumnRenamed("id", "rep")
     first = F.struct("doc_id", "h", "row").alias("first")
     found = found.join(classes.select(F.col("rep").alias("component"), first), "component").select("rep", F.col("first").alias("above"))
     owner = classes.select("fp", "rep", first).join(found, "rep", "left").select("fp", F.coalesce("above", "first").alias("first"))
-    own = signed.select("doc_id", "h", "n", "row", "fp").join(owner, "fp", "left")
-    alone = F.col("first").isNull()
-    like = alone | (F.col("h") == F.col("first.h")) & F.col("doc_id").eqNullSafe(F.col("first.doc_id"))
-    kept = alone | (F.col("row") == F.col("first.row"))
-    return own.select("doc_id", "h", F.col("n").alias("n_shingles"), F.when(alone, F.col("doc_id")).otherwise(F.col("first.doc_id")).alias("component_id"), like.alias("like"), kept.alias("kept"))
+    own = signed.filter("n > 0").select("doc_id", "h", "n", "row", "fp").join(owner, "fp")
+    like = (F.col("h") == F.col("first.h")) & F.col("doc_id").eqNullSafe(F.col("first.doc_id"))
+    own = own.select("doc_id", "h", F.col("n").alias("n_shingles"), F.col("first.doc_id").alias("component_id"), like.alias("like"), (F.col("row") == F.col("first.row")).alias("kept"))
+    # Empty sets, which may be many, meet nobody.
+    none = signed.filter("n = 0").select("doc_id", "h", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(True).alias("like"), F.lit(True).alias("kept"))
+    return own.unionByName(none)
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80, words: int = 5, bands: int = BANDS, rows: int = ROWS, miss: float = MISS) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (the smallest doc_id of its group), kept (one row of each group). percent: the least similarity."""
-    return _grouped(docs, percent, words, bands, rows, miss).select("doc_id", "n_shingles", "component_id", "kept")
+    with scratch(docs.sparkSession) as keep:
+        return keep(_grouped(docs, percent, words, bands, rows, miss).select("doc_id", "n_shingles", "component_id", "kept"), "groups")
 
 
 def drop_near_duplicates(docs: DataFrame, percent: int = 80, words: int = 5) -> DataFrame:
@@ -355,16 +384,18 @@ def drop_near_duplicates(docs: DataFrame, percent: int = 80, words: int = 5) ->
 
     Of exact copies of that one, the one with the smallest other columns stays; a document without words stays as it is.
     """
-    found = materialise(_grouped(docs, percent, words, BANDS, ROWS, MISS).filter("not kept").select(F.col("doc_id").alias("__id"), F.col("h").alias("__g"), "like"), "duplicates")
-    key = (F.col("__h") == F.col("__g")) & F.col("doc_id").eqNullSafe(F.col("__id"))
-    out = _hashed(docs).join(found.filter("not like").select("__id", "__g").distinct(), key, "left_anti")
-    copied = found.filter("like").select("__id", "__g").distinct()
+    row = F.struct(*columns_of(docs)).alias("row")
+    rows = docs.select(row, F.col("doc_id").alias("id"), F.xxhash64("doc_id", "text").alias("h"))
+    with scratch(docs.sparkSession) as keep:
+        found = keep(_grouped(docs, percent, words, BANDS, ROWS, MISS).filter("not kept").select(F.col("doc_id").alias("gone"), F.col("h").alias("g"), "like"), "duplicates")
+    key = (F.col("h") == F.col("g")) & F.col("id").eqNullSafe(F.col("gone"))
+    out = rows.join(found.filter("not like").select("gone", "g").distinct(), key, "left_anti")
+    copied = found.filter("like").select("gone", "g").distinct()
     if copied.isEmpty():
-        return out.select(docs.columns)
-    once = out.join(copied, key, "left_semi")
-    by = F.struct(*(f.name for f in docs.schema if not re.search("map<|variant", f.dataType.simpleString())))
-    once = once.groupBy("__h", "doc_id").agg(F.min_by(F.struct(*docs.columns), by).alias("one")).select("one.*")
-    return out.join(copied, key, "left_anti").select(docs.columns).unionByName(once.select(docs.columns))
+        return out.select("row.*")
+    by = F.struct(*(F.col("row")[f.name] for f in docs.schema if not re.search("map<|variant", f.dataType.simpleString())))
+    once = out.join(copied, key, "left_semi").groupBy("h", "id").agg(F.min_by("row", by).alias("row"))
+    return out.join(copied, key, "left_anti").select("row.*").unionByName(once.select("row.*"))
 
 
 def op3_minhash_dedup(spark, sf_dir):
