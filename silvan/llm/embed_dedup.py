@@ -2,17 +2,23 @@
 
 Vectors are scaled to unit length and rotated to the principal axes of a bounded sample (at most `SAMPLE` vectors; the
 rotation decides how much is pruned, never what is found). A tree of splits along the leading axes cuts the space into
-at most `MAX_TILES` tiles; two tiles whose boxes are farther apart than the threshold allows never meet. Large tiles are
-dealt into blocks, and each pair of blocks is one task of bounded size. There, the leading axes' products come first;
-what the other axes can add is at most the product of the two suffix norms, so a pair stops as soon as its cosine cannot
-reach the threshold. What is left is computed in double precision on the vectors as given.
+tiles, as many as there are blocks of `BLOCK_BYTES`, at least `LEAST_TILES` and at most `MAX_TILES` (the driver holds their
+pairs); two tiles whose boxes are farther apart than the threshold allows never meet. Larger tiles are dealt into blocks,
+and each pair of blocks is one task of bounded size. There, the leading axes' products come first; what the other axes can
+add is at most the product of the two suffix norms, so a pair stops as soon as its cosine cannot reach the threshold. What
+is left is computed in double precision on the vectors as given.
+
+A vector is shipped once for each block that its own may meet. Where boxes keep nothing apart, that is the number of all
+blocks, which stays at `LEAST_TILES` until blocks are full and then grows with the input, as the comparisons do.
 
 Equal vectors form a class of which one takes part, with its number of copies. A task gives each vector's number of
 links and a spanning forest of its links, never the links themselves, so dense groups make no more rows than vectors.
 
 Edge cases: a vector that is null, empty or zero, or holds a null or non-finite component, links with nothing, and so does
-a row whose id is null; vectors of different lengths do not link; repeated rows count as vectors; an empty table gives
-no rows; other columns are ignored.
+a row whose id is null (op10 keeps it); vectors of different lengths do not link, and more than `MAX_DIMS` different
+lengths are an error; a cosine of exactly the threshold, as doubles give it, links; of equal ids the smallest component is
+still the smallest id reached; long vectors make blocks of fewer rows; repeated rows count as vectors; an empty table
+gives no rows; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -23,14 +29,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from silvan.llm.common import materialise, table
+from silvan.llm.common import materialise, quoted, scratch, table
 from silvan.llm.components import connected_components
 
 SAMPLE = 4_096
-MAX_TILES = 256
-BLOCK = 4_096
+LEAST_TILES, MAX_TILES = 8, 1_024
+#: A block's vectors in double precision, and its rows at least where vectors are long.
+BLOCK_BYTES, LEAST_ROWS = 1 << 24, 4_096
+#: Different lengths of vectors, each of which is a pass of its own.
+MAX_DIMS = 64
 #: Leading axes that the tiles' boxes have.
-BOX_AXES = 8
+BOX_AXES = 16
 #: Share of the sample's pairs that may be left after the first comparison; it takes as many leading axes as that needs.
 LEFT = 0.01
 #: Rows of the left block compared at once, and pairs completed at once.
@@ -63,6 +72,10 @@ def leading(rotated: np.ndarray, threshold: float) -> tuple[int, int]:
     return d, d
 
 
+def block_rows(dim: int) -> int:
+    return max(LEAST_ROWS, BLOCK_BYTES // (8 * dim))
+
+
 class Tiles:
     """Boxes of the leading axes from median splits of the sample along its widest axis."""
 
@@ -158,10 +171,10 @@ def _cosine(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.einsum("ij,ij->i", x, y) / (np.sqrt(np.einsum("ij,ij->i", x, x)) * np.sqrt(np.einsum("ij,ij->i", y, y)))
 
 
-def _compare(classes: DataFrame, tiles: Tiles, axes: np.ndarray, threshold: float, width: int, leads: tuple[int, int]) -> DataFrame:
+def _compare(classes: DataFrame, tiles: Tiles, axes: np.ndarray, threshold: float, width: int, leads: tuple[int, int], rows: int) -> DataFrame:
     """id, links, root for each class and pair of blocks in which it has links. classes: id, copies, tile, vec (binary)."""
     spark = classes.sparkSession
-    blocks = {r["tile"]: -(-r["count"] // BLOCK) for r in classes.groupBy("tile").count().collect()}
+    blocks = {r["tile"]: -(-r["count"] // rows) for r in classes.groupBy("tile").count().collect()}
     met = [(i, j, blocks[i], blocks[j]) for i, j in tiles.pairs(threshold) if i in blocks and j in blocks]
     columns = zip(*met, strict=True) if met else ((), (), (), ())
     met_table = spark.createDataFrame(pa.table({n: pa.array(c, pa.int64()) for n, c in zip(("i", "j", "ni", "nj"), columns, strict=True)}))
@@ -200,19 +213,26 @@ def _compare(classes: DataFrame, tiles: Tiles, axes: np.ndarray, threshold: floa
 
 def near_vectors(vectors: DataFrame, threshold: float = 0.9, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """One row per row of vectors: the id, n_links, component_id (the smallest id that its links reach)."""
+    with scratch(vectors.sparkSession) as keep:
+        return keep(_near(vectors, threshold, id_col, vec_col), "near-vectors")
+
+
+def _near(vectors: DataFrame, threshold: float, id_col: str, vec_col: str) -> DataFrame:
     kind = vectors.schema[id_col].dataType.simpleString()
     width = 4 if vectors.schema[vec_col].dataType.elementType.simpleString() == "float" else 8
     dtype = "<f4" if width == 4 else "<f8"
     v = F.col("v")
     finite = lambda c: F.coalesce(~F.isnan(c) & (F.abs(c) < F.lit(float("inf"))), F.lit(False))
     usable = F.col("id").isNotNull() & v.isNotNull() & F.forall(v, finite) & F.exists(v, lambda c: c != 0)
-    rows = vectors.select(F.col(id_col).alias("id"), F.col(vec_col).alias("v")).select(
-        "id", F.when(F.coalesce(usable, F.lit(False)), v if width == 4 else v.cast("array<double>")).alias("v")
-    )
-    rows = rows.withColumns({"k1": F.when(F.col("v").isNotNull(), F.xxhash64(F.lit(1), "v")), "k2": F.when(F.col("v").isNotNull(), F.xxhash64(F.lit(2), "v"))})
-    classes = rows.filter("v is not null").groupBy("k1", "k2").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.first("v").alias("v"))
+    rows = vectors.select(F.col(quoted(id_col)).alias("id"), F.col(quoted(vec_col)).alias("v"))
+    rows = rows.select("id", F.when(F.coalesce(usable, F.lit(False)), v if width == 4 else v.cast("array<double>")).alias("v"))
+    alone = rows.filter("v is null").select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
+    rows = rows.filter("v is not null").withColumns({"k1": F.xxhash64(F.lit(1), "v"), "k2": F.xxhash64(F.lit(2), "v")})
+    classes = rows.groupBy("k1", "k2").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.first("v").alias("v"))
     classes = materialise(classes.withColumn("dim", F.size("v")), "vector-classes")
-    dims = {r["dim"]: r["count"] for r in classes.groupBy("dim").count().collect()}
+    dims = {r["dim"]: r["count"] for r in classes.groupBy("dim").count().limit(MAX_DIMS + 1).collect()}
+    if len(dims) > MAX_DIMS:
+        raise ValueError(f"vectors of more than {MAX_DIMS} lengths")
     found = None
     for dim, n in sorted(dims.items()):
         own = classes.filter(F.col("dim") == dim)
@@ -220,7 +240,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9, id_col: str = "vec_
         sampled = own.filter(F.pmod(F.xxhash64("id", F.lit(9)), F.lit(spread)) < min(spread, SAMPLE * spread // n + 1)).select("v").limit(2 * SAMPLE).collect()
         sample = unit(np.array([r["v"] for r in sampled] or [[1.0] * dim], np.float64))
         axes = principal_axes(sample)
-        tiles = Tiles(sample @ axes, min(MAX_TILES, -(-n // BLOCK)))
+        tiles = Tiles(sample @ axes, min(MAX_TILES, max(LEAST_TILES, -(-n // block_rows(dim)))))
 
         def place(batches, axes=axes, tiles=tiles, dim=dim):
             for batch in batches:
@@ -231,22 +251,22 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9, id_col: str = "vec_
                     yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("copies"), pa.array(tile), pa.array(raw, pa.binary())], ["id", "copies", "tile", "vec"])
 
         placed = materialise(own.select("id", "copies", "v").mapInArrow(place, f"id {kind}, copies long, tile long, vec binary"), "tiles")
-        part = _compare(placed, tiles, axes, threshold, width, leading(sample @ axes, threshold))
+        part = _compare(placed, tiles, axes, threshold, width, leading(sample @ axes, threshold), block_rows(dim))
         found = part if found is None else found.unionByName(part)
     if found is None:
-        return rows.select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
+        return alone
     found = materialise(found, "vector-links")
     sums = found.groupBy("id").agg(F.sum("links").alias("links"))
     roots = connected_components(found, "id", "root").withColumnRenamed("component", "root")
     owner = classes.select("k1", "k2", "id", "copies").join(sums, "id", "left").join(roots, "id", "left")
     owner = owner.select("k1", "k2", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("root", "id").alias("component_id"))
-    out = rows.select("id", "k1", "k2").join(owner, ["k1", "k2"], "left")
-    return out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.coalesce("component_id", "id").alias("component_id"))
+    out = rows.select("id", "k1", "k2").join(owner, ["k1", "k2"])
+    return out.select(F.col("id").alias(id_col), "n_links", "component_id").unionByName(alone)
 
 
 def op10_embedding_dedup(spark, sf_dir):
     found = near_vectors(table(spark, sf_dir, "embeddings"), 0.9)
-    return found.withColumn("kept", F.col("vec_id") == F.col("component_id"))
+    return found.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
 
 
 QUERIES = {"op10_embedding_dedup": op10_embedding_dedup}
