@@ -3,22 +3,26 @@
 Documents with equal texts form a group. Groups are scheduled by size, largest first, each to the least loaded shard,
 which a heap gives. The driver must not hold all groups, so what it schedules is bounded: every group above
 1 / (`n_shards` * `BIG_PER_SHARD`) of all bytes is an item of its own (there are at most `n_shards` * `BIG_PER_SHARD`),
-all other groups fall by their hash into `CHUNKS` chunks and are scheduled by chunk. No group is split.
-
-Edge cases: null texts count as 0 bytes and form one group; empty texts form another; repeated rows are kept, each with
-a slot of its own; an empty table gives no rows; other columns of the input are ignored, so their names cannot clash.
+all other groups fall by their hash into `CHUNKS` chunks and are scheduled by chunk. No group is split. At every size the
+same rule holds; chunks only keep what the driver sorts from growing.
+
+Edge cases: null texts count as 0 bytes and form one group; empty texts form another; a very long text is a big group of
+its own, and one longer than a shard's share makes its shard the largest; groups of equal size go by their hash, shards of
+equal load by number; repeated rows are kept, each with a slot of its own; an empty table gives no rows; other columns,
+whatever their names, are ignored by `shard_documents` and kept by `write_shards`, but for one named shard, which is
+replaced.
 """
 
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from silvan.llm.common import materialise, table
+from silvan.llm.common import columns_of, materialise, scratch, table
 
 CHUNKS = 16_384
 BIG_PER_SHARD = 64
@@ -48,8 +52,9 @@ def _keyed(docs: DataFrame) -> DataFrame:
     )
 
 
-def plan_shards(keyed: DataFrame, n_shards: int) -> DataFrame:
-    """keyed with its shard. Two broadcast tables: at most n_shards * BIG_PER_SHARD big groups and CHUNKS chunks."""
+def plan_shards(keyed: DataFrame, n_shards: int) -> Callable[[DataFrame], DataFrame]:
+    """A function that adds the shard to rows with a key. It joins two broadcast tables: at most n_shards * BIG_PER_SHARD big
+    groups and CHUNKS chunks, so a group of any size stays where its rows are."""
     spark = keyed.sparkSession
     groups = keyed.groupBy("key").agg(F.sum("size").alias("bytes"))
     total = keyed.agg(F.sum("size")).first()[0] or 0
@@ -61,24 +66,18 @@ def plan_shards(keyed: DataFrame, n_shards: int) -> DataFrame:
         .collect()
     )
     placed = lpt([(x["bytes"], (x["alone"], x["item"])) for x in items], n_shards)
-    small, large = (
-        spark.createDataFrame(
-            pa.table(
-                {
-                    "item": pa.array([k for (alone, k) in placed if alone == which], pa.int64()),
-                    f"shard_{which}": pa.array([s for (alone, _), s in placed.items() if alone == which], pa.int32()),
-                }
-            )
-        )
-        for which in (False, True)
-    )
-    return (
-        keyed.withColumn("chunk", F.pmod("key", F.lit(CHUNKS)))
-        .join(F.broadcast(large.withColumnRenamed("item", "key")), "key", "left")
-        .join(F.broadcast(small.withColumnRenamed("item", "chunk")), "chunk", "left")
-        .withColumn("shard", F.coalesce("shard_True", "shard_False"))
-        .drop("shard_True", "shard_False", "chunk")
-    )
+
+    def half(which: bool, key: str, shard: str) -> DataFrame:
+        mine = [(k, s) for (alone, k), s in placed.items() if alone == which]
+        return F.broadcast(spark.createDataFrame(pa.table({key: pa.array([k for k, _ in mine], pa.int64()), shard: pa.array([s for _, s in mine], pa.int32())})))
+
+    large, small = half(True, "key", "shard_large"), half(False, "chunk", "shard_small")
+
+    def attach(df: DataFrame) -> DataFrame:
+        df = df.withColumn("chunk", F.pmod("key", F.lit(CHUNKS))).join(large, "key", "left").join(small, "chunk", "left")
+        return df.withColumn("shard", F.coalesce("shard_large", "shard_small")).drop("shard_large", "shard_small", "chunk")
+
+    return attach
 
 
 def shard_documents(docs: DataFrame, n_shards: int = 16) -> DataFrame:
@@ -87,7 +86,8 @@ def shard_documents(docs: DataFrame, n_shards: int = 16) -> DataFrame:
     Slots are numbered in cells of a shard (by hash of the document) whose number grows with the input, and the cells'
     counts are summed up, so no task numbers a whole shard.
     """
-    placed = plan_shards(materialise(_keyed(docs), "shard-keys"), n_shards)
+    keyed = materialise(_keyed(docs), "shard-keys")
+    placed = plan_shards(keyed, n_shards)(keyed)
     rows = placed.count()
     cells = max(64, -(-rows // (n_shards * ROWS_PER_CELL)))
     placed = placed.withColumn("cell", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(cells)))
@@ -103,12 +103,12 @@ def shard_documents(docs: DataFrame, n_shards: int = 16) -> DataFrame:
 
 def write_shards(docs: DataFrame, path: str, n_shards: int = 16, files_per_shard: int = 1) -> None:
     """Writes whole documents, all columns, as Parquet under path/shard=N."""
-    keyed = _keyed(docs)
-    shards = plan_shards(keyed, n_shards).select("key", "shard").distinct()
-    key = F.xxhash64(F.col("text"), F.col("text").isNull())
-    out = docs.drop("shard").withColumn("__key", key).join(shards.withColumnRenamed("key", "__key"), "__key").drop("__key")
-    salt = F.pmod(F.xxhash64("doc_id"), F.lit(files_per_shard))
-    out.repartition(n_shards * files_per_shard, "shard", salt).write.partitionBy("shard").parquet(path)
+    docs = docs.drop("shard")
+    with scratch(docs.sparkSession):
+        attach = plan_shards(materialise(_keyed(docs), "shard-keys"), n_shards)
+    rows = docs.select(F.struct(*columns_of(docs)).alias("row"), F.xxhash64(F.col("text"), F.col("text").isNull()).alias("key"))
+    salt = F.pmod(F.xxhash64("row.doc_id"), F.lit(files_per_shard))
+    attach(rows).repartition(n_shards * files_per_shard, "shard", salt).select("row.*", "shard").write.partitionBy("shard").parquet(path)
 
 
 def op7_sharding(spark, sf_dir):
