@@ -4,8 +4,13 @@ Rules come first: a rule fits its host and all subdomains if the path starts wit
 that fits decides. All other URLs get the classifier's verdict. The classifier is trained on the driver from a small
 labelled table (at most `MAX_LABELLED` rows are accepted) and is `2 ** BITS` weights, so what tasks receive is fixed.
 
+Up to `MAX_RULES` rules are one expression. A longer list, or one given as a table (`match_rules`), is joined on the
+suffixes of the host, of which a host has as many as labels; both ways give the same rule.
+
 Edge cases: a null URL, or one without `://`, has an empty host and path, fits no rule and gets the classifier's verdict
-on no features, its bias; repeated rows are judged alike; an empty table gives no rows; other columns are ignored.
+on no features, its bias; a score of exactly the threshold blocks; of rules of equal length that both fit the first by text
+wins, and of one rule given twice with different verdicts block; very long URLs are read whole; repeated rows are judged
+alike, each by itself; an empty table gives no rows; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -19,34 +24,44 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from silvan.llm.common import ascii_lower, table
+from silvan.llm.common import ascii_lower, materialise, table
 
 BITS = 15
 ORDERS = (3, 4, 5)
 MAX_LABELLED = 10_000
-#: Rules are tried as one expression; a longer list belongs in a join.
+#: Rules that are tried as one expression; a longer list is joined.
 MAX_RULES = 1_000
 
 #: Fixed values of the contract.
 RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
 
 
-def labelled_urls() -> list[tuple[str, str]]:
+#: Words of unwanted and of ordinary URLs, from which the labelled table is made.
+BAD = (
+    "casino poker slots betting jackpot roulette blackjack bingo gambling wager porn xxx sex escort nude camgirls hentai erotic milf viagra cialis "
+    "pills pharma steroids levitra payday loans torrent warez crack keygen serial nulled cracked pirate replica"
+).split()
+GOOD = (
+    "news wiki docs library school museum garden science history recipes travel weather music art sport health forum blog university research "
+    "journal books theatre energy nature kitchen culture education government council hospital family language community project software"
+).split()
+NEUTRAL = "home main site page list index item place thing net web portal".split()
+
+
+def labelled_urls(bad: Iterable[str] = tuple(BAD), good: Iterable[str] = tuple(GOOD)) -> list[tuple[str, str]]:
     """A small labelled table: unwanted trades on hosts and paths of their kind, and ordinary pages."""
-    bad = "casino poker slots betting jackpot porn xxx sex escort viagra pills pharma payday loans torrent warez crack keygen".split()
-    good = "news wiki docs library school museum garden science history recipes travel weather music art sport health forum blog".split()
-    neutral = "home main site page list index item place thing net web portal".split()
-    hosts = ("www.{}.com", "{}-online.net", "best{}.org", "m.{}.example.com")
-    paths = ("/", "/{}/index.html", "/en/{}/12", "/page/{}?id=7")
+    bad, good = list(bad), list(good)
+    hosts = ("www.{}.com", "{}-online.net", "best{}.org", "m.{}.example.com", "{}24.info", "my{}s.net")
+    paths = ("/", "/{}/index.html", "/en/{}/12", "/page/{}?id=7", "/{}-free", "/top/{}s/3.html")
     out = []
     for label, words in (("block", bad), ("allow", good)):
         for i, w in enumerate(words):
             for k, (h, p) in enumerate(zip(hosts, paths, strict=True)):
-                other = neutral[(i * 5 + k) % len(neutral)]
+                other = NEUTRAL[(i * 5 + k) % len(NEUTRAL)]
                 # Half of the URLs say it in the host, half in the path.
                 host, path = (h.format(w), p.format(other)) if k % 2 == 0 else (h.format(other), p.format(w))
                 out.append((f"http://{host}{path}", label))
-    return out + [(f"http://{w}.example.{t}/{c}/{i * 977}", "allow") for i, (w, t) in enumerate(zip(good, ["com", "net", "org"] * 6)) for c in ("en", "de")]
+    return out + [(f"http://{w}.example.{t}/{c}/{i * 977}", "allow") for i, (w, t) in enumerate(zip(good, ["com", "net", "org"] * 12)) for c in ("en", "de")]
 
 
 def host_path(url: Column) -> tuple[Column, Column]:
@@ -57,9 +72,11 @@ def host_path(url: Column) -> tuple[Column, Column]:
 
 def longest_rule(host: Column, path: Column, rules: Iterable[tuple[str, str]]) -> tuple[Column, Column]:
     """The longest rule that fits, and its verdict; null if none fits."""
-    ordered = sorted(rules, key=lambda r: (-len(r[1]), r[1]))
-    if not ordered or len(ordered) > MAX_RULES:
-        raise ValueError(f"between 1 and {MAX_RULES} rules are accepted")
+    ordered = sorted(rules, key=lambda r: (-len(r[1]), r[1], r[0] != "block"))
+    if len(ordered) > MAX_RULES:
+        raise ValueError(f"at most {MAX_RULES} rules are accepted")
+    if not ordered:
+        return F.lit(None).cast("string"), F.lit(None).cast("string")
     rule = verdict = None
     for what, text in ordered:
         rule_host, slash, rest = text.partition("/")
@@ -69,6 +86,22 @@ def longest_rule(host: Column, path: Column, rules: Iterable[tuple[str, str]]) -
     return rule, verdict
 
 
+def match_rules(pages: DataFrame, rules: DataFrame) -> DataFrame:
+    """pages (row, host, path, ...) with `rule` and `verdict` of the longest rule that fits, null if none does. rules: verdict, rule.
+
+    Each host meets the rules of its suffixes in an equi-join, so the list may be as long as a table; of what fits, only the
+    best for each row goes on. row must be the same whenever the rows are read.
+    """
+    slash = F.instr("rule", "/")
+    listed = rules.groupBy("rule").agg(F.max("verdict").alias("verdict"))  # block above allow
+    listed = listed.select("rule", "verdict", F.when(slash > 0, F.substring("rule", F.lit(1), slash - 1)).otherwise(F.col("rule")).alias("suffix"), F.when(slash > 0, F.substring("rule", slash, F.length("rule"))).otherwise("").alias("start"))
+    labels = F.split("host", r"\.")
+    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), "."))
+    fits = pages.select("row", "path", F.explode(suffixes).alias("suffix")).join(listed, "suffix").filter(F.col("path").startswith(F.col("start")))
+    best = fits.groupBy("row").agg(F.min(F.struct((-F.length("rule")).alias("shorter"), "rule", "verdict")).alias("best"))
+    return pages.join(best.select("row", "best.rule", "best.verdict"), "row", "left")
+
+
 def features(host: str, path: str, bits: int = BITS) -> np.ndarray:
     """Distinct buckets of the character n-grams, host and path apart."""
     found = set()
@@ -119,14 +152,22 @@ def classify(docs: DataFrame, model: tuple[np.ndarray, float], host: str = "host
     return docs.withColumn("block_score", score(F.col(host), F.col(path)))
 
 
-def filter_urls(pages: DataFrame, rules: Iterable[tuple[str, str]] = RULES, labelled: Iterable[tuple[str, str]] | None = None, threshold: float = 0.5) -> DataFrame:
-    """page_id, url, host, path, rule, verdict, block_score of every page."""
+def filter_urls(pages: DataFrame, rules: Iterable[tuple[str, str]] | DataFrame = RULES, labelled: Iterable[tuple[str, str]] | None = None, threshold: float = 0.5) -> DataFrame:
+    """page_id, url, host, path, rule, verdict, block_score of every page. rules: (verdict, rule), or a table of both."""
     model = train(labelled_urls() if labelled is None else labelled)
     host, path = host_path(F.col("url"))
-    df = classify(pages.select("page_id", "url", host.alias("host"), path.alias("path")), model)
-    rule, verdict = longest_rule(F.col("host"), F.col("path"), rules)
+    df = pages.select("page_id", "url", host.alias("host"), path.alias("path"))
+    if not isinstance(rules, DataFrame):
+        rules = list(rules)
+        if len(rules) > MAX_RULES:
+            rules = pages.sparkSession.createDataFrame(rules, "verdict string, rule string")
+    if isinstance(rules, DataFrame):
+        df = match_rules(materialise(df.withColumn("row", F.monotonically_increasing_id()), "url-rows"), rules)
+    else:
+        rule, verdict = longest_rule(F.col("host"), F.col("path"), rules)
+        df = df.withColumns({"rule": rule, "verdict": verdict})
     learned = F.when(F.col("block_score") >= threshold, "block").otherwise("allow")
-    return df.select("page_id", "url", "host", "path", rule.alias("rule"), F.coalesce(verdict, learned).alias("verdict"), "block_score")
+    return classify(df, model).select("page_id", "url", "host", "path", "rule", F.coalesce("verdict", learned).alias("verdict"), "block_score")
 
 
 def op1_url_filter(spark, sf_dir):
