@@ -9,8 +9,9 @@ Profiles are fitted on a bounded sample: about `SAMPLE_PER_LANGUAGE` labelled do
 hash (all of them where a language has fewer). Prediction reads the text alone.
 
 Edge cases: a null text, or one without a letter, is `und` with score 0; rows without a language are not learned from; if
-nothing can be learned, all are `und`; repeated rows are predicted alike; an empty table gives no rows; other columns are
-ignored.
+nothing can be learned, all are `und`; more than `MAX_LANGUAGES` languages are an error; very long texts are read whole;
+n-grams of equal count go by their number; repeated rows are predicted alike; an empty table gives no rows; other columns,
+whatever their names, are kept by `identify`, but for those it adds, which are replaced.
 """
 
 from __future__ import annotations
@@ -23,10 +24,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from silvan.llm.common import table
+from silvan.llm.common import fresh, table
 
 PROFILE = 400
 SAMPLE_PER_LANGUAGE = 1_000
+#: Languages, each of which is a profile that every task holds.
+MAX_LANGUAGES = 1_000
 UNKNOWN = "und"
 #: A character's place in an n-gram's number.
 WIDTH = 21
@@ -61,14 +64,14 @@ def top(found: np.ndarray, counts: np.ndarray, n: int = PROFILE) -> np.ndarray:
 def fit_profiles(labelled: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, size: int = PROFILE) -> dict[str, np.ndarray]:
     """Profile of each language, from rows with doc_id, text and lang."""
     labelled = labelled.select("doc_id", "text", "lang").filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}
+    counts = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect()}
     if not counts:
         return {}
+    if len(counts) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages")
     spread = 1 << 30
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(spread))
-    keep = F.lit(False)
-    for lang, n in counts.items():
-        keep = keep | ((F.col("lang") == lang) & (place < min(spread, per_language * spread // n + 1)))
+    share = F.create_map(*(F.lit(x) for lang, n in counts.items() for x in (lang, min(spread, per_language * spread // n + 1))))
+    keep = F.pmod(F.xxhash64("doc_id"), F.lit(spread)) < F.try_element_at(share, F.col("lang"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, dict[int, int]] = {}
@@ -113,7 +116,8 @@ def identify(docs: DataFrame, profiles: dict[str, np.ndarray], size: int = PROFI
                 out.append((lang, 1 - best / (size * len(mine))))
             yield pd.DataFrame(out, columns=["lang", "score"])
 
-    return docs.withColumn("__found", predict(F.col("text"))).withColumns({"lang_pred": F.col("__found.lang"), "lang_score": F.col("__found.score")}).drop("__found")
+    found = fresh(docs, "found")
+    return docs.withColumn(found, predict(F.col("text"))).withColumns({"lang_pred": F.col(found)["lang"], "lang_score": F.col(found)["score"]}).drop(found)
 
 
 def op9_language_id(spark, sf_dir):
