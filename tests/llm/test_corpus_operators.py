@@ -225,6 +225,9 @@ def test_sharding(docs):
     rng = random.Random(5)
     rows = [(i, rng.choice(["same text", "x" * rng.randint(0, 400)])) for i in range(600)] + EDGES[:7]
     got = sharding.shard_documents(docs(rows), 8).collect()
+    whole = sharding.shard_documents(docs(EDGES), 2).collect()
+    assert Counter((r["doc_id"], r["size"]) for r in whole) == Counter((r[0], len((r[1] or "").encode()) + 1) for r in EDGES)
+    assert {r["shard"] for r in whole if r["size"] > 1000} != {r["shard"] for r in whole if r["size"] <= 1000}
     assert Counter(r["doc_id"] for r in got) == Counter(r[0] for r in rows)
     slots = defaultdict(list)
     for r in got:
@@ -243,6 +246,18 @@ def test_sharding(docs):
     assert sharding.shard_documents(docs([])).count() == 0
 
 
+def test_written_shards_hold_whole_groups(spark, docs, tmp_path):
+    rng = random.Random(20)
+    rows = [(i, rng.choice(["same text", "x" * rng.randint(0, 400), None])) for i in range(300)]
+    df = docs(rows).withColumn("a.b", F.lit(1))
+    sharding.write_shards(df, str(tmp_path / "s"), 4, 2)
+    plan = {r["doc_id"]: r["shard"] for r in sharding.shard_documents(df, 4).collect()}
+    back = spark.read.parquet(*(str(tmp_path / "s" / f"shard={k}") for k in range(4)))
+    assert back.columns == [c for c in df.columns if c != "shard"] and sorted(tuple(r) for r in back.select("doc_id", F.coalesce("text", F.lit("-"))).collect()) == sorted((i, "-" if t is None else t) for i, t in rows)
+    for k in range(4):
+        assert {plan[r["doc_id"]] for r in spark.read.parquet(str(tmp_path / "s" / f"shard={k}")).select("doc_id").collect()} <= {k}
+
+
 def test_embeddings_against_brute_force(spark):
     rng = np.random.default_rng(6)
     centre = rng.normal(size=(8, 12))
@@ -268,6 +283,29 @@ def test_embeddings_against_brute_force(spark):
     assert embed_dedup.near_vectors(df.limit(0)).count() == 0
 
 
+def test_cosines_at_the_threshold_and_full_blocks(spark, monkeypatch):
+    monkeypatch.setattr(embed_dedup, "block_rows", lambda dim: 16)
+    monkeypatch.setattr(embed_dedup, "LEAST_TILES", 2)
+    monkeypatch.setattr(embed_dedup, "MAX_TILES", 4)
+    rng = np.random.default_rng(19)
+    # (3, 4) and (4, 3) have a cosine of 24/25; a hundredth less or more on the threshold decides.
+    rows = [(1, [3.0, 4.0]), (2, [4.0, 3.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    exact = float(embed_dedup._cosine(np.array([[3.0, 4.0]]), np.array([[4.0, 3.0]]))[0])
+    links = lambda t: [r["n_links"] for r in embed_dedup.near_vectors(df, t).orderBy("vec_id").collect()]
+    assert links(exact) == [1, 1] and links(np.nextafter(exact, 1)) == [0, 0] and links(exact - 0.01) == [1, 1]
+    # Tiles larger than a block: every pair of blocks is met once.
+    x = rng.normal(size=(6, 5))[rng.integers(0, 6, 150)] + rng.normal(size=(150, 5)) * 0.2
+    df = spark.createDataFrame([(i, r.tolist(), "x") for i, r in enumerate(x)], "vec_id long, embedding array<double>, `a.b` string")
+    c = (x @ x.T) / np.outer(np.linalg.norm(x, axis=1), np.linalg.norm(x, axis=1)) >= 0.9
+    np.fill_diagonal(c, False)
+    want = groups_of(range(150), [(a, b) for a, b in zip(*np.nonzero(c), strict=True) if a < b])
+    assert {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embed_dedup.near_vectors(df).collect()} == {i: (int(c[i].sum()), want[i]) for i in range(150)}
+    many = spark.createDataFrame([(k, [1.0] * (k + 1)) for k in range(70)], "vec_id long, embedding array<double>")
+    with pytest.raises(ValueError, match="lengths"):
+        embed_dedup.near_vectors(many)
+
+
 def test_tiles_leave_no_pair_out():
     rng = np.random.default_rng(8)
     x = embed_dedup.unit(rng.normal(size=(2000, 4)))
