@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 SPACES = r"(?U)\s+"
+#: What ends a sentence, at the end of a word: a fixed value.
 SENTENCE_END = r"[.!?;:]['\")\]]*$"
 #: Values of Roman digits: fixed values.
 ROMAN = {"I": 1, "V": 5, "X": 10, "L": 50, "C": 100, "D": 500, "M": 1000}
@@ -33,11 +36,34 @@ def word_count(text: Column) -> Column:
     return F.size(words(text)).cast("long")
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value) with the value worked out once, however often f uses it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+#: Elements that `sums_before` goes through one by one.
+RUN = 128
+
+
+def sums_before(values: Column) -> Column:
+    """For each number of the array the sum of those before it. Folded in blocks, and then the blocks: one fold that appends
+    to an array copies it at each step."""
+    fold = lambda array, value: F.aggregate(
+        array, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")),
+        lambda a, x: F.struct((a["at"] + value(x)).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out")),
+    )
+    starts = F.sequence(F.lit(0), F.greatest(F.size(values) - 1, F.lit(0)), F.lit(RUN))
+    blocks = F.transform(starts, lambda b: fold(F.slice(values, b + 1, RUN), lambda x: x))
+    shift = lambda inner, bases: F.flatten(F.transform(inner, lambda x, i: F.transform(x["out"], lambda v: v + F.get(bases, i))))
+    return let(blocks, lambda inner: let(fold(inner, lambda x: x["at"])["out"], lambda bases: shift(inner, bases)))
+
+
 def word_spans(text: Column) -> Column:
     """array<struct<start, end>>: offsets of each word in the collapsed text."""
-    step = lambda a, w: F.struct((a["at"] + F.length(w) + 1).alias("at"), F.concat(a["out"], F.array(F.struct(a["at"].alias("start"), (a["at"] + F.length(w)).alias("end")))).alias("out"))
+    span = lambda starts: lambda n, i: F.struct(F.get(starts, i).alias("start"), (F.get(starts, i) + n).alias("end"))
+    of = lambda sizes: let(sums_before(F.transform(sizes, lambda n: n + 1)), lambda starts: F.transform(sizes, span(starts)))
     none = F.array().cast("array<struct<start:int,end:int>>")
-    return F.aggregate(words(text), F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda a: a["out"])
+    return let(F.transform(words(text), F.length), lambda sizes: F.when(F.size(sizes) > 0, let(sizes, of)).otherwise(none))
 
 
 def ends_sentence(word: Column) -> Column:
@@ -87,9 +113,9 @@ def table_cell(html: Column, nth: int) -> Column:
 
 def strip_envelope(text: Column, start: str = r"\*\*\* ?START[^\n]*", end: str = r"\*\*\* ?END") -> Column:
     """What stands between the line of the start mark and the end mark; without marks, all of it. Both marks are looked for in
-    the whole text, so the tail can't survive."""
+    the whole text, so the tail can't survive. Blank lines go at both ends; the first line keeps its indentation."""
     head = F.regexp_replace(text, rf"(?s)^.*?{start}\n?", "")
-    return F.regexp_replace(F.regexp_replace(head, rf"(?s){end}.*$", ""), r"^\s+|\s+$", "")
+    return F.regexp_replace(F.regexp_replace(head, rf"(?s){end}.*$", ""), r"^(?:[^\S\n]*\n)+|\s+$", "")
 
 
 def section_parts(title: Column, default: str = "Main") -> tuple[Column, Column]:
@@ -106,6 +132,20 @@ def child_path(parent: Column, label: Column, key: Column) -> Column:
     return F.concat(F.coalesce(parent, F.lit("")), F.lit("/"), F.coalesce(F.nullif(label, F.lit("")), key))
 
 
+def span_path(paths: Column) -> Column:
+    """The path of a span is that of its first unit. paths: of its units in order."""
+    return F.get(paths, F.lit(0))
+
+
+def run_id(time: Column) -> Column:
+    """A run's name from its time: 2026-04-13_213715."""
+    return F.date_format(time, "yyyy-MM-dd_HHmmss")
+
+
+def iso_time(time: Column) -> Column:
+    return F.date_format(time, "yyyy-MM-dd'T'HH:mm:ss")
+
+
 def name_hash(name: Column) -> Column:
     """h = (31 * h + code) mod 65536 over the characters of the basic plane."""
     codes = F.transform(F.filter(F.split(name, ""), lambda c: c != ""), lambda c: F.ascii(c))

@@ -19,9 +19,11 @@ from pyspark.sql import functions as F
 from silvan.functions import text as T
 
 
-def read_texts(spark: SparkSession, path: str) -> DataFrame:
-    """file, text of each whole file."""
-    return spark.read.text(path, wholetext=True).select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("file"), F.col("value").alias("text"))
+def read_texts(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
+    """file, text of each whole file, without a byte order mark and with line ends as one character."""
+    name = F.element_at(F.split("path", "/"), -1)
+    df = spark.read.format("binaryFile").load(path).select(name.alias("file"), F.decode("content", encoding).alias("text"))
+    return df.withColumn("text", F.regexp_replace(F.regexp_replace("text", "^\ufeff", ""), r"\r\n?", "\n"))
 
 
 def lines(texts: DataFrame) -> DataFrame:
@@ -29,6 +31,27 @@ def lines(texts: DataFrame) -> DataFrame:
     return texts.select("file", F.posexplode(F.split(T.strip_envelope(F.col("text")), r"\r?\n")).alias("n", "line"))
 
 
+def headed(numbered: DataFrame, marks: dict[str, Column], file: str = "file") -> DataFrame:
+    """numbered with name and name_at for each mark: the latest value that is not null and the n of its line; marks go from
+    the top down, and a higher one ends the lower ones."""
+    w = Window.partitionBy(file).orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
+    df, above = numbered, []
+    for name, value in marks.items():
+        df = df.withColumn(name, value).withColumn(f"{name}_at", F.max(F.when(F.col(name).isNotNull(), F.col("n"))).over(w)).withColumn(name, F.last(name, True).over(w))
+        if above:
+            ended = F.greatest(F.lit(-1), *(F.coalesce(a, F.lit(-1)) for a in above)) > F.coalesce(f"{name}_at", F.lit(-1))
+            # Under no heading of the level above, there is none of this one either.
+            df = df.withColumns({c: F.when(~ended & above[-1].isNotNull(), F.col(c)) for c in (name, f"{name}_at")})
+        above.append(F.col(f"{name}_at"))
+    return df
+
+
+def joined(rows: DataFrame, keys: list[str], line: str = "line", separator: str = " ") -> DataFrame:
+    """keys, n (the first), text: the lines of each key in order."""
+    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("n", F.col(line).alias("v")))), lambda x: x["v"]), separator)
+    return rows.groupBy(*keys).agg(F.min("n").alias("n"), text.alias("text"))
+
+
 def sections(numbered: DataFrame, headings: list[str], stop: str | None = None) -> DataFrame:
     """numbered with h0, h1, ...: the latest heading of each level (its first group), a higher one ends the lower ones.
 
@@ -79,56 +102,85 @@ def clean_verse(text: Column) -> Column:
 
 
 class _Blocks(HTMLParser):
-    """Text of each block element, in order, with its tag and its id."""
+    """Text of each block element, in order, with its tag, id, classes and the ids of the divisions around it."""
 
     BLOCKS = frozenset("p h1 h2 h3 h4 td li title".split())
 
-    def __init__(self):
+    def __init__(self, skip=None):
         super().__init__(convert_charrefs=True)
-        self.found: list[tuple[str, str, str]] = []
-        self.open: list[tuple[str, str, list[str]]] = []
+        self.found: list[dict] = []
+        self.open: list[tuple[str, dict, list[str]]] = []
+        self.divisions: list[str] = []
+        self.skip, self.skipping = skip, []
 
     def handle_starttag(self, tag, attrs):
+        attrs = {k: v or "" for k, v in attrs}
+        if self.skipping:
+            if tag == self.skipping[0]:
+                self.skipping.append(tag)
+            return
+        if self.skip and self.skip(tag, attrs):
+            self.skipping.append(tag)
+            return
+        if tag == "div":
+            self.divisions.append(attrs.get("id", ""))
+        elif tag == "br":
+            self.handle_data("\n")
         if tag in self.BLOCKS:
             # A block that was not closed ends where the next of its kind begins.
             if self.open and self.open[-1][0] == tag:
                 self.handle_endtag(tag)
-            self.open.append((tag, dict(attrs).get("id") or "", []))
+            self.open.append((tag, attrs, []))
 
     def handle_endtag(self, tag):
+        if self.skipping:
+            if tag == self.skipping[0]:
+                self.skipping.pop()
+            return
+        if tag == "div" and self.divisions:
+            self.divisions.pop()
         if self.open and any(t == tag for t, _, _ in self.open):
             while True:
-                t, i, parts = self.open.pop()
-                self.found.append((t, i, " ".join("".join(parts).split())))
+                t, attrs, parts = self.open.pop()
+                text = "".join(parts)
+                self.found.append(
+                    {
+                        "tag": t, "id": attrs.get("id", ""), "text": " ".join(text.split()), "lines": [x for x in (" ".join(y.split()) for y in text.split("\n")) if x],
+                        "classes": attrs.get("class", "").lower().split(), "within": [d for d in self.divisions if d],
+                    }
+                )
                 if t == tag:
                     break
 
     def handle_data(self, data):
-        if self.open:
+        if self.open and not self.skipping:
             self.open[-1][2].append(data)
 
 
-def html_blocks(html: str) -> list[tuple[str, str, str]]:
-    parser = _Blocks()
+def html_blocks(html: str, skip=None) -> list[dict]:
+    """Blocks that have a text; skip(tag, attributes): an element that is left out with all it holds."""
+    parser = _Blocks(skip)
     parser.feed(html)
     parser.close()
+    parser.skipping = []
     while parser.open:
         parser.handle_endtag(parser.open[-1][0])
-    return [b for b in parser.found if b[2]]
+    return [b for b in parser.found if b["text"]]
 
 
-_BLOCK = "struct<tag:string,id:string,text:string>"
+BLOCK = "struct<tag:string,id:string,text:string,lines:array<string>,classes:array<string>,within:array<string>>"
+BLOCK_FIELDS = ("tag", "id", "text", "lines", "classes", "within")
 
 
-def parse_html(pages: DataFrame, id_: str, html: str = "html") -> DataFrame:
-    """id, n, tag, element_id, text of each block of each page, in order."""
+def parse_html(pages: DataFrame, id_: str, html: str = "html", skip=None) -> DataFrame:
+    """id, n, tag, element_id, text, lines, classes, within of each block of each page, in order."""
 
-    @F.pandas_udf(f"array<{_BLOCK}>")
+    @F.pandas_udf(f"array<{BLOCK}>")
     def blocks(column):
-        return column.map(lambda h: [{"tag": t, "id": i, "text": x} for t, i, x in html_blocks(h or "")])
+        return column.map(lambda h: html_blocks(h or "", skip))
 
     out = pages.select(id_, F.posexplode(blocks(F.col(html))).alias("n", "b"))
-    return out.select(id_, "n", F.col("b.tag").alias("tag"), F.col("b.id").alias("element_id"), F.col("b.text").alias("text"))
+    return out.select(id_, "n", *(F.col(f"b.{c}").alias("element_id" if c == "id" else c) for c in BLOCK_FIELDS))
 
 
 def page_paragraphs(blocks: DataFrame, id_: str, least: int = 20, stop: str = r"(?i)^footnote") -> DataFrame:
@@ -140,22 +192,27 @@ def page_paragraphs(blocks: DataFrame, id_: str, least: int = 20, stop: str = r"
     return df.select(id_, "heading", F.row_number().over(Window.partitionBy(id_).orderBy("n")).alias("nth"), "text")
 
 
-def read_epub(spark: SparkSession, path: str, prefix: str = "", skip: str = "^$") -> DataFrame:
-    """file, item, n, tag, element_id, text: blocks of the pages of EPUB archives; items by prefix, without those that match skip.
-    natural_key(item) is their order."""
+def read_epub(spark: SparkSession, path: str, prefix: str = "", skip: str = "^$", folder: str = "", drop=None) -> DataFrame:
+    """file, item, n, tag, element_id, text, lines, classes, within: blocks of the pages of EPUB archives; items in folder, by
+    prefix, without those that match skip; drop(tag, attributes): elements left out. natural_key(item) is their order. An
+    item without blocks is one row without a tag."""
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.string()] * 3 + [pa.list_(pa.string())] * 3
         for batch in batches:
             for file, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
                 with zipfile.ZipFile(io.BytesIO(content)) as z:
                     for item in z.namelist():
                         name = item.rsplit("/", 1)[-1]
-                        if re.search(r"\.x?html?$", name) and name.startswith(prefix) and not re.search(skip, name):
-                            b = html_blocks(z.read(item).decode("utf-8", "replace"))
-                            yield pa.RecordBatch.from_arrays(
-                                [pa.array([file.rsplit("/", 1)[-1]] * len(b)), pa.array([item] * len(b)), pa.array(range(len(b)), pa.int32()), *(pa.array([x[k] for x in b], pa.string()) for k in range(3))],
-                                ["file", "item", "n", "tag", "element_id", "text"],
-                            )
+                        if not (re.search(r"(?i)\.x?html?$", name) and item.startswith(folder) and name.startswith(prefix)) or re.search(skip, name):
+                            continue
+                        b = html_blocks(z.read(item).decode("utf-8", "replace"), drop) or [dict.fromkeys(BLOCK_FIELDS)]
+                        columns = [pa.array([x[c] for x in b], t) for c, t in zip(BLOCK_FIELDS, kinds, strict=True)]
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array([file.rsplit("/", 1)[-1]] * len(b)), pa.array([item] * len(b)), pa.array(range(len(b)), pa.int32()), *columns],
+                            ["file", "item", "n", *("element_id" if c == "id" else c for c in BLOCK_FIELDS)],
+                        )
 
     files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInArrow(unpack, "file string, item string, n int, tag string, element_id string, text string")
+    lists = ", ".join(f"{c} array<string>" for c in BLOCK_FIELDS[3:])
+    return files.mapInArrow(unpack, f"file string, item string, n int, tag string, element_id string, text string, {lists}")
