@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from silvan.functions.arrays import let, sums_before
+
 SPACES = r"(?U)\s+"
 #: What ends a sentence, at the end of a word: a fixed value.
 SENTENCE_END = r"[.!?;:]['\")\]]*$"
@@ -36,28 +36,6 @@ def word_count(text: Column) -> Column:
     return F.size(words(text)).cast("long")
 
 
-def let(value: Column, f: Callable[[Column], Column]) -> Column:
-    """f(value) with the value worked out once, however often f uses it."""
-    return F.get(F.transform(F.array(value), f), F.lit(0))
-
-
-#: Elements that `sums_before` goes through one by one.
-RUN = 128
-
-
-def sums_before(values: Column) -> Column:
-    """For each number of the array the sum of those before it. Folded in blocks, and then the blocks: one fold that appends
-    to an array copies it at each step."""
-    fold = lambda array, value: F.aggregate(
-        array, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")),
-        lambda a, x: F.struct((a["at"] + value(x)).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out")),
-    )
-    starts = F.sequence(F.lit(0), F.greatest(F.size(values) - 1, F.lit(0)), F.lit(RUN))
-    blocks = F.transform(starts, lambda b: fold(F.slice(values, b + 1, RUN), lambda x: x))
-    shift = lambda inner, bases: F.flatten(F.transform(inner, lambda x, i: F.transform(x["out"], lambda v: v + F.get(bases, i))))
-    return let(blocks, lambda inner: let(fold(inner, lambda x: x["at"])["out"], lambda bases: shift(inner, bases)))
-
-
 def word_spans(text: Column) -> Column:
     """array<struct<start, end>>: offsets of each word in the collapsed text."""
     span = lambda starts: lambda n, i: F.struct(F.get(starts, i).alias("start"), (F.get(starts, i) + n).alias("end"))

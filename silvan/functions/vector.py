@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Sequence
+
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,13 +48,17 @@ def parse_vector(text: Column) -> Column:
     return F.from_json(text, "array<float>")
 
 
+def cosine_to(v: Column, query: Sequence[float]) -> Column:
+    """Cosine to a given vector, whose norm is worked out here and not in each row; 0 if either is zero."""
+    q = F.array(*(F.lit(float(x)) for x in query))
+    size = math.sqrt(sum(float(x) * float(x) for x in query))
+    return F.when(norm(v) * size == 0, F.lit(0.0)).otherwise(dot(v, q) / (norm(v) * F.lit(size)))
+
+
 def weighted_average(df: DataFrame, key: str, vector: str, weight: str, unit_length: bool = True) -> DataFrame:
-    """key, vector: the average by weight, where a weight that is not positive counts as 1. Sums are pre-aggregated by
-    position, so a key with very many rows isn't gathered anywhere."""
-    w = F.when(F.col(weight) > 0, F.col(weight)).otherwise(F.lit(1.0))
-    flat = df.select(key, w.alias("w"), F.posexplode(_doubles(F.col(vector))).alias("pos", "x"))
-    sums = flat.groupBy(key, "pos").agg((F.sum(F.col("w") * F.col("x")) / F.sum("w")).alias("x"))
-    # One row per position, as many as the vector is long.
-    out = sums.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("pos", "x"))).alias("v"))
-    vec = F.transform("v", lambda p: p["x"])
-    return out.select(key, (normalise(vec) if unit_length else vec).alias("vector"))
+    """key, vector: the average by weight, where a weight that is not positive counts as 1; null vectors are left out, and a
+    key's vectors have one length. A task sends one sum for each key, so a key with very many rows isn't gathered anywhere."""
+    w = F.when(F.col(weight) > 0, F.col(weight)).otherwise(F.lit(1.0)).cast("double")
+    rows = df.filter(F.col(vector).isNotNull()).select(key, array_to_vector(_doubles(F.col(vector))).alias("v"), w.alias("w"))
+    mean = rows.groupBy(key).agg(Summarizer.mean(F.col("v"), F.col("w")).alias("m")).select(key, vector_to_array("m").alias("v"))
+    return mean.select(key, (normalise(F.col("v")) if unit_length else F.col("v")).alias("vector"))

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -13,31 +15,46 @@ from pyspark.sql import functions as F
 from silvan.functions import vector as V
 from silvan.session import cut
 
-#: Vectors that a fit on the driver takes, at most.
-FIT_ROWS = 20_000
+#: Partial sums that one task adds up, and rounds of that; the driver gets one of each FAN_IN ** ROUNDS partitions'.
+FAN_IN, ROUNDS = 64, 2
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    """The vectors that are not null, as rows; all are of one length."""
+    column = column.drop_null()
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
 
 def moments(df: DataFrame, vector: str) -> tuple[int, np.ndarray, np.ndarray]:
-    """Count, mean and covariance, from one partial sum of products for each partition."""
+    """Count, mean and covariance: one row of sums for each partition, added up by a tree of tasks. Null vectors are left out."""
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, s, p = 0, None, None
+        from pyspark import TaskContext
+
+        n, total = 0, None
         for b in batches:
-            x = np.array([v for v in b.column(0).to_pylist() if v is not None], np.float64)
+            x = _matrix(b.column(0))
             if len(x):
-                n, s, p = n + len(x), x.sum(0) + (0 if s is None else s), x.T @ x + (0 if p is None else p)
+                own = np.vstack((x.sum(0), x.T @ x))
+                n, total = n + len(x), own if total is None else total + own
         if n:
-            yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([s.tolist()]), pa.array([p.ravel().tolist()])], ["n", "s", "p"])
+            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([n], pa.int64()), pa.array([total.tobytes()], pa.binary())], ["k", "n", "s"])
 
-    sums = df.select(F.col(vector).cast("array<double>")).mapInArrow(part, "n long, s array<double>, p array<double>")
-    flat = sums.select("n", F.posexplode(F.concat("s", "p")).alias("pos", "x"))
-    total = flat.groupBy("pos").agg(F.sum("n").alias("n"), F.sum("x").alias("x")).orderBy("pos").collect()
-    if not total:
+    def add(t: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(s.as_buffer(), np.float64) for s in t["s"])
+        return pa.table({"k": t["k"][:1], "n": pa.array([sum(t["n"].to_pylist())], pa.int64()), "s": pa.array([total.tobytes()], pa.binary())})
+
+    sums = df.select(vector).mapInArrow(part, "k long, n long, s binary")
+    for _ in range(ROUNDS):
+        sums = sums.withColumn("k", F.expr(f"k div {FAN_IN}")).groupBy("k").applyInArrow(add, "k long, n long, s binary")
+    rows = sums.collect()
+    if not rows:
         raise ValueError("no vectors")
-    n, flat_sum = total[0]["n"], np.array([r["x"] for r in total])
-    d = int((np.sqrt(1 + 4 * len(flat_sum)) - 1) / 2)
-    mean = flat_sum[:d] / n
-    return n, mean, (flat_sum[d:].reshape(d, d) - n * np.outer(mean, mean)) / max(1, n - 1)
+    n = sum(r["n"] for r in rows)
+    total = sum(np.frombuffer(bytes(r["s"]), np.float64) for r in rows)
+    d = int((np.sqrt(1 + 4 * len(total)) - 1) / 2)
+    mean = total[:d] / n
+    return n, mean, (total[d:].reshape(d, d) - n * np.outer(mean, mean)) / max(1, n - 1)
 
 
 def explained_variance(df: DataFrame, vector: str, threshold: float = 0.95, most: int = 50) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -57,9 +74,18 @@ def explained_variance(df: DataFrame, vector: str, threshold: float = 0.95, most
 def pca(df: DataFrame, vector: str, threshold: float = 0.95, most: int = 50) -> DataFrame:
     """df with `coords`: the centred vector on the kept components."""
     mean, axes, _ = explained_variance(df, vector, threshold, most)
-    centred = F.zip_with(F.col(vector).cast("array<double>"), F.array(*(F.lit(float(m)) for m in mean)), lambda x, m: x - m)
-    on = [V.dot(F.col("__c"), F.array(*(F.lit(float(a)) for a in axes[:, k]))) for k in range(axes.shape[1])]
-    return df.withColumn("__c", centred).withColumn("coords", F.array(*on)).drop("__c")
+    held = df.sparkSession.sparkContext.broadcast((mean, axes))  # as many numbers as a vector has, for each component
+
+    @F.pandas_udf("array<double>")
+    def place(v: pd.Series) -> pd.Series:
+        mean, axes = held.value
+        here, out = np.flatnonzero(v.notna()), np.full(len(v), None, object)
+        if len(here):
+            for i, row in zip(here, (np.stack(v.to_numpy()[here]).astype(np.float64) - mean) @ axes, strict=True):
+                out[i] = row
+        return pd.Series(out)
+
+    return df.withColumn("coords", place(F.col(vector)))
 
 
 def stratified_sample(df: DataFrame, stratum: str, id_: str, n: int, seed: int = 42) -> DataFrame:
@@ -75,22 +101,21 @@ def fold_to_units(bridge: DataFrame, positions: DataFrame) -> DataFrame:
 
 def parent_means(tree: DataFrame, placed: DataFrame, dims: int, id_: str = "id") -> DataFrame:
     """id, coords of leaves and all parents above them: a parent takes the plain mean of its children placed in earlier
-    waves, in the wave in which its first child was placed; later children change nothing."""
+    waves, in the wave in which its first child was placed; later children change nothing.
+
+    So its children of the wave before are all that count, and a step joins that wave with the parents still to be placed.
+    """
     t = tree.select(F.col(id_).alias("id"), F.col("parent_id").alias("up"))
-    done = placed.select("id", "coords")
-    out = [done]
-    fresh = done
-    for _ in range(64):
-        ups = fresh.join(t, "id").select(F.col("up").alias("id")).filter("id is not null").distinct().join(done.select("id"), "id", "left_anti")
-        if ups.isEmpty():
+    ups = t.select(F.col("up").alias("id")).filter("id is not null").distinct()
+    rest = cut(t.join(ups, "id", "left_semi").join(placed.select("id"), "id", "left_anti"))
+    fresh, out = placed.select("id", "coords").join(t, "id", "left"), [placed.select("id", "coords")]
+    while True:
+        mean = fresh.filter("up is not null").groupBy(F.col("up").alias("id")).agg(*(F.avg(F.col("coords")[k]).alias(f"c{k}") for k in range(dims)))
+        fresh = cut(mean.select("id", F.array(*(f"c{k}" for k in range(dims))).alias("coords")).join(rest, "id"))
+        if fresh.isEmpty():
             return reduce(DataFrame.unionByName, out)
-        kids = t.join(ups.withColumnRenamed("id", "up"), "up").join(done, "id")
-        mean = kids.groupBy(F.col("up").alias("id")).agg(*(F.avg(F.col("coords")[k]).alias(f"c{k}") for k in range(dims)))
-        fresh = mean.select("id", F.array(*(f"c{k}" for k in range(dims))).alias("coords"))
-        fresh = cut(fresh)
-        done = done.unionByName(fresh)
-        out.append(fresh)
-    raise ValueError("the tree has a cycle")
+        rest = cut(rest.join(fresh.select("id"), "id", "left_anti"))
+        out.append(fresh.select("id", "coords"))
 
 
 def bounds(points: DataFrame, axes: tuple[str, ...] = ("x", "y")) -> DataFrame:
@@ -113,7 +138,7 @@ def density(points: DataFrame, group: str, cells: int = 48, pad: float = 0.18, c
     w, h = F.greatest(F.col("x1") - F.col("x0"), F.lit(1e-6)), F.greatest(F.col("y1") - F.col("y0"), F.lit(1e-6))
     box = box.select(group, (F.col("x0") - w * pad).alias("left"), (F.col("y0") - h * pad).alias("top"), (w * (1 + 2 * pad)).alias("w"), (h * (1 + 2 * pad)).alias("h"))
     box = box.withColumns({"band": F.greatest("w", "h") / 18, "dx": F.col("w") / cells, "dy": F.col("h") / cells})
-    p = points.select(group, "x", "y").join(F.broadcast(box), group)
+    p = points.select(group, "x", "y").join(box, group)
     reach = F.col("band") * cutoff
     span = lambda v, low, step: F.sequence(
         F.greatest(F.ceil((v - reach - low) / step), F.lit(0)).cast("int"), F.least(F.floor((v + reach - low) / step), F.lit(cells)).cast("int")
@@ -134,46 +159,117 @@ def contour_crossings(field: DataFrame, group: str, shares: tuple[float, ...] =
     first = a.withColumnRenamed("value", "v0")
     second = a.select(group, F.col("i").alias("i1"), F.col("j").alias("j1"), F.col("value").alias("v1"))
     e = edges.withColumns({"i1": F.col("i") + (F.col("edge") == "x").cast("int"), "j1": F.col("j") + (F.col("edge") == "y").cast("int")})
-    e = e.join(first, [group, "i", "j"], "left").join(second, [group, "i1", "j1"], "left").join(F.broadcast(top), group).na.fill(0.0, ["v0", "v1"])
+    e = e.join(first, [group, "i", "j"], "left").join(second, [group, "i1", "j1"], "left").join(top, group).na.fill(0.0, ["v0", "v1"])
     e = e.withColumn("level", F.explode(F.array(*(F.lit(s) for s in shares)))).withColumn("cut", F.col("level") * F.col("top"))
     hit = e.filter((F.col("v0") < F.col("cut")) != (F.col("v1") < F.col("cut")))
     return hit.select(group, "level", "i", "j", "edge", ((F.col("cut") - F.col("v0")) / (F.col("v1") - F.col("v0"))).alias("at"))
 
 
-def isomap(sample: np.ndarray, k: int = 10, dims: int = 3) -> tuple[np.ndarray, np.ndarray]:
-    """Coordinates of the sample and its distances along the neighbour graph; parts of the graph that do not meet are joined at the
-    greatest distance. The sample is bounded: at most FIT_ROWS / 10 rows."""
-    if len(sample) > FIT_ROWS // 10:
+def contour_segments(field: DataFrame, group: str, shares: tuple[float, ...] = (0.18, 0.32, 0.48, 0.66)) -> DataFrame:
+    """group, level, i, j, part, x0, y0, x1, y1: the pieces of the contours in each lattice cell, in lattice units.
+
+    A cell whose sides (upper, right, lower, left) are crossed twice has one piece, one crossed four times two, from the
+    first to the second crossing and from the third to the fourth.
+    """
+    c = contour_crossings(field, group, shares)
+    across = F.col("edge") == "x"
+    x, y = F.col("i") + F.when(across, F.col("at")).otherwise(0.0), F.col("j") + F.when(across, 0.0).otherwise(F.col("at"))
+    # An edge is the upper or left side of its own cell, and the lower or right side of the one before it.
+    own = F.struct(F.col("i").alias("ci"), F.col("j").alias("cj"), F.when(across, 0).otherwise(3).alias("side"))
+    before = F.struct((F.col("i") - F.when(across, 0).otherwise(1)).alias("ci"), (F.col("j") - F.when(across, 1).otherwise(0)).alias("cj"), F.when(across, 2).otherwise(1).alias("side"))
+    sides = c.select(group, "level", x.alias("x"), y.alias("y"), F.explode(F.array(own, before)).alias("s")).filter("s.ci >= 0 and s.cj >= 0")
+    # At most four crossings a cell.
+    cells = sides.groupBy(group, "level", F.col("s.ci").alias("i"), F.col("s.cj").alias("j")).agg(F.sort_array(F.collect_list(F.struct("s.side", "x", "y"))).alias("p"))
+    pieces = F.transform(F.sequence(F.lit(0), F.size("p") - 2, F.lit(2)), lambda k: F.struct((k / 2).cast("int").alias("part"), F.get("p", k)["x"].alias("x0"), F.get("p", k)["y"].alias("y0"), F.get("p", k + 1)["x"].alias("x1"), F.get("p", k + 1)["y"].alias("y1")))
+    return cells.filter("size(p) >= 2").select(group, "level", "i", "j", F.explode(pieces).alias("q")).select(group, "level", "i", "j", "q.*")
+
+
+#: Neighbours of the graph, and rows of a sample: distances along the graph are a table of its square.
+NEIGHBOURS, SAMPLE_ROWS = 10, 2_000
+
+
+@dataclass(frozen=True)
+class Isomap:
+    """A fit: the sample, its distances along the neighbour graph, and its coordinates with their scale."""
+
+    sample: np.ndarray
+    geodesic: np.ndarray
+    coords: np.ndarray
+    values: np.ndarray
+    k: int
+
+    def place(self, x: np.ndarray) -> np.ndarray:
+        """Coordinates of new rows: their distances along the graph, through their nearest sample rows, in the fit's kernel."""
+        near, d = _nearest(x, self.sample, self.k)
+        along = np.full((len(x), len(self.sample)), np.inf)
+        for m in range(near.shape[1]):
+            np.minimum(along, d[:, m : m + 1] + self.geodesic[near[:, m]], out=along)
+        kernel, fitted = -0.5 * along**2, -0.5 * self.geodesic**2
+        centred = kernel - kernel.mean(1, keepdims=True) - fitted.mean(0) + fitted.mean()
+        return centred @ (self.coords / np.maximum(self.values, 1e-300))
+
+
+def _nearest(x: np.ndarray, sample: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    d = np.sqrt(np.maximum(0, (x**2).sum(1)[:, None] + (sample**2).sum(1) - 2 * x @ sample.T))
+    near = np.argsort(d, axis=1, kind="stable")[:, :k]
+    return near, np.sqrt(((x[:, None] - sample[near]) ** 2).sum(2))
+
+
+def isomap(sample: np.ndarray, k: int = NEIGHBOURS, dims: int = 3) -> Isomap:
+    """The fit of at most SAMPLE_ROWS rows. Parts of the neighbour graph that do not meet are joined at their nearest rows."""
+    sample = np.asarray(sample, np.float64)
+    n = len(sample)
+    if n > SAMPLE_ROWS:
         raise ValueError("the sample is too large")
-    d = np.sqrt(np.maximum(0, (sample**2).sum(1)[:, None] + (sample**2).sum(1) - 2 * sample @ sample.T))
-    n, k = len(d), min(k, len(d) - 1)
+    near, d = _nearest(sample, sample, min(k + 1, n))
     g = np.full((n, n), np.inf)
-    near = np.argsort(d, axis=1, kind="stable")[:, : k + 1]
     for i in range(n):
-        g[i, near[i]] = g[near[i], i] = d[i, near[i]]
+        g[i, near[i]] = np.minimum(g[i, near[i]], d[i])
+        g[near[i], i] = np.minimum(g[near[i], i], d[i])
+    np.fill_diagonal(g, 0)
+    parts = _parts(np.isfinite(g))
+    for a in range(parts.max(initial=0)):
+        for b in range(a + 1, parts.max() + 1):
+            mine, others = np.flatnonzero(parts == a), np.flatnonzero(parts == b)
+            at, away = _nearest(sample[mine], sample[others], 1)
+            best = int(away[:, 0].argmin())
+            i, j = mine[best], others[at[best, 0]]
+            g[i, j] = g[j, i] = away[best, 0]
     for m in range(n):
         np.minimum(g, g[:, m : m + 1] + g[m], out=g)
-    g[np.isinf(g)] = g[np.isfinite(g)].max()
-    centre = np.eye(n) - 1 / n
-    values, vectors = np.linalg.eigh(-0.5 * centre @ (g**2) @ centre)
+    kernel = -0.5 * g**2
+    values, vectors = np.linalg.eigh(kernel - kernel.mean(0) - kernel.mean(1, keepdims=True) + kernel.mean())
     top = np.argsort(-values)[:dims]
-    return vectors[:, top] * np.sqrt(np.maximum(values[top], 0)), g
+    values, vectors = np.maximum(values[top], 0), vectors[:, top]
+    # The sign of an axis is free; its largest entry is made positive.
+    vectors = vectors * np.sign(vectors[np.abs(vectors).argmax(0), np.arange(len(top))])
+    return Isomap(sample, g, vectors * np.sqrt(values), values, min(k, n))
 
 
-def isomap_transform(df: DataFrame, vector: str, sample: np.ndarray, coords: np.ndarray, k: int = 10) -> DataFrame:
-    """df with `coords`: each vector takes the mean of its nearest sample points' places, nearer ones weigh more."""
-    dims = coords.shape[1]
+def _parts(linked: np.ndarray) -> np.ndarray:
+    """Number of the connected part of each row."""
+    out, number = np.full(len(linked), -1), 0
+    for i in range(len(linked)):
+        if out[i] < 0:
+            todo = [i]
+            while todo:
+                j = todo.pop()
+                if out[j] < 0:
+                    out[j] = number
+                    todo += np.flatnonzero(linked[j] & (out < 0)).tolist()
+            number += 1
+    return out
 
-    @F.pandas_udf("array<double>")
-    def place(v):
-        import pandas as pd
 
-        x = np.stack(v.to_numpy()).astype(np.float64)
-        d = np.sqrt(np.maximum(0, (x**2).sum(1)[:, None] + (sample**2).sum(1) - 2 * x @ sample.T))
-        near = np.argsort(d, axis=1, kind="stable")[:, :k]
-        w = 1 / (np.take_along_axis(d, near, 1) + 1e-9)
-        out = (coords[near] * w[:, :, None]).sum(1) / w.sum(1)[:, None]
-        return pd.Series(list(out.reshape(-1, dims)))
+def isomap_transform(df: DataFrame, vector: str, fit: Isomap) -> DataFrame:
+    """df with `coords`: each vector's place by its distances along the sample's graph; rows of the sample get their own."""
+    held = df.sparkSession.sparkContext.broadcast(fit)  # at most SAMPLE_ROWS ** 2 distances
+
+    @F.pandas_udf("array<double>")
+    def place(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        fit = held.value
+        for v in parts:
+            yield pd.Series([row for at in range(0, len(v), 1024) for row in fit.place(np.stack(v[at : at + 1024].to_numpy()).astype(np.float64))])
 
     return df.withColumn("coords", place(F.col(vector)))
 
@@ -191,8 +287,6 @@ def voronoi(points: DataFrame, group: str, id_: str, pad: float = 0.04) -> DataF
     kind = points.schema[id_].dataType.simpleString()
 
     def cells(pdf):
-        import pandas as pd
-
         xy, out = pdf[["x", "y"]].to_numpy(), []
         for i, p in enumerate(xy):
             poly = corners

@@ -6,10 +6,13 @@ with both bounds. Orders always end with the id, so pages are stable.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from silvan.functions import vector as V
 
@@ -33,17 +36,43 @@ def vector_of(df: DataFrame, id_: str, value: int, vector: str = "embedding") ->
 
 
 def top_k(df: DataFrame, query: Sequence[float], k: int = 10, offset: int = 0, id_: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """The nearest rows by exact cosine distance, with score = 1 - distance to 4 places. Zero vectors come last.
+    """The nearest rows by exact cosine distance, with score = 1 - distance to 4 places. Zero and null vectors come last.
 
-    The query is a literal, the scan keeps k + offset rows for each task.
+    A batch is scored as one matrix and gives on only rows that can be among its first k + offset, ties included; the sort
+    then keeps as many for each task.
     """
-    q = F.array(*(F.lit(float(x)) for x in query))
-    scored = df.withColumn("distance", V.cosine_distance(F.col(vector), q))
-    page = scored.orderBy(F.col("distance").asc_nulls_last(), id_)
+    q = np.asarray([float(x) for x in query])
+    size, least = float(np.sqrt(q @ q)), k + offset
+
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            d = _distances(batch.column(vector), q, size)
+            if len(d) > least:
+                order = np.where(np.isnan(d), np.inf, d)
+                keep = np.flatnonzero(order <= np.partition(order, least - 1)[least - 1]) if least else np.zeros(0, np.int64)
+                batch, d = batch.take(pa.array(keep)), d[keep]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(d, pa.float64(), from_pandas=True)], [*batch.schema.names, "distance"])
+
+    schema = StructType([*df.drop("distance").schema.fields, StructField("distance", DoubleType())])
+    page = df.drop("distance").mapInArrow(scored, schema).orderBy(F.col("distance").asc_nulls_last(), id_)
     page = page.offset(offset).limit(k) if offset else page.limit(k)
     return page.withColumn("score", F.bround(1 - F.col("distance"), 4)).drop("distance")
 
 
+def _distances(column: pa.Array, q: np.ndarray, size: float) -> np.ndarray:
+    """Cosine distances, NaN where a vector is null, zero or of another length."""
+    out = np.full(len(column), np.nan)
+    lengths = column.value_lengths().fill_null(-1).to_numpy(zero_copy_only=False)
+    rows = np.flatnonzero(lengths == len(q))
+    if len(rows) and size:
+        flat = column.take(pa.array(rows)).flatten()
+        x = flat.to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(rows), -1)
+        norms = np.sqrt(np.einsum("ij,ij->i", x, x))
+        with np.errstate(invalid="ignore", divide="ignore"):
+            out[rows] = np.where(norms > 0, 1 - (x @ q) / (norms * size), np.nan)
+    return out
+
+
 def without_units(spans: DataFrame, bridge: DataFrame, unit: int, span_id: str = "vec_id") -> DataFrame:
     """Spans that do not cover the unit."""
     covering = bridge.filter(F.col("unit_id") == unit).select(F.col("span_id").alias(span_id))
@@ -65,7 +94,7 @@ def matches_any(query: str, *columns: str) -> Column:
 
 
 def keyword(units: DataFrame, corpora: DataFrame, query: str, corpus_ids: Sequence | None = None, height: tuple = (None, None), depth: tuple = (None, None), limit: int = 20, offset: int = 0) -> DataFrame:
-    df = units.join(F.broadcast(corpora.select("corpus_id", F.col("name").alias("corpus"))), "corpus_id")
+    df = units.join(corpora.select("corpus_id", F.col("name").alias("corpus")), "corpus_id")
     df = keep_range(keep_range(keep_ids(df, "corpus_id", corpus_ids), "height", *height), "depth", *depth)
     df = df.filter(matches_any(query, "text", "label", "path", "corpus"))
     return df.orderBy("unit_id").offset(offset).limit(limit).withColumn("score", F.lit(1.0))
@@ -87,7 +116,7 @@ def compare(reference: int, requested: Sequence[int], vectors: DataFrame, fallba
     asked = spark.range(1).select(F.posexplode(F.array(*(F.lit(int(u)) for u in requested))).alias("place", "unit_id"))
     found = found.filter(F.col("unit_id").isin([int(reference), *map(int, requested)]))
     q = vector_of(found, "unit_id", reference, "vector")
-    score = F.bround(V.cosine(F.col("vector"), F.array(*(F.lit(x) for x in q))), 6)
+    score = F.bround(V.cosine_to(F.col("vector"), q), 6)
     return found.select("unit_id", score.alias("score")).join(F.broadcast(asked), "unit_id").orderBy("place").select("place", "unit_id", "score")
 
 

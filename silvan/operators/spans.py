@@ -2,8 +2,9 @@
 
 Leaves of one parent are taken in order. They are gathered until the next one would go over the target; a leaf above the
 maximum is cut into windows of the target's length, each moved back to a sentence end in its second half if there is
-one, and overlapping the one before. Everything is done with ordered array functions within one parent; a span's text is
-words joined by single spaces, and its offsets are those of the collapsed leaf texts.
+one, and overlapping the one before. Leaves are packed by their sizes alone (a parent's are one row, some bytes a leaf); only
+then do the texts of one span meet, which the target bounds but for a single large leaf. A span's text is words joined by
+single spaces, and its offsets are those of the collapsed leaf texts.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from silvan.functions import text as T
+from silvan.functions.arrays import let, scan
 
 
 def windows(words: Column, target: int, overlap: int) -> Column:
@@ -20,49 +22,53 @@ def windows(words: Column, target: int, overlap: int) -> Column:
     A window ends at most target words on; if that isn't the end, it moves back to the last sentence end from
     lo + max(1, target / 2) on. The next one begins overlap words before that end, but always later than this one.
     """
-    n = F.size(words)
-    none = F.array().cast("array<struct<lo:int,hi:int>>")
-
-    def step(a: Column, _: Column) -> Column:
-        lo = a["lo"]
-        raw = F.least(lo + target, n)
-        first = lo + max(1, target // 2)
-        # Candidate ends, last first: an end e closes with word e - 1.
-        ends = F.filter(F.sequence(F.least(first, raw), raw), lambda e: T.ends_sentence(F.get(words, e - 1)))
-        hi = F.when(raw == n, raw).otherwise(F.coalesce(F.array_max(ends), raw))
-        nxt = F.greatest(lo + 1, hi - overlap)
-        more = F.struct(F.when(hi >= n, n).otherwise(nxt).alias("lo"), F.concat(a["out"], F.array(F.struct(lo.alias("lo"), hi.alias("hi")))).alias("out"))
-        return F.when(lo >= n, a).otherwise(more)
-
     least = max(1, max(1, target // 2) - overlap)
-    rounds = F.sequence(F.lit(0), F.ceil(n / F.lit(least)).cast("int"))
-    return F.aggregate(rounds, F.struct(F.lit(0).alias("lo"), none.alias("out")), step, lambda a: a["out"])
+
+    def cut(words: Column) -> Column:
+        n = F.size(words)
+        # For each word the last end of a sentence up to it: an end e closes with word e - 1.
+        ends = scan(F.transform(words, lambda w, i: F.when(T.ends_sentence(w), i + 1)), F.lit(0), "int", lambda a, x: (F.coalesce(x, a), F.coalesce(x, a)))
+        rounds = F.sequence(F.lit(0), F.ceil(n / F.lit(least)).cast("int"))
+
+        def lay(ends: Column) -> Column:
+            def step(lo: Column, _: Column) -> tuple[Column, Column]:
+                raw = F.least(lo + target, n)
+                last = F.coalesce(F.get(ends, raw - 1), F.lit(0))
+                hi = F.when((raw < n) & (last >= lo + max(1, target // 2)), last).otherwise(raw)
+                window = F.when(lo < n, F.struct(lo.alias("lo"), hi.alias("hi")))
+                return F.when(hi >= n, n).otherwise(F.greatest(lo + 1, hi - overlap)), window
+
+            return F.filter(let(rounds, lambda r: scan(r, F.lit(0), "struct<lo:int,hi:int>", step)), lambda w: w.isNotNull())
+
+        return let(ends, lay)
+
+    return let(words, cut)
 
 
 def pack(sizes: Column, target: int, most: int) -> Column:
     """Group number of each size, in order: a new group where the sum would go over target; a size above most stands alone."""
 
-    def step(a: Column, s: Column) -> Column:
+    def step(a: Column, s: Column) -> tuple[Column, Column]:
         alone = s > most
         new = alone | a["closed"] | (a["sum"] + s > target)
-        group = F.when(F.size(a["out"]) == 0, F.lit(0)).when(new, a["group"] + 1).otherwise(a["group"])
-        return F.struct(group.alias("group"), F.when(new, s).otherwise(a["sum"] + s).alias("sum"), alone.alias("closed"), F.concat(a["out"], F.array(group)).alias("out"))
+        group = F.when(a["group"] < 0, F.lit(0)).when(new, a["group"] + 1).otherwise(a["group"])
+        return F.struct(group.alias("group"), F.when(new, s.cast("long")).otherwise(a["sum"] + s).alias("sum"), alone.alias("closed")), group
 
-    start = F.struct(F.lit(0).alias("group"), F.lit(0).cast("long").alias("sum"), F.lit(False).alias("closed"), F.array().cast("array<int>").alias("out"))
-    return F.aggregate(sizes, start, step, lambda a: a["out"])
+    start = F.struct(F.lit(-1).alias("group"), F.lit(0).cast("long").alias("sum"), F.lit(False).alias("closed"))
+    return let(sizes, lambda v: scan(v, start, "int", step))
 
 
 def build(leaves: DataFrame, target: int, overlap: int, most: int, keys: tuple[str, ...] = ("version_id", "parent_id")) -> DataFrame:
     """One row per span and unit: keys, span_no (from 0 within the keys), kind, text, n_words, unit_id, unit_order, weight, lo, hi.
 
-    leaves: keys, unit_id, text; null or blank texts are left out. One parent's leaves are gathered in one row.
+    leaves: keys, unit_id, text; null or blank texts are left out.
     """
     clean = leaves.select(*keys, "unit_id", T.collapse_spaces(F.col("text")).alias("text")).filter("text is not null and text != ''")
     clean = clean.withColumn("n", T.word_count(F.col("text")))
-    grouped = clean.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("unit_id", "text", "n"))).alias("l"))
-    grouped = grouped.withColumn("g", pack(F.transform("l", lambda x: x["n"]), target, most))
-    flat = grouped.select(*keys, F.explode(F.arrays_zip("l", "g")).alias("z")).select(*keys, F.col("z.g").alias("g"), "z.l.*")
-    spans = flat.groupBy(*keys, "g").agg(F.sort_array(F.collect_list(F.struct("unit_id", "text", "n"))).alias("l"))
+    packed = clean.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("unit_id", "n"))).alias("l"))
+    packed = packed.withColumn("g", pack(F.transform("l", lambda x: x["n"]), target, most))
+    packed = packed.select(F.explode(F.arrays_zip("l", "g")).alias("z")).select(F.col("z.l.unit_id").alias("unit_id"), F.col("z.g").alias("g"))
+    spans = clean.join(packed, "unit_id").groupBy(*keys, "g").agg(F.sort_array(F.collect_list(F.struct("unit_id", "text", "n"))).alias("l"))
     whole = F.array_join(F.transform("l", lambda x: x["text"]), " ")
     words = F.split(F.col("l")[0]["text"], " ")
     big = (F.size("l") == 1) & (F.col("l")[0]["n"] > most)

@@ -1,71 +1,80 @@
-"""The unit tree: closure, paths, heights, chains, leaves. Loops go level by level, as often as the tree is deep."""
+"""The unit tree: closure, paths, heights, chains, leaves. Loops go level by level, as often as the tree is deep; a step joins
+only the level before it with what is still to be reached, and its lineage is cut."""
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from silvan.session import cut
 
-#: Levels after which a loop is taken for a cycle.
-MAX_DEPTH = 64
-
 
 def closure(tree: DataFrame, id_: str = "id", parent: str = "parent_id") -> DataFrame:
-    """ancestor, descendant, distance, each node with itself at 0."""
+    """ancestor, descendant, distance, each node with itself at 0. A node above itself is a cycle, and an error."""
     edges = tree.select(F.col(id_).alias("child"), F.col(parent).alias("up")).filter(F.col("up").isNotNull())
     level = tree.select(F.col(id_).alias("ancestor"), F.col(id_).alias("descendant"), F.lit(0).alias("distance"))
-    out = [level]
-    for k in range(1, MAX_DEPTH):
-        level = level.join(edges, F.col("ancestor") == F.col("child")).select(F.col("up").alias("ancestor"), "descendant", F.lit(k).alias("distance"))
-        level = cut(level)
-        if level.isEmpty():
-            return reduce(DataFrame.unionByName, out)
+    out, k = [], 0
+    while True:
         out.append(level)
-    raise ValueError("the tree has a cycle")
+        k += 1
+        level = cut(level.join(edges, F.col("ancestor") == F.col("child")).select(F.col("up").alias("ancestor"), "descendant", F.lit(k).alias("distance")))
+        found = level.agg(F.count("*"), F.max((F.col("ancestor") == F.col("descendant")).cast("int"))).first()
+        if found[1]:
+            raise ValueError("the tree has a cycle")
+        if not found[0]:
+            return reduce(DataFrame.unionByName, out)
 
 
 def heights(tree: DataFrame, id_: str = "id", parent: str = "parent_id") -> DataFrame:
-    """id, height: the shortest distance down to a leaf. A parent is reached from its first child; later ones change nothing."""
-    t = tree.select(F.col(id_).alias("id"), F.col(parent).alias("parent_id"))
-    wave = t.join(t.select(F.col("parent_id").alias("id")).filter("id is not null").distinct(), "id", "left_anti").select("id", "parent_id", F.lit(0).alias("height"))
-    done = wave
-    for k in range(1, MAX_DEPTH):
-        reached = wave.select(F.col("parent_id").alias("id")).filter("id is not null").distinct()
-        wave = t.join(reached, "id", "left_semi").join(done.select("id"), "id", "left_anti").select("id", "parent_id", F.lit(k).alias("height"))
-        wave = cut(wave)
+    """id, height: the shortest distance down to a leaf. A parent is reached from its first child; later ones change nothing.
+    Nodes from which no leaf is reached, which are those on a cycle, have none and are left out (`without_height`)."""
+    t = tree.select(F.col(id_).alias("id"), F.col(parent).alias("up"))
+    ups = t.select(F.col("up").alias("id")).filter("id is not null").distinct()
+    rest = cut(t.join(ups, "id", "left_semi"))
+    wave = t.join(ups, "id", "left_anti")
+    out, k = [wave.select("id", F.lit(0).alias("height"))], 0
+    while True:
+        k += 1
+        wave = cut(rest.join(wave.select(F.col("up").alias("id")).distinct(), "id", "left_semi"))
         if wave.isEmpty():
-            return done.select("id", "height")
-        done = done.unionByName(wave)
-    raise ValueError("the tree has a cycle")
+            return reduce(DataFrame.unionByName, out)
+        out.append(wave.select("id", F.lit(k).alias("height")))
+        rest = cut(rest.join(wave.select("id"), "id", "left_anti"))
 
 
-def paths(tree: DataFrame, label: str = "label", id_: str = "unit_id", parent: str = "parent_id") -> DataFrame:
-    """id, path: the labels from the root down, each after a slash."""
-    t = tree.select(F.col(id_).alias("id"), F.col(parent).alias("up"), F.coalesce(F.nullif(label, F.lit("")), F.col(id_).cast("string")).alias("label"))
-    level = t.filter("up is null").select("id", F.concat(F.lit("/"), "label").alias("path"))
+def without_height(tree: DataFrame, found: DataFrame, id_: str = "id") -> DataFrame:
+    """Ids of the tree that `heights` gave no height."""
+    return tree.select(F.col(id_).alias("id")).join(found.select("id"), "id", "left_anti")
+
+
+def _below(tree: DataFrame, level: DataFrame, id_: str, parent: str, columns: dict) -> DataFrame:
+    """All rows from level (id, ...) down; columns: how each further column follows from the parent's (named p_...) and the child's.
+    In a tree no node is below itself, so the loop ends; a level that comes to a root again is a cycle, and an error."""
+    t = tree.withColumns({"__id": F.col(id_), "__up": F.col(parent)})
+    begun = level = cut(level)
     out = [level]
-    for _ in range(MAX_DEPTH):
-        level = t.join(level.withColumnRenamed("id", "up"), "up").select("id", F.concat("path", F.lit("/"), "label").alias("path"))
+    while True:
+        above = level.select(*(F.col(c).alias(f"p_{c}") for c in level.columns))
+        level = cut(t.join(above, F.col("__up") == F.col("p_id")).select(F.col("__id").alias("id"), *(e.alias(c) for c, e in columns.items())))
         if level.isEmpty():
             return reduce(DataFrame.unionByName, out)
+        if not level.join(begun.select("id"), "id", "left_semi").isEmpty():
+            raise ValueError("the tree has a cycle")
         out.append(level)
-    raise ValueError("the tree has a cycle")
+
+
+def paths(tree: DataFrame, label: str = "label", id_: str = "unit_id", parent: str = "parent_id") -> DataFrame:
+    """id, path: the labels from the root down, each after a slash."""
+    name = F.coalesce(F.nullif(F.col(label), F.lit("")), F.col(id_).cast("string"))
+    top = tree.filter(F.col(parent).isNull()).select(F.col(id_).alias("id"), F.concat(F.lit("/"), name).alias("path"))
+    return _below(tree, top, id_, parent, {"path": F.concat("p_path", F.lit("/"), name)})
 
 
 def descendants(tree: DataFrame, root: int, id_: str = "unit_id", parent: str = "parent_id") -> DataFrame:
     """Ids below and with root, from the top: only the subtree is walked."""
-    t = tree.select(F.col(id_).alias("id"), F.col(parent).alias("up"))
-    level = t.filter(F.col("id") == root).select("id")
-    out = [level]
-    for _ in range(MAX_DEPTH):
-        level = t.join(level.withColumnRenamed("id", "up"), "up").select("id")
-        if level.isEmpty():
-            return reduce(DataFrame.unionByName, out)
-        out.append(level)
-    raise ValueError("the tree has a cycle")
+    return _below(tree, tree.filter(F.col(id_) == root).select(F.col(id_).alias("id")), id_, parent, {})
 
 
 def leaves(tree: DataFrame, root: int, limit: int = 200, offset: int = 0) -> DataFrame:
@@ -75,17 +84,17 @@ def leaves(tree: DataFrame, root: int, limit: int = 200, offset: int = 0) -> Dat
 
 
 def ancestors(tree: DataFrame, node: int, id_: str = "unit_id", parent: str = "parent_id") -> DataFrame:
-    """id, place: from the root (0) to node itself. Walks up, stops at a missing parent."""
-    t = tree.select(F.col(id_).alias("id"), F.col(parent).alias("up"))
-    level = t.filter(F.col("id") == node).withColumn("back", F.lit(0))
-    out = [level]
-    for k in range(1, MAX_DEPTH):
-        level = t.join(level.select(F.col("up").alias("id")), "id").withColumn("back", F.lit(k))
-        if level.isEmpty():
+    """id, place: from the root (0) to node itself. Walks up one row at a time, stops at a missing parent and before a node that
+    it has met; empty if node is missing."""
+    chain, here = [], node
+    while here is not None and here not in chain:
+        row = tree.filter(F.col(id_) == here).select(F.col(parent)).first()
+        if row is None:
             break
-        out.append(level)
-    chain = reduce(DataFrame.unionByName, out)
-    return chain.select("id", (F.max("back").over(Window.partitionBy()) - F.col("back")).alias("place"))
+        chain.append(here)
+        here = row[0]
+    rows = [(u, k) for k, u in enumerate(reversed(chain))]
+    return tree.sparkSession.createDataFrame(rows, "id long, place int").withColumn("id", F.col("id").cast(tree.schema[id_].dataType))
 
 
 def roots(tree: DataFrame, version: int | None = None) -> DataFrame:
@@ -105,10 +114,10 @@ def children_preview(tree: DataFrame, parent: int, limit: int | None = None, off
     return out.select("unit_id", "label", "depth", F.coalesce("n_children", F.lit(0)).alias("n_children"), F.col("first.unit_id").alias("first_child"), F.col("first.label").alias("first_label"))
 
 
-def division(tree: DataFrame, id_: str = "unit_id") -> DataFrame:
-    """unit_id, division: the ancestor at depth 0, the unit itself if it is there."""
-    top = tree.filter("depth = 0").select(F.col(id_).alias("ancestor"))
-    return closure(tree, id_).join(top, "ancestor").select(F.col("descendant").alias(id_), F.col("ancestor").alias("division"))
+def division(tree: DataFrame, id_: str = "unit_id", parent: str = "parent_id") -> DataFrame:
+    """unit_id, division: the ancestor at depth 0, the unit itself if it is there; units that hang on none are left out."""
+    top = tree.filter("depth = 0").select(F.col(id_).alias("id"), F.col(id_).alias("division"))
+    return _below(tree, top, id_, parent, {"division": F.col("p_division")}).withColumnRenamed("id", id_)
 
 
 def ancestor_per_height(tree: DataFrame, id_: str = "unit_id") -> DataFrame:
@@ -118,14 +127,15 @@ def ancestor_per_height(tree: DataFrame, id_: str = "unit_id") -> DataFrame:
 
 
 def first_level_below(tree: DataFrame, id_: str = "unit_id") -> DataFrame:
-    """unit_id (height above 1), below: its descendants of height 1 with none of height 1 or less between."""
-    h = tree.select(F.col(id_).alias("id"), F.col("parent_id").alias("up"), "height")
+    """unit_id (height above 1), below: its descendants of height 1 with none of height 1 or less between; no rows if no unit is above height 1."""
+    h = cut(tree.filter("height >= 1").select(F.col(id_).alias("id"), F.col("parent_id").alias("up"), "height"))
     level = h.filter("height > 1").select(F.col("id").alias("top"), "id")
-    out = []
-    for _ in range(MAX_DEPTH):
-        level = level.withColumnRenamed("id", "up").join(h, "up").select("top", "id", "height")
+    out = [h.select(F.col("id").alias(id_), F.col("id").alias("below")).limit(0)]
+    while True:
+        level = cut(level.withColumnRenamed("id", "up").join(h, "up").select("top", "id", "height"))
         if level.isEmpty():
-            break
+            return reduce(DataFrame.unionByName, out)
+        if not level.filter("top = id").isEmpty():
+            raise ValueError("the tree has a cycle")
         out.append(level.filter("height = 1").select(F.col("top").alias(id_), F.col("id").alias("below")))
         level = level.filter("height > 1").select("top", "id")
-    return reduce(DataFrame.unionByName, out)

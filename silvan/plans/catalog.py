@@ -28,12 +28,13 @@ def query(sql: str | None = None, domain: bool = True):
 
 
 def _vectors(s, d):
-    return read_table(s, d, "embeddings").join(read_table(s, d, "documents").select(F.col("doc_id").alias("vec_id"), "lang", "source"), "vec_id")
+    """All vectors, with the lang and source of their documents if they have one."""
+    return read_table(s, d, "embeddings").join(read_table(s, d, "documents").select(F.col("doc_id").alias("vec_id"), "lang", "source"), "vec_id", "left")
 
 
 _DIST = """q AS (SELECT CAST(embedding AS DOUBLE[]) AS q FROM embeddings WHERE vec_id = 0),
 v AS (SELECT e.vec_id, e.label, d.lang, d.source, 1 - list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), q.q) AS dist
-      FROM embeddings e JOIN documents d ON d.doc_id = e.vec_id, q)
+      FROM embeddings e LEFT JOIN documents d ON d.doc_id = e.vec_id, q)
 """
 
 
@@ -41,7 +42,9 @@ v AS (SELECT e.vec_id, e.label, d.lang, d.source, 1 - list_cosine_similarity(CAS
 @query(_DIST + "SELECT vec_id, lang, source, round_even(1 - dist, 4) AS score FROM v WHERE vec_id <> 0 ORDER BY dist, vec_id LIMIT 10")
 def vector_topk(s, d):
     e = read_table(s, d, "embeddings")
-    return search.top_k(_vectors(s, d).filter("vec_id != 0"), search.vector_of(e, "vec_id", 0)).select("vec_id", "lang", "source", "score")
+    page = search.top_k(e.filter("vec_id != 0").select("vec_id", "embedding"), search.vector_of(e, "vec_id", 0))
+    of = read_table(s, d, "documents").select(F.col("doc_id").alias("vec_id"), "lang", "source")
+    return page.join(of, "vec_id", "left").select("vec_id", "lang", "source", "score")
 
 
 @query(_DIST + "SELECT vec_id, lang, label, round_even(1 - dist, 4) AS score FROM v WHERE lang IN ('en', 'fr') AND label BETWEEN 2 AND 6 ORDER BY dist, vec_id LIMIT 15")
@@ -54,13 +57,14 @@ def vector_topk_filtered(s, d):
 @query(_DIST + "SELECT vec_id, round_even(1 - dist, 4) AS score FROM v ORDER BY dist, vec_id LIMIT 10 OFFSET 10")
 def vector_topk_offset(s, d):
     e = read_table(s, d, "embeddings")
-    return search.top_k(_vectors(s, d), search.vector_of(e, "vec_id", 0), 10, 10).select("vec_id", "score")
+    return search.top_k(e.select("vec_id", "embedding"), search.vector_of(e, "vec_id", 0), 10, 10).select("vec_id", "score")
 
 
 @query(_DIST + "SELECT vec_id, round_even(1 - dist, 4) AS score FROM v WHERE NOT EXISTS (SELECT 1 FROM bridge b WHERE b.span_id = v.vec_id AND b.unit_id = 5) ORDER BY dist, vec_id LIMIT 10")
 def vector_topk_exclude_anti(s, d):
     e = read_table(s, d, "embeddings")
-    return search.top_k(search.without_units(_vectors(s, d), D.bridge(s, d), 5), search.vector_of(e, "vec_id", 0)).select("vec_id", "score")
+    found = search.without_units(e.select("vec_id", "embedding"), D.bridge(s, d), 5)
+    return search.top_k(found, search.vector_of(e, "vec_id", 0)).select("vec_id", "score")
 
 
 _UNITVEC = """p AS (
@@ -116,7 +120,7 @@ def visible_units(s, d):
 @query(_DIST + "SELECT vec_id, CASE WHEN 1 - dist >= 0.75 THEN 'high' WHEN 1 - dist >= 0.5 THEN 'medium' ELSE 'low' END AS band FROM v")
 def score_bands(s, d):
     q = search.vector_of(read_table(s, d, "embeddings"), "vec_id", 0)
-    return _vectors(s, d).select("vec_id", T.score_band(V.cosine(F.col("embedding"), F.array(*map(F.lit, q)))).alias("band"))
+    return read_table(s, d, "embeddings").select("vec_id", T.score_band(V.cosine_to(F.col("embedding"), q)).alias("band"))
 
 
 # ---- keyword search ----
@@ -302,7 +306,7 @@ SELECT r.profile, r.corpus, count(*) AS span_count, min(tokens) AS tokens_min, r
 max(tokens) FILTER (k = least(n - 1, CAST(floor(n * 0.95) AS BIGINT))) AS tokens_p95, round_even(sum(u) / any_value(n_units), 4) AS spans_per_unit
 FROM r JOIN nu ON nu.profile = r.profile AND nu.corpus = r.corpus GROUP BY r.profile, r.corpus""")
 def span_audit(s, d):
-    sp = _vectors(s, d).join(read_table(s, d, "documents").select(F.col("doc_id").alias("vec_id"), "n_chars"), "vec_id")
+    sp = read_table(s, d, "embeddings").join(read_table(s, d, "documents").select(F.col("doc_id").alias("vec_id"), "lang", "n_chars"), "vec_id")
     sp = sp.select(F.col("vec_id").alias("span_id"), F.col("label").cast("string").alias("profile"), F.col("lang").alias("corpus"), F.col("n_chars").alias("tokens"))
     br = D.bridge(s, d).select("span_id", "unit_id", F.col("unit_order").alias("start"), (F.col("unit_order") + 1).alias("stop"))
     return audit.span_audit(sp, br)
@@ -419,7 +423,7 @@ p AS (SELECT source, i, sum(w * CAST(embedding[i] AS DOUBLE)) / sum(w) AS x FROM
 n AS (SELECT source, sqrt(sum(x * x)) AS n FROM p GROUP BY source)
 SELECT p.source, CAST(i - 1 AS INT) AS pos, round(x / n, 6) AS value FROM p JOIN n ON n.source = p.source""")
 def weighted_rollup(s, d):
-    e = _vectors(s, d).join(read_table(s, d, "documents").select(F.col("doc_id").alias("vec_id"), "n_chars"), "vec_id")
+    e = read_table(s, d, "embeddings").join(read_table(s, d, "documents").select(F.col("doc_id").alias("vec_id"), "source", "n_chars"), "vec_id")
     v = V.weighted_average(e, "source", "embedding", "n_chars")
     return v.select("source", F.posexplode("vector").alias("pos", "v")).select("source", "pos", F.round("v", 6).alias("value"))
 
@@ -494,10 +498,31 @@ ev AS (SELECT ed.label, ed.i, ed.j, ed.e, coalesce(a.value, 0) AS v0, coalesce(b
        FROM ed JOIN l ON l.label = ed.label LEFT JOIN f a ON a.label = ed.label AND a.i = ed.i AND a.j = ed.j
        LEFT JOIN f b ON b.label = ed.label AND b.i = ed.i + (ed.e = 'x')::INT AND b.j = ed.j + (ed.e = 'y')::INT, (VALUES (0.18::DOUBLE), (0.32), (0.48), (0.66)) s(s))
 SELECT label, level, CAST(i AS INT) AS i, CAST(j AS INT) AS j, e AS edge, round((cut - v0) / (v1 - v0), 4) AS "at" FROM ev WHERE (v0 < cut) <> (v1 < cut)""")
-def contour_segments(s, d):
+def contour_crossings(s, d):
     return projection.contour_crossings(projection.density(_points(s, d), "label"), "label").withColumn("at", F.round("at", 4))
 
 
+_CROSSED = """, l AS (SELECT label, max(value) AS top FROM f GROUP BY label),
+ed AS (SELECT DISTINCT label, i - di AS i, j - dj AS j, e FROM f, (VALUES ('x', 0, 0), ('y', 0, 0), ('x', 1, 0), ('y', 0, 1)) t(e, di, dj) WHERE i - di >= 0 AND j - dj >= 0),
+ev AS (SELECT ed.label, ed.i, ed.j, ed.e, coalesce(a.value, 0) AS v0, coalesce(b.value, 0) AS v1, s.s AS level, s.s * l.top AS cut
+       FROM ed JOIN l ON l.label = ed.label LEFT JOIN f a ON a.label = ed.label AND a.i = ed.i AND a.j = ed.j
+       LEFT JOIN f b ON b.label = ed.label AND b.i = ed.i + (ed.e = 'x')::INT AND b.j = ed.j + (ed.e = 'y')::INT, (VALUES (0.18::DOUBLE), (0.32), (0.48), (0.66)) s(s)),
+cr AS (SELECT label, level, i, j, e, (cut - v0) / (v1 - v0) AS t FROM ev WHERE (v0 < cut) <> (v1 < cut)),
+sd AS (
+  SELECT label, level, i AS ci, j AS cj, CASE e WHEN 'x' THEN 0 ELSE 3 END AS side, CASE e WHEN 'x' THEN i + t ELSE i END AS x, CASE e WHEN 'x' THEN j ELSE j + t END AS y FROM cr
+  UNION ALL
+  SELECT label, level, CASE e WHEN 'x' THEN i ELSE i - 1 END, CASE e WHEN 'x' THEN j - 1 ELSE j END, CASE e WHEN 'x' THEN 2 ELSE 1 END, CASE e WHEN 'x' THEN i + t ELSE i END, CASE e WHEN 'x' THEN j ELSE j + t END FROM cr),
+nm AS (SELECT *, row_number() OVER (PARTITION BY label, level, ci, cj ORDER BY side) - 1 AS k FROM sd WHERE ci >= 0 AND cj >= 0)
+SELECT a.label, a.level, CAST(a.ci AS INT) AS i, CAST(a.cj AS INT) AS j, CAST(a.k // 2 AS INT) AS part, round(a.x, 4) AS x0, round(a.y, 4) AS y0, round(b.x, 4) AS x1, round(b.y, 4) AS y1
+FROM nm a JOIN nm b ON b.label = a.label AND b.level = a.level AND b.ci = a.ci AND b.cj = a.cj AND b.k = a.k + 1 WHERE a.k % 2 = 0"""
+
+
+@query(_FIELD + _CROSSED)
+def contour_segments(s, d):
+    found = projection.contour_segments(projection.density(_points(s, d), "label"), "label")
+    return found.select("label", "level", "i", "j", "part", *(F.round(c, 4).alias(c) for c in ("x0", "y0", "x1", "y1")))
+
+
 @query()
 def pca_variance(s, d):
     _, _, shares = projection.explained_variance(read_table(s, d, "embeddings"), "embedding")
@@ -508,15 +533,21 @@ def pca_variance(s, d):
     return s.createDataFrame(rows, "component int, share double, cumulative double")
 
 
+#: Vectors of each source in an Isomap's sample, which so has at most projection.SAMPLE_ROWS rows.
+PER_SOURCE = 25
+
+
 @query()
 def isomap(s, d):
+    """Fit on up to PER_SOURCE vectors of each source, cut at the bound; all vectors are placed."""
     e = read_table(s, d, "embeddings").select("vec_id", "embedding")
-    sample = projection.stratified_sample(e.withColumn("k", F.lit(0)).withColumn("stratum", F.pmod(F.xxhash64("vec_id"), F.lit(8))), "stratum", "vec_id", 25)
+    sources = read_table(s, d, "documents").select(F.col("doc_id").alias("vec_id"), "source")
+    sample = projection.stratified_sample(e.join(sources, "vec_id", "left"), "source", "vec_id", PER_SOURCE)
     import numpy as np
 
-    x = np.array([r["embedding"] for r in sample.orderBy("vec_id").select("embedding").collect()], np.float64)
-    coords, _ = projection.isomap(x)
-    return projection.isomap_transform(e, "embedding", x, coords).select("vec_id", F.transform("coords", lambda c: F.round(c, 5)).alias("coords"))
+    rows = sample.orderBy(F.xxhash64("vec_id"), "vec_id").limit(projection.SAMPLE_ROWS).select("vec_id", "embedding").collect()
+    fit = projection.isomap(np.array([r["embedding"] for r in sorted(rows, key=lambda r: r["vec_id"])], np.float64))
+    return projection.isomap_transform(e, "embedding", fit).select("vec_id", F.transform("coords", lambda c: F.round(c, 5)).alias("coords"))
 
 
 @query()

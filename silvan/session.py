@@ -40,13 +40,15 @@ def ship(spark: SparkSession) -> None:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df with its lineage cut, for loops that use a step's result more than once: a checkpoint where a shared folder is set,
-    else kept in the session's storage."""
+    """df with its lineage cut by a checkpoint in the folder of spark.checkpoint.dir, for loops that use a step's result more
+    than once. Only in local mode, where driver and executors are one process, an unset folder is one of this machine."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        shared = context.getConf().get("spark.checkpoint.dir")
+        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
         if not shared:
-            return df.persist()
+            if not context.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+            shared = "file:///tmp/checkpoints/silvan"
         context.setCheckpointDir(shared)
     return df.checkpoint()
 

@@ -97,3 +97,94 @@ def test_units_of_documents_without_lang_or_source(spark, tmp_path):
     assert roots == {1: (1, "s"), 2: (1, D.NAMELESS), 3: (2, "s"), 4: (2, D.NAMELESS)}
     assert {u["unit_id"] - D.DOC: u["version_id"] for u in units if u["depth"] == 1} == {1: 1, 2: 3, 3: 2, 4: 4, 5: 3}
     assert catalog.QUERIES["coverage_by_version"](spark, str(tmp_path)).count() == 4
+
+
+def test_trees_without_levels_and_with_cycles(spark):
+    t = spark.createDataFrame([(1, None, 0, 0), (2, 1, 1, 0)], "unit_id long, parent_id long, height int, depth int")
+    assert tree.first_level_below(t.limit(0)).count() == tree.first_level_below(t).count() == 0
+    chain = spark.createDataFrame([(i, i - 1 if i else None) for i in range(100)], "unit_id long, parent_id long")
+    assert [r["id"] for r in tree.ancestors(chain, 99).orderBy("place").collect()] == list(range(100))
+    assert tree.ancestors(chain, 500).count() == 0
+    ring = spark.createDataFrame([(1, 2), (2, 1), (3, None), (4, 3)], "id long, parent_id long")
+    assert [r["id"] for r in tree.ancestors(ring, 1, "id").orderBy("place").collect()] == [2, 1]
+    found = tree.heights(ring)
+    assert dict(found.collect()) == {3: 1, 4: 0} and sorted(r["id"] for r in tree.without_height(ring, found).collect()) == [1, 2]
+    assert {r["id"]: r["path"] for r in tree.paths(ring.withColumn("label", F.lit(None).cast("string")), "label", "id").collect()} == {3: "/3", 4: "/3/4"}
+    with pytest.raises(ValueError):
+        tree.descendants(ring, 1, "id")
+
+
+def test_packing_and_windows_of_many(spark):
+    rng = np.random.default_rng(3)
+    sizes = rng.integers(1, 30, 1000).tolist()
+    got = spark.createDataFrame([(sizes,)], "s array<int>").select(spans.pack(F.col("s"), 40, 25)).first()[0]
+    want, group, total, closed = [], -1, 0, False
+    for n in sizes:
+        if group < 0 or n > 25 or closed or total + n > 40:
+            group, total = group + 1, 0
+        total, closed = total + n, n > 25
+        want.append(group)
+    assert got == want
+    words = ["w" + ("." if x else "") for x in rng.random(5000) < 0.05]
+    got = spark.createDataFrame([(words,)], "w array<string>").select(spans.windows(F.col("w"), 50, 10)).first()[0]
+    lo, want = 0, []
+    while lo < len(words):
+        raw = min(lo + 50, len(words))
+        ends = [e for e in range(lo + 25, raw + 1) if words[e - 1].endswith(".")]
+        hi = raw if raw == len(words) or not ends else ends[-1]
+        want.append((lo, hi))
+        if hi >= len(words):
+            break
+        lo = max(lo + 1, hi - 10)
+    assert [(w["lo"], w["hi"]) for w in got] == want
+
+
+def test_nearest_vectors_with_ties_and_zeros(spark):
+    rows = [(i, [1.0, 0.0]) for i in range(40)] + [(100, [0.0, 0.0]), (101, None), (102, [0.0, 1.0]), (103, [1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").coalesce(1)
+    got = search.top_k(df, [2.0, 0.0], 50).collect()
+    assert [r["vec_id"] for r in got] == [*range(40), 102, 100, 101, 103] and [r["score"] for r in got[39:]] == [1.0, 0.0, None, None, None]
+    assert [r["vec_id"] for r in search.top_k(df, [2.0, 0.0], 3, 2).collect()] == [2, 3, 4]
+
+
+def test_moments_over_many_partitions(spark):
+    x = np.random.default_rng(4).normal(size=(300, 5))
+    df = spark.createDataFrame([(r.tolist(),) for r in x] + [(None,)], "v array<double>").repartition(130)
+    n, mean, cov = projection.moments(df, "v")
+    assert n == 300 and np.allclose(mean, x.mean(0)) and np.allclose(cov, np.cov(x.T))
+
+
+def test_isomap_against_plain_distances(spark):
+    rng = np.random.default_rng(5)
+    # A bent line: places along it are what the distances along the graph show.
+    t = np.linspace(0, 3, 120) + rng.random(120) * 0.01
+    x = np.column_stack((np.cos(t), np.sin(t), t * 0.1))
+    fit = projection.isomap(x, 6, 2)
+    g = np.full((120, 120), np.inf)
+    d = np.linalg.norm(x[:, None] - x, axis=2)
+    for i in range(120):
+        near = np.argsort(d[i])[:7]
+        g[i, near] = g[near, i] = d[i, near]
+    for m in range(120):
+        g = np.minimum(g, g[:, m : m + 1] + g[m])
+    assert np.allclose(g, fit.geodesic) and abs(np.corrcoef(fit.coords[:, 0], t)[0, 1]) > 0.99
+    assert np.allclose(fit.place(x), fit.coords, atol=1e-6)
+    new = np.column_stack((np.cos([0.7, 1.9]), np.sin([0.7, 1.9]), [0.07, 0.19]))
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(np.vstack((x[:3], new)))], "id long, v array<double>")
+    got = {r["id"]: r["coords"] for r in projection.isomap_transform(df, "v", fit).collect()}
+    assert np.allclose([got[i] for i in range(3)], fit.coords[:3], atol=1e-6)
+    order = np.argsort(np.append(fit.coords[:, 0], [got[3][0], got[4][0]]))
+    by_t = np.argsort(np.append(t, [0.7, 1.9]))
+    assert (order == by_t).mean() > 0.9 or (order[::-1] == by_t).mean() > 0.9
+    # Two parts far from each other are joined at their nearest rows.
+    two = projection.isomap(np.vstack((x, x + [50, 0, 0])), 6, 2)
+    assert np.isfinite(two.geodesic).all() and two.geodesic[:120, 120:].min() == pytest.approx(np.linalg.norm(x[:, None] - (x + [50, 0, 0]), axis=2).min())
+
+
+def test_contours_close(spark):
+    xy = np.random.default_rng(6).normal(size=(300, 2))
+    points = spark.createDataFrame([(1, float(a), float(b)) for a, b in xy], "g int, x double, y double")
+    segments = projection.contour_segments(projection.density(points, "g"), "g").filter("level = 0.48").collect()
+    ends = [(round(r[f"x{k}"], 6), round(r[f"y{k}"], 6)) for r in segments for k in (0, 1)]
+    # The padded box is not reached at this level, so every end is met by another one.
+    assert segments and all(ends.count(e) == 2 for e in ends)
