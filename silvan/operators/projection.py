@@ -235,8 +235,7 @@ def isomap(sample: np.ndarray, k: int = NEIGHBOURS, dims: int = 3) -> Isomap:
             best = int(away[:, 0].argmin())
             i, j = mine[best], others[at[best, 0]]
             g[i, j] = g[j, i] = away[best, 0]
-    for m in range(n):
-        np.minimum(g, g[:, m : m + 1] + g[m], out=g)
+    _shortest(g)
     kernel = -0.5 * g**2
     values, vectors = np.linalg.eigh(kernel - kernel.mean(0) - kernel.mean(1, keepdims=True) + kernel.mean())
     top = np.argsort(-values)[:dims]
@@ -246,6 +245,26 @@ def isomap(sample: np.ndarray, k: int = NEIGHBOURS, dims: int = 3) -> Isomap:
     return Isomap(sample, g, vectors * np.sqrt(values), values, min(k, n))
 
 
+def _shortest(g: np.ndarray) -> None:
+    """Lengths of edges (infinite where there is none) become lengths of shortest ways, in place: each row takes what its
+    neighbours reach, until nothing gets shorter. A round costs edges * rows, and there are as many as a way has edges."""
+    linked = np.isfinite(g)
+    np.fill_diagonal(linked, False)
+    near = [np.flatnonzero(row) for row in linked]
+    most = max((len(x) for x in near), default=0)
+    slots = []
+    for s in range(most):
+        rows = np.array([i for i, x in enumerate(near) if len(x) > s])
+        to = np.array([near[i][s] for i in rows])
+        slots.append((rows, to, g[rows, to][:, None].copy()))
+    while True:
+        before = g.copy()
+        for rows, to, length in slots:
+            g[rows] = np.minimum(g[rows], g[to] + length)
+        if (g == before).all():
+            return
+
+
 def _parts(linked: np.ndarray) -> np.ndarray:
     """Number of the connected part of each row."""
     out, number = np.full(len(linked), -1), 0
