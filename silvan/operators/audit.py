@@ -51,7 +51,7 @@ def leaf_histogram(units: DataFrame, bins: int = 70) -> DataFrame:
     ends = m.groupBy("corpus_id").agg(F.min("n_words").alias("low"), F.max("n_words").alias("high"), F.count("*").alias("all"))
     width = F.greatest((F.col("high") - F.col("low")) / F.lit(float(bins)), F.lit(1e-9))
     place = F.least(F.floor((F.col("n_words") - F.col("low")) / width), F.lit(bins - 1)).cast("long")
-    counted = m.join(F.broadcast(ends), "corpus_id").groupBy("corpus_id", place.alias("bin"), "all", width.alias("width")).agg(F.count("*").alias("n"))
+    counted = m.join(ends, "corpus_id").groupBy("corpus_id", place.alias("bin"), "all", width.alias("width")).agg(F.count("*").alias("n"))
     return counted.select("corpus_id", "bin", "n", F.bround(F.col("n") / (F.col("all") * F.col("width")), 6).alias("density"))
 
 

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import json
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from silvan.functions import text as T
+from silvan.operators.tree import heights, paths
+from silvan.session import cut
 
 
 def new_versions(parsed: DataFrame, existing: DataFrame) -> DataFrame:
@@ -17,18 +22,111 @@ def new_versions(parsed: DataFrame, existing: DataFrame) -> DataFrame:
 def assign_ids(parsed: DataFrame, first_id: int, order: str = "position") -> DataFrame:
     """unit_id and parent_id for units with key and parent_key, parents by key within a version; a missing parent makes a root.
 
-    Ids are counted within ranges of the sorted units and shifted by the ranges' counts, so no task numbers all rows.
+    Ids are counted within ranges of the sorted units and shifted by the ranges' counts, so no task numbers all rows. The
+    ranges are written once (a checkpoint), as a second reading could cut them elsewhere.
     """
     keys = ["corpus", "translation"]
-    ranged = parsed.repartitionByRange(*keys, order).sortWithinPartitions(*keys, order).withColumn("__p", F.spark_partition_id()).persist()
+    ranged = cut(parsed.repartitionByRange(*keys, order).sortWithinPartitions(*keys, order).withColumn("__p", F.spark_partition_id()))
     counts = ranged.groupBy("__p").count()
     start = counts.select("__p", F.coalesce(F.sum("count").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__s"))
     nth = F.row_number().over(Window.partitionBy("__p").orderBy(*keys, order))
-    df = ranged.withColumn("__n", nth).join(F.broadcast(start), "__p").withColumn("unit_id", F.col("__s") + F.col("__n") + F.lit(first_id - 1).cast("long")).drop("__p", "__n", "__s")
-    parents = df.select(*keys, F.col("key").alias("parent_key"), F.col("unit_id").alias("parent_id"))
+    df = ranged.withColumn("__n", nth).join(start, "__p").withColumn("unit_id", F.col("__s") + F.col("__n") + F.lit(first_id - 1).cast("long")).drop("__p", "__n", "__s")
+    parents = df.select(*keys, F.col("key").alias("parent_key"), F.col("unit_id").alias("parent_id")).dropDuplicates([*keys, "parent_key"])
     return df.join(parents, [*keys, "parent_key"], "left")
 
 
+def version_metadata(path: str | None) -> str | None:
+    """A version's metadata: where it was taken in from."""
+    return None if path is None else json.dumps({"ingest_input_path": path}, ensure_ascii=False)
+
+
+@dataclass(frozen=True)
+class Version:
+    """What is to be taken in beside the units: names, levels from the top, places in the taxonomy, source and input path."""
+
+    corpus: str
+    translation: str
+    translator: str | None = None
+    origin: str | None = None
+    language: str = "en"
+    levels: tuple[str, ...] = ()
+    taxonomy: tuple[str, ...] = ()
+    source_key: str | None = None
+    url: str | None = None
+    path: str | None = None
+
+
+#: The tables that an ingest adds to, and their columns.
+TABLES = {
+    "corpus": "corpus_id long, name string, origin string",
+    "version": "version_id long, corpus_id long, source_id long, translation string, translator string, language string, metadata string",
+    "level": "corpus_id long, height int, name string",
+    "source": "id long, source_key string, url string",
+    "link": "corpus_id long, taxonomy_id long",
+    "unit": "unit_id long, version_id long, corpus_id long, parent_id long, depth int, height int, label string, author string, text string, uncleaned_text string, path string, metadata string",
+}
+
+
+def empty_tables(spark: SparkSession) -> dict[str, DataFrame]:
+    return {name: spark.createDataFrame([], schema) for name, schema in TABLES.items()}
+
+
+def ingest(units: DataFrame, wanted: list[Version], tables: dict[str, DataFrame], taxonomy: DataFrame) -> dict[str, DataFrame]:
+    """The rows that taking in the versions adds to each table, and `missing`: taxonomy names that there are not.
+
+    units: corpus, translation and the columns of sources.corpora.UNIT; taxonomy: id, name. A version (corpus and translation) that
+    exists is skipped whole; a corpus is made once; its levels and links are added where they are missing. A source key with
+    another url is an error, and so is a unit from which no leaf is reached. What is wanted is a list, one entry a version.
+    """
+    spark = units.sparkSession
+    rows = [(v.corpus, v.translation, v.translator, v.origin, v.language, list(v.levels), list(v.taxonomy), v.source_key, v.url, version_metadata(v.path)) for v in wanted]
+    asked = spark.createDataFrame(rows, "corpus string, translation string, translator string, origin string, language string, levels array<string>, names array<string>, source_key string, url string, metadata string")
+    known = tables["version"].join(tables["corpus"].select("corpus_id", F.col("name").alias("corpus")), "corpus_id").select("corpus", "translation")
+    new = new_versions(asked, known)
+    next_ids = lambda table, id_: tables[table].agg(F.coalesce(F.max(id_), F.lit(0))).first()[0]
+    number = lambda df, order, top, name: df.withColumn(name, F.row_number().over(Window.orderBy(*order)) + F.lit(top).cast("long"))
+    names = new.groupBy(F.col("corpus").alias("name")).agg(F.min("origin").alias("origin")).join(tables["corpus"].select("name"), "name", "left_anti")
+    corpora = number(names, ["name"], next_ids("corpus", "corpus_id"), "corpus_id").select("corpus_id", "name", "origin")
+    every = tables["corpus"].select("corpus_id", "name").unionByName(corpora.select("corpus_id", "name"))
+    found = resolve_sources(new.filter("source_key is not null").select("source_key", "url").distinct(), tables["source"])
+    sources = number(found.filter("source_id is null"), ["source_key"], next_ids("source", "id"), "id").select("id", "source_key", "url")
+    source_of = found.filter("source_id is not null").select("source_key", "source_id").unionByName(sources.select("source_key", F.col("id").alias("source_id")))
+    named = new.join(every.withColumnRenamed("name", "corpus"), "corpus").join(source_of, "source_key", "left")
+    named = cut(number(named, ["corpus", "translation"], next_ids("version", "version_id"), "version_id"))
+    versions = named.select("version_id", "corpus_id", "source_id", "translation", "translator", "language", "metadata")
+    level = named.select("corpus_id", F.posexplode(F.reverse("levels")).alias("height", "name")).dropDuplicates(["corpus_id", "height"])
+    levels = level.join(tables["level"], ["corpus_id", "height"], "left_anti").select("corpus_id", "height", "name")
+    links, missing = link_taxonomy(named.select(F.col("corpus_id").alias("corpus"), "names"), taxonomy, tables["link"].select(F.col("corpus_id").alias("corpus"), "taxonomy_id"))
+    mine = units.join(named.select("corpus", "translation", "corpus_id", "version_id"), ["corpus", "translation"])
+    placed = cut(assign_ids(mine, next_ids("unit", "unit_id") + 1))
+    with_path = placed.join(paths(placed).withColumnRenamed("id", "unit_id"), "unit_id").join(heights(placed, "unit_id").withColumnRenamed("id", "unit_id"), "unit_id", "left")
+    checked = F.when(F.col("height").isNotNull(), F.col("height")).otherwise(F.raise_error(F.concat(F.lit("no height: unit "), "unit_id")).cast("int"))
+    made = with_path.select("unit_id", "version_id", "corpus_id", "parent_id", "depth", checked.alias("height"), "label", "author", "text", "uncleaned_text", "path", "metadata")
+    return {"corpus": corpora, "version": versions, "level": levels, "source": sources, "link": links.select(F.col("corpus").alias("corpus_id"), "taxonomy_id"), "unit": made, "missing": missing}
+
+
+def normalise_sources(versions: DataFrame, catalog: DataFrame, existing: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """versions (version_id, corpus, translation, ...) with source_id, and the sources there are then. Every version must have an
+    entry in the catalogue (corpus, translation, source_key, url): an error names those that have none, and nothing is changed."""
+    lost = versions.join(catalog.select("corpus", "translation"), ["corpus", "translation"], "left_anti").select("corpus", "translation").limit(20).collect()
+    if lost:
+        raise LookupError("no source for " + ", ".join(f"{r['corpus']} / {r['translation']}" for r in lost))
+    used = catalog.join(versions.select("corpus", "translation").distinct(), ["corpus", "translation"], "left_semi").select("source_key", "url").distinct()
+    found = resolve_sources(used, existing)
+    top = existing.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
+    new = found.filter("source_id is null").withColumn("id", F.row_number().over(Window.orderBy("source_key")) + F.lit(top).cast("long"))
+    ids = found.filter("source_id is not null").select("source_key", "source_id").unionByName(new.select("source_key", F.col("id").alias("source_id")))
+    entry = catalog.select("corpus", "translation", "source_key").join(ids, "source_key")
+    out = versions.drop("source_id").join(entry.select("corpus", "translation", "source_id"), ["corpus", "translation"])
+    return out.select(*versions.drop("source_id").columns, "source_id"), existing.unionByName(new.select("id", "source_key", "url"))
+
+
+def denormalise_sources(versions: DataFrame, sources: DataFrame) -> DataFrame:
+    """The way back: versions with the url of their source instead of its id."""
+    out = versions.join(sources.select(F.col("id").alias("source_id"), F.col("url").alias("source")), "source_id", "left")
+    return out.drop("source_id").select(*(c for c in versions.columns if c != "source_id"), "source")
+
+
 def resolve_sources(wanted: DataFrame, existing: DataFrame) -> DataFrame:
     """wanted (source_key, url) with source_id: by key, else by url, else null (to be inserted); an error if a key has another url."""
     by_key = existing.select("source_key", F.col("id").alias("k_id"), F.col("url").alias("k_url"))
@@ -60,8 +158,3 @@ def embed_queue(units: DataFrame, done: DataFrame) -> DataFrame:
     joined = leaf.groupBy(F.col("parent_id").alias("unit_id")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("unit_id", "text"))), lambda s: s["text"]), " ").alias("text"))
     todo = leaf.select("unit_id", "text").unionByName(joined).join(done.select("unit_id"), "unit_id", "left_anti")
     return todo.select("unit_id", T.with_prefix(F.col("text"), "search_document").alias("text"), T.token_estimate(T.word_count(F.col("text"))).alias("cost")).orderBy(F.desc("cost"), "unit_id")
-
-
-def rewrite_profile(df: DataFrame, path: str) -> None:
-    """Replaces only the partitions of the profiles in df."""
-    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("profile").parquet(path)

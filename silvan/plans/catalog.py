@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from silvan.functions import text as T
 from silvan.functions import vector as V
-from silvan.operators import audit, ingest, projection, search, spans, taxonomy, tree
+from silvan.operators import audit, embedding, ingest, mapview, projection, results, search, sequences, span_store, spans, taxonomy, tree
 from silvan.plans import domain as D
 from silvan.session import read_table
+from silvan.sources import documents, reports
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -21,7 +22,9 @@ def query(sql: str | None = None, domain: bool = True):
     def add(f):
         QUERIES[f.__name__] = f
         if sql is not None:
-            SQL[f.__name__] = (f"WITH RECURSIVE {D.DOMAIN_SQL}" + (", " if sql.lstrip()[:6].upper() != "SELECT" else "") if domain else "") + sql
+            tables = sql.lstrip()[:6].upper() != "SELECT"
+            head = f"WITH RECURSIVE {D.DOMAIN_SQL}" + (", " if tables else "") if domain else "WITH RECURSIVE " if tables else ""
+            SQL[f.__name__] = head + sql
         return f
 
     return add
@@ -326,8 +329,8 @@ def inventory_rollup(s, d):
 # ---- text ----
 @query("SELECT parent_id AS unit_id, string_agg(text, ' ' ORDER BY unit_id) AS text FROM unit WHERE height = 0 GROUP BY parent_id")
 def ordered_text_concat(s, d):
-    leaf = D.units(s, d).filter("height = 0")
-    return leaf.groupBy(F.col("parent_id").alias("unit_id")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("unit_id", "text"))), lambda x: x["text"]), " ").alias("text"))
+    leaf = D.units(s, d).filter("height = 0").withColumnRenamed("unit_id", "leaf")
+    return sequences.ordered_text(leaf, [F.col("parent_id").alias("unit_id")], "leaf")
 
 
 @query(r"""w AS (SELECT unit_id, text, regexp_extract_all(text, '\S+') AS w FROM unit WHERE height = 0)
@@ -374,25 +377,24 @@ def name_hash(s, d):
 
 @query("SELECT conv_id, turn, role, CAST(row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) AS BIGINT) AS nth FROM conversations", domain=False)
 def running_counter(s, d):
-    return read_table(s, d, "conversations").select("conv_id", "turn", "role", F.row_number().over(Window.partitionBy("conv_id", "role").orderBy("turn")).cast("long").alias("nth"))
+    return sequences.numbered(read_table(s, d, "conversations").select("conv_id", "turn", "role"), ["conv_id", "role"], "turn")
 
 
 @query("SELECT conv_id, turn, last_value(CASE WHEN role = 'user' THEN turn END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn) AS heading FROM conversations", domain=False)
 def forward_fill_heading(s, d):
-    w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)
-    return read_table(s, d, "conversations").select("conv_id", "turn", F.last(F.when(F.col("role") == "user", F.col("turn")), True).over(w).alias("heading"))
+    c = read_table(s, d, "conversations")
+    return sequences.filled(c, ["conv_id"], "turn", F.when(F.col("role") == "user", F.col("turn")), "heading").select("conv_id", "turn", "heading")
 
 
 @query("""SELECT conv_id, CAST(g AS BIGINT) AS session, count(*) AS n, min(turn) AS first_turn FROM (SELECT *, coalesce(sum((role = 'assistant')::INT) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS g FROM conversations) GROUP BY conv_id, g""", domain=False)
 def marker_sessionise(s, d):
-    w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
-    g = F.coalesce(F.sum((F.col("role") == "assistant").cast("long")).over(w), F.lit(0).cast("long"))
-    return read_table(s, d, "conversations").withColumn("session", g).groupBy("conv_id", "session").agg(F.count("*").alias("n"), F.min("turn").alias("first_turn"))
+    c = sequences.sessions(read_table(s, d, "conversations"), ["conv_id"], "turn", F.col("role") == "assistant")
+    return c.groupBy("conv_id", "session").agg(F.count("*").alias("n"), F.min("turn").alias("first_turn"))
 
 
 @query("SELECT conv_id, turn, lead(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS block_end FROM conversations", domain=False)
 def next_block_start(s, d):
-    return read_table(s, d, "conversations").select("conv_id", "turn", F.lead("turn").over(Window.partitionBy("conv_id").orderBy("turn")).alias("block_end"))
+    return sequences.next_start(read_table(s, d, "conversations").select("conv_id", "turn"), ["conv_id"], "turn")
 
 
 # ---- spans ----
@@ -411,7 +413,36 @@ def greedy_span_pack(s, d):
     return flat.groupBy("parent_id", "g").agg(F.count("*").alias("n_units"), F.sum("n").alias("n_words"), F.min("unit_id").alias("first_unit"))
 
 
-@query()
+_PACKED = r"""o AS (SELECT version_id, parent_id, unit_id, regexp_extract_all(text, '\S+') AS w, row_number() OVER (PARTITION BY parent_id ORDER BY unit_id) AS k FROM unit WHERE height = 0 AND regexp_matches(text, '\S')),
+pk(parent_id, k, g, total, closed) AS (
+  SELECT parent_id, k, 0, len(w), len(w) > 80 FROM o WHERE k = 1
+  UNION ALL
+  SELECT o.parent_id, o.k, CASE WHEN len(o.w) > 80 OR pk.closed OR pk.total + len(o.w) > 50 THEN pk.g + 1 ELSE pk.g END, CASE WHEN len(o.w) > 80 OR pk.closed OR pk.total + len(o.w) > 50 THEN len(o.w) ELSE pk.total + len(o.w) END, len(o.w) > 80
+  FROM pk JOIN o ON o.parent_id = pk.parent_id AND o.k = pk.k + 1),
+big AS (
+  SELECT o.*, pk.g, list_transform(range(1, len(w) + 1), lambda e: CASE WHEN regexp_matches(w[e], '[.!?;:][''")\]]*$') THEN e ELSE 0 END) AS ends
+  FROM o JOIN pk ON pk.parent_id = o.parent_id AND pk.k = o.k WHERE len(w) > 80),
+win(unit_id, part, lo, hi) AS (
+  SELECT unit_id, 0, 0, CASE WHEN len(w) <= 50 THEN len(w) WHEN list_max(ends[25:50]) > 0 THEN list_max(ends[25:50]) ELSE 50 END FROM big
+  UNION ALL
+  SELECT b.unit_id, part + 1, greatest(lo + 1, hi - 10),
+         CASE WHEN greatest(lo + 1, hi - 10) + 50 >= len(b.w) THEN len(b.w)
+              WHEN list_max(b.ends[greatest(lo + 1, hi - 10) + 25:greatest(lo + 1, hi - 10) + 50]) > 0 THEN list_max(b.ends[greatest(lo + 1, hi - 10) + 25:greatest(lo + 1, hi - 10) + 50])
+              ELSE greatest(lo + 1, hi - 10) + 50 END
+  FROM win JOIN big b ON b.unit_id = win.unit_id WHERE hi < len(b.w)),
+sp AS (
+  SELECT o.version_id, o.parent_id, pk.g, 0 AS part, CASE WHEN count(*) > 1 THEN 'aggregate-small-units' ELSE 'single-unit' END AS kind, CAST(sum(len(o.w)) AS BIGINT) AS n_words, CAST(NULL AS INT) AS lo, CAST(NULL AS INT) AS hi,
+         length(string_agg(array_to_string(o.w, ' '), ' ' ORDER BY o.unit_id)) AS chars, count(*) AS members
+  FROM o JOIN pk ON pk.parent_id = o.parent_id AND pk.k = o.k WHERE o.unit_id NOT IN (SELECT unit_id FROM big) GROUP BY ALL
+  UNION ALL
+  SELECT b.version_id, b.parent_id, b.g, w.part, 'split-large-unit', CAST(w.hi - w.lo AS BIGINT), CAST(w.lo AS INT), CAST(w.hi AS INT), NULL, 1 FROM win w JOIN big b ON b.unit_id = w.unit_id),
+no AS (SELECT *, CAST(row_number() OVER (PARTITION BY version_id, parent_id ORDER BY g, part) - 1 AS INT) AS span_no FROM sp)
+SELECT no.version_id, no.parent_id, span_no, kind, n_words, o.unit_id, CAST(row_number() OVER (PARTITION BY no.parent_id, span_no ORDER BY o.unit_id) - 1 AS INT) AS unit_order,
+       CASE WHEN members > 1 THEN length(array_to_string(o.w, ' ')) / chars ELSE 1.0::DOUBLE END AS weight, lo, hi
+FROM no JOIN pk ON pk.parent_id = no.parent_id AND pk.g = no.g JOIN o ON o.parent_id = pk.parent_id AND o.k = pk.k"""
+
+
+@query(_PACKED)
 def sliding_windows(s, d):
     u = D.units(s, d).filter("height = 0")
     return spans.build(u, 50, 10, 80).select("version_id", "parent_id", "span_no", "kind", "n_words", "unit_id", "unit_order", "weight", "lo", "hi")
@@ -579,10 +610,37 @@ def uniqueness_violations(s, d):
     return ingest.violations(read_table(s, d, "lineitem"), "l_orderkey", "l_linenumber")
 
 
-@query("""SELECT row_number() OVER (ORDER BY lang, source, doc_id) + 99 AS unit_id, lang AS corpus, source AS translation, doc_id FROM documents""", domain=False)
+_PARSED = """p AS (
+  SELECT lang AS corpus, source AS translation, 'top' AS key, CAST(NULL AS VARCHAR) AS parent_key, 'T' AS label, CAST(-1 AS BIGINT) AS position FROM (SELECT DISTINCT lang, source FROM documents)
+  UNION ALL SELECT lang, source, CAST(doc_id AS VARCHAR), CASE WHEN doc_id % 5 = 0 THEN 'gone' ELSE 'top' END, '', doc_id FROM documents),
+n AS (SELECT row_number() OVER (ORDER BY corpus, translation, position) + 99 AS unit_id, * FROM p),
+w AS (SELECT n.*, u.unit_id AS parent_id FROM n LEFT JOIN n u ON u.corpus = n.corpus AND u.translation = n.translation AND u.key = n.parent_key)
+"""
+
+
+def _parsed(s, d):
+    docs = read_table(s, d, "documents").select(F.col("lang").alias("corpus"), F.col("source").alias("translation"), "doc_id")
+    top = docs.select("corpus", "translation").distinct().select("*", F.lit("top").alias("key"), F.lit(None).cast("string").alias("parent_key"), F.lit("T").alias("label"), F.lit(-1).cast("long").alias("position"))
+    rest = docs.select("corpus", "translation", F.col("doc_id").cast("string").alias("key"), F.when(F.col("doc_id") % 5 == 0, "gone").otherwise("top").alias("parent_key"), F.lit("").alias("label"), F.col("doc_id").alias("position"))
+    return top.unionByName(rest)
+
+
+@query(_PARSED + "SELECT unit_id, corpus, translation, key, parent_id FROM w", domain=False)
 def ingest_ids(s, d):
-    p = read_table(s, d, "documents").select(F.col("lang").alias("corpus"), F.col("source").alias("translation"), "doc_id", F.col("doc_id").alias("position"), F.col("doc_id").cast("string").alias("key"), F.lit(None).cast("string").alias("parent_key"))
-    return ingest.assign_ids(p, 100).select("unit_id", "corpus", "translation", "doc_id")
+    return ingest.assign_ids(_parsed(s, d), 100).select("unit_id", "corpus", "translation", "key", "parent_id")
+
+
+@query(_PARSED + """SELECT w.unit_id, CASE WHEN w.parent_id IS NULL THEN '' ELSE '/T' END || '/' || CASE WHEN w.label = '' THEN CAST(w.unit_id AS VARCHAR) ELSE w.label END AS path,
+CAST(CASE WHEN EXISTS (SELECT 1 FROM w c WHERE c.parent_id = w.unit_id) THEN 1 ELSE 0 END AS INT) AS height, v.version_id, v.corpus_id
+FROM w JOIN (SELECT corpus, translation, row_number() OVER (ORDER BY corpus, translation) AS version_id, dense_rank() OVER (ORDER BY corpus) AS corpus_id FROM (SELECT DISTINCT corpus, translation FROM p)) v ON v.corpus = w.corpus AND v.translation = w.translation""", domain=False)
+def ingest_whole(s, d):
+    """All versions of the documents, as an ingest into empty tables; a parent that is missing makes a root."""
+    units = _parsed(s, d)
+    wanted = [ingest.Version(r["corpus"], r["translation"], levels=("Sources", "Document")) for r in units.select("corpus", "translation").distinct().collect()]
+    none = F.lit(None).cast("string")
+    units = units.withColumns({"depth": F.when(F.col("parent_key") == "top", 1).otherwise(0), "text": none, "uncleaned_text": none, "author": none, "metadata": none})
+    new = ingest.ingest(units, wanted, ingest.empty_tables(s), D.taxonomy(s, d).select("id", "name"))["unit"]
+    return new.select((F.col("unit_id") + 99).alias("unit_id"), F.when(F.col("label") == "", F.concat(F.when(F.col("parent_id").isNotNull(), "/T").otherwise(""), F.lit("/"), (F.col("unit_id") + 99).cast("string"))).otherwise(F.col("path")).alias("path"), "height", "version_id", "corpus_id")
 
 
 @query(r"""j AS (SELECT parent_id AS unit_id, string_agg(text, ' ' ORDER BY unit_id) AS text FROM unit WHERE height = 0 AND trim(text) <> '' GROUP BY parent_id),
@@ -600,4 +658,258 @@ def points_per_version(s, d):
 
 @query("SELECT corpus_id, unit_id, row_number() OVER (PARTITION BY corpus_id ORDER BY unit_id) AS nth FROM unit WHERE height > 0")
 def rank_in_corpus(s, d):
-    return D.units(s, d).filter("height > 0").select("corpus_id", "unit_id", F.row_number().over(Window.partitionBy("corpus_id").orderBy("unit_id")).cast("long").alias("nth"))
+    return sequences.numbered(D.units(s, d).filter("height > 0").select("corpus_id", "unit_id"), ["corpus_id"], "unit_id")
+
+
+# ---- results ----
+_CHAIN = """cup AS (SELECT t.id AS taxonomy_id, t.id, t.name, t.level FROM taxonomy t UNION ALL SELECT t.id, p.id, p.name, p.level FROM taxonomy t JOIN taxonomy p ON p.id = t.parent_id),
+chain AS (SELECT corpus_id, list(name ORDER BY level, id) AS taxonomy FROM (SELECT DISTINCT corpus_id, cup.id, name, level FROM clink JOIN cup USING (taxonomy_id)) GROUP BY corpus_id)
+"""
+_BRIEF = """SELECT u.unit_id, u.label, u.path, u.height, u.depth, c.name AS corpus, v.source AS version, coalesce(chain.taxonomy, []) AS taxonomy{more}
+FROM unit u JOIN corpus c ON c.corpus_id = u.corpus_id JOIN version v ON v.version_id = u.version_id LEFT JOIN chain ON chain.corpus_id = u.corpus_id"""
+
+
+def _names(s, d):
+    return D.corpora(s, d), D.versions(s, d).withColumn("translation", F.col("source")), results.chains(D.corpus_links(s, d), D.taxonomy(s, d))
+
+
+@query(_CHAIN + _BRIEF.format(more="") + " WHERE u.height >= 1")
+def unit_brief(s, d):
+    return results.brief(D.units(s, d).filter("height >= 1"), *_names(s, d))
+
+
+@query(_CHAIN + _BRIEF.format(more=", u.text, CAST(NULL AS VARCHAR) AS uncleaned_text, ref.url AS source_url") + " LEFT JOIN ref ON ref.version_id = u.version_id WHERE u.height = 0 AND u.version_id IN (2, 3)")
+def unit_detail(s, d):
+    return results.detail(D.units(s, d).filter("height = 0 and version_id in (2, 3)"), *_names(s, d), D.source_refs(s, d))
+
+
+_SPAN = """hit AS (SELECT e.vec_id AS span_id, 1 - list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), q) AS dist FROM embeddings e, (SELECT CAST(embedding AS DOUBLE[]) AS q FROM embeddings WHERE vec_id = 0)
+  WHERE e.vec_id <> 0 ORDER BY dist, span_id LIMIT 25),
+sup AS (SELECT span_id, list(unit_id + 1000000000 ORDER BY unit_order) AS ids FROM bridge WHERE span_id % 3 <> 0 GROUP BY span_id)
+"""
+
+
+@query(_SPAN + """SELECT h.span_id, CASE WHEN h.span_id % 2 = 0 THEN 'span ' || h.span_id ELSE u.label END AS label, CASE WHEN h.span_id % 5 = 0 THEN '/s' ELSE u.path END AS path, c.name AS corpus, v.source AS version, u.height,
+round_even(1 - dist, 4) AS score, coalesce(sup.ids, [h.span_id + 1000000000]) AS support_unit_ids, h.span_id + 1000000000 AS start_unit_id, h.span_id + 1000000001 AS end_unit_id, h.span_id + 1000000000 AS primary_unit_id
+FROM hit h JOIN unit u ON u.unit_id = h.span_id + 1000000000 JOIN corpus c ON c.corpus_id = u.corpus_id JOIN version v ON v.version_id = u.version_id LEFT JOIN sup ON sup.span_id = h.span_id""")
+def semantic_search(s, d):
+    """The star of span, start unit, corpus and version; empty labels and paths are the unit's, spans without units have their start."""
+    e = read_table(s, d, "embeddings").filter("vec_id != 0").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    query = search.vector_of(read_table(s, d, "embeddings"), "vec_id", 0)
+    hits = results.semantic_hits(query, e, e.limit(0), 25).select(F.col("id").alias("span_id"), "score")
+    start = F.col("vec_id") + D.DOC
+    held = read_table(s, d, "embeddings").select(
+        F.col("vec_id").alias("span_id"), start.alias("start_unit_id"), (start + 1).alias("end_unit_id"),
+        F.when(F.col("vec_id") % 2 == 0, F.concat(F.lit("span "), "vec_id")).otherwise("").alias("label"), F.when(F.col("vec_id") % 5 == 0, "/s").alias("path"),
+    )
+    bridge = D.bridge(s, d).filter("span_id % 3 != 0").withColumn("unit_id", F.col("unit_id") + D.DOC)
+    return results.span_results(hits, held, D.units(s, d), D.corpora(s, d), D.versions(s, d).withColumn("translation", F.col("source")), bridge)
+
+
+@query("""SELECT 'unit' AS kind, vec_id AS id, round_even(list_cosine_similarity(CAST(embedding AS DOUBLE[]), q), 4) AS score FROM embeddings, (SELECT CAST(embedding AS DOUBLE[]) AS q FROM embeddings WHERE vec_id = 1)
+ORDER BY 1 - list_cosine_similarity(CAST(embedding AS DOUBLE[]), q), vec_id LIMIT 12""", domain=False)
+def semantic_units(s, d):
+    """Without any span vector the units are searched."""
+    e = read_table(s, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    return results.semantic_hits(search.vector_of(e, "id", 1, "vector"), e.limit(0), e, 12)
+
+
+@query("SELECT unit_id, label, count(*) OVER () = 30 AS more FROM (SELECT unit_id, label, depth FROM unit ORDER BY depth, unit_id LIMIT 30 OFFSET 40)")
+def page_more(s, d):
+    return results.page(D.units(s, d).select("unit_id", "label", "depth"), ["depth", "unit_id"], 30, 40).select("unit_id", "label", "more")
+
+
+@query("""h AS (SELECT c.name AS corpus, u.unit_id FROM unit u JOIN corpus c ON c.corpus_id = u.corpus_id WHERE u.height = 1 AND u.label ILIKE '%17%' ORDER BY u.depth, u.unit_id LIMIT 20)
+SELECT corpus, CAST(row_number() OVER (ORDER BY min(unit_id)) - 1 AS INT) AS place, list(unit_id ORDER BY unit_id) AS units FROM h GROUP BY corpus""")
+def results_by_corpus(s, d):
+    found = search.autocomplete(D.units(s, d).filter("height = 1").drop("text", "path").withColumns({"text": F.lit(None).cast("string"), "path": F.lit(None).cast("string")}), "17", 1)
+    named = found.join(D.corpora(s, d).select("corpus_id", F.col("name").alias("corpus")), "corpus_id").withColumn("at", F.col("unit_id"))
+    return results.by_corpus(named, "at", query="17")
+
+
+@query("""cp AS (SELECT corpus_id, max(height) AS top FROM clevel WHERE corpus_id <> 2 OR height < 2 GROUP BY corpus_id),
+nm AS (SELECT cp.corpus_id, (SELECT name FROM clevel l WHERE l.corpus_id = cp.corpus_id AND l.height = least(1, top)) AS a, (SELECT name FROM clevel l WHERE l.corpus_id = cp.corpus_id AND l.height = least(9, top)) AS b FROM cp)
+SELECT corpus_id, CASE WHEN a = b THEN a ELSE a || ' – ' || b END AS level_name FROM nm""")
+def level_names(s, d):
+    return results.level_names(D.corpora(s, d), D.levels(s, d).filter("corpus_id != 2 or height < 2"), 1, 9)
+
+
+@query("SELECT unit_id, CASE height WHEN 2 THEN 'Documents' ELSE 'Lines' END AS title FROM unit WHERE height > 0")
+def child_titles(s, d):
+    return results.child_titles(D.units(s, d), D.levels(s, d))
+
+
+@query("SELECT coalesce(max(height), 0) AS max_height FROM clevel")
+def level_top_height(s, d):
+    return results.top_height(D.levels(s, d))
+
+
+@query(_CHAIN + """SELECT c.corpus_id, c.name, v.translations, l.levels, coalesce(chain.taxonomy, []) AS taxonomy FROM corpus c
+LEFT JOIN (SELECT corpus_id, list(source ORDER BY version_id) AS translations FROM version GROUP BY corpus_id) v ON v.corpus_id = c.corpus_id
+LEFT JOIN (SELECT corpus_id, list(name ORDER BY height) AS levels FROM clevel GROUP BY corpus_id) l ON l.corpus_id = c.corpus_id LEFT JOIN chain ON chain.corpus_id = c.corpus_id""")
+def corpus_nest(s, d):
+    corpora, versions, chain = _names(s, d)
+    info = results.corpus_info(corpora, versions, D.levels(s, d), chain)
+    return info.select("corpus_id", "name", F.col("versions.translation").alias("translations"), F.col("levels.level").alias("levels"), "taxonomy")
+
+
+@query("SELECT count(*) > 0 AS has_vectors FROM embeddings WHERE label = 3", domain=False)
+def vector_probe(s, d):
+    return s.createDataFrame([(results.has_vectors(read_table(s, d, "embeddings"), F.col("label") == 3),)], "has_vectors boolean")
+
+
+# ---- vectors of units ----
+@query("""cl(top, id, h) AS (
+  SELECT u.unit_id, c.unit_id, c.height FROM unit u JOIN unit c ON c.parent_id = u.unit_id WHERE u.height > 1
+  UNION ALL SELECT cl.top, c.unit_id, c.height FROM cl JOIN unit c ON c.parent_id = cl.id WHERE cl.h > 1),
+ch AS (SELECT parent_id, CAST(sum(length(text)) AS DOUBLE) AS chars FROM unit WHERE height = 0 AND text IS NOT NULL GROUP BY parent_id),
+w AS (SELECT cl.top, CASE WHEN coalesce(ch.chars, 1) > 0 THEN coalesce(ch.chars, 1) ELSE 1 END AS w, e.embedding FROM cl JOIN embeddings e ON e.vec_id + 1000000000 = cl.id LEFT JOIN ch ON ch.parent_id = cl.id WHERE cl.h = 1),
+p AS (SELECT top, i, sum(w * CAST(embedding[i] AS DOUBLE)) / sum(w) AS x FROM w, range(1, 65) t(i) GROUP BY top, i),
+n AS (SELECT top, sqrt(sum(x * x)) AS n FROM p GROUP BY top)
+SELECT p.top AS unit_id, CAST(i - 1 AS INT) AS pos, round(x / n, 6) AS value FROM p JOIN n ON n.top = p.top""")
+def unit_roll_up(s, d):
+    """Vectors of units above height 1 from those of height 1 below, weighed by their text's length."""
+    v = read_table(s, d, "embeddings").select((F.col("vec_id") + D.DOC).alias("unit_id"), F.col("embedding").alias("vector"))
+    found = embedding.roll_up(D.units(s, d), v)
+    return found.select("unit_id", F.posexplode("vector").alias("pos", "v")).select("unit_id", "pos", F.round("v", 6).alias("value"))
+
+
+@query("SELECT u.corpus_id, u.unit_id, e.label AS method_id FROM unit u JOIN embeddings e ON e.vec_id + 1000000000 = u.unit_id - u.unit_id % 1 WHERE u.height = 1 AND e.label = 4")
+def unit_vector_load(s, d):
+    v = read_table(s, d, "embeddings").select((F.col("vec_id") + D.DOC).alias("unit_id"), F.col("label").alias("method_id"))
+    leaves = D.units(s, d).filter("height = 1").withColumn("height", F.lit(0))
+    return embedding.unit_vectors(leaves, v, 4).select("corpus_id", "unit_id", "method_id")
+
+
+@query("SELECT e.vec_id AS span_id, c.corpus_id FROM embeddings e JOIN documents d ON d.doc_id = e.vec_id JOIN corpus c ON c.name IS NOT DISTINCT FROM d.lang WHERE e.label = 3")
+def span_vector_load(s, d):
+    docs = D.numbered_documents(s, d).select(F.col("doc_id").alias("span_id"), "corpus_id")
+    e = read_table(s, d, "embeddings").select(F.col("vec_id").alias("span_id"), F.col("label").alias("profile_id"))
+    held = e.join(docs, "span_id")
+    vectors = e.select("span_id", F.lit(1).alias("method_id"))
+    methods = s.createDataFrame([(1, "span"), (2, "unit")], "method_id int, label string")
+    return embedding.span_vectors(held, vectors, methods, "span", 3).select("span_id", "corpus_id")
+
+
+@query("SELECT u.corpus_id, c.name AS corpus, u.unit_id, u.label FROM unit u JOIN corpus c ON c.corpus_id = u.corpus_id WHERE u.unit_id IN (SELECT vec_id * 7 + 1000000000 FROM embeddings)")
+def unassigned_units(s, d):
+    ids = read_table(s, d, "embeddings").select((F.col("vec_id") * 7 + D.DOC).alias("unit_id"))
+    return embedding.unassigned(D.units(s, d), D.corpora(s, d), ids)
+
+
+@query("SELECT height, count(*) AS n FROM unit WHERE height > 1 OR (height = 0 AND text IS NOT NULL) GROUP BY height")
+def units_by_height(s, d):
+    u = D.units(s, d)
+    return embedding.at_height(u, 0).unionByName(embedding.at_height(u)).groupBy("height").agg(F.count("*").alias("n"))
+
+
+@query("SELECT CAST(label AS INT) AS profile_id, count(*) AS spans, min(vec_id) AS tokens_min, round_even(avg(vec_id), 4) AS tokens_avg, max(vec_id) AS tokens_max FROM embeddings GROUP BY label", domain=False)
+def span_report(s, d):
+    return span_store.report(read_table(s, d, "embeddings").select(F.col("label").alias("profile_id"), F.col("vec_id").alias("token_count")))
+
+
+# ---- the map ----
+@query("SELECT e.vec_id AS unit_id, label AS corpus_id, CASE WHEN vec_id % 3 = 0 THEN 9.0::DOUBLE ELSE CAST(embedding[1] AS DOUBLE) END AS x FROM embeddings e", domain=False)
+def map_positions(s, d):
+    """Two layers, of which the second holds every third unit again: it counts."""
+    p = read_table(s, d, "embeddings").select(F.col("vec_id").alias("unit_id"), F.col("label").alias("corpus_id"), *(F.col("embedding")[k].cast("double").alias(a) for k, a in enumerate("xyz")))
+    again = p.filter("unit_id % 3 = 0").withColumn("x", F.lit(9.0))
+    return mapview.positions(p.withColumn("layer", F.lit(0)).unionByName(again.withColumn("layer", F.lit(1)))).select("unit_id", "corpus_id", "x")
+
+
+@query("""SELECT vec_id AS span_id, CASE WHEN vec_id % 2 = 0 THEN 'own' WHEN vec_id % 7 <> 0 THEN 'primary' WHEN (vec_id + 1) % 7 <> 0 AND vec_id + 1 IN (SELECT vec_id FROM embeddings) THEN 'start' END AS found FROM embeddings""", domain=False)
+def result_positions(s, d):
+    """Where a result is drawn: its span's place (even ones have one), else its primary or start unit's (multiples of 7 have none)."""
+    e = read_table(s, d, "embeddings").select("vec_id")
+    at = lambda kind: {a: F.lit(kind).cast("double") for a in "xyz"}
+    found = e.select(F.col("vec_id").alias("span_id"), F.col("vec_id").alias("primary_unit_id"), (F.col("vec_id") + 1).alias("start_unit_id"), F.array(F.lit(-1).cast("long")).alias("support_unit_ids"))
+    units = e.filter("vec_id % 7 != 0").select(F.col("vec_id").alias("unit_id")).withColumns({a: F.col("unit_id").cast("double") for a in "xyz"})
+    own = e.filter("vec_id % 2 = 0").select(F.col("vec_id").alias("span_id")).withColumns(at(-1.0))
+    placed = mapview.result_positions(found, own, units)
+    kind = F.when(F.col("x") == -1, "own").when(F.col("x") == F.col("primary_unit_id"), "primary").when(F.col("x") == F.col("start_unit_id"), "start")
+    return placed.select("span_id", kind.alias("found"))
+
+
+@query("SELECT version_id, CASE WHEN version_id <= 3 THEN true WHEN version_id = 7 THEN false ELSE true END AS visible FROM version")
+def map_visibility(s, d):
+    """One version is hidden by its flag; a group that was hidden in part is switched to visible."""
+    flags = D.versions(s, d).filter("version_id in (2, 7)").select("version_id", F.lit(False).alias("visible"))
+    return mapview.toggled(mapview.visibility(D.versions(s, d), flags), F.col("version_id") <= 3)
+
+
+@query("SELECT 0 AS low, coalesce(max(depth), 0) AS high FROM unit")
+def map_depth_range(s, d):
+    return mapview.depth_range(D.units(s, d))
+
+
+@query("SELECT corpus_id, count(*) AS n FROM version WHERE coalesce(trim(source), '') <> '' AND version_id % 2 = 1 GROUP BY corpus_id")
+def map_translations(s, d):
+    v = D.versions(s, d).withColumn("translation", F.col("source"))
+    return mapview.translations(v, v.filter("version_id % 2 = 1"))
+
+
+@query("""p AS (SELECT vec_id, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y FROM embeddings ORDER BY vec_id LIMIT 20), h AS (SELECT * FROM p ORDER BY vec_id LIMIT 1)
+SELECT p.vec_id, h.x AS x0, h.y AS y0, p.x AS x1, p.y AS y1 FROM p, h WHERE p.vec_id <> h.vec_id""", domain=False)
+def constellation(s, d):
+    p = read_table(s, d, "embeddings").orderBy("vec_id").limit(20).select("vec_id", *(F.col("embedding")[k].cast("double").alias(a) for k, a in enumerate("xyz")))
+    return mapview.constellation(p, "vec_id").select("vec_id", "x0", "y0", "x1", "y1")
+
+
+@query("SELECT vec_id, CAST(embedding[5] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y, 0.0::DOUBLE AS z FROM embeddings", domain=False)
+def pca_axes(s, d):
+    p = read_table(s, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("coords"))
+    return mapview.flat(mapview.chosen_axes(p, 4, 1, 2)).select("vec_id", "x", "y", "z")
+
+
+@query(_POINTS + """SELECT round((min(x) + max(x)) / 2, 8) AS x, round((min(y) + max(y)) / 2, 8) AS y, round(log2(800 * 0.7::DOUBLE / greatest(max(x) - min(x), max(y) - min(y), 0.1)), 8) AS zoom,
+round(greatest(max(x) - min(x), max(y) - min(y)) / 250, 8) AS radius FROM pt""")
+def map_first_view(s, d):
+    box = projection.bounds(_points(s, d))
+    view = mapview.first_view(box, 800).withColumn("radius", mapview.point_radius(box).first()["radius"] + F.lit(0.0))
+    return view.select(*(F.round(c, 8).alias(c) for c in ("x", "y", "zoom", "radius")))
+
+
+@query("""h AS (SELECT n_name, list_reduce(list_prepend(0::BIGINT, list_transform(string_split(lower(trim(n_name)), ''), lambda c: CAST(ord(c) AS BIGINT))), lambda a, c: (a * 31 + c) & 65535) AS h FROM nation)
+SELECT n_name, CAST((40 + (h % 11) - 5 + 360) % 360 AS INT) AS h, CAST(greatest(28, least(90, 55 + ((h >> 5) % 13) - 6)) AS INT) AS s, CAST(greatest(28, least(68, 48 + ((h >> 9) % 21) - 10)) AS INT) AS l FROM h""", domain=False)
+def corpus_colours(s, d):
+    n = read_table(s, d, "nation")
+    return n.select("n_name", mapview.variant(F.col("n_name"), "corpus", F.lit(40), F.lit(55), F.lit(48)).alias("c")).select("n_name", "c.*")
+
+
+# ---- lines of whole texts ----
+_LINES = r"""ln AS (SELECT doc_id, CAST(n AS INT) AS n, parts[n + 1] AS line FROM (SELECT doc_id, parts, unnest(range(len(parts))) AS n FROM (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents WHERE text IS NOT NULL)))
+"""
+
+
+def _lines(s, d):
+    return read_table(s, d, "documents").select(F.col("doc_id").alias("file"), F.posexplode(F.split("text", "\n")).alias("n", "line"))
+
+
+@query(_LINES + r""", h AS (SELECT *, CASE WHEN n % 7 = 0 THEN line END AS top, CASE WHEN n % 3 = 1 THEN line END AS sub FROM ln),
+f AS (SELECT doc_id, n, last_value(top IGNORE NULLS) OVER w AS top, max(CASE WHEN top IS NOT NULL THEN n END) OVER w AS top_at, last_value(sub IGNORE NULLS) OVER w AS sub, max(CASE WHEN sub IS NOT NULL THEN n END) OVER w AS sub_at
+      FROM h WINDOW w AS (PARTITION BY doc_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+SELECT doc_id, n, top, top_at, CASE WHEN sub_at >= top_at THEN sub END AS sub, CASE WHEN sub_at >= top_at THEN sub_at END AS sub_at FROM f""", domain=False)
+def headed_lines(s, d):
+    """Two levels of headings over the lines below them (every seventh line, and of the others one in three), the higher one ending the lower."""
+    marks = {"top": F.when(F.col("n") % 7 == 0, F.col("line")), "sub": F.when(F.col("n") % 3 == 1, F.col("line"))}
+    return documents.headed(_lines(s, d), marks).select(F.col("file").alias("doc_id"), "n", "top", "top_at", "sub", "sub_at")
+
+
+@query(_LINES + r""", b AS (SELECT *, sum(CAST(length(line) % 11 = 0 AS INT)) OVER (PARTITION BY doc_id ORDER BY n) AS run FROM ln),
+p AS (SELECT doc_id, run, trim(regexp_replace(string_agg(line, ' ' ORDER BY n), '\s+', ' ', 'g')) AS text, min(n) AS n FROM b WHERE length(line) % 11 <> 0 GROUP BY doc_id, run)
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY n) AS nth, text FROM p WHERE length(text) >= 20""".replace("SELECT doc_id, row_number()", "SELECT doc_id, CAST(row_number()").replace("ORDER BY n) AS nth", "ORDER BY n) AS INT) AS nth"), domain=False)
+def line_paragraphs(s, d):
+    """Runs of lines between breaks (here lines whose length is a multiple of eleven, as the tables have no blank lines)."""
+    broken = _lines(s, d).withColumn("line", F.when(F.length("line") % 11 == 0, "").otherwise(F.col("line")))
+    return documents.paragraphs(broken, [], 20).select(F.col("file").alias("doc_id"), "nth", "text")
+
+
+@query()
+def page_blocks(s, d):
+    """Blocks of every page, as the corpora made of pages are read."""
+    return documents.parse_html(read_table(s, d, "pages"), "page_id").groupBy("tag").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
+
+
+@query(_MEASURED + f"SELECT version_id, \"empty\", coverage_pct FROM (SELECT version_id, corpus_id, {_COVER} FROM m GROUP BY version_id, corpus_id) ORDER BY coverage_pct, \"empty\" DESC, corpus_id, version_id LIMIT 15")
+def most_incomplete(s, d):
+    return reports.table(reports.most_incomplete(audit.coverage_by_version(D.units(s, d)), 15), ["version_id", "empty", "coverage_pct"])

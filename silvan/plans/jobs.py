@@ -44,3 +44,8 @@ def run(steps: Sequence[Step], dry: bool = False, keep_going: bool = False) -> d
     if failed:
         raise RuntimeError(f"failed: {', '.join(failed)}")
     return took
+
+
+def product(profiles: Sequence[str], methods: Sequence[str], make: Callable[[str, str], Callable[[], object]]) -> list[Step]:
+    """A step for each method of each profile, profile by profile, as a run over all projections goes."""
+    return [Step(f"{profile}/{method}", make(profile, method)) for profile in profiles for method in methods]

@@ -1,6 +1,9 @@
-"""The projection's binary layout, little-endian: count, int32 ids, K float32 components, int32 corpus and version ids.
+"""The projection's binary layout, little-endian: count, int32 ids, K float32 components, int32 corpus and version ids, and
+for spans also int32 start, end and primary units and token counts.
 
-Parquet is what this engine works on; the layout is written and read for other programs.
+A run is a folder base/method[/profile]/run with a file for each corpus version, one for the spans, the labels and a manifest;
+latest.json beside the runs names the newest. Parquet is what this engine works on; the layout is written and read for other
+programs, so ids have to fit 32 bits, which is checked, and a version, or the spans, one file.
 """
 
 from __future__ import annotations
@@ -9,18 +12,33 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from silvan.sources import files as small
+
 #: The layout's version; older ones are refused.
 SCHEMA_VERSION = 5
 
 
-def encode(ids, coords, corpus_ids, version_ids) -> bytes:
+#: What a span's record has more than a unit's.
+SPAN_FIELDS = ("start_unit_id", "end_unit_id", "primary_unit_id", "token_count")
+#: The profile whose runs may lie directly under the method.
+OLD_PROFILE = "window-50"
+
+
+def _int32(values) -> bytes:
+    v = np.asarray(values, np.int64)
+    if len(v) and (v.min() < -(1 << 31) or v.max() >= 1 << 31):
+        raise ValueError("an id does not fit 32 bits")
+    return v.astype("<i4").tobytes()
+
+
+def encode(ids, coords, corpus_ids, version_ids, *more) -> bytes:
     n = len(ids)
     coords = np.asarray(coords, "<f4").reshape(n, -1)
-    parts = [np.array([n], "<u4"), np.asarray(ids, "<i4"), *(coords[:, k] for k in range(coords.shape[1])), np.asarray(corpus_ids, "<i4"), np.asarray(version_ids, "<i4")]
-    return b"".join(np.ascontiguousarray(p).tobytes() for p in parts)
+    parts = [np.array([n], "<u4").tobytes(), _int32(ids), *(np.ascontiguousarray(coords[:, k]).tobytes() for k in range(coords.shape[1])), *map(_int32, (corpus_ids, version_ids, *more))]
+    return b"".join(parts)
 
 
 def decode(raw: bytes, components: int):
@@ -35,7 +53,7 @@ def decode(raw: bytes, components: int):
 
 
 def check_version(manifest: dict) -> None:
-    if int(manifest.get("bin_schema_version", 0)) < SCHEMA_VERSION:
+    if int(manifest.get("bin_schema_version", 0)) < SCHEMA_VERSION or manifest.get("has_corpus_version_ids") is False:
         raise ValueError(f"layout version {SCHEMA_VERSION} or later is needed")
 
 
@@ -53,13 +71,26 @@ def to_files(points: DataFrame) -> DataFrame:
     return points.groupBy("version_id").applyInArrow(write, "version_id long, content binary")
 
 
-def from_files(files: DataFrame, components: int) -> DataFrame:
-    """unit_id, corpus_id, version_id, coords of rows with content; missing components beyond the stored ones are not made up."""
+def span_file(spans: DataFrame) -> DataFrame:
+    """One row, content: the file of all spans by id. spans: span_id, corpus_id, version_id, coords and SPAN_FIELDS."""
+
+    def write(t: pa.Table) -> pa.Table:
+        t = t.sort_by("span_id")
+        raw = encode(t["span_id"].to_numpy(), np.stack(t["coords"].to_pylist()), *(t[c].to_numpy() for c in ("corpus_id", "version_id", *SPAN_FIELDS)))
+        return pa.table({"content": pa.array([raw], pa.binary())})
+
+    return spans.groupBy(F.lit(0).alias("all")).applyInArrow(write, "content binary")
+
+
+def from_files(files: DataFrame, components: int, least: int = 0) -> DataFrame:
+    """unit_id, corpus_id, version_id, coords of rows with content; coords are filled up with 0 to `least` components, as a run in
+    the plane has no third one."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for raw in batch.column("content").to_pylist():
                 ids, coords, corpus, version = decode(raw, components)
+                coords = np.hstack((coords, np.zeros((len(ids), max(0, least - components)), np.float32)))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(ids.astype(np.int64)), pa.array(corpus.astype(np.int64)), pa.array(version.astype(np.int64)), pa.array(coords.tolist(), pa.list_(pa.float32()))],
                     ["unit_id", "corpus_id", "version_id", "coords"],
@@ -68,7 +99,86 @@ def from_files(files: DataFrame, components: int) -> DataFrame:
     return files.select("content").mapInArrow(read, "unit_id long, corpus_id long, version_id long, coords array<float>")
 
 
-def latest_run(spark: SparkSession, path: str) -> DataFrame:
-    """method, profile and the newest run of each, from pointer files."""
+def from_span_file(files: DataFrame, components: int) -> DataFrame:
+    """span_id, corpus_id, version_id, coords and SPAN_FIELDS."""
+    names = ["span_id", "corpus_id", "version_id", *SPAN_FIELDS]
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for raw in batch.column("content").to_pylist():
+                n = int(np.frombuffer(raw, "<u4", 1)[0])
+                if len(raw) != 4 + 4 * n * (len(names) + components):
+                    raise ValueError("the length does not fit the count")
+                table = np.frombuffer(raw, "<i4", n * (len(names) + components), 4).reshape(-1, n)
+                coords = np.frombuffer(raw, "<f4", n * components, 4 + 4 * n).reshape(components, n).T
+                whole = [pa.array(table[0 if k == 0 else components + k].astype(np.int64)) for k in range(len(names))]
+                yield pa.RecordBatch.from_arrays([*whole, pa.array(coords.tolist(), pa.list_(pa.float32()))], [*names, "coords"])
+
+    return files.select("content").mapInArrow(read, ", ".join(f"{c} long" for c in names) + ", coords array<float>")
+
+
+def _root(base: str, method: str, profile: str | None) -> str:
+    return f"{base}/{method}" + (f"/{profile}" if profile else "")
+
+
+def write_run(points: DataFrame, labels: DataFrame, base: str, method: str, run_id: str, created_at: str, profile: dict | None = None, spans: DataFrame | None = None, **more) -> dict:
+    """Writes a run and moves the pointer to it last; the manifest. points: unit_id, corpus_id, version_id, depth, coords;
+    labels: unit_id, label; profile: its fields, label among them."""
+    spark = points.sparkSession
+    name = profile["label"] if profile else None
+    folder = f"{_root(base, method, name)}/{run_id}"
+    counts = {r["version_id"]: r["n"] for r in points.groupBy("version_id").agg(F.count("*").alias("n")).collect()}
+    first = points.agg(F.max("depth"), F.max(F.size("coords"))).first()
+    for r in to_files(points).toLocalIterator():  # one version's file at a time
+        small.write_bytes(spark, f"{folder}/corpus_version_{r['version_id']}.bin", bytes(r["content"]))
+    n_spans = 0
+    if spans is not None:
+        n_spans = spans.count()
+        for r in span_file(spans).collect():
+            small.write_bytes(spark, f"{folder}/spans.bin", bytes(r["content"]))
+    small.write_json(spark, f"{folder}/unit_labels.json", {str(r["unit_id"]): r["label"] for r in labels.filter("label is not null").orderBy("unit_id").toLocalIterator()})
+    manifest = {
+        "run_id": run_id, "created_at": created_at, "method": method, "bin_schema_version": SCHEMA_VERSION, "has_corpus_version_ids": True, "has_span_layer": spans is not None, "span_count": n_spans,
+        "embedding_profile": profile, "max_depth": first[0] or 0, "corpus_version_ids": sorted(counts), "corpus_version_counts": {str(k): counts[k] for k in sorted(counts)}, "n_components": first[1] or 0, **more,
+    }
+    small.write_json(spark, f"{folder}/manifest.json", manifest)
+    small.write_json(spark, f"{_root(base, method, name)}/latest.json", {"run_id": run_id})
+    return manifest
+
+
+def latest_id(spark: SparkSession, base: str, method: str, profile: str | None = None) -> str:
+    """The newest run's id; for OLD_PROFILE the method's own pointer is tried next."""
+    tried = [_root(base, method, profile)] + ([_root(base, method, None)] if profile == OLD_PROFILE else [])
+    for folder in tried:
+        if small.exists(spark, f"{folder}/latest.json"):
+            return small.read_json(spark, f"{folder}/latest.json")["run_id"]
+    raise FileNotFoundError(f"{tried[0]}/latest.json")
+
+
+def find_run(spark: SparkSession, base: str, method: str, run_id: str, profile: str | None = None) -> tuple[str, dict]:
+    """Folder and manifest of a run: base/method/profile/run, else the older base/run/method, else base/method/run."""
+    for folder in (f"{_root(base, method, profile)}/{run_id}", f"{base}/{run_id}/{method}", f"{_root(base, method, None)}/{run_id}"):
+        if small.exists(spark, f"{folder}/manifest.json"):
+            manifest = small.read_json(spark, f"{folder}/manifest.json")
+            check_version(manifest)
+            return folder, manifest
+    raise FileNotFoundError(f"{method}/{run_id}")
+
+
+def read_run(spark: SparkSession, base: str, method: str, profile: str | None = None, run_id: str | None = None, least: int = 3) -> tuple[DataFrame, DataFrame | None, dict]:
+    """Points, spans (None if the run has none) and manifest of a run, the newest by default."""
+    folder, manifest = find_run(spark, base, method, run_id or latest_id(spark, base, method, profile), profile)
+    held = lambda pattern: spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder)
+    spans = from_span_file(held("spans.bin"), manifest["n_components"]) if manifest["has_span_layer"] else None
+    return from_files(held("corpus_version_*.bin"), manifest["n_components"], least), spans, manifest
+
+
+def version_of(path: Column) -> Column:
+    """The corpus version that a file's name says."""
+    return F.regexp_extract(path, r"corpus_version_(\d+)\.bin$", 1).cast("long")
+
+
+def latest_runs(spark: SparkSession, path: str) -> DataFrame:
+    """method, profile and the newest run of each, from manifests or pointer files that say when they were made."""
     p = spark.read.schema("method string, profile string, run_id string, created_at string").json(path, multiLine=True)
     return p.groupBy("method", "profile").agg(F.max_by("run_id", "created_at").alias("run_id"))

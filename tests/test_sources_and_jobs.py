@@ -87,7 +87,7 @@ def test_stream_takes_in_once(spark, tmp_path):
     assert take_in(spark, *args) == 1 and take_in(spark, *args) == 0
     spark.createDataFrame([("a", "t", "1"), ("b", "t", "1")], schema).write.mode("append").parquet(args[0])
     take_in(spark, *args)
-    assert sorted(tuple(r) for r in spark.read.parquet(args[1]).collect()) == [("a", "t", "1"), ("a", "t", "2"), ("b", "t", "1")]
+    assert sorted(tuple(r)[:3] for r in spark.read.parquet(args[1]).collect()) == [("a", "t", "1"), ("a", "t", "2"), ("b", "t", "1")]
 
 
 def test_steps():
@@ -98,3 +98,102 @@ def test_steps():
     assert jobs.run(steps, dry=True) == dict.fromkeys("abcd") and done == ["b", "d"]
     with pytest.raises(KeyError):
         jobs.select(steps, only=["z"])
+
+
+def test_projection_run(spark, tmp_path):
+    rows = [(i, 1, i % 2, 1, [float(i), 0.5]) for i in range(5)]
+    points = spark.createDataFrame(rows, "unit_id long, corpus_id long, version_id long, depth int, coords array<float>")
+    spans = spark.createDataFrame([(9, 1, 0, 1, 2, 1, 7, [0.5, 1.5]), (8, 1, 1, 3, 3, 3, 4, [2.5, 3.5])], "span_id long, corpus_id long, version_id long, start_unit_id long, end_unit_id long, primary_unit_id long, token_count long, coords array<float>")
+    labels = spark.createDataFrame([(1, "one"), (2, None)], "unit_id long, label string")
+    base = str(tmp_path / "p")
+    projection_file.write_run(points, labels, base, "umap", "r1", "2026-01-01", {"label": "window-50", "target_tokens": 50}, spans)
+    made = projection_file.write_run(points, labels, base, "umap", "r2", "2026-01-02", {"label": "window-50"}, seed=42)
+    assert (made["corpus_version_counts"], made["max_depth"], made["n_components"], made["seed"]) == ({"0": 3, "1": 2}, 1, 2, 42)
+    got, none, manifest = projection_file.read_run(spark, base, "umap", "window-50")
+    assert manifest["run_id"] == "r2" and none is None and sorted((r["unit_id"], r["coords"]) for r in got.collect()) == [(i, [float(i), 0.5, 0.0]) for i in range(5)]
+    _, held, _ = projection_file.read_run(spark, base, "umap", "window-50", "r1")
+    assert sorted(tuple(r) for r in held.select(*spans.columns).collect()) == sorted(tuple(r) for r in spans.collect())
+    assert json.loads((tmp_path / "p/umap/window-50/r1/unit_labels.json").read_text()) == {"1": "one"}
+    with pytest.raises(FileNotFoundError):
+        projection_file.read_run(spark, base, "umap", "window-100")
+    with pytest.raises(ValueError, match="32 bits"):
+        projection_file.encode([1 << 31], [[0.0]], [1], [1])
+    # Runs that lie directly under the method, and older ones under their id.
+    projection_file.write_run(points, labels, base, "pca", "r3", "2026-01-03")
+    assert projection_file.latest_id(spark, base, "pca", "window-50") == "r3" and projection_file.find_run(spark, base, "pca", "r3", "window-50")[1]["run_id"] == "r3"
+
+
+def test_reports(spark, tmp_path):
+    from silvan.sources import reports
+
+    df = spark.createDataFrame([("a", 0.123456, 3), ("b", 1.0, 9)], "label string, x double, n long").withColumn("bin", F.lit(0))
+    made = reports.write(str(tmp_path), "r", "now", {"t": df}, {"h": df}, "A & b")
+    page = (tmp_path / "r/report.html").read_text()
+    assert made["rows"] == {"t": 2} and "A &amp; b" in page and page.count("<rect") == 2
+    reports.write_csv(df, str(tmp_path / "c"), ["n", "x", "other"], ["n"])
+    assert [tuple(r) for r in spark.read.csv(str(tmp_path / "c"), header=True).collect()] == [("3", "0.1235", None), ("9", "1.0", None)]
+
+
+def test_whole_ingest(spark):
+    from silvan.sources.corpora import UNIT
+
+    unit = lambda c, t, *r: (c, t, *r)
+    rows = [
+        unit("A", "t1", "b", None, 0, "B", None, None, None, None, 1), unit("A", "t1", "b/1", "b", 1, "1", "one", "eins", "x", None, 2), unit("A", "t1", "b/2", "gone", 1, "", "two", None, None, None, 3),
+        unit("C", "t2", "b", None, 0, None, "leaf", None, None, None, 1), unit("A", "old", "k", None, 0, "K", "no", None, None, None, 1),
+    ]
+    units = spark.createDataFrame(rows, "corpus string, translation string, key string, parent_key string, depth int, label string, text string, uncleaned_text string, author string, metadata string, position long")
+    assert units.columns[2:] == list(UNIT)
+    tables = ingest.empty_tables(spark)
+    tables["corpus"] = spark.createDataFrame([(4, "A", None)], ingest.TABLES["corpus"])
+    tables["version"] = spark.createDataFrame([(7, 4, None, "old", None, "en", None)], ingest.TABLES["version"])
+    tables["unit"] = spark.createDataFrame([(50, 7, 4, None, 0, 0, "K", None, "no", None, "/K", None)], ingest.TABLES["unit"])
+    tables["level"] = spark.createDataFrame([(4, 0, "Verse")], ingest.TABLES["level"])
+    tables["source"] = spark.createDataFrame([(1, "k", "http://a")], ingest.TABLES["source"])
+    tax = spark.createDataFrame([(1, "T"), (2, "U")], "id long, name string")
+    wanted = [
+        ingest.Version("A", "t1", levels=("Book", "Verse"), taxonomy=("T", "Nowhere"), source_key="k", url="http://a", path="/in"),
+        ingest.Version("C", "t2", levels=("Tale",), taxonomy=("U",), source_key="n", url="http://n"), ingest.Version("A", "old"),
+    ]
+    new = ingest.ingest(units, wanted, tables, tax)
+    assert [tuple(r) for r in new["corpus"].collect()] == [(5, "C", None)]
+    assert sorted((r["version_id"], r["corpus_id"], r["source_id"], r["translation"], r["metadata"]) for r in new["version"].collect()) == [(8, 4, 1, "t1", '{"ingest_input_path": "/in"}'), (9, 5, 2, "t2", None)]
+    assert sorted(tuple(r) for r in new["level"].collect()) == [(4, 1, "Book"), (5, 0, "Tale")]
+    assert [tuple(r) for r in new["source"].collect()] == [(2, "n", "http://n")] and sorted(tuple(r) for r in new["link"].collect()) == [(4, 1), (5, 2)]
+    assert [r[0] for r in new["missing"].collect()] == ["Nowhere"]
+    got = sorted((r["unit_id"], r["version_id"], r["parent_id"], r["height"], r["path"]) for r in new["unit"].collect())
+    assert got == [(51, 8, None, 1, "/B"), (52, 8, 51, 0, "/B/1"), (53, 8, None, 0, "/53"), (54, 9, None, 0, "/54")]
+    both = {k: tables[k].unionByName(new[k].select(tables[k].columns)) for k in tables}
+    assert all(df.count() == 0 for df in ingest.ingest(units, wanted, both, tax).values())
+
+
+def test_sources_of_all_versions(spark):
+    versions = spark.createDataFrame([(1, "A", "x"), (2, "B", "y")], "version_id long, corpus string, translation string")
+    catalog = spark.createDataFrame([("A", "x", "k", "http://a"), ("B", "y", "n", "http://b"), ("Z", "z", "z", "http://z")], "corpus string, translation string, source_key string, url string")
+    there = spark.createDataFrame([(5, "k", "http://a")], "id long, source_key string, url string")
+    got, sources = ingest.normalise_sources(versions, catalog, there)
+    assert {r["version_id"]: r["source_id"] for r in got.collect()} == {1: 5, 2: 6} and sources.count() == 2
+    assert {r["version_id"]: r["source"] for r in ingest.denormalise_sources(got, sources).collect()} == {1: "http://a", 2: "http://b"}
+    with pytest.raises(LookupError, match="B / y"):
+        ingest.normalise_sources(versions, catalog.limit(1), there)
+
+
+def test_stream_reads_a_version_with_its_batch_only(spark, tmp_path):
+    from silvan.streaming.ingest import take_in
+
+    schema = "corpus string, translation string, key string"
+    args = (str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "cp"), schema)
+    for k in ("1", "2"):
+        spark.createDataFrame([("a", "t", k)], schema).coalesce(1).write.mode("append").parquet(args[0])
+    assert take_in(spark, *args, max_files=1) == 2
+    got = [tuple(r) for r in spark.read.parquet(args[1]).collect()]
+    assert len(got) == 1 and got[0][3] == 0
+    (tmp_path / "bad").mkdir()
+    (tmp_path / "bad" / "_SUCCESS").write_text("")
+    (tmp_path / "bad" / "part-0.parquet").write_text("no parquet")
+    with pytest.raises(Exception):  # not taken for a folder that nothing was written to
+        take_in(spark, args[0], str(tmp_path / "bad"), str(tmp_path / "cp2"), schema)
+
+
+def test_products():
+    assert [s.name for s in jobs.product(["w50", "w100"], ["pca", "umap"], lambda p, m: lambda: None)] == ["w50/pca", "w50/umap", "w100/pca", "w100/umap"]
