@@ -10,6 +10,8 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from silvan.functions.arrays import scan
+
 #: White space of every word rule here: space and the control characters tab to carriage return.
 SPACE = r"[\x20\x09-\x0D]+"
 SPACE_CHARS = " \t\n\x0b\x0c\r"
@@ -77,31 +79,9 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def let(value: Column, f: Callable[[Column], Column]) -> Column:
-    """f(value) with the value worked out once, however often f uses it and wherever the optimizer moves the expression."""
-    return F.get(F.transform(F.array(value), f), F.lit(0))
-
-
-#: Elements that `running` goes through one by one.
-RUN = 128
-
-
 def running(values: Column, zero: Column, combine: Callable[[Column, Column], Column]) -> Column:
-    """For each element of the array the combination of all elements before it, `zero` for the first.
-
-    An array can only be built up by copying it, so one fold over n elements takes n * n steps; the elements are folded in
-    blocks, then the blocks. values should be bound by `let`.
-    """
-    none = F.filter(F.array(zero), lambda _: F.lit(False))
-
-    def fold(array: Column, value: Callable[[Column], Column]) -> Column:
-        step = lambda a, x: F.struct(combine(a["at"], value(x)).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out"))
-        return F.aggregate(array, F.struct(zero.alias("at"), none.alias("out")), step)
-
-    starts = F.sequence(F.lit(0), F.greatest(F.size(values) - 1, F.lit(0)), F.lit(RUN))
-    blocks = F.transform(starts, lambda b: fold(F.slice(values, b + 1, RUN), lambda x: x))
-    shift = lambda inner, bases: F.flatten(F.transform(inner, lambda x, i: F.transform(x["out"], lambda v: combine(F.get(bases, i), v))))
-    return let(blocks, lambda inner: let(fold(inner, lambda x: x["at"])["out"], lambda bases: shift(inner, bases)))
+    """For each int of the array the combination of all before it, `zero` for the first. values should be bound by `let`."""
+    return scan(values, zero, "int", lambda a, x: (combine(a, x), a))
 
 
 def words_of(text: Column) -> Column:

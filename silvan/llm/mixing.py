@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from silvan.llm.common import SPACE, SPACE_CHARS, columns_of, materialise, table, words_of
+from silvan.llm.common import SPACE, SPACE_CHARS, columns_of, materialise, scratch, table, words_of
 
 #: Fixed values of the contract.
 WEIGHTS = (5, 2, 1)
@@ -99,7 +99,8 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: floa
     turns: how often it is taken whole; first, run: the words first .. first + run - 1 (from 0) are taken once more, and so
     are the words 0 .. again - 1 if the run comes round the circle into the document again; taken: all words taken.
     """
-    return _mixed(materialise(_sized(docs), "mix-sizes"), weights, share, most, seed)
+    with scratch(docs.sparkSession) as keep:
+        return keep(_mixed(materialise(_sized(docs), "mix-sizes"), weights, share, most, seed), "mix")
 
 
 def _mixed(sized: DataFrame, weights: Sequence[float], share: float, most: int, seed: int) -> DataFrame:

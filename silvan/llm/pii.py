@@ -25,7 +25,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from silvan.llm.common import fresh, let, quoted, running, table
+from silvan.functions.arrays import let
+from silvan.llm.common import fresh, quoted, running, table
 
 KINDS = ("email", "ip", "card", "phone")
 ACCEPT = 0.9

@@ -24,7 +24,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from silvan.llm.common import SPACE_CHARS, let, table, words_of
+from silvan.functions.arrays import let
+from silvan.llm.common import SPACE_CHARS, table, words_of
 
 #: Documents on which costs and selectivities are estimated, at most.
 SAMPLE_ROWS = 512

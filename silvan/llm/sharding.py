@@ -86,8 +86,12 @@ def shard_documents(docs: DataFrame, n_shards: int = 16) -> DataFrame:
     Slots are numbered in cells of a shard (by hash of the document) whose number grows with the input, and the cells'
     counts are summed up, so no task numbers a whole shard.
     """
-    keyed = materialise(_keyed(docs), "shard-keys")
-    placed = plan_shards(keyed, n_shards)(keyed)
+    with scratch(docs.sparkSession) as keep:
+        keyed = materialise(_keyed(docs), "shard-keys")
+        return keep(_slotted(plan_shards(keyed, n_shards)(keyed), n_shards), "shards")
+
+
+def _slotted(placed: DataFrame, n_shards: int) -> DataFrame:
     rows = placed.count()
     cells = max(64, -(-rows // (n_shards * ROWS_PER_CELL)))
     placed = placed.withColumn("cell", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(cells)))

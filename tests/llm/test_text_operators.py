@@ -116,7 +116,8 @@ def test_pii_takes_time_in_proportion_to_the_spans_of_a_text(docs):
 
 
 def test_running_combinations(spark):
-    from silvan.llm.common import let, running
+    from silvan.functions.arrays import let
+    from silvan.llm.common import running
 
     rng = random.Random(15)
     rows = [([rng.randint(-9, 9) for _ in range(n)],) for n in (0, 1, 127, 128, 129, 1000)]
