@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import threading
 import uuid
 from collections.abc import Callable, Iterator
@@ -51,6 +52,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+def release(spark: SparkSession) -> None:
+    """Has the driver look for plans that are no longer held, so that their broadcasts and shuffle files go now, here and on
+    executors, and not when its heap is full."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
     """What is materialised inside is deleted at the end, but for what the function it gives has written: the results."""
@@ -70,6 +78,7 @@ def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFram
     finally:
         scopes.remove(mine)
         _delete(spark, mine)
+        release(spark)
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:

@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from silvan.llm.common import columns_of, materialise, scratch, table
+from silvan.llm.common import columns_of, materialise, release, scratch, table
 from silvan.llm.components import connected_components
 
 BANDS, ROWS, BATCH = 32, 5, 32
@@ -263,6 +263,7 @@ def _compare_blocks(left: DataFrame, right: DataFrame, sets: DataFrame, bounds:
         return pd.DataFrame(out, columns=["x", "y"])
 
     both = left.groupBy(*key).cogroup(apart(right, ()).groupBy(*(f"{c}_" for c in key)))
+    release(left.sparkSession)
     found = materialise(both.applyInPandas(survivors, f"side int, g {kinds['g']}, lb long, rb long, id {kinds['id']}"), "survivors")
     held = sets.withColumnRenamed("rep", "id")
     side = lambda df, which: df.join(found.filter(F.col("side") == which).drop("side"), [*key, "id"], "left_semi").join(held, "id")
@@ -317,11 +318,13 @@ def find_links(docs: DataFrame, classes: DataFrame, words: int, percent: int, n:
         judged.append(exact)
         left = met.join(exact.filter(similar).select("x", "y"), ["x", "y"], "left_anti").select("x", "key")
         active = materialise(_several(left, None), f"active-{nth}")
+        release(docs.sparkSession)
         if active.isEmpty():
             break
     judged_all = _union(judged).distinct()
     links = [judged_all.filter(similar).select("x", "y")]
     found = materialise(connected_components(links[0], "x", "y"), "found").withColumnRenamed("component", "c")
+    release(docs.sparkSession)
     payload = classes.select(F.col("rep").alias("id"), "sig", "n")
 
     def with_payload(df: DataFrame) -> DataFrame:

@@ -25,13 +25,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from silvan.functions.arrays import let
-from silvan.llm.common import SPACE_CHARS, table, words_of
+from silvan.llm.common import SPACE_CHARS, materialise, scratch, table, words_of
 
 #: Documents on which costs and selectivities are estimated, at most.
-SAMPLE_ROWS = 512
+SAMPLE_ROWS = 256
 SAMPLE_CHARS = 1 << 16
 #: How often the time of a job on the sample is taken.
-TIMES = 3
+TIMES = 2
 #: Seconds below which a difference of times is noise.
 NOISE = 2e-3
 SYMBOLS = "#*$%&|<>"
@@ -159,11 +159,17 @@ def order_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: i
     The sample is the first documents that a scan meets, no more than sample_rows of them, from as few partitions as hold
     them. A rule's time is the least of a few jobs on the sample, less that of a job without one.
     """
+    spark = docs.sparkSession
     rows = docs.select(F.left("text", F.lit(SAMPLE_CHARS)).alias("text")).take(sample_rows)
     if not rows:
         return [(r, 0.0, 0.0) for r in rules]
-    sample = docs.sparkSession.createDataFrame([(r["text"],) for r in rows], "text string").coalesce(1)
+    with scratch(spark):
+        # Written once, so that the jobs below carry no texts.
+        sample = materialise(spark.createDataFrame([(r["text"],) for r in rows], "text string").coalesce(1), "quality-sample")
+        return _timed_rules(sample, rules, len(rows))
 
+
+def _timed_rules(sample: DataFrame, rules: tuple[Rule, ...], rows: int) -> list[tuple[Rule, float, float]]:
     def timed(verdict: Column) -> tuple[float, int]:
         hit, took = sample.agg(F.count(verdict)), []
         n = hit.first()[0]  # compiles the code
@@ -177,7 +183,7 @@ def order_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: i
     out = []
     for rule in rules:
         took, n = timed(cascade((rule,)))
-        out.append((rule, max(NOISE, took - idle), n / len(rows)))
+        out.append((rule, max(NOISE, took - idle), n / rows))
     return sorted(out, key=lambda x: -x[2] / x[1])
 
 
