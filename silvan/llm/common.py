@@ -85,6 +85,7 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     """Writes df as Parquet into the shared folder and reads it again: lineage is cut there, and a lost executor loses nothing."""
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
+    release(df.sparkSession)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
