@@ -49,6 +49,8 @@ MISS = 1e-6
 HEAD_ROUNDS = 4
 #: Rows and numbers in sets of a block on either side, about.
 LEFT_ROWS, RIGHT_ROWS, LEFT_SETS, RIGHT_SETS = 256, 4_096, 1 << 20, 1 << 22
+#: Hashes of words that a worker keeps: some 12 MB. It only saves work; any number gives the same sets.
+WORDS_HELD = 1 << 16
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
 
@@ -56,7 +58,7 @@ class _WordHashes(dict):
     """64-bit hash of each word met lately."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 1 << 20:
+        if len(self) >= WORDS_HELD:
             self.clear()
         value = self[word] = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
         return value

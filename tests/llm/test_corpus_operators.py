@@ -95,6 +95,16 @@ def test_rows_that_share_a_doc_id_or_have_none(docs):
     assert Counter(found) == Counter(want + [(None, None, True)] * 3 + [(None, None, False)] * 3)
 
 
+def test_sets_do_not_depend_on_the_words_held(monkeypatch):
+    rng = random.Random(3)
+    texts = [" ".join(rng.choice("abcdefghij") * rng.randint(1, 4) for _ in range(60)) for _ in range(20)]
+    want = [minhash.shingle_set(t) for t in texts]
+    monkeypatch.setattr(minhash, "WORDS_HELD", 3)
+    minhash._hashes.clear()
+    assert all(np.array_equal(minhash.shingle_set(t), s) for t, s in zip(texts, want, strict=True))
+    assert len(minhash._hashes) <= 3
+
+
 def test_bounds_keep_what_is_similar():
     b, rng = minhash.Bounds.of(0.85, 160), np.random.default_rng(1)
     x = rng.integers(0, 256, (4000, 160)).astype(np.uint8)
