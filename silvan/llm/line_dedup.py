@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from silvan.functions.arrays import let
-from silvan.llm.common import SPACE_CHARS, ascii_lower, columns_of, fresh, materialise, scratch, table
+from silvan.llm.common import SPACE_CHARS, ascii_lower, columns_of, materialise, scratch, table
 
 #: Groups that a key's documents are dealt into.
 PIECES = 64
@@ -122,16 +122,15 @@ def kept_lines(docs: DataFrame, output: tuple[str, str, str] = ("n_lines", "n_dr
     Texts move once, to meet their bitmaps, and not at all where the table of bitmaps is small enough for a broadcast.
     Columns of docs of the output's names are replaced.
     """
-    n_lines, n_dropped, kept_text = output
     bitmaps = drop_bitmaps(docs, **rule).withColumnsRenamed({"d1": "k1", "d2": "k2"})
-    row = fresh(docs, "row")
-    rows = docs.select(F.struct(*columns_of(docs)).alias(row), *_identity())
-    joined = rows.join(bitmaps, (F.col("d1") == F.col("k1")) & (F.col("d2") == F.col("k2")), "left").withColumn("t", F.col(row)["text"])
-    lost = F.aggregate("kept", F.lit(0).cast("long"), lambda n, x: n + F.bit_count(F.bitwise_not(x["bits"])))
-    out = [F.col(row)[c].alias(c) for c in docs.columns if c.lower() not in {x.lower() for x in output}]
-    text = F.coalesce("t", F.lit(""))
+    rows = docs.select(F.struct(*columns_of(docs)).alias("row"), *_identity())
+    text = F.coalesce(F.col("row")["text"], F.lit(""))
     size = (F.length(text) - F.length(F.translate(text, "\n", "")) + 1).cast("long")
-    return joined.select(*out, size.alias(n_lines), F.coalesce(lost, F.lit(0).cast("long")).alias(n_dropped), apply_bitmap(F.col("t"), F.col("kept")).alias(kept_text))
+    lost = F.aggregate("kept", F.lit(0).cast("long"), lambda n, x: n + F.bit_count(F.bitwise_not(x["bits"])))
+    new = (size, F.coalesce(lost, F.lit(0).cast("long")), apply_bitmap(text, F.col("kept")))
+    found = rows.join(bitmaps, (F.col("d1") == F.col("k1")) & (F.col("d2") == F.col("k2")), "left").select("row", F.struct(*(c.alias(k) for c, k in zip(new, output, strict=True))).alias("new"))
+    old = [c for c in docs.columns if c.lower() not in {x.lower() for x in output}]
+    return found.select(*(F.col("row")[c].alias(c) for c in old), *(F.col("new")[c].alias(c) for c in output))
 
 
 def op13_line_dedup(spark, sf_dir):

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from silvan.llm import embed_dedup, interaction, language, line_dedup, minhash, mixing, packing, pii, quality, sharding, token_count, url_filter
+from silvan.llm import embed_dedup, interaction, language, line_dedup, minhash, mixing, packing, periodic, pii, quality, sharding, token_count, url_filter
 
-MODULES = (url_filter, pii, minhash, mixing, packing, token_count, sharding, quality, language, embed_dedup, interaction, line_dedup)
+MODULES = (url_filter, pii, minhash, mixing, packing, token_count, sharding, quality, language, embed_dedup, interaction, periodic, line_dedup)
 
 
 def queries():
