@@ -7,6 +7,7 @@ An encoder is any function from a list of texts to a list of vectors, made on ea
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -26,50 +27,68 @@ class TooMuch(Exception):
     """A batch is too large for the encoder."""
 
 
-def batches(costs: Sequence[int], most_items: int, budget: int, start: int = 0) -> Iterator[tuple[int, int]]:
-    """Ranges [start, end) of items in order: as many as fit into the budget, most_items at most and one at least."""
-    at = start
-    while at < len(costs):
-        end, total = at, 0
-        while end < len(costs) and end - at < most_items and (end == at or total + costs[end] <= budget):
-            total += costs[end]
-            end += 1
-        yield at, end
-        at = end
-
-
-class Adaptive:
-    """Goes through items longest first. A batch that is too much halves both limits; after `recover` clean batches they
-    double again, up to where they began, and each failure doubles `recover`. A single item that is too much is left out."""
-
-    def __init__(self, encode: Encoder, most_items: int, recover: int = 5):
-        self.encode, self.most, self.recover_after = encode, max(1, most_items), recover
-        self.skipped: list = []
-
-    def __call__(self, items: list[tuple[object, str, int]]) -> Iterator[tuple[list, Sequence[Sequence[float]]]]:
-        """items: id, text, cost. Yields ids and their vectors."""
-        items = sorted(items, key=lambda x: (-x[2], -len(x[1])))
-        costs = [c for _, _, c in items]
-        budget = most_budget = max(1, sum(costs[: self.most]))
-        most, recover, clean, at = self.most, self.recover_after, 0, 0
-        while at < len(items):
-            end = next(batches(costs, most, budget, at))[1]
-            try:
-                vectors = self.encode([t for _, t, _ in items[at:end]])
-            except (TooMuch, MemoryError):
-                clean, recover = 0, min(recover * 2, 64)
-                if end - at == 1 and most == 1:
-                    self.skipped.append(items[at][0])
-                    at += 1
-                else:
-                    most, budget = max(1, most // 2), max(1, budget // 2)
-                continue
-            yield [i for i, _, _ in items[at:end]], vectors
-            at, clean = end, clean + 1
-            if clean >= recover and (most < self.most or budget < most_budget):
-                most, budget, clean = min(self.most, max(most + 1, most * 2)), min(most_budget, max(budget + 1, budget * 2)), 0
-                if (most, budget) == (self.most, most_budget):
-                    recover = self.recover_after
+def batches(costs: Sequence[int], most_items: int, budget: int) -> Iterator[tuple[int, int]]:
+    """Ranges [start, end) of items in order: as many as the budget pays for, most_items at most and one at least."""
+    paid = np.concatenate(([0], np.cumsum(costs, dtype=np.int64)))
+    start = 0
+    while start < len(costs):
+        affordable = int(np.searchsorted(paid, paid[start] + budget, side="right")) - 1
+        end = min(start + most_items, max(start + 1, affordable))
+        yield start, end
+        start = end
+
+
+@dataclass
+class Limiter:
+    """The share of a full batch that is tried: 2 ** -halvings of it.
+
+    A failure takes a step down; `patience` batches in a row that go through take one up again.
+    """
+
+    patience: int = 5
+    halvings: int = 0
+    streak: int = 0
+
+    def share(self, full: int) -> int:
+        return max(1, full >> self.halvings)
+
+    def record(self, went_through: bool) -> None:
+        self.streak = self.streak + 1 if went_through else 0
+        if not went_through:
+            self.halvings += 1
+        elif self.halvings and self.streak == self.patience:
+            self.halvings, self.streak = self.halvings - 1, 0
+
+
+def _in_halves(encode: Encoder, chunk: list[tuple[object, str, int]], limiter: Limiter, lost: list) -> Iterator[tuple[list, Sequence[Sequence[float]]]]:
+    """ids and vectors of a chunk; what is too much is cut in two until it goes through, and a single item that doesn't is lost."""
+    try:
+        vectors = encode([text for _, text, _ in chunk])
+    except (TooMuch, MemoryError):
+        if len(chunk) == 1:
+            lost.append(chunk[0][0])
+            return
+        limiter.record(False)
+        middle = len(chunk) // 2
+        for half in (chunk[:middle], chunk[middle:]):
+            yield from _in_halves(encode, half, limiter, lost)
+        return
+    limiter.record(True)
+    yield [i for i, _, _ in chunk], vectors
+
+
+def encode_all(encode: Encoder, items: list[tuple[object, str, int]], most_items: int, limiter: Limiter | None = None, lost: list | None = None) -> Iterator[tuple[list, Sequence[Sequence[float]]]]:
+    """ids and vectors of items (id, text, cost), the dearest first; `lost` gets the ids of items that are too much alone.
+
+    A full batch costs what the first most_items do, so the first batch is as long as it may be and later ones as dear.
+    """
+    limiter, lost = limiter or Limiter(), [] if lost is None else lost
+    left = sorted(items, key=lambda x: (x[2], len(x[1])), reverse=True)
+    full = sum(cost for _, _, cost in left[:most_items])
+    while left:
+        _, end = next(batches([cost for _, _, cost in left[: limiter.share(most_items)]], most_items, limiter.share(full)))
+        chunk, left = left[:end], left[end:]
+        yield from _in_halves(encode, chunk, limiter, lost)
 
 
 def embed(queue: DataFrame, make: Callable[[], Encoder], most_items: int = 64, task_items: int = 4_096) -> DataFrame:
@@ -84,7 +103,7 @@ def embed(queue: DataFrame, make: Callable[[], Encoder], most_items: int = 64, t
         for part in parts:
             for at in range(0, part.num_rows, task_items):
                 rows = part.slice(at, task_items)
-                for ids, vectors in Adaptive(encode, most_items)(list(zip(*(rows.column(c).to_pylist() for c in ("id", "text", "cost")), strict=True))):
+                for ids, vectors in encode_all(encode, list(zip(*(rows.column(c).to_pylist() for c in ("id", "text", "cost")), strict=True)), most_items):
                     out = [np.asarray(v, np.float32) for v in vectors]
                     yield pa.RecordBatch.from_arrays([pa.array(ids, rows.column("id").type), pa.array(out, pa.list_(pa.float32()))], ["id", "vector"])
 

@@ -1,40 +1,311 @@
-"""Dumps of another database as SQLite: its statements are rewritten as columns and run in order on the driver."""
+"""Dumps of a MySQL database: statements, and the rows of their inserts as typed tables.
+
+A dump is read as lines by Spark's text source, so a large file is many tasks. Whether a line begins inside a string or a
+comment depends on all lines before it. Each split of a file therefore gives the state that it ends in for each state that
+it may begin in; these functions, one narrow row a split, are composed in a prefix scan over the file's splits, and the
+second pass over the lines knows how each split begins. A statement ends at a semicolon that is neither in a string, a
+quoted name nor a comment; the parts of one that goes over splits are joined by its number.
+
+Comments (also those that a server of some version would run) are left out; strings, quoted names and what they hold stay
+as they are: semicolons, line ends, back-ticks, escapes, words that look like statements. DELIMITER, a command of the
+client, isn't known: routines in a dump are not read.
+
+Values are NULL, numbers, strings with backslash escapes or doubled quotes, hexadecimal strings and bare words; a string's
+character-set introducer is passed over. A column's type follows its definition, and what has no counterpart is a string.
+An insert without a column list has the table's order. An insert that can't be read is an error, or is left out
+(`strict=False`).
+"""
 
 from __future__ import annotations
 
-import sqlite3
+import itertools
+import re
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Statements that fail before a load is given up.
-MOST_ERRORS = 10
-#: Lines that mean nothing to SQLite, lines that define an index, and what is taken out of all others: fixed values of the dump format.
-_DIRECTIVE = r"^(?:/\*!|LOCK TABLES|UNLOCK TABLES|SET |-- MySQL|-- Server)"
-_INDEX = r"^\s*(?:KEY|UNIQUE KEY|FULLTEXT KEY)\s"
-_REWRITES = ((r"`", ""), (r"\) ENGINE=\S+.*?;", ");"), (r" AUTO_INCREMENT", ""), (r"\bint\(\d+\)", "INTEGER"), (r" COMMENT '[^']*'", ""))
-
-
-def statements(texts: DataFrame) -> DataFrame:
-    """file, n, statement of dumps (file, text), rewritten; a comma that a removed line leaves before a bracket goes too."""
-    line = F.col("line")
-    rows = texts.select("file", F.posexplode(F.split("text", r"\r?\n")).alias("n", "line")).filter(~line.rlike(_DIRECTIVE) & ~line.rlike(_INDEX))
-    for pattern, new in _REWRITES:
-        rows = rows.withColumn("line", F.regexp_replace("line", pattern, new))
-    whole = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("n", "line"))), lambda x: x["line"]), "\n")
-    out = rows.groupBy("file").agg(whole.alias("t")).select("file", F.regexp_replace(F.regexp_replace("t", r",\s*\n\s*\)", "\n)"), r"\\'", "''").alias("t"))
-    return out.select("file", F.posexplode(F.split("t", r";[ \t]*(?:\n|$)")).alias("n", "statement")).withColumn("statement", F.regexp_replace("statement", r"^\s+|\s+$", "")).filter("statement != ''")
-
-
-def load(rows: DataFrame, path: str) -> list[str]:
-    """Runs the statements of one dump into a SQLite file on the driver; the errors. One statement at a time is held; more than MOST_ERRORS errors stop it."""
-    errors: list[str] = []
-    with sqlite3.connect(path) as con:
-        for r in rows.orderBy("n").toLocalIterator():
-            try:
-                con.execute(r["statement"])
-            except sqlite3.Error as e:
-                errors.append(f"{r['n']}: {e}")
-                if len(errors) > MOST_ERRORS:
-                    break
-    return errors
+from silvan.functions.arrays import scan
+
+CODE, SINGLE, DOUBLE, NAME, COMMENT = range(5)
+STATES = 5
+#: What a state looks out for.
+_NEXT = {
+    CODE: re.compile(r"['\"`;#]|/\*|--(?=\s|$)"),
+    SINGLE: re.compile(r"\\.|'", re.S),
+    DOUBLE: re.compile(r'\\.|"', re.S),
+    NAME: re.compile("`"),
+    COMMENT: re.compile(r"\*/"),
+}
+_OPENS = {"'": SINGLE, '"': DOUBLE, "`": NAME, "/*": COMMENT}
+#: Splits whose starts are handed to all tasks; with more of them, lines are dealt by split.
+BROADCAST_SPLITS = 100_000
+
+
+def cut(line: str, state: int) -> tuple[list[str], int]:
+    """A line from a state on: its parts between ends of statements without comments, and the state it leaves.
+
+    A doubled quote closes a string and opens it again, which comes to the same.
+    """
+    parts, held, begin, at = [], [], 0, 0
+    while found := _NEXT[state].search(line, at):
+        mark, at = found.group(), found.end()
+        if state == CODE:
+            if mark in ("#", "--"):
+                held.append(line[begin : found.start()])
+                begin = len(line)
+                break
+            state = _OPENS.get(mark, CODE)
+            if state in (CODE, COMMENT):
+                held.append(line[begin : found.start()])
+                begin = at
+            if state == CODE:
+                parts.append("".join(held))
+                held = []
+        elif state == COMMENT:
+            state, begin = CODE, at
+            held.append(" ")
+        elif mark[0] != "\\":
+            state = CODE
+    if state != COMMENT:
+        held.append(line[begin:])
+    return [*parts, "".join(held)], state
+
+
+def _lines(spark: SparkSession, path: str) -> DataFrame:
+    """file, split (its first byte), line; a task has the lines of a split one after another, in order."""
+    return spark.read.option("lineSep", "\n").text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.col("value").alias("line"))
+
+
+def _by_split(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, int, Iterator[tuple]]]:
+    """file, split and the rows after these two columns, for each stretch of rows of one split."""
+    rows = (r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True))
+    for (file, split), mine in itertools.groupby(rows, lambda r: r[:2]):
+        yield file, split, (r[2:] for r in mine)
+
+
+def _split_ends(lines: DataFrame) -> DataFrame:
+    """file, split, ends: for each state that the split may begin in the one that it ends in."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for file, split, rows in _by_split(batches):
+            now = list(range(STATES))
+            for (line,) in rows:
+                after = {s: cut(line, s)[1] for s in set(now)}
+                now = [after[s] for s in now]
+            yield pa.RecordBatch.from_arrays([pa.array([file]), pa.array([split], pa.int64()), pa.array([now], pa.list_(pa.int32()))], ["file", "split", "ends"])
+
+    return lines.mapInArrow(run, "file string, split long, ends array<int>")
+
+
+def split_starts(lines: DataFrame) -> DataFrame:
+    """file, split, state that it begins in: the functions of a file's splits composed in order."""
+    files = _split_ends(lines).groupBy("file").agg(F.array_sort(F.collect_list(F.struct("split", "ends"))).alias("s"))
+    states = scan(F.col("s"), F.lit(CODE), "int", lambda state, x: (F.get(x["ends"], state), state))
+    both = F.explode(F.arrays_zip(F.col("s.split").alias("split"), states.alias("state"))).alias("x")
+    return files.select("file", both).select("file", "x.split", "x.state")
+
+
+def _parts(lines: DataFrame) -> DataFrame:
+    """file, split, nth part in the split, text, ends (a semicolon follows) of lines (file, split, line, state of the split's start)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for file, split, rows in _by_split(batches):
+            state, nth, open_ = None, 0, []
+            for line, start in rows:
+                parts, state = cut(line, start if state is None else state)
+                open_.append(parts[0])
+                for part in parts[1:]:
+                    yield _part(file, split, nth, "\n".join(open_), True)
+                    nth, open_ = nth + 1, [part]
+            yield _part(file, split, nth, "\n".join(open_), False)
+
+    return lines.mapInArrow(run, "file string, split long, nth long, text string, ends boolean")
+
+
+def _part(*row) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x]) for x in row], ["file", "split", "nth", "text", "ends"])
+
+
+def statements(spark: SparkSession, path: str) -> DataFrame:
+    """file, n, statement of the dumps at path, without the semicolon, numbered in order but not without gaps.
+
+    A split's last part goes on in the first part of the next; only these two meet in a group, all others stay where they
+    are. What is left after a file's last semicolon is a statement too.
+    """
+    lines = _lines(spark, path)
+    starts = split_starts(lines)
+    if starts.limit(BROADCAST_SPLITS + 1).count() <= BROADCAST_SPLITS:
+        known = lines.join(F.broadcast(starts), ["file", "split"]).select("file", "split", "line", "state")
+    else:
+        numbered = lines.withColumn("nr", F.monotonically_increasing_id())
+        known = numbered.join(starts, ["file", "split"]).repartition("file", "split").sortWithinPartitions("file", "split", "nr").select("file", "split", "line", "state")
+    parts = _parts(known)
+    ended = parts.groupBy("file", "split").agg(F.count_if("ends").alias("ends"))
+    before = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+    base = ended.select("file", "split", F.coalesce(F.sum("ends").over(before), F.lit(0)).alias("base"))
+    base = F.broadcast(base) if base.limit(BROADCAST_SPLITS + 1).count() <= BROADCAST_SPLITS else base
+    numbered = parts.join(base, ["file", "split"]).select("file", (F.col("base") + F.col("nth")).alias("n"), "split", "nth", "ends", "text")
+    whole = numbered.filter("ends and nth > 0").select("file", "n", F.col("text").alias("statement"))
+    meet = numbered.filter("not ends or nth = 0").groupBy("file", "n").agg(F.array_sort(F.collect_list(F.struct("split", "text"))).alias("p"))
+    joined = meet.select("file", "n", F.array_join("p.text", "\n").alias("statement"))
+    trimmed = F.regexp_replace("statement", r"^\s+|\s+$", "")
+    return whole.unionByName(joined).withColumn("statement", trimmed).filter("statement != ''")
+
+
+_NAMES = r"`(?:[^`]|``)+`|[\w$]+"
+_INSERT = re.compile(rf"\s*(?:insert|replace)\b[^`'\"(]*?(?:into\s+)?({_NAMES})(?:\s*\.\s*({_NAMES}))?\s*(\([^)]*\))?\s*values?\s*", re.I)
+_VALUE = re.compile(r"\s*(?:_\w+\s*)?('(?:[^'\\]|\\.|'')*'|\"(?:[^\"\\]|\\.|\"\")*\"|[^\s,()'\"]+)\s*([,)])", re.S)
+#: Escapes of a string that stand for another character: fixed values of the dump's format. Any other stands for itself.
+_ESCAPES = {"0": "\0", "b": "\b", "n": "\n", "r": "\r", "t": "\t", "Z": "\x1a"}
+
+
+def _name(quoted: str) -> str:
+    return quoted[1:-1].replace("``", "`") if quoted.startswith("`") else quoted
+
+
+def _quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def _value(raw: str) -> str | None:
+    if raw[0] in "'\"":
+        q = raw[0]
+        return re.sub(rf"\\(.)|{q}{q}", lambda m: _ESCAPES.get(m[1], m[1]) if m[1] else q, raw[1:-1], flags=re.S)
+    return None if raw.upper() == "NULL" else raw
+
+
+def inserted(statement: str) -> tuple[str, list[str] | None, list[list[str | None]]] | None:
+    """Table, columns if they are named, and tuples of an insert; None for any other statement, ValueError for one that breaks off."""
+    head = _INSERT.match(statement)
+    if not head:
+        return None
+    at, rows = head.end(), []
+    names = [_name(x) for x in re.findall(_NAMES, head[3])] if head[3] else None
+    while True:
+        if statement[at : at + 1] != "(":
+            raise ValueError(f"no tuple at {at}")
+        row, at = [], at + 1
+        while True:
+            value = _VALUE.match(statement, at)
+            if not value:
+                raise ValueError(f"no value at {at}")
+            row.append(_value(value[1]))
+            at = value.end()
+            if value[2] == ")":
+                break
+        rows.append(row)
+        rest = re.compile(r"\s*,\s*|\s*").match(statement, at)
+        at = rest.end()
+        if at == len(statement) or "," not in rest.group():
+            break
+    return _name(head[2] or head[1]), names, rows
+
+
+def insert_rows(found: DataFrame, strict: bool = True) -> DataFrame:
+    """table, names (null if the insert has none), row (array of strings) of the inserts among statements."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for statement in batch.column("statement").to_pylist():
+                try:
+                    got = inserted(statement)
+                except ValueError as e:
+                    if strict:
+                        raise ValueError(f"{e}: {statement[:80]}") from e
+                    continue
+                if got:
+                    table, names, rows = got
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([table] * len(rows)), pa.array([names] * len(rows), pa.list_(pa.string())), pa.array(rows, pa.list_(pa.string()))], ["table", "names", "row"]
+                    )
+
+    return found.select("statement").mapInArrow(run, "table string, names array<string>, row array<string>")
+
+
+_CREATE = re.compile(rf"\s*create\s+(?:temporary\s+)?table\s+(?:if\s+not\s+exists\s+)?(?:(?:{_NAMES})\s*\.\s*)?({_NAMES})\s*\((.*)\)", re.I | re.S)
+#: What a definition without a column begins with: fixed values of the dump's format.
+_NO_COLUMN = re.compile(r"(?:primary|unique|key|index|fulltext|spatial|constraint|foreign|check)\b", re.I)
+#: Counterparts of column types: fixed values.
+_TYPES = {
+    "tinyint": "int", "smallint": "int", "mediumint": "int", "int": "int", "integer": "int", "year": "int", "bool": "int", "boolean": "int",
+    "bigint": "bigint", "float": "double", "double": "double", "real": "double", "date": "date", "datetime": "timestamp_ntz", "timestamp": "timestamp_ntz",
+}
+_WIDER = {"int": "bigint", "bigint": "decimal(20,0)"}
+
+
+def _definitions(body: str) -> list[str]:
+    """The parts of a table's body between commas outside brackets, strings and quoted names."""
+    out, depth, begin = [], 0, 0
+    for m in re.finditer(r"'(?:[^'\\]|\\.|'')*'|\"(?:[^\"\\]|\\.|\"\")*\"|`(?:[^`]|``)+`|[(),]", body, re.S):
+        depth += {"(": 1, ")": -1}.get(m.group(), 0)
+        if m.group() == "," and not depth:
+            out.append(body[begin : m.start()].strip())
+            begin = m.end()
+    return [*out, body[begin:].strip()]
+
+
+def created(statement: str) -> tuple[str, list[tuple[str, str]]] | None:
+    """Table, and name and Spark type of its columns; None for any other statement."""
+    head = _CREATE.match(statement)
+    if not head:
+        return None
+    columns = []
+    for d in _definitions(head[2]):
+        m = re.match(rf"({_NAMES})\s+(\w+)\s*(\(\s*\d+\s*(?:,\s*\d+\s*)?\))?([^'\"]*)", d)
+        if not m or d[0] != "`" and _NO_COLUMN.match(d):
+            continue
+        kind = m[2].lower()
+        if kind in ("decimal", "numeric", "dec"):
+            mine = "decimal" + (re.sub(r"\s", "", m[3]) if m[3] else "(10,0)")
+        else:
+            mine = _TYPES.get(kind, "string")
+            mine = _WIDER.get(mine, mine) if "unsigned" in m[4].lower() else mine
+        columns.append((_name(m[1]), mine))
+    return _name(head[1]), columns
+
+
+def tables(found: DataFrame) -> dict[str, list[tuple[str, str]]]:
+    """Columns of the tables that statements create; of a table created twice, those of the last. One small row a table."""
+    rows = found.filter(F.lower(F.left("statement", F.lit(6))) == "create").orderBy("file", "n").toLocalIterator()
+    return dict(filter(None, (created(r["statement"]) for r in rows)))
+
+
+def _at(columns: list[str], name: str) -> Column:
+    """The value of a column: by the insert's own list, or by place."""
+    place = F.coalesce(F.array_position("names", name).cast("int"), F.when(F.col("names").isNull(), columns.index(name) + 1).otherwise(0))
+    return F.get("row", place - 1)
+
+
+def read_table(spark: SparkSession, path: str, table: str, strict: bool = True) -> DataFrame:
+    """A table of the dumps at path with its columns' types; LookupError if no statement creates it."""
+    found = statements(spark, path)
+    columns = tables(found).get(table)
+    if columns is None:
+        raise LookupError(table)
+    names = [c for c, _ in columns]
+    rows = insert_rows(found, strict).filter(F.col("table") == table)
+    return rows.select(*(_at(names, c).cast(kind).alias(c) for c, kind in columns))
+
+
+def write_dump(df: DataFrame, path: str, table: str, rows: int = 500) -> None:
+    """df's rows as inserts of at most `rows` tuples, one file for each task, each with the table's definition."""
+    kinds = {"int": "int", "bigint": "bigint", "double": "double", "date": "date", "timestamp": "datetime", "timestamp_ntz": "datetime"}
+    body = ",\n".join(f"  {_quoted(c)} {kinds.get(k, k if k.startswith('decimal') else 'longtext')}" for c, k in df.dtypes)
+    name = _quoted(table)
+    head = f"DROP TABLE IF EXISTS {name};\nCREATE TABLE {name} (\n{body}\n) ENGINE=InnoDB DEFAULT CHARSET=utf8mb4;"
+
+    def literal(c: str) -> Column:
+        text = F.regexp_replace(F.col(_quoted(c)).cast("string"), r"(['\\])", r"\\$1")
+        return F.coalesce(F.concat(F.lit("'"), text, F.lit("'")), F.lit("NULL"))
+
+    tuples = df.select(F.concat(F.lit("("), F.concat_ws(",", *(literal(c) for c in df.columns)), F.lit(")")).alias("t"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield pa.RecordBatch.from_arrays([pa.array([head])], ["value"])
+        for batch in batches:
+            for at in range(0, batch.num_rows, rows):
+                yield pa.RecordBatch.from_arrays([pa.array([f"INSERT INTO {name} VALUES {','.join(batch.column(0).slice(at, rows).to_pylist())};"])], ["value"])
+
+    tuples.mapInArrow(run, "value string").write.text(path)

@@ -6,7 +6,7 @@ import zipfile
 
 import pytest
 
-from silvan.sources import corpora, documents, dump
+from silvan.sources import corpora, documents
 
 START, END = "front\n*** START OF THE PROJECT ***\n", "\n*** END OF THE PROJECT ***\nlicence\n"
 
@@ -186,13 +186,6 @@ def test_epubs(spark, tmp_path):
     assert [(r[0], r[2]) for r in got] == [("Vendidad 1", None), ("Vendidad 1:3", "Ahura"), ("Vendidad 2", None), ("Vendidad 2:1", "Zarathushtra asked")] and got[2][3] == {"title": "Yima (Jamshed)"}
 
 
-def test_dump(spark, tmp_path, text):
-    raw = "-- MySQL dump\nSET NAMES utf8;\n/*!40101 x */;\nCREATE TABLE `t` (\n  `id` int(11) NOT NULL AUTO_INCREMENT,\n  `v` text COMMENT 'c',\n  PRIMARY KEY (`id`),\n  KEY `k` (`v`)\n) ENGINE=InnoDB DEFAULT CHARSET=utf8;\nLOCK TABLES `t` WRITE;\nINSERT INTO `t` VALUES (1,'it\\'s'),(2,'b');\nBROKEN;\nUNLOCK TABLES;\n"
-    errors = dump.load(dump.statements(text(raw)), str(tmp_path / "o.db"))
-    with sqlite3.connect(tmp_path / "o.db") as con:
-        assert con.execute("select * from t order by id").fetchall() == [(1, "it's"), (2, "b")] and len(errors) == 1
-
-
 def test_list():
     names = [(c.name, c.translation) for c in corpora.CORPORA]
     assert len(names) == len(set(names)) and corpora.corpus("Old Testament", "Bible in Basic English").translator == "S. H. Hooke"

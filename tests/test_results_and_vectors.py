@@ -1,3 +1,4 @@
+import itertools
 import json
 
 import pytest
@@ -7,9 +8,20 @@ from silvan.operators import embedding, mapview, results, sequences, span_store,
 from silvan.functions import text as T
 
 
-def test_batches_and_halving():
-    assert list(embedding.batches([5, 4, 4, 1, 9, 1], 3, 8)) == [(0, 1), (1, 3), (3, 4), (4, 5), (5, 6)]
-    sizes = []
+@pytest.mark.parametrize("most, budget", [(1, 3), (2, 5), (3, 8), (9, 4)])
+def test_batches_against_all_cuts(most, budget):
+    for costs in itertools.product((0, 1, 4, 6), repeat=4):
+        got = list(embedding.batches(costs, most, budget))
+        assert [a for a, _ in got] + [4] == [0] + [b for _, b in got]
+        for a, b in got:
+            # No longer one would do, and it is one item or paid for.
+            fits = [e for e in range(a + 1, 5) if e - a <= most and (e == a + 1 or sum(costs[a:e]) <= budget)]
+            assert b == max(fits)
+    assert list(embedding.batches([], 3, 8)) == []
+
+
+def test_encoding_in_halves():
+    sizes, lost, limiter = [], [], embedding.Limiter(patience=2)
 
     def encode(texts):
         sizes.append(len(texts))
@@ -17,10 +29,20 @@ def test_batches_and_halving():
             raise embedding.TooMuch
         return [[float(len(t))] for t in texts]
 
-    run = embedding.Adaptive(encode, 8, recover=2)
     items = [(i, "x" * (20 - i), 20 - i) for i in range(12)] + [(99, "bad", 100)]
-    got = {i: v[0] for ids, vectors in run(items) for i, v in zip(ids, vectors)}
-    assert got == {i: float(20 - i) for i in range(12)} and run.skipped == [99] and max(sizes) > 2
+    got = {i: v[0] for ids, vectors in embedding.encode_all(encode, items, 8, limiter, lost) for i, v in zip(ids, vectors)}
+    assert got == {i: float(20 - i) for i in range(12)} and lost == [99] and max(sizes) == 8
+    assert list(embedding.encode_all(encode, [], 8)) == []
+
+
+def test_limiter_recovers():
+    limiter = embedding.Limiter(patience=3)
+    for ok in (False, False, True, True, False, True, True, True):
+        limiter.record(ok)
+    assert (limiter.halvings, limiter.share(64), limiter.share(1)) == (2, 16, 1)
+    for _ in range(20):
+        limiter.record(True)
+    assert limiter.share(64) == 64
 
 
 def test_embedding_of_a_queue(spark):
