@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
@@ -182,152 +181,3 @@ def contour_segments(field: DataFrame, group: str, shares: tuple[float, ...] = (
     cells = sides.groupBy(group, "level", F.col("s.ci").alias("i"), F.col("s.cj").alias("j")).agg(F.sort_array(F.collect_list(F.struct("s.side", "x", "y"))).alias("p"))
     pieces = F.transform(F.sequence(F.lit(0), F.size("p") - 2, F.lit(2)), lambda k: F.struct((k / 2).cast("int").alias("part"), F.get("p", k)["x"].alias("x0"), F.get("p", k)["y"].alias("y0"), F.get("p", k + 1)["x"].alias("x1"), F.get("p", k + 1)["y"].alias("y1")))
     return cells.filter("size(p) >= 2").select(group, "level", "i", "j", F.explode(pieces).alias("q")).select(group, "level", "i", "j", "q.*")
-
-
-#: Neighbours of the graph, and rows of a sample: distances along the graph are a table of its square.
-NEIGHBOURS, SAMPLE_ROWS = 10, 2_000
-
-
-@dataclass(frozen=True)
-class Isomap:
-    """A fit: the sample, its distances along the neighbour graph, and its coordinates with their scale."""
-
-    sample: np.ndarray
-    geodesic: np.ndarray
-    coords: np.ndarray
-    values: np.ndarray
-    k: int
-
-    def place(self, x: np.ndarray) -> np.ndarray:
-        """Coordinates of new rows: their distances along the graph, through their nearest sample rows, in the fit's kernel."""
-        near, d = _nearest(x, self.sample, self.k)
-        along = np.full((len(x), len(self.sample)), np.inf)
-        for m in range(near.shape[1]):
-            np.minimum(along, d[:, m : m + 1] + self.geodesic[near[:, m]], out=along)
-        kernel, fitted = -0.5 * along**2, -0.5 * self.geodesic**2
-        centred = kernel - kernel.mean(1, keepdims=True) - fitted.mean(0) + fitted.mean()
-        return centred @ (self.coords / np.maximum(self.values, 1e-300))
-
-
-def _nearest(x: np.ndarray, sample: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    d = np.sqrt(np.maximum(0, (x**2).sum(1)[:, None] + (sample**2).sum(1) - 2 * x @ sample.T))
-    near = np.argsort(d, axis=1, kind="stable")[:, :k]
-    return near, np.sqrt(((x[:, None] - sample[near]) ** 2).sum(2))
-
-
-def isomap(sample: np.ndarray, k: int = NEIGHBOURS, dims: int = 3) -> Isomap:
-    """The fit of at most SAMPLE_ROWS rows. Parts of the neighbour graph that do not meet are joined at their nearest rows."""
-    sample = np.asarray(sample, np.float64)
-    n = len(sample)
-    if n > SAMPLE_ROWS:
-        raise ValueError("the sample is too large")
-    near, d = _nearest(sample, sample, min(k + 1, n))
-    g = np.full((n, n), np.inf)
-    for i in range(n):
-        g[i, near[i]] = np.minimum(g[i, near[i]], d[i])
-        g[near[i], i] = np.minimum(g[near[i], i], d[i])
-    np.fill_diagonal(g, 0)
-    parts = _parts(np.isfinite(g))
-    for a in range(parts.max(initial=0)):
-        for b in range(a + 1, parts.max() + 1):
-            mine, others = np.flatnonzero(parts == a), np.flatnonzero(parts == b)
-            at, away = _nearest(sample[mine], sample[others], 1)
-            best = int(away[:, 0].argmin())
-            i, j = mine[best], others[at[best, 0]]
-            g[i, j] = g[j, i] = away[best, 0]
-    _shortest(g)
-    kernel = -0.5 * g**2
-    values, vectors = np.linalg.eigh(kernel - kernel.mean(0) - kernel.mean(1, keepdims=True) + kernel.mean())
-    top = np.argsort(-values)[:dims]
-    values, vectors = np.maximum(values[top], 0), vectors[:, top]
-    # The sign of an axis is free; its largest entry is made positive.
-    vectors = vectors * np.sign(vectors[np.abs(vectors).argmax(0), np.arange(len(top))])
-    return Isomap(sample, g, vectors * np.sqrt(values), values, min(k, n))
-
-
-def _shortest(g: np.ndarray) -> None:
-    """Lengths of edges (infinite where there is none) become lengths of shortest ways, in place: each row takes what its
-    neighbours reach, until nothing gets shorter. A round costs edges * rows, and there are as many as a way has edges."""
-    linked = np.isfinite(g)
-    np.fill_diagonal(linked, False)
-    near = [np.flatnonzero(row) for row in linked]
-    most = max((len(x) for x in near), default=0)
-    slots = []
-    for s in range(most):
-        rows = np.array([i for i, x in enumerate(near) if len(x) > s])
-        to = np.array([near[i][s] for i in rows])
-        slots.append((rows, to, g[rows, to][:, None].copy()))
-    while True:
-        before = g.copy()
-        for rows, to, length in slots:
-            g[rows] = np.minimum(g[rows], g[to] + length)
-        if (g == before).all():
-            return
-
-
-def _parts(linked: np.ndarray) -> np.ndarray:
-    """Number of the connected part of each row."""
-    out, number = np.full(len(linked), -1), 0
-    for i in range(len(linked)):
-        if out[i] < 0:
-            todo = [i]
-            while todo:
-                j = todo.pop()
-                if out[j] < 0:
-                    out[j] = number
-                    todo += np.flatnonzero(linked[j] & (out < 0)).tolist()
-            number += 1
-    return out
-
-
-def isomap_transform(df: DataFrame, vector: str, fit: Isomap) -> DataFrame:
-    """df with `coords`: each vector's place by its distances along the sample's graph; rows of the sample get their own."""
-    held = df.sparkSession.sparkContext.broadcast(fit)  # at most SAMPLE_ROWS ** 2 distances
-
-    @F.pandas_udf("array<double>")
-    def place(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        fit = held.value
-        for v in parts:
-            yield pd.Series([row for at in range(0, len(v), 1024) for row in fit.place(np.stack(v[at : at + 1024].to_numpy()).astype(np.float64))])
-
-    return df.withColumn("coords", place(F.col(vector)))
-
-
-def voronoi(points: DataFrame, group: str, id_: str, pad: float = 0.04) -> DataFrame:
-    """id, cell: the polygon of each point's cell within the padded box of all points, cells with fewer than three corners left out.
-
-    A group's cells need all its points, so a group must fit a task; groups are the versions of one corpus.
-    """
-    box = points.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
-    if box[0] is None:
-        box = (0.0, 1.0, 0.0, 1.0)
-    px, py = (box[1] - box[0]) * pad, (box[3] - box[2]) * pad
-    corners = [(box[0] - px, box[2] - py), (box[1] + px, box[2] - py), (box[1] + px, box[3] + py), (box[0] - px, box[3] + py)]
-    kind = points.schema[id_].dataType.simpleString()
-
-    def cells(pdf):
-        xy, out = pdf[["x", "y"]].to_numpy(), []
-        for i, p in enumerate(xy):
-            poly = corners
-            for q in xy[np.argsort(((xy - p) ** 2).sum(1), kind="stable")]:
-                if (q == p).all():
-                    continue
-                mid, normal = (p + q) / 2, q - p
-                if max(((np.array(c) - p) ** 2).sum() for c in poly) < ((mid - p) ** 2).sum():
-                    break  # no further point can cut what is left
-                cut = []
-                for a, b in zip(poly, poly[1:] + poly[:1], strict=True):
-                    da, db = np.dot(np.array(a) - mid, normal), np.dot(np.array(b) - mid, normal)
-                    if da <= 0:
-                        cut.append(a)
-                    if da * db < 0:
-                        t = da / (da - db)
-                        cut.append((a[0] + t * (b[0] - a[0]), a[1] + t * (b[1] - a[1])))
-                poly = cut
-                if len(poly) < 3:
-                    break
-            if len(poly) >= 3 and len(xy) > 1:
-                out.append((pdf[id_].iloc[i], [[float(x), float(y)] for x, y in poly]))
-        return pd.DataFrame(out, columns=[id_, "cell"])
-
-    return points.groupBy(group).applyInPandas(cells, f"{id_} {kind}, cell array<array<double>>")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from silvan.functions import text as T
 from silvan.functions import vector as V
-from silvan.operators import audit, embedding, ingest, mapview, projection, results, search, sequences, span_store, spans, taxonomy, tree
+from silvan.operators import audit, cells, embedding, ingest, manifold, mapview, projection, results, search, sequences, span_store, spans, taxonomy, tree
 from silvan.plans import domain as D
 from silvan.session import read_table
 from silvan.sources import documents, reports
@@ -564,26 +564,37 @@ def pca_variance(s, d):
     return s.createDataFrame(rows, "component int, share double, cumulative double")
 
 
-#: Vectors of each source in an Isomap's sample, which so has at most projection.SAMPLE_ROWS rows.
-PER_SOURCE = 25
+#: Vectors of each source in the sample that a projection is fitted on; no fit takes more than its own bound.
+PER_SOURCE = 100
 
 
-@query()
-def isomap(s, d):
-    """Fit on up to PER_SOURCE vectors of each source, cut at the bound; all vectors are placed."""
+def _placed(s, d, fit, most):
+    """All vectors, placed by a fit on up to PER_SOURCE vectors of each source."""
     e = read_table(s, d, "embeddings").select("vec_id", "embedding")
     sources = read_table(s, d, "documents").select(F.col("doc_id").alias("vec_id"), "source")
-    sample = projection.stratified_sample(e.join(sources, "vec_id", "left"), "source", "vec_id", PER_SOURCE)
-    import numpy as np
+    sample = manifold.take_sample(e.join(sources, "vec_id", "left"), "vec_id", "embedding", most, "source", PER_SOURCE)
+    return manifold.place(e, "embedding", fit(sample)).select("vec_id", F.transform("coords", lambda c: F.round(c, 5)).alias("coords"))
+
+
+@query()
+def isomap(s, d):
+    return _placed(s, d, lambda x: manifold.isomap(s, x), 20_000)
 
-    rows = sample.orderBy(F.xxhash64("vec_id"), "vec_id").limit(projection.SAMPLE_ROWS).select("vec_id", "embedding").collect()
-    fit = projection.isomap(np.array([r["embedding"] for r in sorted(rows, key=lambda r: r["vec_id"])], np.float64))
-    return projection.isomap_transform(e, "embedding", fit).select("vec_id", F.transform("coords", lambda c: F.round(c, 5)).alias("coords"))
+
+@query()
+def umap(s, d):
+    return _placed(s, d, lambda x: manifold.umap(s, x), 10_000)
+
+
+@query()
+def phate(s, d):
+    return _placed(s, d, manifold.phate, 2_000)
 
 
 @query()
 def voronoi_cells(s, d):
-    return projection.voronoi(_points(s, d), "label", "vec_id").select("vec_id", F.size("cell").alias("corners"))
+    found = cells.voronoi(_points(s, d), "label", "vec_id")
+    return found.select("vec_id", F.size("cell").alias("corners"), F.round(cells.area(F.col("cell")), 6).alias("area"))
 
 
 # ---- ingest and integrity ----

@@ -75,12 +75,9 @@ def test_pca_matches_numpy(spark):
     assert len(projection.pca(df, "v", 0.9).first()["coords"]) == len(shares)
 
 
-def test_empty_bounds_and_cells(spark):
+def test_empty_bounds(spark):
     none = spark.createDataFrame([], "x double, y double")
     assert tuple(projection.bounds(none).first()) == (-1, 1, -1, 1)
-    p = spark.createDataFrame([(1, 0, 0.0, 0.0), (2, 0, 1.0, 0.0), (3, 0, 0.0, 1.0), (4, 0, 1.0, 1.0)], "id long, g int, x double, y double")
-    cells = projection.voronoi(p, "g", "id").collect()
-    assert len(cells) == 4 and all(len(r["cell"]) == 4 for r in cells)
 
 
 def test_units_of_documents_without_lang_or_source(spark, tmp_path):
@@ -154,33 +151,6 @@ def test_moments_over_many_partitions(spark):
     assert n == 300 and np.allclose(mean, x.mean(0)) and np.allclose(cov, np.cov(x.T))
 
 
-def test_isomap_against_plain_distances(spark):
-    rng = np.random.default_rng(5)
-    # A bent line: places along it are what the distances along the graph show.
-    t = np.linspace(0, 3, 120) + rng.random(120) * 0.01
-    x = np.column_stack((np.cos(t), np.sin(t), t * 0.1))
-    fit = projection.isomap(x, 6, 2)
-    g = np.full((120, 120), np.inf)
-    d = np.linalg.norm(x[:, None] - x, axis=2)
-    for i in range(120):
-        near = np.argsort(d[i])[:7]
-        g[i, near] = g[near, i] = d[i, near]
-    for m in range(120):
-        g = np.minimum(g, g[:, m : m + 1] + g[m])
-    assert np.allclose(g, fit.geodesic) and abs(np.corrcoef(fit.coords[:, 0], t)[0, 1]) > 0.99
-    assert np.allclose(fit.place(x), fit.coords, atol=1e-6)
-    new = np.column_stack((np.cos([0.7, 1.9]), np.sin([0.7, 1.9]), [0.07, 0.19]))
-    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(np.vstack((x[:3], new)))], "id long, v array<double>")
-    got = {r["id"]: r["coords"] for r in projection.isomap_transform(df, "v", fit).collect()}
-    assert np.allclose([got[i] for i in range(3)], fit.coords[:3], atol=1e-6)
-    order = np.argsort(np.append(fit.coords[:, 0], [got[3][0], got[4][0]]))
-    by_t = np.argsort(np.append(t, [0.7, 1.9]))
-    assert (order == by_t).mean() > 0.9 or (order[::-1] == by_t).mean() > 0.9
-    # Two parts far from each other are joined at their nearest rows.
-    two = projection.isomap(np.vstack((x, x + [50, 0, 0])), 6, 2)
-    assert np.isfinite(two.geodesic).all() and two.geodesic[:120, 120:].min() == pytest.approx(np.linalg.norm(x[:, None] - (x + [50, 0, 0]), axis=2).min())
-
-
 def test_contours_close(spark):
     xy = np.random.default_rng(6).normal(size=(300, 2))
     points = spark.createDataFrame([(1, float(a), float(b)) for a, b in xy], "g int, x double, y double")
