@@ -68,6 +68,8 @@ def failure_masks(docs: DataFrame, filters: str = FILTERS, part: str = "lang") -
     rows = materialise(rows, "masks")
     # Only texts that more than one id has can fail, so what the rows meet again is small.
     groups = rows.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter(F.col("first") < F.col("last")).drop("last")
+    # A table of its own, so that the join is one of two scans: small, it is broadcast, and else a group of copies can be split.
+    groups = materialise(groups, "repeated-texts")
     repeated = F.coalesce(F.col("doc_id") > F.col("first"), F.lit(False))
     return rows.join(groups, ["h1", "h2"], "left").select("doc_id", "part", (F.col("mask") + F.when(repeated, bit[REPEAT]).otherwise(0)).alias("mask"))
 
