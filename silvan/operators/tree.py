@@ -49,7 +49,7 @@ def without_height(tree: DataFrame, found: DataFrame, id_: str = "id") -> DataFr
     return tree.select(F.col(id_).alias("id")).join(found.select("id"), "id", "left_anti")
 
 
-def _below(tree: DataFrame, level: DataFrame, id_: str, parent: str, columns: dict) -> DataFrame:
+def walk_down(tree: DataFrame, level: DataFrame, id_: str, parent: str, columns: dict) -> DataFrame:
     """All rows from level (id, ...) down; columns: how each further column follows from the parent's (named p_...) and the child's.
     In a tree no node is below itself, so the loop ends; a level that comes to a root again is a cycle, and an error."""
     t = tree.withColumns({"__id": F.col(id_), "__up": F.col(parent)})
@@ -69,12 +69,12 @@ def paths(tree: DataFrame, label: str = "label", id_: str = "unit_id", parent: s
     """id, path: the labels from the root down, each after a slash."""
     name = F.coalesce(F.nullif(F.col(label), F.lit("")), F.col(id_).cast("string"))
     top = tree.filter(F.col(parent).isNull()).select(F.col(id_).alias("id"), F.concat(F.lit("/"), name).alias("path"))
-    return _below(tree, top, id_, parent, {"path": F.concat("p_path", F.lit("/"), name)})
+    return walk_down(tree, top, id_, parent, {"path": F.concat("p_path", F.lit("/"), name)})
 
 
 def descendants(tree: DataFrame, root: int, id_: str = "unit_id", parent: str = "parent_id") -> DataFrame:
     """Ids below and with root, from the top: only the subtree is walked."""
-    return _below(tree, tree.filter(F.col(id_) == root).select(F.col(id_).alias("id")), id_, parent, {})
+    return walk_down(tree, tree.filter(F.col(id_) == root).select(F.col(id_).alias("id")), id_, parent, {})
 
 
 def leaves(tree: DataFrame, root: int, limit: int = 200, offset: int = 0) -> DataFrame:
@@ -117,7 +117,7 @@ def children_preview(tree: DataFrame, parent: int, limit: int | None = None, off
 def division(tree: DataFrame, id_: str = "unit_id", parent: str = "parent_id") -> DataFrame:
     """unit_id, division: the ancestor at depth 0, the unit itself if it is there; units that hang on none are left out."""
     top = tree.filter("depth = 0").select(F.col(id_).alias("id"), F.col(id_).alias("division"))
-    return _below(tree, top, id_, parent, {"division": F.col("p_division")}).withColumnRenamed("id", id_)
+    return walk_down(tree, top, id_, parent, {"division": F.col("p_division")}).withColumnRenamed("id", id_)
 
 
 def ancestor_per_height(tree: DataFrame, id_: str = "unit_id") -> DataFrame:

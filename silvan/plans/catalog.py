@@ -3,16 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from silvan.functions import text as T
 from silvan.functions import vector as V
-from silvan.operators import audit, cells, embedding, ingest, manifold, mapview, projection, results, search, sequences, span_store, spans, taxonomy, tree
+from silvan.operators import audit, balls, cells, embedding, ingest, intervals, manifold, mapview, projection, results, search, sequences, span_store, spans, taxonomy, tree, trigrams
 from silvan.plans import domain as D
-from silvan.session import read_table
-from silvan.sources import documents, reports
+from silvan.session import read_table, scratch_path
+from silvan.sources import documents, dump, reports
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -50,6 +51,19 @@ def vector_topk(s, d):
     return page.join(of, "vec_id", "left").select("vec_id", "lang", "source", "score")
 
 
+@query("""w AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS q FROM embeddings WHERE vec_id IN (0, 7, 13)),
+n AS (SELECT w.vec_id AS query, e.vec_id, 1 - list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), w.q) AS dist FROM w, embeddings e)
+SELECT query, vec_id, score FROM (SELECT query, vec_id, round_even(1 - dist, 4) AS score, row_number() OVER (PARTITION BY query ORDER BY dist, vec_id) AS k FROM n) WHERE k <= 15""", domain=False)
+def vector_topk_indexed(s, d):
+    """Three searches through one index of balls."""
+    where = scratch_path(s, "balls")
+    e = read_table(s, d, "embeddings").select("vec_id", "embedding")
+    balls.write_index(e, where, n_balls=64)
+    index = balls.Balls(s, where)
+    pages = [index.top_k(search.vector_of(e, "vec_id", q), 15).select(F.lit(q).cast("long").alias("query"), "vec_id", "score") for q in (0, 7, 13)]
+    return reduce(DataFrame.unionByName, pages)
+
+
 @query(_DIST + "SELECT vec_id, lang, label, round_even(1 - dist, 4) AS score FROM v WHERE lang IN ('en', 'fr') AND label BETWEEN 2 AND 6 ORDER BY dist, vec_id LIMIT 15")
 def vector_topk_filtered(s, d):
     e = read_table(s, d, "embeddings")
@@ -135,6 +149,26 @@ def keyword_search(s, d):
     return search.keyword(D.units(s, d), D.corpora(s, d), "licen_ed", limit=20, offset=5).select("unit_id", "corpus", "label", "score")
 
 
+def _indexed_units(s, d):
+    """The units, and an index over their texts, labels and paths, as an ingest writes them."""
+    where, units = scratch_path(s, "trigrams"), scratch_path(s, "units")
+    D.units(s, d).write.parquet(units)
+    trigrams.write_index(s.read.parquet(units), where, ("text", "label", "path"))
+    return s.read.parquet(units), where
+
+
+@query(f"SELECT u.unit_id, c.name AS corpus, u.label, 1.0::DOUBLE AS score FROM unit u JOIN corpus c ON c.corpus_id = u.corpus_id WHERE {_MATCH.format('licen_ed')} ORDER BY u.unit_id LIMIT 20 OFFSET 5")
+def keyword_search_indexed(s, d):
+    units, where = _indexed_units(s, d)
+    return trigrams.keyword(units, D.corpora(s, d), where, "licen_ed", limit=20, offset=5).select("unit_id", "corpus", "label", "score")
+
+
+@query("SELECT unit_id, depth, label FROM unit WHERE text ILIKE '%nedb%' OR label ILIKE '%nedb%' OR path ILIKE '%nedb%' ORDER BY depth, unit_id LIMIT 200")
+def autocomplete_indexed(s, d):
+    units, where = _indexed_units(s, d)
+    return trigrams.autocomplete(units, where, "NEDB", limit=200).select("unit_id", "depth", "label")
+
+
 @query(f"SELECT u.unit_id, u.path FROM unit u JOIN corpus c ON c.corpus_id = u.corpus_id WHERE u.corpus_id IN (1, 2) AND u.height BETWEEN 0 AND 1 AND {_MATCH.format('SRC1')} ORDER BY u.unit_id LIMIT 500")
 def keyword_multi_column(s, d):
     return search.keyword(D.units(s, d), D.corpora(s, d), "SRC1", [1, 2], height=(0, 1), depth=(1, None), limit=500).select("unit_id", "path")
@@ -195,14 +229,30 @@ def tree_children_preview(s, d):
     return tree.children_preview(D.units(s, d), 1, 20, 2)
 
 
+def _intervals(s, d):
+    """The units with their intervals, as an ingest writes them."""
+    path = scratch_path(s, "intervals")
+    intervals.write(intervals.with_intervals(D.units(s, d)), path)
+    return intervals.read(s, path)
+
+
 @query(_CLOSURE + "SELECT ancestor AS id, CAST(2 - distance AS INT) AS place FROM cl WHERE descendant = 1000000000001")
 def tree_ancestors(s, d):
-    return tree.ancestors(D.units(s, d), 1_000_000_000_001)
+    return intervals.ancestors(_intervals(s, d), 1_000_000_000_001).select(F.col("unit_id").alias("id"), "place")
 
 
 @query(_CLOSURE + "SELECT u.unit_id, u.label FROM cl JOIN unit u ON u.unit_id = cl.descendant AND u.height = 0 WHERE cl.ancestor = 2 ORDER BY u.unit_id LIMIT 50 OFFSET 10")
 def tree_leaves_paged(s, d):
-    return tree.leaves(D.units(s, d), 2, 50, 10).select("unit_id", "label")
+    return intervals.leaves(_intervals(s, d), 2, 50, 10).select("unit_id", "label")
+
+
+@query("""w(unit_id, way) AS (SELECT unit_id, [unit_id] FROM unit WHERE parent_id IS NULL UNION ALL SELECT u.unit_id, list_append(w.way, u.unit_id) FROM w JOIN unit u ON u.parent_id = w.unit_id),
+cl(ancestor, descendant) AS (SELECT unit_id, unit_id FROM unit UNION ALL SELECT u.parent_id, cl.descendant FROM cl JOIN unit u ON u.unit_id = cl.ancestor WHERE u.parent_id IS NOT NULL),
+n AS (SELECT ancestor AS unit_id, count(*) AS n FROM cl GROUP BY ancestor),
+e AS (SELECT unit_id, row_number() OVER (ORDER BY way) AS enter FROM w)
+SELECT e.unit_id, enter, enter + n - 1 AS leave FROM e JOIN n ON n.unit_id = e.unit_id""")
+def tree_intervals(s, d):
+    return _intervals(s, d).select("unit_id", "enter", "leave")
 
 
 @query("SELECT unit_id, version_id AS division FROM unit")
@@ -662,6 +712,14 @@ def embed_queue(s, d):
     return ingest.embed_queue(D.units(s, d), done).select("unit_id", F.length("text").cast("long").alias("chars"), "cost")
 
 
+@query("SELECT doc_id, text, lang, source, n_chars FROM documents", domain=False)
+def dump_documents(s, d):
+    """The documents as a dump's inserts, and back."""
+    where = scratch_path(s, "dump")
+    dump.write_dump(read_table(s, d, "documents").select("doc_id", "text", "lang", "source", "n_chars"), where, "documents")
+    return dump.read_table(s, where, "documents")
+
+
 @query("SELECT version_id, count(*) AS points FROM unit GROUP BY version_id")
 def points_per_version(s, d):
     return D.units(s, d).groupBy("version_id").agg(F.count("*").alias("points"))
@@ -669,7 +727,7 @@ def points_per_version(s, d):
 
 @query("SELECT corpus_id, unit_id, row_number() OVER (PARTITION BY corpus_id ORDER BY unit_id) AS nth FROM unit WHERE height > 0")
 def rank_in_corpus(s, d):
-    return sequences.numbered(D.units(s, d).filter("height > 0").select("corpus_id", "unit_id"), ["corpus_id"], "unit_id")
+    return sequences.numbered_across(D.units(s, d).filter("height > 0").select("corpus_id", "unit_id"), ["corpus_id"], ["unit_id"])
 
 
 # ---- results ----

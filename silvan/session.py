@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import shutil
 import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,6 +19,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, **conf: s
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
         "spark.driver.memory": "8g",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         **conf,
     }.items():
         b = b.config(k, v)
@@ -39,17 +41,36 @@ def ship(spark: SparkSession) -> None:
     context._silvan_shipped = True
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir. Only in local mode, where driver and executors are
+    one process, an unset folder is one of this machine."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if found:
+        return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return "file:///tmp/checkpoints/silvan"
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder; what is there goes when the driver ends."""
+    path = f"{shared_dir(spark)}/silvan/{name}-{uuid.uuid4().hex}"
+    _delete_at_end(spark, path)
+    return path
+
+
+def _delete_at_end(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """df with its lineage cut by a checkpoint in the folder of spark.checkpoint.dir, for loops that use a step's result more
-    than once. Only in local mode, where driver and executors are one process, an unset folder is one of this machine."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
-        if not shared:
-            if not context.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-            shared = "file:///tmp/checkpoints/silvan"
-        context.setCheckpointDir(shared)
+    """df with its lineage cut by a checkpoint in the shared folder, for loops that use a step's result more than once. A step's
+    files go when nothing holds it any more, if spark.cleaner.referenceTracking.cleanCheckpoints is set, else with the driver."""
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_dir(spark))
+        _delete_at_end(spark, spark.sparkContext.getCheckpointDir())
     return df.checkpoint()
 
 
