@@ -16,8 +16,8 @@ links and a spanning forest of its links, never the links themselves, so dense g
 
 Edge cases: a vector that is null, empty or zero, or holds a null or non-finite component, links with nothing, and so does
 a row whose id is null (op10 keeps it); vectors of different lengths do not link, and more than `MAX_DIMS` different
-lengths are an error; a cosine of exactly the threshold, as doubles give it, links; of equal ids the smallest component is
-still the smallest id reached; long vectors make blocks of fewer rows; repeated rows count as vectors; an empty table
+lengths are an error; a cosine of exactly the threshold, as doubles give it, links; rows of one id are vectors of their own, with links
+and components of their own; long vectors make blocks of fewer rows; repeated rows count as vectors; an empty table
 gives no rows; other columns, whatever their names, are ignored.
 """
 
@@ -186,14 +186,13 @@ def _compare(classes: DataFrame, tiles: Tiles, axes: np.ndarray, threshold: floa
     left = left.select("i", "j", "bi", F.explode(up_to(F.col("nj"))).alias("bj"), F.lit(0).alias("side"), *payload).filter("i < j or bi <= bj")
     right = held.join(met_table, F.col("tile") == F.col("j")).withColumn("bj", F.pmod("hash", F.col("nj")))
     right = right.select("i", "j", F.explode(up_to(F.col("ni"))).alias("bi"), "bj", F.lit(1).alias("side"), *payload).filter("i < j or bi < bj")
-    kind = classes.schema["id"].dataType.simpleString()
     dtype = "<f4" if width == 4 else "<f8"
 
     def compare(part: pa.Table) -> pa.Table:
         side = part["side"].to_numpy()
         ids, copies = part["id"].to_numpy(), part["copies"].to_numpy()
         x = np.frombuffer(b"".join(part["vec"].to_pylist()), dtype).reshape(len(ids), -1).astype(np.float64)
-        order = np.argsort(ids, kind="stable")  # so that the smallest node has the smallest id
+        order = np.argsort(ids, kind="stable")  # so that the smallest node has the smallest number
         side, ids, copies, x = side[order], ids[order], copies[order], x[order]
         la, lb = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
         same = not len(lb) and part["i"][0] == part["j"][0] and part["bi"][0] == part["bj"][0]
@@ -208,7 +207,7 @@ def _compare(classes: DataFrame, tiles: Tiles, axes: np.ndarray, threshold: floa
         hit = links > 0
         return pa.table({"id": pa.array(ids[hit]), "links": pa.array(links[hit]), "root": pa.array(ids[label[hit]])})
 
-    return left.unionByName(right).groupBy("i", "j", "bi", "bj").applyInArrow(compare, f"id {kind}, links long, root {kind}")
+    return left.unionByName(right).groupBy("i", "j", "bi", "bj").applyInArrow(compare, "id long, links long, root long")
 
 
 def near_vectors(vectors: DataFrame, threshold: float = 0.9, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
@@ -218,7 +217,6 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9, id_col: str = "vec_
 
 
 def _near(vectors: DataFrame, threshold: float, id_col: str, vec_col: str) -> DataFrame:
-    kind = vectors.schema[id_col].dataType.simpleString()
     width = 4 if vectors.schema[vec_col].dataType.elementType.simpleString() == "float" else 8
     dtype = "<f4" if width == 4 else "<f8"
     v = F.col("v")
@@ -228,8 +226,9 @@ def _near(vectors: DataFrame, threshold: float, id_col: str, vec_col: str) -> Da
     rows = rows.select("id", F.when(F.coalesce(usable, F.lit(False)), v if width == 4 else v.cast("array<double>")).alias("v"))
     alone = rows.filter("v is null").select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
     rows = rows.filter("v is not null").withColumns({"k1": F.xxhash64(F.lit(1), "v"), "k2": F.xxhash64(F.lit(2), "v")})
-    classes = rows.groupBy("k1", "k2").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.first("v").alias("v"))
-    classes = materialise(classes.withColumn("dim", F.size("v")), "vector-classes")
+    classes = rows.groupBy("k1", "k2").agg(F.min("id").alias("least"), F.count("*").alias("copies"), F.first("v").alias("v"))
+    # Different vectors may have one id, so a class is known by a number of its own until the end.
+    classes = materialise(classes.withColumns({"dim": F.size("v"), "id": F.monotonically_increasing_id()}), "vector-classes")
     dims = {r["dim"]: r["count"] for r in classes.groupBy("dim").count().limit(MAX_DIMS + 1).collect()}
     if len(dims) > MAX_DIMS:
         raise ValueError(f"vectors of more than {MAX_DIMS} lengths")
@@ -237,7 +236,7 @@ def _near(vectors: DataFrame, threshold: float, id_col: str, vec_col: str) -> Da
     for dim, n in sorted(dims.items()):
         own = classes.filter(F.col("dim") == dim)
         spread = 1 << 30
-        sampled = own.filter(F.pmod(F.xxhash64("id", F.lit(9)), F.lit(spread)) < min(spread, SAMPLE * spread // n + 1)).select("v").limit(2 * SAMPLE).collect()
+        sampled = own.filter(F.pmod(F.xxhash64("k1", F.lit(9)), F.lit(spread)) < min(spread, SAMPLE * spread // n + 1)).select("v").limit(2 * SAMPLE).collect()
         sample = unit(np.array([r["v"] for r in sampled] or [[1.0] * dim], np.float64))
         axes = principal_axes(sample)
         tiles = Tiles(sample @ axes, min(MAX_TILES, max(LEAST_TILES, -(-n // block_rows(dim)))))
@@ -250,7 +249,7 @@ def _near(vectors: DataFrame, threshold: float, id_col: str, vec_col: str) -> Da
                     raw = [r.astype(dtype).tobytes() for r in x]
                     yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("copies"), pa.array(tile), pa.array(raw, pa.binary())], ["id", "copies", "tile", "vec"])
 
-        placed = materialise(own.select("id", "copies", "v").mapInArrow(place, f"id {kind}, copies long, tile long, vec binary"), "tiles")
+        placed = materialise(own.select("id", "copies", "v").mapInArrow(place, "id long, copies long, tile long, vec binary"), "tiles")
         part = _compare(placed, tiles, axes, threshold, width, leading(sample @ axes, threshold), block_rows(dim))
         found = part if found is None else found.unionByName(part)
     if found is None:
@@ -258,8 +257,10 @@ def _near(vectors: DataFrame, threshold: float, id_col: str, vec_col: str) -> Da
     found = materialise(found, "vector-links")
     sums = found.groupBy("id").agg(F.sum("links").alias("links"))
     roots = connected_components(found, "id", "root").withColumnRenamed("component", "root")
-    owner = classes.select("k1", "k2", "id", "copies").join(sums, "id", "left").join(roots, "id", "left")
-    owner = owner.select("k1", "k2", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("root", "id").alias("component_id"))
+    owner = classes.select("k1", "k2", "id", "least", "copies").join(sums, "id", "left").join(roots, "id", "left")
+    owner = owner.select("k1", "k2", "least", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("root", "id").alias("root"))
+    components = owner.groupBy("root").agg(F.min("least").alias("component_id"))
+    owner = owner.join(components, "root").select("k1", "k2", "n_links", "component_id")
     out = rows.select("id", "k1", "k2").join(owner, ["k1", "k2"])
     return out.select(F.col("id").alias(id_col), "n_links", "component_id").unionByName(alone)
 

@@ -290,6 +290,10 @@ def test_embeddings_against_brute_force(spark):
     assert all(links[i] == c[i].sum() + (i in repeated) for i in range(300))
     assert all(r["component_id"] == want[r["vec_id"]] for r in got if r["vec_id"] is not None and r["vec_id"] < 300)
     assert [links[1000 + k] for k in range(9)] == [0, 0, 0, 0, 0, 0, 1, 1, 0]
+    # Rows of one id are vectors of their own: (1, x) has one neighbour, and so has (1, y).
+    x, y = [1.0, 0.0, 0.1], [0.0, 1.0, 0.1]
+    same = spark.createDataFrame([(1, x), (1, y), (2, [1.0, 0.0, 0.12]), (3, [0.0, 1.0, 0.12]), (1, x), (9, [0.0, 0.0, -1.0])], "vec_id long, embedding array<double>")
+    assert sorted(tuple(r) for r in embed_dedup.near_vectors(same).collect()) == [(1, 1, 1), (1, 2, 1), (1, 2, 1), (2, 2, 1), (3, 1, 1), (9, 0, 9)]
     assert embed_dedup.near_vectors(df.limit(0)).count() == 0
 
 
