@@ -1,7 +1,7 @@
 """Token counts by separator scan over flat, unindexed token files.
 
 A token file is a run of little-endian unsigned 16- or 32-bit ids in which an end id closes each document, and nothing
-else. It is read by byte ranges, in blocks that know nothing of documents: a range is a file's name, an offset and a
+else. It is read by byte ranges, each in blocks that know nothing of documents: a range is a file's name, an offset and a
 length, all derived from the file's size. Each block is searched for the end id as one array. What a block leaves open
 before its first and after its last end is stitched by a prefix scan over the blocks' summaries (number of ends, length
 of the open tail), so no task sees more than a block's tokens. The scan runs within a file, as a document does not go on
@@ -14,7 +14,7 @@ executors share.
 
 Edge cases: ids after a file's last end are a document that is not closed (closed = false); two ends in a row are a
 document of 0 tokens; a file without ids has no documents; block boundaries fall anywhere, on an end too; a file whose
-length is not a whole number of ids is an error; repeated rows are documents of their own. In `write_token_files`, a null
+length is not a whole number of ids is an error, unless the files to be counted are named and it isn't one of them; repeated rows are documents of their own. In `write_token_files`, a null
 or empty text is a document of 0 tokens; long texts are read whole and go through several blocks; the name of a special
 token in a text is ordinary text, so an end id closes a document and stands nowhere else; an id that does not fit the
 width, or is the end id, is an error; an empty table gives no files and no rows; other columns are ignored, whatever
@@ -38,6 +38,8 @@ from silvan.llm.packing import encoder, vocabulary_path
 #: <|endoftext|> of the vocabulary.
 END = 50_256
 BLOCK_TOKENS = 1 << 16
+#: Ids of a range, whose file a task opens once: 64 MB of 16-bit ids.
+RANGE_TOKENS = 1 << 25
 #: A file is closed after so many ids or documents.
 FILE_TOKENS, DOCS_PER_FILE = 1 << 26, 10_000
 
@@ -93,30 +95,40 @@ def write_token_files(docs: DataFrame, folder: str, vocabulary: str | None = Non
     return docs.select("doc_id", "text").mapInArrow(write, f"file string, nth long, doc_id {kind}")
 
 
-def token_ranges(spark: SparkSession, folder: str, width: int = 2, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
-    """path, file, block, offset, length: byte ranges of the token files (*.ids) in folder, from the files' sizes alone."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.ids").load(folder).select("path", "length")
-    step = block_tokens * width
+def token_ranges(spark: SparkSession, folder: str, width: int = 2, range_tokens: int = RANGE_TOKENS, named: DataFrame | None = None) -> DataFrame:
+    """path, file, offset, length: byte ranges of the token files (*.ids) in folder, from the files' sizes alone.
+
+    With `named` (a column file), only of files named there: what a lost attempt has left is not looked at.
+    """
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.ids").load(folder).select("path", "length", F.element_at(F.split("path", "/"), -1).alias("file"))
+    if named is not None:
+        # Cut off here, so that no check of a length can come before the join.
+        files = materialise(files.join(named.select("file").distinct(), "file", "left_semi"), "token-files-named")
+    step = range_tokens * width
     whole = F.when(F.pmod("length", F.lit(width)) == 0, F.col("length")).otherwise(F.raise_error(F.concat(F.lit("not a whole number of ids: "), "path")).cast("long"))
     starts = F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(whole - 1, F.lit(0)), F.lit(step).cast("long")))
-    df = files.select("path", F.element_at(F.split("path", "/"), -1).alias("file"), "length", starts.alias("offset"))
-    return df.select("path", "file", F.expr(f"offset div {step}").alias("block"), "offset", F.least(F.lit(step).cast("long"), F.col("length") - F.col("offset")).alias("length"))
+    df = files.select("path", "file", "length", starts.alias("offset"))
+    return df.select("path", "file", "offset", F.least(F.lit(step).cast("long"), F.col("length") - F.col("offset")).alias("length"))
 
 
-def read_blocks(ranges: DataFrame) -> DataFrame:
-    """file, block, ids (bytes) of each range."""
+def read_blocks(ranges: DataFrame, width: int = 2, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+    """file, block, ids (bytes) of the blocks in each range. A range's file is opened once and read block by block; ranges begin
+    at a block's border."""
+    step = block_tokens * width
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path, file, block, offset, length in zip(*(batch.column(c).to_pylist() for c in ("path", "file", "block", "offset", "length")), strict=True):
+            for path, file, offset, length in zip(*(batch.column(c).to_pylist() for c in ("path", "file", "offset", "length")), strict=True):
                 store, where = _store(_local(path))
                 with store.open_input_file(where) as f:
-                    raw = f.read_at(length, offset)
-                if len(raw) != length:
-                    raise ValueError(f"{path} has changed")
-                yield pa.RecordBatch.from_arrays([pa.array([file]), pa.array([block], pa.int64()), pa.array([raw], pa.binary())], ["file", "block", "ids"])
+                    for at in range(0, length, step):
+                        size = min(step, length - at)
+                        raw = f.read_at(size, offset + at)
+                        if len(raw) != size:
+                            raise ValueError(f"{path} has changed")
+                        yield pa.RecordBatch.from_arrays([pa.array([file]), pa.array([(offset + at) // step], pa.int64()), pa.array([raw], pa.binary())], ["file", "block", "ids"])
 
-    return ranges.repartition(ranges.sparkSession.sparkContext.defaultParallelism * 4, "file", "block").mapInArrow(read, "file string, block long, ids binary")
+    return ranges.repartition(ranges.sparkSession.sparkContext.defaultParallelism * 4, "file", "offset").mapInArrow(read, "file string, block long, ids binary")
 
 
 def count_tokens(blocks: DataFrame, end: int = END, width: int = 2) -> DataFrame:
@@ -162,9 +174,10 @@ def count_tokens(blocks: DataFrame, end: int = END, width: int = 2) -> DataFrame
     return df.select("file", (F.col("docs") + F.col("i")).alias("nth"), "d.start", "d.n_tokens", "d.closed")
 
 
-def count_token_files(spark: SparkSession, folder: str, end: int = END, width: int = 2, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
-    """file, nth, start, n_tokens, closed of each document in the token files of folder."""
-    return count_tokens(read_blocks(token_ranges(spark, folder, width, block_tokens)), end, width)
+def count_token_files(spark: SparkSession, folder: str, end: int = END, width: int = 2, block_tokens: int = BLOCK_TOKENS, named: DataFrame | None = None) -> DataFrame:
+    """file, nth, start, n_tokens, closed of each document in the token files of folder (named: as in `token_ranges`)."""
+    ranges = token_ranges(spark, folder, width, block_tokens * max(1, RANGE_TOKENS // block_tokens), named)
+    return count_tokens(read_blocks(ranges, width, block_tokens), end, width)
 
 
 def document_tokens(docs: DataFrame, docs_per_file: int = DOCS_PER_FILE, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
@@ -179,8 +192,7 @@ def document_tokens(docs: DataFrame, docs_per_file: int = DOCS_PER_FILE, block_t
         ids = materialise(write_token_files(docs, folder, docs_per_file=docs_per_file), "token-documents")
         if ids.isEmpty():
             return spark.createDataFrame([], "doc_id long, file string, nth long, start long, n_tokens long").withColumn("doc_id", F.col("doc_id").cast(kind))
-        wanted = ids.select("file").distinct()
-        counts = count_tokens(read_blocks(token_ranges(spark, folder, block_tokens=block_tokens).join(wanted, "file", "left_semi")))
+        counts = count_token_files(spark, folder, block_tokens=block_tokens, named=ids)
         both = counts.withColumn("found", F.lit(True)).join(ids.withColumn("named", F.lit(True)), ["file", "nth"], "full")
         right = F.when(F.col("found") & F.col("named") & F.col("closed"), F.col("n_tokens")).otherwise(F.raise_error(F.concat(F.lit("ends and documents differ in "), "file")).cast("long"))
         return keep(both.select("doc_id", "file", "nth", "start", right.alias("n_tokens")), "token-counts")

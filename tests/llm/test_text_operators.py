@@ -206,6 +206,24 @@ def test_token_files_round_trip(spark, docs, tmp_path):
         token_count.write_token_files(docs([(1, "the")]), str(tmp_path / "g"), end=int(np.frombuffer(next(e(["the"])), "<u4")[0])).count()
 
 
+def test_files_of_lost_attempts_are_not_counted(spark, docs, tmp_path, monkeypatch):
+    """A truncated file, a whole one and an empty one that no row names lie beside the named ones."""
+    folder, rows = tmp_path / "f", [(k, "word " * k) for k in range(40)]
+    named = token_count.write_token_files(docs(rows), str(folder), docs_per_file=7)
+    named.write.parquet(str(tmp_path / "named"))
+    named = spark.read.parquet(str(tmp_path / "named"))
+    first = next(folder.glob("*.ids"))
+    for name, content in (("lost.ids", first.read_bytes()[:-1] + b""), ("again.ids", first.read_bytes()), ("empty.ids", b"")):
+        (folder / name).write_bytes(content)
+    (folder / "note.txt").write_text("not a token file")
+    monkeypatch.setattr(token_count, "RANGE_TOKENS", 64)
+    for block in (5, 64):
+        got = token_count.count_token_files(spark, str(folder), block_tokens=block, named=named).join(named, ["file", "nth"], "full").collect()
+        assert sorted((r["doc_id"], r["n_tokens"], r["closed"]) for r in got) == [(k, k + 1 if k else 0, True) for k in range(40)]
+    with pytest.raises(Exception, match="whole number"):
+        token_count.count_token_files(spark, str(folder)).count()
+
+
 def test_token_counts_by_doc_id(spark, docs, tmp_path):
     """The query against a plain count: end marks in texts, repeated rows, nulls, a long text, files and blocks of few."""
     rng, mark = random.Random(17), "<|endoftext|>"
