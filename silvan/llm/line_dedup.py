@@ -92,7 +92,9 @@ def drop_bitmaps(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = 1,
     if keep not in ("none", "first"):
         raise ValueError("keep is none or first")
     with scratch(docs.sparkSession) as hold:
-        marked = materialise(mark_firsts(line_hashes(docs, min_chars), partitions), "lines")
+        # Written first, as the ranges are cut from a sample for which the texts would be read once more.
+        hashes = materialise(line_hashes(docs, min_chars), "line-hashes")
+        marked = materialise(mark_firsts(hashes, partitions), "lines")
         keys = materialise(dropped_keys(marked, min_docs, keep), "dropped-keys")
         hits = marked.select(*KEY, *DOC, "pos").join(keys, list(KEY))
         if keep == "first":
