@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import os
 
 from pyspark.sql import SparkSession
 
@@ -12,11 +13,28 @@ def _at(spark: SparkSession, path: str):
     return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
 
 
+def store(path: str):
+    """pyarrow's file system for a path or URI, and the path in it: for tasks, which have no Spark session. file:/a and file:///a
+    are the same to Spark; pyarrow takes the second."""
+    from pyarrow import fs
+
+    if path.startswith("file:/"):
+        path = "file:///" + path[5:].lstrip("/")
+    elif "://" not in path:
+        return fs.LocalFileSystem(), os.path.abspath(path)
+    return fs.FileSystem.from_uri(path)
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     fs, where = _at(spark, path)
     return fs.exists(where)
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    fs, where = _at(spark, path)
+    fs.delete(where, True)
+
+
 def write_bytes(spark: SparkSession, path: str, content: bytes) -> None:
     """Replaces the file."""
     fs, where = _at(spark, path)

@@ -8,6 +8,7 @@ programs, so ids have to fit 32 bits, which is checked, and a version, or the sp
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -57,89 +58,52 @@ def check_version(manifest: dict) -> None:
         raise ValueError(f"layout version {SCHEMA_VERSION} or later is needed")
 
 
-def to_files(points: DataFrame) -> DataFrame:
-    """version_id, content: one file for each version, its rows by id. points: unit_id, corpus_id, version_id, coords.
-
-    A file is one value, so a version must fit a task; what is larger stays in Parquet.
-    """
-
-    def write(t: pa.Table) -> pa.Table:
-        t = t.sort_by("unit_id")
-        raw = encode(t["unit_id"].to_numpy(), np.stack(t["coords"].to_pylist()), t["corpus_id"].to_numpy(), t["version_id"].to_numpy())
-        return pa.table({"version_id": t["version_id"][:1].cast(pa.int64()), "content": pa.array([raw], pa.binary())})
-
-    return points.groupBy("version_id").applyInArrow(write, "version_id long, content binary")
-
-
-def span_file(spans: DataFrame) -> DataFrame:
-    """One row, content: the file of all spans by id. spans: span_id, corpus_id, version_id, coords and SPAN_FIELDS."""
-
-    def write(t: pa.Table) -> pa.Table:
-        t = t.sort_by("span_id")
-        raw = encode(t["span_id"].to_numpy(), np.stack(t["coords"].to_pylist()), *(t[c].to_numpy() for c in ("corpus_id", "version_id", *SPAN_FIELDS)))
-        return pa.table({"content": pa.array([raw], pa.binary())})
-
-    return spans.groupBy(F.lit(0).alias("all")).applyInArrow(write, "content binary")
-
-
-def from_files(files: DataFrame, components: int, least: int = 0) -> DataFrame:
-    """unit_id, corpus_id, version_id, coords of rows with content; coords are filled up with 0 to `least` components, as a run in
-    the plane has no third one."""
-
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for raw in batch.column("content").to_pylist():
-                ids, coords, corpus, version = decode(raw, components)
-                coords = np.hstack((coords, np.zeros((len(ids), max(0, least - components)), np.float32)))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids.astype(np.int64)), pa.array(corpus.astype(np.int64)), pa.array(version.astype(np.int64)), pa.array(coords.tolist(), pa.list_(pa.float32()))],
-                    ["unit_id", "corpus_id", "version_id", "coords"],
-                )
-
-    return files.select("content").mapInArrow(read, "unit_id long, corpus_id long, version_id long, coords array<float>")
+def _root(base: str, method: str, profile: str | None) -> str:
+    return f"{base}/{method}" + (f"/{profile}" if profile else "")
 
 
-def from_span_file(files: DataFrame, components: int) -> DataFrame:
-    """span_id, corpus_id, version_id, coords and SPAN_FIELDS."""
-    names = ["span_id", "corpus_id", "version_id", *SPAN_FIELDS]
+def _write_labels(labels: DataFrame, path: str) -> None:
+    """Labels by unit as one JSON object in the order of ids, which one task streams into the file."""
 
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for raw in batch.column("content").to_pylist():
-                n = int(np.frombuffer(raw, "<u4", 1)[0])
-                if len(raw) != 4 + 4 * n * (len(names) + components):
-                    raise ValueError("the length does not fit the count")
-                table = np.frombuffer(raw, "<i4", n * (len(names) + components), 4).reshape(-1, n)
-                coords = np.frombuffer(raw, "<f4", n * components, 4 + 4 * n).reshape(components, n).T
-                whole = [pa.array(table[0 if k == 0 else components + k].astype(np.int64)) for k in range(len(names))]
-                yield pa.RecordBatch.from_arrays([*whole, pa.array(coords.tolist(), pa.list_(pa.float32()))], [*names, "coords"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, where = small.store(path)
+        n = 0
+        with files.open_output_stream(where) as f:
+            f.write(b"{")
+            for batch in batches:
+                for unit, label in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    f.write((",\n" if n else "\n").encode() + json.dumps(str(unit)).encode() + b": " + json.dumps(label, ensure_ascii=False).encode())
+                    n += 1
+            f.write(b"\n}")
+        yield pa.RecordBatch.from_arrays([pa.array([n])], ["n"])
 
-    return files.select("content").mapInArrow(read, ", ".join(f"{c} long" for c in names) + ", coords array<float>")
-
-
-def _root(base: str, method: str, profile: str | None) -> str:
-    return f"{base}/{method}" + (f"/{profile}" if profile else "")
+    named = labels.filter("label is not null").select("unit_id", "label").orderBy("unit_id").coalesce(1)
+    named.mapInArrow(run, "n long").collect()
 
 
 def write_run(points: DataFrame, labels: DataFrame, base: str, method: str, run_id: str, created_at: str, profile: dict | None = None, spans: DataFrame | None = None, **more) -> dict:
     """Writes a run and moves the pointer to it last; the manifest. points: unit_id, corpus_id, version_id, depth, coords;
-    labels: unit_id, label; profile: its fields, label among them."""
+    labels: unit_id, label; profile: its fields, label among them. Rows go from tasks to files; the driver has their counts."""
+    from silvan.sources import datasources as sources
+
     spark = points.sparkSession
+    sources.register(spark)
     name = profile["label"] if profile else None
     folder = f"{_root(base, method, name)}/{run_id}"
-    counts = {r["version_id"]: r["n"] for r in points.groupBy("version_id").agg(F.count("*").alias("n")).collect()}
-    first = points.agg(F.max("depth"), F.max(F.size("coords"))).first()
-    for r in to_files(points).toLocalIterator():  # one version's file at a time
-        small.write_bytes(spark, f"{folder}/corpus_version_{r['version_id']}.bin", bytes(r["content"]))
+    out = lambda df, layer: df.write.format("silvan_run").mode("append").option("layer", layer).save(folder)
+    rows = points.select(*(F.col(c).cast("long").alias(c) for c in sources.UNIT_FIELDS), F.col("depth").cast("int").alias("depth"), F.col("coords").cast("array<float>").alias("coords"))
+    out(rows.repartition("version_id").sortWithinPartitions("version_id", "unit_id"), "units")
+    facts = small.read_json(spark, f"{folder}/units.facts.json")
     n_spans = 0
     if spans is not None:
-        n_spans = spans.count()
-        for r in span_file(spans).collect():
-            small.write_bytes(spark, f"{folder}/spans.bin", bytes(r["content"]))
-    small.write_json(spark, f"{folder}/unit_labels.json", {str(r["unit_id"]): r["label"] for r in labels.filter("label is not null").orderBy("unit_id").toLocalIterator()})
+        out(spans.select(*(F.col(c).cast("long").alias(c) for c in sources.SPAN_COLUMNS), F.col("coords").cast("array<float>").alias("coords")).repartition(1).sortWithinPartitions("span_id"), "spans")
+        n_spans = small.read_json(spark, f"{folder}/spans.facts.json")["span_count"]
+        small.delete(spark, f"{folder}/spans.facts.json")
+    small.delete(spark, f"{folder}/units.facts.json")
+    _write_labels(labels, f"{folder}/unit_labels.json")
     manifest = {
         "run_id": run_id, "created_at": created_at, "method": method, "bin_schema_version": SCHEMA_VERSION, "has_corpus_version_ids": True, "has_span_layer": spans is not None, "span_count": n_spans,
-        "embedding_profile": profile, "max_depth": first[0] or 0, "corpus_version_ids": sorted(counts), "corpus_version_counts": {str(k): counts[k] for k in sorted(counts)}, "n_components": first[1] or 0, **more,
+        "embedding_profile": profile, **facts, **more,
     }
     small.write_json(spark, f"{folder}/manifest.json", manifest)
     small.write_json(spark, f"{_root(base, method, name)}/latest.json", {"run_id": run_id})
@@ -167,10 +131,12 @@ def find_run(spark: SparkSession, base: str, method: str, run_id: str, profile:
 
 def read_run(spark: SparkSession, base: str, method: str, profile: str | None = None, run_id: str | None = None, least: int = 3) -> tuple[DataFrame, DataFrame | None, dict]:
     """Points, spans (None if the run has none) and manifest of a run, the newest by default."""
+    from silvan.sources import datasources as sources
+
+    sources.register(spark)
     folder, manifest = find_run(spark, base, method, run_id or latest_id(spark, base, method, profile), profile)
-    held = lambda pattern: spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder)
-    spans = from_span_file(held("spans.bin"), manifest["n_components"]) if manifest["has_span_layer"] else None
-    return from_files(held("corpus_version_*.bin"), manifest["n_components"], least), spans, manifest
+    held = lambda layer: spark.read.format("silvan_run").option("layer", layer).option("least", least if layer == "units" else 0).load(folder)
+    return held("units"), held("spans") if manifest["has_span_layer"] else None, manifest
 
 
 def version_of(path: Column) -> Column:

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import os
 import sqlite3
-import tempfile
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
@@ -53,21 +51,18 @@ def running_number(df: DataFrame, keys: Sequence[str], order: str, name: str = "
 
 
 def read_sqlite(spark: SparkSession, path: str, query: str, schema: str) -> DataFrame:
-    """A query over SQLite files (a path or glob that Spark reads), one task for each file."""
+    """A query over SQLite files (a path or glob that Spark reads), one task for each file, which has it in memory."""
     names = [f.name for f in spark.createDataFrame([], schema).schema]
     arrow = spark.createDataFrame([], schema).limit(0).toArrow().schema
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for content in batch.column("content").to_pylist():
-                with tempfile.TemporaryDirectory() as folder:  # the task's own, for as long as it reads
-                    file = os.path.join(folder, "db")
-                    with open(file, "wb") as f:
-                        f.write(content)
-                    with sqlite3.connect(file) as con:
-                        cursor = con.execute(query)
-                        while rows := cursor.fetchmany(10_000):
-                            yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), arrow, strict=True)], names)
+                with sqlite3.connect(":memory:") as con:
+                    con.deserialize(content)
+                    cursor = con.execute(query)
+                    while rows := cursor.fetchmany(10_000):
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), arrow, strict=True)], names)
 
     return spark.read.format("binaryFile").load(path).select("content").mapInArrow(scan, schema)
 

@@ -59,17 +59,6 @@ def test_html_and_epub(spark, tmp_path):
     assert [r["item"] for r in items] == ["text/dn2.html", "text/dn10.html"]
 
 
-def test_projection_file(spark):
-    rows = [(i, 1, i % 2, [float(i), 0.5]) for i in range(5)]
-    points = spark.createDataFrame(rows, "unit_id long, corpus_id long, version_id long, coords array<float>")
-    back = projection_file.from_files(projection_file.to_files(points), 2)
-    assert sorted(tuple(r) for r in back.collect()) == rows
-    with pytest.raises(ValueError):
-        projection_file.decode(np.zeros(3, "<u4").tobytes(), 2)
-    with pytest.raises(ValueError):
-        projection_file.check_version({"bin_schema_version": 4})
-
-
 def test_sources_conflict(spark):
     there = spark.createDataFrame([(1, "k", "http://a")], "id long, source_key string, url string")
     want = spark.createDataFrame([("k", "http://a"), ("n", "http://b"), ("m", "http://a")], "source_key string, url string")
