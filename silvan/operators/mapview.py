@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from silvan.functions import text as T
+from silvan.operators.tree import closure
 
 
 def positions(points: DataFrame, id_: str = "unit_id", layer: str = "layer") -> DataFrame:
@@ -86,11 +87,112 @@ def first_view(bounds: DataFrame, viewport: float, axes: Sequence[str] = ("x", "
 
 
 def point_radius(bounds: DataFrame, axes: Sequence[str] = ("x", "y")) -> DataFrame:
-    """radius: a 250th of the widest range."""
-    return bounds.select((F.greatest(*(F.col(f"{a}_max") - F.col(f"{a}_min") for a in axes)) / 250).alias("radius"))
+    """radius: a 250th of the widest range (0.1 at least)."""
+    return bounds.select((F.greatest(*(F.col(f"{a}_max") - F.col(f"{a}_min") for a in axes), F.lit(0.1)) / 250).alias("radius"))
 
 
-#: Shifts of hue, saturation and lightness by a name's hash: (modulus, bits shifted away) of each and the ranges that the last two stay in.
+#: Fill and line of a point without a colour, and of a selected one, with the selected one's alphas: fixed values.
+NO_FILL, NO_LINE, SELECTED_FILL, SELECTED_LINE, SELECTED_ALPHAS = (110, 110, 110), (190, 190, 190), (201, 169, 110), (255, 243, 209), (235, 255)
+
+
+def point_styles(points: DataFrame, colours: DataFrame, visible: DataFrame, selected: DataFrame, alpha: int = 200) -> DataFrame:
+    """unit_id, fill, line of each point (unit_id, corpus_id, version_id): four numbers from 0 to 255, the last one 0 if the
+    point's version is hidden. colours: corpus_id, fill, line (three numbers each); visible: version_id, visible; selected: unit_id.
+    """
+    numbers = lambda c: F.array(*map(F.lit, c))
+    chosen, shown = F.col("chosen").isNotNull(), F.coalesce("visible", F.lit(True))
+    df = points.select("unit_id", "corpus_id", "version_id").join(colours.select("corpus_id", "fill", "line"), "corpus_id", "left")
+    df = df.join(visible.select("version_id", "visible"), "version_id", "left").join(selected.select("unit_id", F.lit(True).alias("chosen")).distinct(), "unit_id", "left")
+
+    def style(own: str, missing: tuple, if_chosen: tuple, chosen_alpha: int, plain_alpha: int) -> Column:
+        rgb = F.when(chosen, numbers(if_chosen)).otherwise(F.coalesce(own, numbers(missing)))
+        return F.concat(rgb, F.array(F.when(~shown, 0).when(chosen, chosen_alpha).otherwise(plain_alpha))).alias(own)
+
+    fill = style("fill", NO_FILL, SELECTED_FILL, SELECTED_ALPHAS[0], alpha)
+    return df.select("unit_id", fill, style("line", NO_LINE, SELECTED_LINE, SELECTED_ALPHAS[1], min(240, alpha + 25)))
+
+
+#: Hue, saturation and lightness of taxonomy nodes by their names in small letters: fixed values.
+PALETTE = {
+    "abrahamic": (214, 55, 46),
+    "indic (dharmic)": (38, 76, 45),
+    "east asian": (195, 48, 38),
+    "persian": (348, 58, 46),
+    "indigenous": (164, 32, 38),
+    "ancient / historical": (24, 24, 50),
+    "new religious movements": (316, 42, 45),
+    "other (sacred)": (42, 48, 43),
+    "non sacred": (207, 16, 38),
+    "judaism": (211, 62, 47),
+    "christianity": (229, 52, 50),
+    "islam": (174, 52, 38),
+    "sikhism": (28, 82, 46),
+    "buddhism": (47, 78, 45),
+    "jainism": (83, 42, 39),
+    "hinduism": (16, 70, 48),
+    "taoism": (195, 52, 36),
+    "confucianism": (210, 44, 40),
+    "shinto": (5, 55, 47),
+    "zen": (180, 38, 37),
+    "zoroastrianism": (348, 62, 44),
+    "north american": (172, 34, 38),
+    "mesoamerican": (135, 35, 39),
+    "south american": (93, 38, 38),
+    "african": (24, 43, 40),
+    "oceanian": (196, 43, 40),
+    "aboriginal australian": (9, 45, 42),
+    "greek": (260, 38, 49),
+    "roman": (286, 32, 46),
+    "egyptian": (50, 52, 42),
+    "mesopotamian": (336, 45, 43),
+    "norse / germanic": (204, 38, 42),
+    "celtic": (142, 35, 39),
+    "scientology": (309, 43, 45),
+    "bahá'í": (326, 43, 45),
+    "bahai": (326, 43, 45),
+    "neo-paganism / wicca": (283, 36, 44),
+    "other modern movements": (336, 35, 44),
+    "philosophy": (216, 18, 39),
+    "scientific": (188, 22, 38),
+    "literature": (258, 18, 42),
+    "plays": (300, 18, 41),
+    "speeches": (226, 22, 42),
+    "historical": (25, 24, 39),
+}
+#: Colours of corpora that don't follow from their taxonomy, and the colour of what has none: fixed values.
+CORPUS_COLOURS = {"old testament": (207, 50, 45)}
+NO_COLOUR = (0, 0, 43)
+
+
+def _hsl(of: tuple[int, int, int]) -> Column:
+    return F.struct(*(F.lit(v).alias(n) for v, n in zip(of, "hsl", strict=True)))
+
+
+def _listed(name: Column, colours: dict[str, tuple[int, int, int]]) -> Column:
+    """The colour that a table of fixed values has for a name, else null."""
+    table = F.create_map(*(c for k, v in colours.items() for c in (F.lit(k), _hsl(v))))
+    return F.try_element_at(table, F.lower(F.trim(name)))
+
+
+def node_colours(taxonomy: DataFrame) -> DataFrame:
+    """taxonomy with colour (struct of h, s, l): the palette's, else one near the colour of what has none, by the name."""
+    near = variant(F.col("name"), "taxonomy", *(F.lit(v) for v in NO_COLOUR))
+    return taxonomy.withColumn("colour", F.coalesce(_listed(F.col("name"), PALETTE), near))
+
+
+def corpus_colours(corpora: DataFrame, links: DataFrame, taxonomy: DataFrame) -> DataFrame:
+    """corpus_id, colour of corpora (corpus_id, name): one set for the corpus, else one near the colour of the deepest node above
+    a link of it (of several, the one that comes first by id); NO_COLOUR for a corpus without links, near no colour for one without a name."""
+    up = closure(taxonomy).select(F.col("descendant").alias("taxonomy_id"), F.col("ancestor").alias("id"))
+    nodes = links.join(up, "taxonomy_id").join(node_colours(taxonomy).select("id", "level", "colour"), "id")
+    deepest = nodes.groupBy("corpus_id").agg(F.min_by("colour", F.struct((-F.col("level")).alias("up"), F.col("id"))).alias("base"))
+    own = variant(F.col("name"), "corpus", *(F.col("base")[c] for c in "hsl"))
+    named = F.coalesce(F.trim("name"), F.lit("")) != ""
+    colour = F.when(F.col("base").isNull(), _hsl(NO_COLOUR)).when(~named, F.col("base")).otherwise(F.coalesce(_listed(F.col("name"), CORPUS_COLOURS), own))
+    return corpora.select("corpus_id", "name").join(deepest, "corpus_id", "left").select("corpus_id", colour.alias("colour"))
+
+
+#: Fixed values. Shifts of hue, saturation and lightness by a name's hash: (modulus, bits shifted away) of each and the ranges that the last two stay in.
 VARIANTS = {
     "corpus": ((11, 0), (13, 5), (21, 9), (28, 90), (28, 68)),
     "translation": ((7, 0), (7, 5), (13, 8), (28, 92), (26, 74)),

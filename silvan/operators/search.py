@@ -85,6 +85,21 @@ def unit_vectors(bridge: DataFrame, vectors: DataFrame) -> DataFrame:
     return V.weighted_average(both, "unit_id", "embedding", "weight")
 
 
+def passage(unit: int, spans: DataFrame, bridge: DataFrame, own: DataFrame, k: int = 10, offset: int = 0) -> DataFrame:
+    """The page of spans (vec_id, embedding) nearest to a unit among those that don't cover it.
+
+    The query is the weighted average of the spans that cover the unit, else the unit's own vector (own: unit_id, vector);
+    LookupError if it has neither.
+    """
+    covering = bridge.filter(F.col("unit_id") == unit)
+    average = unit_vectors(covering, spans).filter("vector is not null")
+    try:
+        q = vector_of(average, "unit_id", unit, "vector")
+    except LookupError:
+        q = vector_of(own, "unit_id", unit, "vector")
+    return top_k(without_units(spans, bridge, unit), q, k, offset)
+
+
 def matches_any(query: str, *columns: str) -> Column:
     """A case-insensitive substring of any column; % and _ are wildcards, null is no match."""
     hit = F.lit(False)

@@ -97,14 +97,24 @@ def unit_weighted_vector(s, d):
     return u.select("unit_id", F.posexplode("vector").alias("pos", "v")).select("unit_id", "pos", F.round("v", 6).alias("value"))
 
 
+def _passage(s, d, unit):
+    e = read_table(s, d, "embeddings").select("vec_id", "embedding")
+    own = e.select((F.col("vec_id") + D.DOC).alias("unit_id"), F.col("embedding").alias("vector"))
+    return search.passage(unit, e, D.bridge(s, d), own).select("vec_id", "score")
+
+
 @query(_UNITVEC + """, u AS (SELECT p.unit_id, list(x / n ORDER BY i) AS v FROM p JOIN n ON n.unit_id = p.unit_id GROUP BY p.unit_id)
 SELECT e.vec_id, round_even(list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), u.v), 4) AS score
 FROM embeddings e, u WHERE u.unit_id = 7 AND NOT EXISTS (SELECT 1 FROM bridge b WHERE b.span_id = e.vec_id AND b.unit_id = 7)
 ORDER BY 1 - list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), u.v), e.vec_id LIMIT 10""")
 def passage_search(s, d):
-    e, b = read_table(s, d, "embeddings"), D.bridge(s, d)
-    q = search.vector_of(search.unit_vectors(b.filter("unit_id = 7"), e), "unit_id", 7, "vector")
-    return search.top_k(search.without_units(e, b, 7), q).select("vec_id", "score")
+    return _passage(s, d, 7)
+
+
+@query(_DIST.replace("vec_id = 0", "vec_id = 5") + "SELECT vec_id, round_even(1 - dist, 4) AS score FROM v ORDER BY dist, vec_id LIMIT 10")
+def passage_search_own(s, d):
+    """A document that no span covers is searched for by its own vector."""
+    return _passage(s, d, D.DOC + 5)
 
 
 @query("""a AS (SELECT i AS place, u FROM (SELECT unnest([3, 1, 3, 99999999, 7]) AS u, unnest(range(5)) AS i)),
@@ -931,7 +941,7 @@ def pca_axes(s, d):
 
 
 @query(_POINTS + """SELECT round((min(x) + max(x)) / 2, 8) AS x, round((min(y) + max(y)) / 2, 8) AS y, round(log2(800 * 0.7::DOUBLE / greatest(max(x) - min(x), max(y) - min(y), 0.1)), 8) AS zoom,
-round(greatest(max(x) - min(x), max(y) - min(y)) / 250, 8) AS radius FROM pt""")
+round(greatest(max(x) - min(x), max(y) - min(y), 0.1) / 250, 8) AS radius FROM pt""")
 def map_first_view(s, d):
     box = projection.bounds(_points(s, d))
     view = mapview.first_view(box, 800).withColumn("radius", mapview.point_radius(box).first()["radius"] + F.lit(0.0))
@@ -945,6 +955,51 @@ def corpus_colours(s, d):
     return n.select("n_name", mapview.variant(F.col("n_name"), "corpus", F.lit(40), F.lit(55), F.lit(48)).alias("c")).select("n_name", "c.*")
 
 
+def _shifted(name: str, kind: str, base: str) -> str:
+    (hm, hs), (sm, ss), (lm, ls), (s0, s1), (l0, l1) = mapview.VARIANTS[kind]
+    h = f"list_reduce(list_prepend(0::BIGINT, list_transform(string_split(lower(trim({name})), ''), lambda c: CAST(ord(c) AS BIGINT))), lambda a, c: (a * 31 + c) & 65535)"
+    return f"""{{'h': CAST(({base}.h + (({h} >> {hs}) % {hm}) - {hm // 2} + 360) % 360 AS INT), 's': CAST(greatest({s0}, least({s1}, {base}.s + (({h} >> {ss}) % {sm}) - {sm // 2})) AS INT),
+ 'l': CAST(greatest({l0}, least({l1}, {base}.l + (({h} >> {ls}) % {lm}) - {lm // 2})) AS INT)}}"""
+
+
+_NODE_COLOURS = f"""nc AS (SELECT t.*, {_shifted('name', 'taxonomy', "{'h': 0, 's': 0, 'l': 43}")} AS c FROM taxonomy t),
+cu AS (SELECT t.id AS taxonomy_id, t.id, t.parent_id FROM taxonomy t UNION ALL SELECT cu.taxonomy_id, p.id, p.parent_id FROM cu JOIN taxonomy p ON p.id = cu.parent_id),
+"""
+
+
+@query(_NODE_COLOURS + f"""deep AS (SELECT corpus_id, arg_min(c, {{'u': -level, 'i': nc.id}}) AS b FROM clink JOIN cu ON cu.taxonomy_id = clink.taxonomy_id JOIN nc ON nc.id = cu.id GROUP BY corpus_id),
+cc AS (SELECT corpus.corpus_id, name, {_shifted('name', 'corpus', 'b')} AS c FROM corpus JOIN deep ON deep.corpus_id = corpus.corpus_id)
+SELECT corpus_id, c.h AS h, c.s AS s, c.l AS l FROM cc""")
+def corpus_palette(s, d):
+    c = mapview.corpus_colours(D.corpora(s, d), D.corpus_links(s, d), D.taxonomy(s, d))
+    return c.select("corpus_id", "colour.*")
+
+
+@query("""SELECT unit_id, CASE WHEN unit_id % 100 = 0 THEN [201, 169, 110] WHEN corpus_id = 1 THEN [1, 2, 3] ELSE [110, 110, 110] END || [CASE WHEN version_id % 5 = 0 THEN 0 WHEN unit_id % 100 = 0 THEN 235 ELSE 200 END] AS fill,
+CASE WHEN unit_id % 100 = 0 THEN [255, 243, 209] WHEN corpus_id = 1 THEN [4, 5, 6] ELSE [190, 190, 190] END || [CASE WHEN version_id % 5 = 0 THEN 0 WHEN unit_id % 100 = 0 THEN 255 ELSE 225 END] AS line FROM unit""")
+def point_styles(s, d):
+    """All units: one corpus has a colour, every fifth version is hidden, every hundredth unit is selected."""
+    units = D.units(s, d).select("unit_id", "corpus_id", "version_id")
+    numbers = lambda *v: F.array(*map(F.lit, v))
+    colours = D.corpora(s, d).filter("corpus_id = 1").select("corpus_id", numbers(1, 2, 3).alias("fill"), numbers(4, 5, 6).alias("line"))
+    flags = D.versions(s, d).filter("version_id % 5 = 0").select("version_id", F.lit(False).alias("visible"))
+    return mapview.point_styles(units, colours, mapview.visibility(D.versions(s, d), flags), units.filter("unit_id % 100 = 0"))
+
+
+@query("""tx AS (SELECT id, name, parent_id, level FROM taxonomy WHERE id <> 2),
+wk(id, way) AS (
+  SELECT id, [{'o': CASE WHEN parent_id IS NULL THEN 0 ELSE 1 END, 'l': level, 'n': lower(name), 'i': id}] FROM tx WHERE parent_id IS NULL OR parent_id NOT IN (SELECT id FROM tx)
+  UNION ALL SELECT t.id, list_append(wk.way, {'o': 0, 'l': t.level, 'n': lower(t.name), 'i': t.id}) FROM wk JOIN tx t ON t.parent_id = wk.id),
+ln AS (SELECT taxonomy_id, string_agg(c.name, ',' ORDER BY c.name, c.corpus_id) AS corpora FROM clink JOIN corpus c ON c.corpus_id = clink.corpus_id GROUP BY taxonomy_id)
+SELECT CAST(row_number() OVER (ORDER BY way) AS INT) AS nth, wk.id, tx.name, tx.level, CAST(len(way) - 1 AS INT) AS depth, way[1].i AS top, coalesce(ln.corpora, '') AS corpora
+FROM wk JOIN tx ON tx.id = wk.id LEFT JOIN ln ON ln.taxonomy_id = wk.id""")
+def taxonomy_forest(s, d):
+    """The taxonomy without one of its roots, whose nodes are orphans."""
+    links = D.corpus_links(s, d).join(D.corpora(s, d).select("corpus_id", F.col("name").alias("corpus")), "corpus_id")
+    found = taxonomy.forest(D.taxonomy(s, d).filter("id != 2"), links)
+    return found.select("nth", "id", "name", "level", "depth", "top", F.array_join(F.transform("corpora", lambda c: c["corpus"]), ",").alias("corpora"))
+
+
 # ---- lines of whole texts ----
 _LINES = r"""ln AS (SELECT doc_id, CAST(n AS INT) AS n, parts[n + 1] AS line FROM (SELECT doc_id, parts, unnest(range(len(parts))) AS n FROM (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents WHERE text IS NOT NULL)))
 """
