@@ -61,11 +61,13 @@ def translations(versions: DataFrame, run: DataFrame) -> DataFrame:
 
 
 def constellation(points: DataFrame, order: str) -> DataFrame:
-    """x0, y0, z0, x1, y1, z1: lines from the first point of a page of results to each other one; none for fewer than two."""
+    """x0, y0, z0, x1, y1, z1 and the points' other columns: lines from the first point of a page of results to each other one;
+    none for fewer than two."""
     hub = points.orderBy(order).limit(1).collect()
     rows = points.filter(F.col(order) != hub[0][order]) if hub else points.limit(0)
     at = {a: F.lit(hub[0][a] if hub else None).cast("double") for a in "xyz"}
-    return rows.select(order, *(at[a].alias(f"{a}0") for a in "xyz"), *(F.col(a).alias(f"{a}1") for a in "xyz"))
+    others = [c for c in points.columns if c not in ("x", "y", "z")]
+    return rows.select(*others, *(at[a].alias(f"{a}0") for a in "xyz"), *(F.col(a).alias(f"{a}1") for a in "xyz"))
 
 
 def chosen_axes(points: DataFrame, x: int, y: int, z: int | None = None, coords: str = "coords") -> DataFrame:

@@ -21,6 +21,8 @@ FAN_IN, ROUNDS = 64, 2
 def _matrix(column: pa.Array) -> np.ndarray:
     """The vectors that are not null, as rows; all are of one length."""
     column = column.drop_null()
+    if not len(column):
+        return np.zeros((0, 0))
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
 
@@ -71,8 +73,11 @@ def explained_variance(df: DataFrame, vector: str, threshold: float = 0.95, most
 
 
 def pca(df: DataFrame, vector: str, threshold: float = 0.95, most: int = 50) -> DataFrame:
-    """df with `coords`: the centred vector on the kept components."""
-    mean, axes, _ = explained_variance(df, vector, threshold, most)
+    """df with `coords`: the centred vector on the kept components; null for a null vector, and for all if there is none."""
+    try:
+        mean, axes, _ = explained_variance(df, vector, threshold, most)
+    except ValueError:
+        return df.withColumn("coords", F.lit(None).cast("array<double>"))
     held = df.sparkSession.sparkContext.broadcast((mean, axes))  # as many numbers as a vector has, for each component
 
     @F.pandas_udf("array<double>")

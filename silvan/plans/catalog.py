@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -422,11 +423,14 @@ def slug(s, d):
     return read_table(s, d, "part").select("p_partkey", T.slug(F.concat_ws(" ", "p_name", "p_type")).alias("slug"))
 
 
-@query("""SELECT p_partkey, repeat('X', p_size // 10) || ['', 'I', 'II', 'III', 'IV', 'V', 'VI', 'VII', 'VIII', 'IX'][p_size % 10 + 1] AS roman, CAST(p_size AS INT) AS value FROM part WHERE p_size BETWEEN 1 AND 39""", domain=False)
+_ROMAN = [[one * k for k in range(4)] + [one + five] + [five + one * k for k in range(4)] + [one + ten] for one, five, ten in (("I", "V", "X"), ("X", "L", "C"), ("C", "D", "M"))]
+
+
+@query(f"""SELECT p_partkey, repeat('M', p_size // 1000) || {_ROMAN[2]}[p_size // 100 % 10 + 1] || {_ROMAN[1]}[p_size // 10 % 10 + 1] || {_ROMAN[0]}[p_size % 10 + 1] AS roman, nullif(CAST(p_size AS INT), 0) AS value FROM part""", domain=False)
 def roman_numerals(s, d):
-    ones = F.array(*(F.lit(x) for x in ["", "I", "II", "III", "IV", "V", "VI", "VII", "VIII", "IX"]))
-    p = read_table(s, d, "part").filter("p_size between 1 and 39")
-    p = p.select("p_partkey", F.concat(F.expr("repeat('X', p_size div 10)"), F.get(ones, F.col("p_size") % 10)).alias("roman"))
+    """The sizes of all parts as numerals, and back."""
+    digit = lambda place: F.get(F.array(*map(F.lit, _ROMAN[place])), F.expr(f"p_size div {10**place} % 10").cast("int"))
+    p = read_table(s, d, "part").select("p_partkey", F.concat(F.expr("repeat('M', cast(p_size div 1000 as int))"), digit(2), digit(1), digit(0)).alias("roman"))
     return p.withColumn("value", T.roman_to_int(F.col("roman")))
 
 
@@ -616,7 +620,9 @@ def contour_segments(s, d):
 
 @query()
 def pca_variance(s, d):
-    _, _, shares = projection.explained_variance(read_table(s, d, "embeddings"), "embedding")
+    """No rows if there are no vectors."""
+    e = read_table(s, d, "embeddings").filter("embedding is not null")
+    shares = [] if e.isEmpty() else projection.explained_variance(e, "embedding")[2]
     cum, rows = 0.0, []
     for k, share in enumerate(shares):
         cum += float(share)
@@ -624,6 +630,17 @@ def pca_variance(s, d):
     return s.createDataFrame(rows, "component int, share double, cumulative double")
 
 
+@query("""x AS (SELECT vec_id, i, CAST(embedding[i] AS DOUBLE) AS v FROM embeddings, (SELECT unnest(range(1, 65)) AS i)),
+c AS (SELECT a.i, b.i AS j, covar_samp(a.v, b.v) AS c FROM x a JOIN x b ON b.vec_id = a.vec_id GROUP BY a.i, b.i)
+SELECT (SELECT count(*) FROM embeddings) AS n, round(sum(c) FILTER (WHERE i = j), 8) AS total, round(sum(c * c), 8) AS squares FROM c""", domain=False)
+def pca_moments(s, d):
+    """Sums of the components' variances and of their squares: the covariance's trace and the sum of its squares."""
+    e = read_table(s, d, "embeddings")
+    n, _, cov = projection.moments(e, "embedding")
+    values = np.linalg.eigvalsh(cov)
+    return s.createDataFrame([(n, round(float(values.sum()), 8), round(float((values**2).sum()), 8))], "n long, total double, squares double")
+
+
 #: Vectors of each source in the sample that a projection is fitted on; no fit takes more than its own bound.
 PER_SOURCE = 100
 
@@ -651,6 +668,14 @@ def phate(s, d):
     return _placed(s, d, manifold.phate, 2_000)
 
 
+@query(_POINTS.rstrip() + """, b AS (SELECT (max(x) - min(x)) * (max(y) - min(y)) * 1.08 * 1.08 AS box FROM pt)
+SELECT label, count(DISTINCT (x, y)) AS cells, round(min(box), 6) AS area FROM pt, b GROUP BY label HAVING count(*) > 1""", domain=False)
+def voronoi_areas(s, d):
+    """The cells of different places of a label fill the box of all points."""
+    found = cells.voronoi(_points(s, d), "label", "vec_id").join(_points(s, d), "vec_id").dropDuplicates(["label", "x", "y"])
+    return found.groupBy("label").agg(F.count("*").alias("cells"), F.round(F.sum(cells.area(F.col("cell"))), 6).alias("area"))
+
+
 @query()
 def voronoi_cells(s, d):
     found = cells.voronoi(_points(s, d), "label", "vec_id")
@@ -927,11 +952,15 @@ def map_translations(s, d):
     return mapview.translations(v, v.filter("version_id % 2 = 1"))
 
 
-@query("""p AS (SELECT vec_id, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y FROM embeddings ORDER BY vec_id LIMIT 20), h AS (SELECT * FROM p ORDER BY vec_id LIMIT 1)
-SELECT p.vec_id, h.x AS x0, h.y AS y0, p.x AS x1, p.y AS y1 FROM p, h WHERE p.vec_id <> h.vec_id""", domain=False)
+@query(_DIST + """, pg AS (SELECT vec_id, row_number() OVER (ORDER BY dist, vec_id) AS k FROM v WHERE vec_id <> 0 ORDER BY dist, vec_id LIMIT 20),
+p AS (SELECT k, e.vec_id, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y FROM pg JOIN embeddings e ON e.vec_id = pg.vec_id), h AS (SELECT * FROM p WHERE k = 1)
+SELECT p.vec_id, h.x AS x0, h.y AS y0, p.x AS x1, p.y AS y1 FROM p, h WHERE p.vec_id <> h.vec_id""")
 def constellation(s, d):
-    p = read_table(s, d, "embeddings").orderBy("vec_id").limit(20).select("vec_id", *(F.col("embedding")[k].cast("double").alias(a) for k, a in enumerate("xyz")))
-    return mapview.constellation(p, "vec_id").select("vec_id", "x0", "y0", "x1", "y1")
+    """Lines from the best result of a search to the others of its page."""
+    e = read_table(s, d, "embeddings").select("vec_id", "embedding")
+    page = search.top_k(e.filter("vec_id != 0"), search.vector_of(e, "vec_id", 0), 20).withColumn("place", F.monotonically_increasing_id())
+    p = page.select("vec_id", "place", *(F.col("embedding")[k].cast("double").alias(a) for k, a in enumerate("xyz")))
+    return mapview.constellation(p, "place").select("vec_id", "x0", "y0", "x1", "y1")
 
 
 @query("SELECT vec_id, CAST(embedding[5] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y, 0.0::DOUBLE AS z FROM embeddings", domain=False)
