@@ -1,17 +1,25 @@
-"""Spans as tables of a folder: profiles, spans, bridge and vectors, the last three partitioned by profile.
+"""Spans as tables of a folder: spans, bridge and vectors of profiles, changed as a whole.
 
-A profile's partition is written as one; a second build is refused unless it replaces, which takes away the profile's
-vectors, bridge rows and spans, or those of some corpora only.
+A profile's rows of a table are Parquet folders of their own under `data`, and `current.json` names those that count. A
+change writes new folders and moves that file last, in one step, for all tables together: a reader has the state before
+or after it, and one that has begun reads on, as old folders stay until `clean`. A change that is broken off leaves folders
+that nothing names. Changes are made by one writer at a time.
+
+A second build of a profile is refused unless it replaces, which takes away the profile's vectors, bridge rows and spans,
+or those of some corpora only.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from silvan.functions import text as T
+from silvan.sources import files
 
 TABLES = ("span_vectors", "bridge", "spans")
 
@@ -32,18 +40,35 @@ def get_or_create(existing: DataFrame, wanted: DataFrame, keys: Sequence[str], i
     return existing.unionByName(new.select(*existing.columns))
 
 
-def _there(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+def _state(spark: SparkSession, folder: str) -> dict[str, dict[str, list[str]]]:
+    """For each table the names of the folders that hold a profile's rows."""
+    path = f"{folder}/current.json"
+    return files.read_json(spark, path) if files.exists(spark, path) else {t: {} for t in TABLES}
+
+
+def _commit(spark: SparkSession, folder: str, state: dict) -> None:
+    files.write_json(spark, f"{folder}/next.json", state)
+    files.replace(spark, f"{folder}/next.json", f"{folder}/current.json")
+
+
+def _write(rows: DataFrame, folder: str, table: str, profile: int) -> str:
+    """Rows of one profile, without its column, in a new folder; the folder's name."""
+    name = f"{table}-{uuid.uuid4().hex}"
+    rows.drop("profile_id").write.parquet(f"{folder}/data/{name}/profile_id={profile}")
+    return name
+
+
+def _rows(spark: SparkSession, folder: str, names: Sequence[str]) -> DataFrame:
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), (spark.read.parquet(f"{folder}/data/{n}") for n in names))
 
 
 def read(spark: SparkSession, folder: str, table: str, schema: str | None = None) -> DataFrame:
-    path = f"{folder}/{table}"
-    if _there(spark, path):
-        return spark.read.parquet(path)
+    """The table as it is now; without rows, an empty one of the schema, or LookupError if none is given."""
+    names = [n for of in _state(spark, folder).get(table, {}).values() for n in of]
+    if names:
+        return _rows(spark, folder, names)
     if schema is None:
-        raise LookupError(path)
+        raise LookupError(f"{folder}: {table}")
     return spark.createDataFrame([], schema)
 
 
@@ -77,38 +102,62 @@ def drafts(built: DataFrame, profile: int) -> tuple[DataFrame, DataFrame]:
 
 
 def insert(folder: str, profile: int, spans: DataFrame, bridge: DataFrame, replace: bool = False, corpora: Sequence[int] | None = None) -> None:
-    """Writes a profile's spans and bridge (with profile_id). If it has spans (of these corpora) already: an error, or with replace
-    they go first, together with their bridge rows and vectors."""
+    """Adds a profile's spans and bridge (with profile_id). If it has spans (of these corpora) already: an error, or with replace
+    they go in the same step, together with their bridge rows and vectors."""
     spark = spans.sparkSession
-    if _there(spark, f"{folder}/spans"):
-        old = spark.read.parquet(f"{folder}/spans").filter(F.col("profile_id") == profile)
+    state = _state(spark, folder)
+    held = state["spans"].get(str(profile))
+    if held:
+        old = _rows(spark, folder, held)
         mine = old if corpora is None else old.filter(F.col("corpus_id").isin(list(corpora)))
         if not mine.limit(1).isEmpty():
             if not replace:
                 raise ValueError(f"profile {profile} has spans already")
-            delete(spark, folder, profile, corpora)
-    for name, rows in (("spans", spans), ("bridge", bridge)):
-        rows.write.mode("append").partitionBy("profile_id").parquet(f"{folder}/{name}")
+            state = _without(spark, folder, state, profile, corpora)
+    for table, rows in (("spans", spans), ("bridge", bridge)):
+        state[table].setdefault(str(profile), []).append(_write(rows, folder, table, profile))
+    _commit(spark, folder, state)
+
+
+def add_vectors(folder: str, profile: int, vectors: DataFrame) -> None:
+    """Adds vectors of a profile's spans."""
+    spark = vectors.sparkSession
+    state = _state(spark, folder)
+    state["span_vectors"].setdefault(str(profile), []).append(_write(vectors, folder, "span_vectors", profile))
+    _commit(spark, folder, state)
 
 
 def delete(spark: SparkSession, folder: str, profile: int, corpora: Sequence[int] | None = None) -> None:
-    """Takes away a profile's vectors, bridge rows and spans, or those of some corpora: what stays of the profile's partition is
-    written anew, vectors first and spans last, so that a run that ends in between can be made again."""
-    from silvan.session import cut
-
-    all_spans = spark.read.parquet(f"{folder}/spans")
-    gone = all_spans.filter(F.col("profile_id") == profile)
-    gone = cut((gone if corpora is None else gone.filter(F.col("corpus_id").isin(list(corpora)))).select("span_id"))
-    for name in TABLES:
-        path = f"{folder}/{name}"
-        if not _there(spark, path):
-            continue
-        rest = cut(spark.read.parquet(path).filter(F.col("profile_id") == profile).join(gone, "span_id", "left_anti"))
-        if rest.isEmpty():
-            where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/profile_id={profile}")
-            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-        else:
-            rest.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("profile_id").parquet(path)
+    """Takes away a profile's vectors, bridge rows and spans, or those of some corpora, in one step."""
+    _commit(spark, folder, _without(spark, folder, _state(spark, folder), profile, corpora))
+
+
+def _without(spark: SparkSession, folder: str, state: dict, profile: int, corpora: Sequence[int] | None) -> dict:
+    """The state with new folders of what stays of the profile; nothing is changed in the old ones."""
+    key = str(profile)
+    out = {table: dict(of) for table, of in state.items()}
+    spans = out["spans"].get(key)
+    if corpora is None or not spans:
+        for table in TABLES:
+            out[table].pop(key, None)
+        return out
+    gone = _rows(spark, folder, spans).filter(F.col("corpus_id").isin(list(corpora))).select("span_id")
+    for table in TABLES:
+        names = out[table].pop(key, None)
+        if names:
+            rest = _write(_rows(spark, folder, names).join(gone, "span_id", "left_anti"), folder, table, profile)
+            if not spark.read.parquet(f"{folder}/data/{rest}").isEmpty():
+                out[table][key] = [rest]
+    return out
+
+
+def clean(spark: SparkSession, folder: str) -> list[str]:
+    """Deletes the folders that the current state doesn't name, when no reader of an older one is left; their names."""
+    named = {n for of in _state(spark, folder).values() for names in of.values() for n in names}
+    old = [n for n in files.listed(spark, f"{folder}/data") if n not in named]
+    for n in old:
+        files.delete(spark, f"{folder}/data/{n}")
+    return old
 
 
 def report(spans: DataFrame) -> DataFrame:

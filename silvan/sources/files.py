@@ -35,6 +35,22 @@ def delete(spark: SparkSession, path: str) -> None:
     fs.delete(where, True)
 
 
+def listed(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder, none if it isn't there."""
+    fs, where = _at(spark, path)
+    return sorted(s.getPath().getName() for s in fs.listStatus(where)) if fs.exists(where) else []
+
+
+def replace(spark: SparkSession, path: str, target: str) -> None:
+    """Moves a file over another one in one step."""
+    jvm, gateway = spark.sparkContext._jvm, spark.sparkContext._gateway
+    hadoop = jvm.org.apache.hadoop.fs
+    how = gateway.new_array(hadoop.Options.Rename, 1)
+    how[0] = getattr(getattr(jvm, "org.apache.hadoop.fs.Options$Rename"), "OVERWRITE")
+    a, b = hadoop.Path(path), hadoop.Path(target)
+    hadoop.FileContext.getFileContext(a.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(a).toUri(), spark.sparkContext._jsc.hadoopConfiguration()).rename(a, b, how)
+
+
 def write_bytes(spark: SparkSession, path: str, content: bytes) -> None:
     """Replaces the file."""
     fs, where = _at(spark, path)

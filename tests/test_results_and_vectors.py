@@ -74,15 +74,33 @@ def test_span_store(spark, tmp_path):
     span_store.insert(folder, 9, made, bridge)
     n = made.count()
     vectors = made.select("profile_id", "span_id", F.array(F.lit(1.0)).alias("vector"))
-    vectors.write.partitionBy("profile_id").parquet(f"{folder}/span_vectors")
+    span_store.add_vectors(folder, 9, vectors)
+    before = {t: span_store.read(spark, folder, t) for t in span_store.TABLES}
     with pytest.raises(ValueError, match="already"):
         span_store.insert(folder, 9, made, bridge)
     span_store.insert(folder, 9, made.filter("start_unit_id = 3"), bridge.filter("unit_id = 3"), replace=True, corpora=[3])
     assert span_store.read(spark, folder, "spans").count() == n - 1 and span_store.read(spark, folder, "bridge").filter("unit_id = 1").count() == 0
     assert span_store.report(span_store.read(spark, folder, "spans")).first()["spans"] == n - 1
-    assert not span_store._there(spark, f"{folder}/span_vectors/profile_id=9")
-    with pytest.raises(LookupError):
-        span_store.read(spark, folder, "none")
+    for gone in ("span_vectors", "none"):
+        with pytest.raises(LookupError):
+            span_store.read(spark, folder, gone)
+    # A reader that has begun goes on with what it has, until old folders are taken away.
+    assert [before[t].count() for t in ("spans", "span_vectors")] == [n, n]
+    # Another profile, one corpus of two taken away, and a change that is broken off.
+    both = made.withColumn("profile_id", F.lit(8)).withColumn("corpus_id", F.when(F.col("start_unit_id") == 3, 4).otherwise(F.col("corpus_id")).cast("long"))
+    span_store.insert(folder, 8, both, bridge.withColumn("profile_id", F.lit(8)))
+    span_store.delete(spark, folder, 8, corpora=[4])
+    left = span_store.read(spark, folder, "spans").filter("profile_id = 8")
+    assert {r["corpus_id"] for r in left.collect()} == {3} and span_store.read(spark, folder, "bridge").filter("profile_id = 8").join(left, "span_id", "left_anti").count() == 0
+    state = (tmp_path / "s" / "current.json").read_text()
+    with pytest.raises(Exception, match="too bad"):
+        span_store.insert(folder, 7, made, bridge.withColumn("unit_id", F.raise_error(F.lit("too bad")).cast("long")))
+    assert (tmp_path / "s" / "current.json").read_text() == state and span_store.read(spark, folder, "spans").filter("profile_id = 7").count() == 0
+    named = {p.name for p in (tmp_path / "s" / "data").iterdir()}
+    assert set(span_store.clean(spark, folder)) < named and span_store.read(spark, folder, "spans").count() == n - 1 + left.count() and span_store.clean(spark, folder) == []
+    span_store.delete(spark, folder, 8)
+    span_store.delete(spark, folder, 9)
+    assert span_store.read(spark, folder, "spans", made.schema).count() == 0
     there = spark.createDataFrame([(1, "m", "unit")], "method_id int, model string, label string")
     want = spark.createDataFrame([("m", "unit"), ("m", "span")], "model string, label string")
     assert sorted(tuple(r) for r in span_store.get_or_create(there, want, ["model", "label"], "method_id").collect()) == [(1, "m", "unit"), (2, "m", "span")]
