@@ -2,8 +2,8 @@
 
 A binding gives rows of `UNIT`: key, parent_key, depth, label, text, uncleaned_text, author, metadata (JSON) and position,
 parents before children. Plain texts are lines with their numbers: a heading's value is filled forward to the lines below
-it, so each binding is its headings, what it leaves out and how its lines are joined. Patterns, names, levels and number
-ranges are fixed values of the sources. What differs between files of one corpus is a parameter.
+it, so each binding is its headings, what it leaves out and how its lines are joined. Names, headings and number ranges
+that texts and labels must have are marked as fixed values. What differs between files of one corpus is a parameter.
 
 A null or blank text makes no leaf, and a heading with nothing below it no unit, unless the binding says so.
 """
@@ -20,6 +20,8 @@ from silvan.functions import text as T
 from silvan.sources import documents as D
 from silvan.sources import tabular
 
+#: A Roman numeral, as a part of a pattern.
+NUMERAL = "[IVXLCDM]+"
 UNIT = ("key", "parent_key", "depth", "label", "text", "uncleaned_text", "author", "metadata", "position")
 
 
@@ -76,7 +78,7 @@ def _file_order(df: DataFrame) -> DataFrame:
 
 
 # ---- tables ----
-#: Books of the two testaments, and the editions' names and translators.
+#: Books of the two testaments, and the editions' names and translators.
 TESTAMENTS = {"Old Testament": (1, 39), "New Testament": (40, 66)}
 EDITIONS = {
     "KJV": ("King James Version", "Various (royal commission)"),
@@ -132,7 +134,7 @@ def bhagavatam(spark: SparkSession, path: str) -> DataFrame:
     return tree_of(df, levels, F.col("translation"), F.col("position"))
 
 
-#: Books in their order.
+#: Books in their order.
 KANDAS = ("BalaKanda", "AyodhyaKanda", "AranyaKanda", "KishkindhaKanda", "SundaraKanda", "YuddhaKanda")
 
 
@@ -155,11 +157,11 @@ def ramayana(spark: SparkSession, path: str) -> DataFrame:
     return tree_of(df, levels, F.col("translation"), F.col("position"))
 
 
-#: What ends a stanza, what stands over one, and the names of its forms.
+#: What ends a stanza, what stands over one, and the names of its forms.
 STANZA_END = "॥[੦-੯]+॥"
 FORMS = {"ਪਉੜੀ": "Pauree", "ਛੰਤੁ": "Chhant", "ਸਲੋਕੁ": "Shalok", "ਸਲੋਕ": "Shalok", "ਭਗਤ": "Bhagat", "ਸਵਯੇ": "Savaiye", "ਦੁਤੁਕੇ": "Dutuke"}
 FORM_IN_ENGLISH = r"(?i)^(?:Pauree|Chhant|Shalok|Salok|Swaiyas?|Couplet):\s*$"
-#: The translations' number of English.
+#: The number that English translations have.
 ENGLISH = 13
 
 
@@ -221,7 +223,7 @@ def upanishads(texts: DataFrame) -> DataFrame:
     df = D.lines(texts).withColumn("name", name)
     first = F.row_number().over(Window.partitionBy("file", "name").orderBy("n")) == 1
     df = df.withColumn("book", F.when(first, F.translate("name", "-", " ")))
-    number = T.roman_to_int(_part(r"^\s*([IVX]+)\s*$"))
+    number = T.roman_to_int(_part(rf"^\s*({NUMERAL})\s*$"))
     df = D.headed(df, {"book": F.col("book"), "mark": F.when(number <= 30, number)})
     items = D.joined(_body(df, "book", "mark"), ["file", "book", "book_at", "mark", "mark_at"]).withColumn("text", T.collapse_spaces(F.col("text"))).filter("length(text) >= 20")
     place = F.concat_ws(" ", "book", "mark")
@@ -239,7 +241,7 @@ def yoga_sutras(texts: DataFrame) -> DataFrame:
 
 
 def dhammapada(texts: DataFrame) -> DataFrame:
-    chapter = r"^Chapter\s+([IVXLC]+)[:.]?\s+(.+)$"
+    chapter = rf"^Chapter\s+({NUMERAL})[:.]?\s+(.+)$"
     df = D.lines(texts)
     both = F.when(F.col("line").rlike(chapter), F.struct(T.roman_to_int(F.regexp_extract("line", chapter, 1)).alias("number"), F.trim(F.regexp_extract("line", chapter, 2)).alias("title")))
     df = D.headed(df, {"chapter": both, "mark": _part(r"^(\d+)\.").cast("int")})
@@ -277,9 +279,9 @@ def jataka(texts: DataFrame) -> DataFrame:
 
 def analects(texts: DataFrame) -> DataFrame:
     """Chapters may begin inside a line; a numeral above thirty stands for its place."""
-    chapter = r"CHAP(?:TER)?\.\s+([IVXLC]+)\."
+    chapter = rf"CHAP(?:TER)?\.\s+({NUMERAL})\."
     df = D.lines(texts.withColumn("text", F.regexp_replace("text", chapter, "\n$0")))
-    book = r"^BOOK\s+([IVXLC]+)\.\s+(.+)$"
+    book = rf"^BOOK\s+({NUMERAL})\.\s+(.+)$"
     both = F.when(F.col("line").rlike(book), F.struct(F.regexp_extract("line", book, 1).alias("roman"), F.regexp_replace(F.trim(F.regexp_extract("line", book, 2)), r"\.+$", "").alias("title")))
     df = D.headed(df, {"book": both, "mark": _part("^" + chapter)})
     items = D.joined(_rest(df, "mark", "^" + chapter), ["file", "book", "book_at", "mark", "mark_at"])
@@ -294,7 +296,7 @@ def analects(texts: DataFrame) -> DataFrame:
 def chuang_tzu(texts: DataFrame) -> DataFrame:
     """Chapters are leaves in the order of their numerals. The first line of a chapter is its title; an argument, up to the next
     blank line, and lines indented by four go; marks of footnotes and italics too."""
-    df = D.headed(D.lines(texts), {"chapter": _part(r"^CHAPTER\s+([IVX]+)\.\s*$")})
+    df = D.headed(D.lines(texts), {"chapter": _part(rf"^CHAPTER\s+({NUMERAL})\.\s*$")})
     df = _body(df, "chapter")
     rows = _rows(["file", "chapter_at"])
     blank = F.trim("line") == ""
@@ -363,7 +365,7 @@ def prose_edda(texts: DataFrame, toc_lines: int = 500, least: int = 100) -> Data
     df = df.withColumn("begins", begins).filter("n >= begins")
     df = df.withColumn("ends", F.min(F.when((F.upper("line") == "NOTES.") & (F.col("n") > F.col("begins") + least), F.col("n"))).over(file)).filter("ends is null or n < ends")
     part = _part(r"(?i)^(THE FOOLING OF GYLFE|BRAGE’S TALK|EXTRACTS FROM THE POETICAL DICTION)\.$")
-    df = D.headed(df, {"part": F.initcap(part), "chapter": F.upper(_part(r"(?i)^CHAPTER\s+([IVXLC]+)\.?$"))})
+    df = D.headed(df, {"part": F.initcap(part), "chapter": F.upper(_part(rf"(?i)^CHAPTER\s+({NUMERAL})\.?$"))})
     df = _next_line(df, "chapter_at", "title")
     heading = F.lit(False)
     for c in ("part_at", "chapter_at", "title_at"):
@@ -377,45 +379,44 @@ def prose_edda(texts: DataFrame, toc_lines: int = 500, least: int = 100) -> Data
     return tree_of(items, [Level(F.col("part"), F.col("part")), Level(chapter, label), Level(F.concat(chapter, F.lit(":p"), "nth"), F.concat(F.lit("¶"), "nth"))], F.col("text"), F.col("n"))
 
 
-#: Headings of the poems, their Norse and their English names, in the book's order.
-POEMS = """
-VOLUSPO|Völuspá|The Wise-Woman's Prophecy
-HOVAMOL|Hávamál|Sayings of the High One
-VAFTHRUTHNISMOL|Vafþrúðnismál|The Ballad of Vafthruthnir
-GRIMNISMOL|Grímnismál|The Ballad of Grimnir
-SKIRNISMOL|Skírnismál|The Ballad of Skirnir
-HARBARTHSLJOTH|Hárbarðsljóð|The Poem of Harbarth
-HYMISKVITHA|Hymiskviða|The Lay of Hymir
-LOKASENNA|Lokasenna|Loki's Wrangling
-THRYMSKVITHA|Þrymskviða|The Lay of Thrym
-ALVISSMOL|Álvíssmál|The Ballad of Alvis
-RIGSTHULA|Rígsþula|The Song of Rig
-HYNDLULJOTH|Hyndluljóð|The Poem of Hyndla
-FRAGMENT OF “THE SHORT VOLUSPO”|Grógaldr|The Spell of Groa
-II. FJOLSVINNSMOL|Fjölsvinnsmál|The Lay of Fjolsvith
-VÖLUNDARKVITHA|Völundarkviða|The Lay of Völund
-HELGAKVITHA HJORVARTHSSONAR|Helgakviða Hjörvarðssonar|The Lay of Helgi Hjorvarthsson
-HELGAKVITHA HUNDINGSBANA I|Helgakviða Hundingsbana I|The First Lay of Helgi Hundingsbane
-HELGAKVITHA HUNDINGSBANA II|Helgakviða Hundingsbana II|The Second Lay of Helgi Hundingsbane
-REGINSMOL|Reginsmál|The Ballad of Regin
-FAFNISMOL|Fáfnismál|The Ballad of Fafnir
-SIGRDRIFUMOL|Sigrdrífumál|The Ballad of the Victory-Bringer
-BROT AF SIGURTHARKVITHU|Brot af Sigurðarkviðu|Fragment of a Sigurd Lay
-GUTHRUNARKVITHA I|Guðrúnarkviða I|The First Lay of Guthrun
-SIGURTHARKVITHA EN SKAMMA|Sigurðarkviða in skamma|The Short Lay of Sigurd
-GUTHRUNARKVITHA II, EN FORNA|Guðrúnarkviða II|The Second Lay of Guthrun
-GUTHRUNARKVITHA III|Guðrúnarkviða III|The Third Lay of Guthrun
-ODDRUNARGRATR|Oddrúnargrátr|The Lament of Oddrun
-ATLAKVITHA EN GRÖNLENZKA|Atlakviða|The Greenland Lay of Atli
-ATLAMOL EN GRÖNLENZKU|Atlamál|The Greenland Ballad of Atli
-HAMTHESMOL|Hamðismál|The Ballad of Hamther
-""".strip()
+#: Headings of the poems, their Norse and their English names, in the book's order.
+POEMS = (
+    ("VOLUSPO", "Völuspá", "The Wise-Woman's Prophecy"),
+    ("HOVAMOL", "Hávamál", "Sayings of the High One"),
+    ("VAFTHRUTHNISMOL", "Vafþrúðnismál", "The Ballad of Vafthruthnir"),
+    ("GRIMNISMOL", "Grímnismál", "The Ballad of Grimnir"),
+    ("SKIRNISMOL", "Skírnismál", "The Ballad of Skirnir"),
+    ("HARBARTHSLJOTH", "Hárbarðsljóð", "The Poem of Harbarth"),
+    ("HYMISKVITHA", "Hymiskviða", "The Lay of Hymir"),
+    ("LOKASENNA", "Lokasenna", "Loki's Wrangling"),
+    ("THRYMSKVITHA", "Þrymskviða", "The Lay of Thrym"),
+    ("ALVISSMOL", "Álvíssmál", "The Ballad of Alvis"),
+    ("RIGSTHULA", "Rígsþula", "The Song of Rig"),
+    ("HYNDLULJOTH", "Hyndluljóð", "The Poem of Hyndla"),
+    ("FRAGMENT OF “THE SHORT VOLUSPO”", "Grógaldr", "The Spell of Groa"),
+    ("II. FJOLSVINNSMOL", "Fjölsvinnsmál", "The Lay of Fjolsvith"),
+    ("VÖLUNDARKVITHA", "Völundarkviða", "The Lay of Völund"),
+    ("HELGAKVITHA HJORVARTHSSONAR", "Helgakviða Hjörvarðssonar", "The Lay of Helgi Hjorvarthsson"),
+    ("HELGAKVITHA HUNDINGSBANA I", "Helgakviða Hundingsbana I", "The First Lay of Helgi Hundingsbane"),
+    ("HELGAKVITHA HUNDINGSBANA II", "Helgakviða Hundingsbana II", "The Second Lay of Helgi Hundingsbane"),
+    ("REGINSMOL", "Reginsmál", "The Ballad of Regin"),
+    ("FAFNISMOL", "Fáfnismál", "The Ballad of Fafnir"),
+    ("SIGRDRIFUMOL", "Sigrdrífumál", "The Ballad of the Victory-Bringer"),
+    ("BROT AF SIGURTHARKVITHU", "Brot af Sigurðarkviðu", "Fragment of a Sigurd Lay"),
+    ("GUTHRUNARKVITHA I", "Guðrúnarkviða I", "The First Lay of Guthrun"),
+    ("SIGURTHARKVITHA EN SKAMMA", "Sigurðarkviða in skamma", "The Short Lay of Sigurd"),
+    ("GUTHRUNARKVITHA II, EN FORNA", "Guðrúnarkviða II", "The Second Lay of Guthrun"),
+    ("GUTHRUNARKVITHA III", "Guðrúnarkviða III", "The Third Lay of Guthrun"),
+    ("ODDRUNARGRATR", "Oddrúnargrátr", "The Lament of Oddrun"),
+    ("ATLAKVITHA EN GRÖNLENZKA", "Atlakviða", "The Greenland Lay of Atli"),
+    ("ATLAMOL EN GRÖNLENZKU", "Atlamál", "The Greenland Ballad of Atli"),
+    ("HAMTHESMOL", "Hamðismál", "The Ballad of Hamther"),
+)
 
 
 def poetic_edda(texts: DataFrame) -> DataFrame:
     """Poems by their known headings; a numbered block up to a blank line is a stanza if its first line has the bar of a half-line."""
-    poems = [line.split("|") for line in POEMS.split("\n")]
-    known = F.create_map(*(x for heading, norse, english in poems for x in (F.lit(heading), F.struct(F.lit(norse).alias("norse"), F.lit(english).alias("english")))))
+    known = F.create_map(*(x for heading, norse, english in POEMS for x in (F.lit(heading), F.struct(F.lit(norse).alias("norse"), F.lit(english).alias("english")))))
     start = r"^(\d+)\.\s+(?=\S)"
     df = D.headed(D.lines(texts), {"poem": F.try_element_at(known, F.trim("line")), "mark": _part(start).cast("int")})
     blank = F.max(F.when(F.trim("line") == "", F.col("n"))).over(_rows(["file"]))
@@ -429,13 +430,13 @@ def poetic_edda(texts: DataFrame) -> DataFrame:
 
 
 def gilgamesh(texts: DataFrame) -> DataFrame:
-    """Tablets from the text of the pages (made by another program): a heading may stand on two lines; page numbers go."""
+    """Tablets from the text of the pages (`pdf.read_pdf`): a heading may stand on two lines; page numbers go."""
     df = texts.select("file", F.posexplode(F.split("text", r"\n|\f")).alias("n", "line")).withColumn("line", T.collapse_spaces(F.col("line")))
     before = Window.partitionBy("file").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
     word = F.lower("line") == "tablet"
     df = df.withColumn("last", F.last(F.when(F.col("line") != "", F.col("line")), True).over(before))
-    alone = F.when(F.lower("last") == "tablet", F.upper(F.regexp_extract(F.regexp_replace("line", r"^[\[\]()]+|[\[\]()]+$", ""), r"(?i)^\s*([IVXLC]+)\s*\.?\s*$", 1)))
-    roman = F.coalesce(F.upper(_part(r"(?i)^\s*Tablet\s+([IVXLC]+)\s*\.?\s*$")), F.nullif(alone, F.lit("")))
+    alone = F.when(F.lower("last") == "tablet", F.upper(F.regexp_extract(F.regexp_replace("line", r"^[\[\]()]+|[\[\]()]+$", ""), rf"(?i)^\s*({NUMERAL})\s*\.?\s*$", 1)))
+    roman = F.coalesce(F.upper(_part(rf"(?i)^\s*Tablet\s+({NUMERAL})\s*\.?\s*$")), F.nullif(alone, F.lit("")))
     df = D.headed(df, {"tablet": T.roman_to_int(roman)})
     keys = ["tablet", "tablet_at"]
     items = _paragraphs(df.filter(~F.col("line").rlike(r"^\d+$")), keys, (F.col("line") == "") | word | F.coalesce(F.col("n") == F.col("tablet_at"), F.lit(False)))
@@ -456,10 +457,10 @@ def dao_de_jing(pages: DataFrame) -> DataFrame:
     return tree_of(df, [Level(book, book), Level(place, place)], F.col("text"), F.col("n"))
 
 
-#: Labels of the volumes, and the files that hold sections: the number of a file is authoritative.
+#: Labels of the volumes, and the files that hold sections: the number of a file is authoritative.
 VOLUMES = {"I": "Volume I — Age of the Gods", "II": "Volume II — Age of the Early Emperors", "III": "Volume III — Age of the Later Emperors"}
 FIRST_FILE, LAST_FILE = 8, 187
-_SECTION = r"(?i)SECT(?:ION)?\.?\s+[IVXLCDM]+"
+_SECTION = rf"(?i)SECT(?:ION)?\.?\s+{NUMERAL}"
 
 
 def _note_link(tag: str, attrs: dict) -> bool:
@@ -469,7 +470,7 @@ def _note_link(tag: str, attrs: dict) -> bool:
 def heading_title(heading: Column) -> Column:
     """Without brackets and the section's number; in title case if it was in capitals."""
     bare = F.regexp_replace(F.trim(heading), r"^[\[\]]+|[\[\]]+$", "")
-    bare = F.regexp_replace(F.trim(bare), r"(?i)^SECT(?:ION)?\.?\s+[IVXLCDM]+\.?\s*[—–-]+\s*", "")
+    bare = F.regexp_replace(F.trim(bare), rf"(?i)^SECT(?:ION)?\.?\s+{NUMERAL}\.?\s*[—–-]+\s*", "")
     bare = F.trim(F.regexp_replace(F.regexp_replace(bare, r"\s{2,}", " "), r"[.\]]+$", ""))
     return F.when((bare == F.upper(bare)) & (bare != F.lower(bare)), F.initcap(bare)).otherwise(bare)
 
@@ -504,7 +505,7 @@ def enuma_elish(pages: DataFrame, anchor: str = "The Text of Enuma Elish") -> Da
     file = Window.partitionBy("file")
     df = df.withColumn("begins", F.min(F.when((F.col("tag") == "h3") & F.col("text").contains(anchor), F.col("n"))).over(file)).filter("n > begins")
     df = df.withColumn("ends", F.min(F.when(F.col("tag") == "h3", F.col("n"))).over(file)).filter("(ends is null or n < ends) and tag = 'p'")
-    df = D.headed(df, {"tablet": T.roman_to_int(_part(r"(?i)^Tablet\s+([IVXLC]+)$", 1, "text"))}).filter("tablet_at is not null")
+    df = D.headed(df, {"tablet": T.roman_to_int(_part(rf"(?i)^Tablet\s+({NUMERAL})$", 1, "text"))}).filter("tablet_at is not null")
     lines = df.filter("n != tablet_at").select("tablet", "n", F.posexplode("lines").alias("k", "line")).withColumn("number", _part(r"^(\d+)\s+\S").cast("int")).filter("number is not null")
     lines = lines.select("tablet", "number", F.regexp_replace("line", r"^\d+\s+", "").alias("text"), (F.col("n") * 10_000 + F.col("k") + 1).alias("position"))
     heads = df.filter("n = tablet_at").select("tablet", F.lit(None).cast("int").alias("number"), F.lit(None).cast("string").alias("text"), (F.col("n") * 10_000).alias("position"))
@@ -513,7 +514,7 @@ def enuma_elish(pages: DataFrame, anchor: str = "The Text of Enuma Elish") -> Da
     return tree_of(lines.unionByName(heads), [Level(key, key), Level(place, F.concat_ws(".", "tablet", "number"))], F.col("text"), F.col("position"))
 
 
-#: Chapters that are Gathas.
+#: Chapters that are Gathas.
 GATHAS = (*range(28, 35), *range(43, 52), 53)
 
 
@@ -534,10 +535,10 @@ def yasna(pages: DataFrame) -> DataFrame:
 
 
 # ---- EPUB ----
-#: Pages that are no text.
+#: Pages that are no text.
 FRONT_MATTER = "titlepage_main titlepage introduction acknowledgements acknowledgments copyright cover abbreviations quotation glossary bibliography foreword preface nav".split()
 _SKIPPED = rf"(?i)^(?:{'|'.join(FRONT_MATTER)})\.x?html$|^app|(?<!\.html)$"
-#: Sub-books of the minor collection in their order.
+#: Sub-books of the minor collection in their order.
 SUB_BOOKS = {"Khp": "Khuddakapatha", "Dhp": "Dhammapada", "Ud": "Udana", "Iti": "Itivuttaka", "StNp": "Sutta Nipata", "Thag": "Theragatha", "Thig": "Therigatha"}
 NIKAYAS = {"DN": "Digha Nikaya", "MN": "Majjhima Nikaya", "SN": "Samyutta Nikaya", "AN": "Anguttara Nikaya"}
 
