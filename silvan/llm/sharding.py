@@ -26,6 +26,8 @@ from silvan.llm.common import columns_of, materialise, scratch, table
 
 CHUNKS = 16_384
 BIG_PER_SHARD = 64
+#: Bytes of text of a written file, about.
+FILE_BYTES = 1 << 29
 #: Rows numbered by one window group, on average at most, however large the input.
 ROWS_PER_CELL = 50_000
 
@@ -105,14 +107,18 @@ def _slotted(placed: DataFrame, n_shards: int) -> DataFrame:
     )
 
 
-def write_shards(docs: DataFrame, path: str, n_shards: int = 16, files_per_shard: int = 1) -> None:
-    """Writes whole documents, all columns, as Parquet under path/shard=N."""
+def write_shards(docs: DataFrame, path: str, n_shards: int = 16, files_per_shard: int | None = None) -> None:
+    """Writes whole documents, all columns, as Parquet under path/shard=N, in files of about FILE_BYTES of text unless their
+    number is given. Files are ranges of (shard, a hash of the document), so no task has two shards' share."""
     docs = docs.drop("shard")
     with scratch(docs.sparkSession):
-        attach = plan_shards(materialise(_keyed(docs), "shard-keys"), n_shards)
+        keyed = materialise(_keyed(docs), "shard-keys")
+        attach = plan_shards(keyed, n_shards)
+        files = files_per_shard or -(-(keyed.agg(F.sum("size")).first()[0] or 0) // (n_shards * FILE_BYTES)) or 1
     rows = docs.select(F.struct(*columns_of(docs)).alias("row"), F.xxhash64(F.col("text"), F.col("text").isNull()).alias("key"))
-    salt = F.pmod(F.xxhash64("row.doc_id"), F.lit(files_per_shard))
-    attach(rows).repartition(n_shards * files_per_shard, "shard", salt).select("row.*", "shard").write.partitionBy("shard").parquet(path)
+    salt = F.pmod(F.xxhash64("row.doc_id", "key"), F.lit(files)).alias("salt")
+    dealt = attach(rows).select("row", "shard", salt).repartitionByRange(n_shards * files, "shard", "salt")
+    dealt.select("row.*", "shard").write.partitionBy("shard").parquet(path)
 
 
 def op7_sharding(spark, sf_dir):
