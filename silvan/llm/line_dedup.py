@@ -30,8 +30,9 @@ from pyspark.sql import functions as F
 from silvan.functions.arrays import let
 from silvan.llm.common import SPACE_CHARS, ascii_lower, columns_of, materialise, scratch, table
 
-#: Groups that a key's documents are dealt into.
-PIECES = 64
+#: Pieces that a key's documents are dealt into. They only set where ranges may be cut, so many of them cost nothing, and a key
+#: with a third of all lines goes over as many tasks as its lines fill.
+PIECES = 1 << 16
 MIN_DOCS = 10
 KEY = ("h1", "h2")
 DOC = ("d1", "d2")
