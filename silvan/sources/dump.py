@@ -110,22 +110,33 @@ def split_starts(lines: DataFrame) -> DataFrame:
 def _parts(lines: DataFrame) -> DataFrame:
     """file, split, nth part in the split, text, ends (a semicolon follows) of lines (file, split, line, state of the split's start)."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for file, split, rows in _by_split(batches):
             state, nth, open_ = None, 0, []
             for line, start in rows:
                 parts, state = cut(line, start if state is None else state)
                 open_.append(parts[0])
                 for part in parts[1:]:
-                    yield _part(file, split, nth, "\n".join(open_), True)
+                    yield file, split, nth, "\n".join(open_), True
                     nth, open_ = nth + 1, [part]
-            yield _part(file, split, nth, "\n".join(open_), False)
+            yield file, split, nth, "\n".join(open_), False
 
-    return lines.mapInArrow(run, "file string, split long, nth long, text string, ends boolean")
+    names = ["file", "split", "nth", "text", "ends"]
+    return lines.mapInArrow(lambda batches: _batched(found(batches), names, 3), "file string, split long, nth long, text string, ends boolean")
 
 
-def _part(*row) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([x]) for x in row], ["file", "split", "nth", "text", "ends"])
+def _batched(rows: Iterator[tuple], names: list[str], text: int, types: dict[str, pa.DataType] | None = None) -> Iterator[pa.RecordBatch]:
+    """Rows as batches of many small ones or a few large ones, by the length of one column."""
+    held, size = [], 0
+    make = lambda: pa.RecordBatch.from_arrays([pa.array(c, (types or {}).get(n)) for n, c in zip(names, zip(*held, strict=True), strict=True)], names)
+    for row in rows:
+        held.append(row)
+        size += len(row[text])
+        if len(held) >= 10_000 or size >= 1 << 23:
+            yield make()
+            held, size = [], 0
+    if held:
+        yield make()
 
 
 def statements(spark: SparkSession, path: str) -> DataFrame:
@@ -206,7 +217,7 @@ def inserted(statement: str) -> tuple[str, list[str] | None, list[list[str | Non
 def insert_rows(found: DataFrame, strict: bool = True) -> DataFrame:
     """table, names (null if the insert has none), row (array of strings) of the inserts among statements."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for batch in batches:
             for statement in batch.column("statement").to_pylist():
                 try:
@@ -216,12 +227,11 @@ def insert_rows(found: DataFrame, strict: bool = True) -> DataFrame:
                         raise ValueError(f"{e}: {statement[:80]}") from e
                     continue
                 if got:
-                    table, names, rows = got
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([table] * len(rows)), pa.array([names] * len(rows), pa.list_(pa.string())), pa.array(rows, pa.list_(pa.string()))], ["table", "names", "row"]
-                    )
+                    yield from ((got[0], got[1], row) for row in got[2])
 
-    return found.select("statement").mapInArrow(run, "table string, names array<string>, row array<string>")
+    names = ["table", "names", "row"]
+    kinds = {"names": pa.list_(pa.string()), "row": pa.list_(pa.string())}
+    return found.select("statement").mapInArrow(lambda batches: _batched(rows(batches), names, 2, kinds), "table string, names array<string>, row array<string>")
 
 
 _CREATE = re.compile(rf"\s*create\s+(?:temporary\s+)?table\s+(?:if\s+not\s+exists\s+)?(?:(?:{_NAMES})\s*\.\s*)?({_NAMES})\s*\((.*)\)", re.I | re.S)
