@@ -82,13 +82,12 @@ def metadata(**fields) -> str:
 def drafts(built: DataFrame, profile: int) -> tuple[DataFrame, DataFrame]:
     """Spans and bridge rows of what `spans.build` gives, with character offsets in the collapsed leaf texts.
 
-    built: version_id, parent_id, span_no, kind, text, n_words, unit_id, unit_order, weight, lo, hi and, of the unit,
-    unit_text, label, path, corpus_id. A span of several units begins at 0 and ends with its last leaf's length.
+    built: version_id, parent_id, span_no, kind, text, n_words, unit_id, unit_order, weight, lo, hi, at and, of the
+    unit, unit_text, label, path, corpus_id. A span of several units begins at 0 and ends with its last leaf's length.
     """
     span = F.xxhash64(F.lit(profile), "version_id", "parent_id", "span_no")
     leaf = T.collapse_spaces(F.col("unit_text"))
-    before = lambda n: F.length(F.array_join(F.slice(F.split(leaf, " "), F.lit(1), n), " ")) + F.when(n > 0, 1).otherwise(0)
-    start = F.when(F.col("lo").isNotNull(), before(F.col("lo"))).otherwise(0)
+    start = F.coalesce("at", F.lit(0))
     stop = F.when(F.col("lo").isNotNull(), start + F.length("text")).otherwise(F.length(leaf))
     df = built.withColumns({"span_id": span, "profile_id": F.lit(profile), "start": start.cast("int"), "stop": stop.cast("int")})
     bridge = df.select("profile_id", "span_id", "unit_id", "unit_order", F.col("start").alias("char_start"), F.col("stop").alias("char_end"), F.col("weight").alias("coverage_weight"))

@@ -80,7 +80,8 @@ def sized(leaves: DataFrame, target: int, overlap: int, most: int, keys: tuple[s
 
 
 def build(leaves: DataFrame, target: int, overlap: int, most: int, keys: tuple[str, ...] = ("version_id", "parent_id")) -> DataFrame:
-    """One row per span and unit: keys, span_no (from 0 within the keys), kind, text, n_words, unit_id, unit_order, weight, lo, hi.
+    """One row per span and unit: keys, span_no (from 0 within the keys), kind, text, n_words, unit_id, unit_order, weight and, of
+    a window of a leaf, its words from lo up to hi and the character `at` which it begins in the collapsed text.
 
     leaves: keys, unit_id (each one of its own), text; null or blank texts are left out. Leaves are packed and numbered by
     their sizes and numbers of windows alone. A leaf that is a span or more by itself stays where it is, and only the
@@ -97,14 +98,19 @@ def build(leaves: DataFrame, target: int, overlap: int, most: int, keys: tuple[s
         return clean.join(placed.filter(F.col("alone") == alone).drop("alone"), "unit_id")
 
     none = F.lit(None).cast("int")
-    out = [*keys, "span_no", "kind", "text", "n_words", "unit_id", "unit_order", "weight", "lo", "hi"]
+    out = [*keys, "span_no", "kind", "text", "n_words", "unit_id", "unit_order", "weight", "lo", "hi", "at"]
 
     def pieces(words: Column) -> Column:
-        piece = lambda w: F.array_join(F.slice(words, w["lo"] + 1, w["hi"] - w["lo"]), " ")
-        return F.transform("w", lambda w: F.struct(piece(w).alias("text"), (w["hi"] - w["lo"]).cast("long").alias("n_words"), w["lo"].alias("lo"), w["hi"].alias("hi"), F.lit("split-large-unit").alias("kind")))
+        part = lambda lo, hi: F.array_join(F.slice(words, lo + 1, hi - lo), " ")
+        # Where a window begins: what lies between the starts of windows, summed up.
+        before = lambda i: F.coalesce(F.get("w", i - 1)["lo"], F.lit(0))
+        steps = F.transform("w", lambda w, i: F.when(w["lo"] > before(i), F.length(part(before(i), w["lo"])) + 1).otherwise(0))
+        starts = let(steps, lambda v: scan(v, F.lit(0), "int", lambda a, x: (a + x, a + x)))
+        one = lambda w, at: F.struct(part(w["lo"], w["hi"]).alias("text"), (w["hi"] - w["lo"]).cast("long").alias("n_words"), w["lo"].alias("lo"), w["hi"].alias("hi"), at.alias("at"), F.lit("split-large-unit").alias("kind"))
+        return let(starts, lambda v: F.transform("w", lambda w, i: one(w, F.get(v, i))))
 
     # The words are bound once; named inside the pieces, they would be split again for each.
-    whole = F.array(F.struct("text", F.col("n").alias("n_words"), none.alias("lo"), none.alias("hi"), F.lit("single-unit").alias("kind")))
+    whole = F.array(F.struct("text", F.col("n").alias("n_words"), none.alias("lo"), none.alias("hi"), none.alias("at"), F.lit("single-unit").alias("kind")))
     parts = F.when(F.col("w").isNull(), whole).otherwise(let(F.split("text", " "), pieces))
     own = of(True).select(*keys, "unit_id", "span_no", F.posexplode(parts).alias("part", "p"))
     own = own.select(*keys, (F.col("span_no") + F.col("part")).alias("span_no"), "p.*", "unit_id", F.lit(0).alias("unit_order"), F.lit(1.0).alias("weight")).select(out)
@@ -112,5 +118,5 @@ def build(leaves: DataFrame, target: int, overlap: int, most: int, keys: tuple[s
     text = F.array_join(F.transform("l", lambda x: x["text"]), " ")
     met = met.select(*keys, "span_no", F.lit("aggregate-small-units").alias("kind"), text.alias("text"), F.aggregate("l", F.lit(0).cast("long"), lambda a, x: a + x["n"]).alias("n_words"), "l")
     met = met.select("*", F.length("text").alias("chars"), F.posexplode("l").alias("unit_order", "u"))
-    met = met.select(*keys, "span_no", "kind", "text", "n_words", F.col("u.unit_id").alias("unit_id"), "unit_order", (F.length("u.text") / F.col("chars")).alias("weight"), none.alias("lo"), none.alias("hi")).select(out)
+    met = met.select(*keys, "span_no", "kind", "text", "n_words", F.col("u.unit_id").alias("unit_id"), "unit_order", (F.length("u.text") / F.col("chars")).alias("weight"), none.alias("lo"), none.alias("hi"), none.alias("at")).select(out)
     return own.unionByName(met)
