@@ -4,6 +4,7 @@ import random
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -109,6 +110,31 @@ def test_only_the_querys_postings_are_read(spark, units):
     assert got == {"abc", "bcd", "cdé", "dé𝒳", "é𝒳x"}
 
 
+def test_lists_of_ids_against_the_grams_of_each_text(spark, tmp_path, monkeypatch):
+    """Few rows for many ids; the ids of each gram as they are, whether a stretch is one, many or has too many characters."""
+    rng = random.Random(9)
+    letters = ["a", "b", " ", "é", "€", "𝒳", "\n", "\0"]
+    wide = lambda: "".join(chr(rng.randrange(0x4E00, 0x9FFF)) for _ in range(60))
+    rows = [(k, rng.choice([None, "", "".join(rng.choice(letters) for _ in range(rng.randint(0, 40))), "the same line"]), wide() if k % 9 == 0 else "ab") for k in range(3000)]
+    want = {(t[i : i + 3], k) for k, *both in rows for t in both if t for i in range(len(t) - 2)}
+    trigrams.write_index(spark.createDataFrame(rows, "unit_id long, text string, label string").coalesce(3), str(tmp_path / "i"), ("text", "label"))
+    lists = spark.read.parquet(str(tmp_path / "i" / "postings")).select("gram", "n", "ids").collect()
+    got = [(r["gram"], i) for r in lists for i in r["ids"]]
+    assert len(got) == len(set(got)) and set(got) == want and all(r["n"] == len(r["ids"]) for r in lists)
+    common = [r["n"] for r in lists if r["gram"] == "ame"]
+    assert sum(common) > 500 and len(common) <= 3
+    assert {r["gram"]: r["n"] for r in spark.read.parquet(str(tmp_path / "i" / "counts")).collect()}["ame"] == sum(common)
+    # Here, not in a task: short stretches, and one whose 180,000 characters leave no bits for its rows.
+    lines = ["".join(map(chr, range(at, at + 20))) for at in range(0x10000, 0x10000 + 180_000, 20)]
+    batch = pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), pa.array([r[1] or "" for r in rows]), pa.array([r[2] for r in rows])], ["id", "a", "b"])
+    many = pa.RecordBatch.from_arrays([pa.array(range(9_000)), pa.array(lines)], ["id", "a"])
+    monkeypatch.setattr(trigrams, "STRETCH", 500)
+    cuts = list(trigrams._stretches(iter([batch])))
+    assert len(cuts) > 50 and sum(c.num_rows for c in cuts) == 3000
+    for parts, found in ((cuts, want), ([many, many.slice(10, 1), many.slice(0, 0)], {(t[i : i + 3], k) for k, t in enumerate(lines) for i in range(18)})):
+        assert {(g, i) for c in parts for x in trigrams._lists(c) for g, ids in zip(x.column("gram").to_pylist(), x.column("ids").to_pylist(), strict=True) for i in ids} == found
+
+
 # ---- balls ----
 
 
