@@ -1,10 +1,11 @@
 """Dumps of a MySQL database: statements, and the rows of their inserts as typed tables.
 
 A dump is read as lines by Spark's text source, so a large file is many tasks. Whether a line begins inside a string or a
-comment depends on all lines before it. Each split of a file therefore gives the state that it ends in for each state that
-it may begin in; these functions, one narrow row a split, are composed in a prefix scan over the file's splits, and the
-second pass over the lines knows how each split begins. A statement ends at a semicolon that is neither in a string, a
-quoted name nor a comment; the parts of one that goes over splits are joined by its number.
+comment depends on all lines before it. Each split of a file therefore gives, for each state that it may begin in, the state
+that it ends in and how many statements end on the way; these functions, one narrow row a split, are composed in a prefix
+scan over the file's splits, and the second pass over the lines knows how each split begins and numbers its parts. These are
+written once, to the shared folder. A statement ends at a semicolon that is neither in a string, a quoted name nor a comment;
+the parts of one that goes over splits are joined by its number.
 
 Comments (also those that a server of some version would run) are left out; strings, quoted names and what they hold stay
 as they are: semicolons, line ends, back-ticks, escapes, words that look like statements. DELIMITER, a command of the
@@ -23,106 +24,163 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from silvan.functions.arrays import scan
+from silvan.session import cut as checkpoint
+from silvan.session import scratch_path
 
 CODE, SINGLE, DOUBLE, NAME, COMMENT = range(5)
 STATES = 5
-#: What a state looks out for.
-_NEXT = {
-    CODE: re.compile(r"['\"`;#]|/\*|--(?=\s|$)"),
-    SINGLE: re.compile(r"\\.|'", re.S),
-    DOUBLE: re.compile(r'\\.|"', re.S),
-    NAME: re.compile("`"),
-    COMMENT: re.compile(r"\*/"),
+#: What code looks out for, and all up to what ends another state.
+_MARK = re.compile(r"['\"`;#]|/\*|--(?=\s|$)")
+_CLOSE = {
+    SINGLE: re.compile(r"[^'\\]*+(?:\\.[^'\\]*+)*+'", re.S),
+    DOUBLE: re.compile(r'[^"\\]*+(?:\\.[^"\\]*+)*+"', re.S),
+    NAME: re.compile("[^`]*+`"),
+    COMMENT: re.compile(r".*?\*/", re.S),
 }
 _OPENS = {"'": SINGLE, '"': DOUBLE, "`": NAME, "/*": COMMENT}
 #: Splits whose starts are handed to all tasks; with more of them, lines are dealt by split.
 BROADCAST_SPLITS = 100_000
 
 
-def cut(line: str, state: int) -> tuple[list[str], int]:
-    """A line from a state on: its parts between ends of statements without comments, and the state it leaves.
+def _after(text: str, mark: re.Match) -> int:
+    """Where code goes on after a mark that opens nothing: a comment to the end of its line goes up to the line's end."""
+    if mark.group() == ";":
+        return mark.end()
+    end = text.find("\n", mark.end())
+    return len(text) if end < 0 else end
+
+
+def cut(text: str, state: int) -> tuple[list[str], int]:
+    """Whole lines from a state on: their parts between ends of statements without comments, and the state they leave.
 
     A doubled quote closes a string and opens it again, which comes to the same.
     """
     parts, held, begin, at = [], [], 0, 0
-    while found := _NEXT[state].search(line, at):
-        mark, at = found.group(), found.end()
-        if state == CODE:
-            if mark in ("#", "--"):
-                held.append(line[begin : found.start()])
-                begin = len(line)
+    while True:
+        if state != CODE:
+            if not (closed := _CLOSE[state].match(text, at)):
                 break
-            state = _OPENS.get(mark, CODE)
-            if state in (CODE, COMMENT):
-                held.append(line[begin : found.start()])
+            at = closed.end()
+            if state == COMMENT:
+                held.append(" ")
                 begin = at
-            if state == CODE:
-                parts.append("".join(held))
-                held = []
-        elif state == COMMENT:
-            state, begin = CODE, at
-            held.append(" ")
-        elif mark[0] != "\\":
             state = CODE
+        if not (mark := _MARK.search(text, at)):
+            break
+        state = _OPENS.get(mark.group(), CODE)
+        at = mark.end() if state else _after(text, mark)
+        if state in (CODE, COMMENT):
+            held.append(text[begin : mark.start()])
+            begin = at
+        if mark.group() == ";":
+            parts.append("".join(held))
+            held = []
     if state != COMMENT:
-        held.append(line[begin:])
+        held.append(text[begin:])
     return [*parts, "".join(held)], state
 
 
+def passed(text: str) -> list[tuple[int, int]]:
+    """For each state that whole lines may begin in the one that they leave, and how many statements end in them. Ways that
+    meet in code go on as one: in a dump's own strings that is soon."""
+    known, out = {}, []
+    for state in range(STATES):
+        at, n, way = 0, 0, []
+        while True:
+            if state != CODE:
+                if not (closed := _CLOSE[state].match(text, at)):
+                    break
+                state, at = CODE, closed.end()
+            if at in known:
+                state, n = known[at][0], n + known[at][1]
+                break
+            way.append((at, n))
+            if not (mark := _MARK.search(text, at)):
+                break
+            state = _OPENS.get(mark.group(), CODE)
+            at = mark.end() if state else _after(text, mark)
+            n += mark.group() == ";"
+        out.append((state, n))
+        known.update((place, (state, n - before)) for place, before in way)
+    return out
+
+
 def _lines(spark: SparkSession, path: str) -> DataFrame:
     """file, split (its first byte), line; a task has the lines of a split one after another, in order."""
     return spark.read.option("lineSep", "\n").text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.col("value").alias("line"))
 
 
-def _by_split(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, int, Iterator[tuple]]]:
-    """file, split and the rows after these two columns, for each stretch of rows of one split."""
-    rows = (r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True))
-    for (file, split), mine in itertools.groupby(rows, lambda r: r[:2]):
-        yield file, split, (r[2:] for r in mine)
+def _by_split(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, int, Iterator[pa.RecordBatch]]]:
+    """file, split and its rows in stretches, for each split in turn."""
+
+    def stretches() -> Iterator[pa.RecordBatch]:
+        for batch in filter(lambda b: b.num_rows, batches):
+            file, split = batch.column("file"), batch.column("split")
+            other = pc.or_(pc.not_equal(file[1:], file[:-1]), pc.not_equal(split[1:], split[:-1]))
+            edges = [0, *(k + 1 for k in pc.indices_nonzero(other).to_pylist()), batch.num_rows]
+            yield from (batch.slice(lo, hi - lo) for lo, hi in itertools.pairwise(edges))
+
+    for (file, split), mine in itertools.groupby(stretches(), lambda b: (b.column("file")[0].as_py(), b.column("split")[0].as_py())):
+        yield file, split, mine
+
+
+def _text(rows: pa.RecordBatch) -> str:
+    return "\n".join(rows.column("line").to_pylist())
 
 
 def _split_ends(lines: DataFrame) -> DataFrame:
-    """file, split, ends: for each state that the split may begin in the one that it ends in."""
+    """file, split, ends, counts: for each state that the split may begin in the one that it ends in, and the ends of statements."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for file, split, rows in _by_split(batches):
-            now = list(range(STATES))
-            for (line,) in rows:
-                after = {s: cut(line, s)[1] for s in set(now)}
-                now = [after[s] for s in now]
-            yield pa.RecordBatch.from_arrays([pa.array([file]), pa.array([split], pa.int64()), pa.array([now], pa.list_(pa.int32()))], ["file", "split", "ends"])
+            now = [(s, 0) for s in range(STATES)]
+            for text in map(_text, rows):
+                after = passed(text)
+                now = [(after[s][0], n + after[s][1]) for s, n in now]
+            ends, counts = pa.array([[s for s, _ in now]], pa.list_(pa.int32())), pa.array([[n for _, n in now]], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array([file]), pa.array([split], pa.int64()), ends, counts], ["file", "split", "ends", "counts"])
 
-    return lines.mapInArrow(run, "file string, split long, ends array<int>")
+    return lines.mapInArrow(run, "file string, split long, ends array<int>, counts array<long>")
 
 
 def split_starts(lines: DataFrame) -> DataFrame:
-    """file, split, state that it begins in: the functions of a file's splits composed in order."""
-    files = _split_ends(lines).groupBy("file").agg(F.array_sort(F.collect_list(F.struct("split", "ends"))).alias("s"))
-    states = scan(F.col("s"), F.lit(CODE), "int", lambda state, x: (F.get(x["ends"], state), state))
-    both = F.explode(F.arrays_zip(F.col("s.split").alias("split"), states.alias("state"))).alias("x")
-    return files.select("file", both).select("file", "x.split", "x.state")
+    """file, split, state that it begins in, base (the file's statements that end before it): the functions of a file's
+    splits composed in order."""
+    files = _split_ends(lines).groupBy("file").agg(F.array_sort(F.collect_list(F.struct("split", "ends", "counts"))).alias("s"))
+    begin = F.struct(F.lit(CODE).alias("state"), F.lit(0).cast("long").alias("base"))
+
+    def step(now: Column, x: Column) -> tuple[Column, Column]:
+        return F.struct(F.get(x["ends"], now["state"]).alias("state"), (now["base"] + F.get(x["counts"], now["state"])).alias("base")), now
+
+    states = scan(F.col("s"), begin, "struct<state:int,base:bigint>", step)
+    both = F.explode(F.arrays_zip(F.col("s.split").alias("split"), states.alias("at"))).alias("x")
+    return files.select("file", both).select("file", "x.split", "x.at.state", "x.at.base")
 
 
 def _parts(lines: DataFrame) -> DataFrame:
-    """file, split, nth part in the split, text, ends (a semicolon follows) of lines (file, split, line, state of the split's start)."""
+    """file, split, n (its statement's number), nth part in the split, text, ends (a semicolon follows) of lines (file, split,
+    line, state and base of the split's start)."""
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for file, split, rows in _by_split(batches):
             state, nth, open_ = None, 0, []
-            for line, start in rows:
-                parts, state = cut(line, start if state is None else state)
+            for some in rows:
+                if state is None:
+                    state, base = (some.column(c)[0].as_py() for c in ("state", "base"))
+                parts, state = cut(_text(some), state)
                 open_.append(parts[0])
                 for part in parts[1:]:
-                    yield file, split, nth, "\n".join(open_), True
+                    yield file, split, base + nth, nth, "\n".join(open_), True
                     nth, open_ = nth + 1, [part]
-            yield file, split, nth, "\n".join(open_), False
+            yield file, split, base + nth, nth, "\n".join(open_), False
 
-    names = ["file", "split", "nth", "text", "ends"]
-    return lines.mapInArrow(lambda batches: _batched(found(batches), names, 3), "file string, split long, nth long, text string, ends boolean")
+    names = ["file", "split", "n", "nth", "text", "ends"]
+    return lines.mapInArrow(lambda batches: _batched(found(batches), names, 4), "file string, split long, n long, nth long, text string, ends boolean")
 
 
 def _batched(rows: Iterator[tuple], names: list[str], text: int, types: dict[str, pa.DataType] | None = None) -> Iterator[pa.RecordBatch]:
@@ -146,28 +204,25 @@ def statements(spark: SparkSession, path: str) -> DataFrame:
     are. What is left after a file's last semicolon is a statement too.
     """
     lines = _lines(spark, path)
-    starts = split_starts(lines)
+    starts = checkpoint(split_starts(lines))
     if starts.limit(BROADCAST_SPLITS + 1).count() <= BROADCAST_SPLITS:
-        known = lines.join(F.broadcast(starts), ["file", "split"]).select("file", "split", "line", "state")
+        known = lines.join(F.broadcast(starts), ["file", "split"]).select("file", "split", "line", "state", "base")
     else:
         numbered = lines.withColumn("nr", F.monotonically_increasing_id())
-        known = numbered.join(starts, ["file", "split"]).repartition("file", "split").sortWithinPartitions("file", "split", "nr").select("file", "split", "line", "state")
-    parts = _parts(known)
-    ended = parts.groupBy("file", "split").agg(F.count_if("ends").alias("ends"))
-    before = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
-    base = ended.select("file", "split", F.coalesce(F.sum("ends").over(before), F.lit(0)).alias("base"))
-    base = F.broadcast(base) if base.limit(BROADCAST_SPLITS + 1).count() <= BROADCAST_SPLITS else base
-    numbered = parts.join(base, ["file", "split"]).select("file", (F.col("base") + F.col("nth")).alias("n"), "split", "nth", "ends", "text")
-    whole = numbered.filter("ends and nth > 0").select("file", "n", F.col("text").alias("statement"))
-    meet = numbered.filter("not ends or nth = 0").groupBy("file", "n").agg(F.array_sort(F.collect_list(F.struct("split", "text"))).alias("p"))
+        known = numbered.join(starts, ["file", "split"]).repartition("file", "split").sortWithinPartitions("file", "split", "nr").select("file", "split", "line", "state", "base")
+    where = scratch_path(spark, "statements")
+    _parts(known).write.parquet(where)
+    parts = spark.read.parquet(where)
+    whole = parts.filter("ends and nth > 0").select("file", "n", F.col("text").alias("statement"))
+    meet = parts.filter("not ends or nth = 0").groupBy("file", "n").agg(F.array_sort(F.collect_list(F.struct("split", "text"))).alias("p"))
     joined = meet.select("file", "n", F.array_join("p.text", "\n").alias("statement"))
-    trimmed = F.regexp_replace("statement", r"^\s+|\s+$", "")
+    trimmed = F.btrim("statement", F.lit(" \t\n\x0b\f\r"))
     return whole.unionByName(joined).withColumn("statement", trimmed).filter("statement != ''")
 
 
 _NAMES = r"`(?:[^`]|``)+`|[\w$]+"
 _INSERT = re.compile(rf"\s*(?:insert|replace)\b[^`'\"(]*?(?:into\s+)?({_NAMES})(?:\s*\.\s*({_NAMES}))?\s*(\([^)]*\))?\s*values?\s*", re.I)
-_VALUE = re.compile(r"\s*(?:_\w+\s*)?('(?:[^'\\]|\\.|'')*'|\"(?:[^\"\\]|\\.|\"\")*\"|[^\s,()'\"]+)\s*([,)])", re.S)
+_VALUE = re.compile(r"\s*(?:_\w+\s*)?('[^'\\]*+(?:(?:\\.|'')[^'\\]*+)*+'|\"[^\"\\]*+(?:(?:\\.|\"\")[^\"\\]*+)*+\"|[^\s,()'\"]+)\s*([,)])", re.S)
 #: Escapes of a string that stand for another character: fixed values of the dump's format. Any other stands for itself.
 _ESCAPES = {"0": "\0", "b": "\b", "n": "\n", "r": "\r", "t": "\t", "Z": "\x1a"}
 
@@ -183,6 +238,8 @@ def _quoted(name: str) -> str:
 def _value(raw: str) -> str | None:
     if raw[0] in "'\"":
         q = raw[0]
+        if "\\" not in raw and raw.find(q, 1) == len(raw) - 1:
+            return raw[1:-1]
         return re.sub(rf"\\(.)|{q}{q}", lambda m: _ESCAPES.get(m[1], m[1]) if m[1] else q, raw[1:-1], flags=re.S)
     return None if raw.upper() == "NULL" else raw
 
@@ -307,7 +364,7 @@ def write_dump(df: DataFrame, path: str, table: str, rows: int = 500) -> None:
     head = f"DROP TABLE IF EXISTS {name};\nCREATE TABLE {name} (\n{body}\n) ENGINE=InnoDB DEFAULT CHARSET=utf8mb4;"
 
     def literal(c: str) -> Column:
-        text = F.regexp_replace(F.col(_quoted(c)).cast("string"), r"(['\\])", r"\\$1")
+        text = F.replace(F.replace(F.col(_quoted(c)).cast("string"), F.lit("\\"), F.lit("\\\\")), F.lit("'"), F.lit("\\'"))
         return F.coalesce(F.concat(F.lit("'"), text, F.lit("'")), F.lit("NULL"))
 
     tuples = df.select(F.concat(F.lit("("), F.concat_ws(",", *(literal(c) for c in df.columns)), F.lit(")")).alias("t"))

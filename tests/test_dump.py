@@ -55,6 +55,32 @@ def test_lines_against_a_walk_over_characters():
         assert squeeze([*got, open_]) == squeeze(plain_cut(text))
 
 
+def test_lines_at_once_from_every_state():
+    """Whole lines give the parts of a walk line by line; what is passed from each state is what the parts say."""
+    rng = random.Random(6)
+    for _ in range(3000):
+        lines = ["".join(rng.choice(["'", '"', "`", ";", "\\", "\\'", "/*", "*/", "--", " ", "#", "a", "b;"]) for _ in range(rng.randint(0, 8))) for _ in range(rng.randint(1, 5))]
+        want = []
+        for start in range(dump.STATES):
+            state, parts = start, [""]
+            for nth, line in enumerate(lines):
+                more, state = dump.cut(line, state)
+                parts = [*parts[:-1], parts[-1] + ("\n" if nth else "") + more[0], *more[1:]]
+            got, end = dump.cut("\n".join(lines), start)
+            assert end == state and [x.split() for x in got] == [x.split() for x in parts]
+            want.append((state, len(parts) - 1))
+        assert dump.passed("\n".join(lines)) == want
+
+
+def test_a_dump_is_gone_through_once(spark, tmp_path, rows):
+    """What reads statements reads their written parts: no second walk over the dump for each use."""
+    (tmp_path / "d.sql").write_text("CREATE TABLE t (a int, b text);\n" + "".join(f"INSERT INTO t VALUES ({i},{quoted(v)});\n" for i, v in rows))
+    found = dump.statements(spark, str(tmp_path / "d.sql"))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" not in plan and "FileScan text" not in plan
+    assert {int(r["row"][0]): r["row"][1] for r in dump.insert_rows(found).collect()} == dict(rows)
+
+
 def quoted(value):
     return "NULL" if value is None else "'" + value.replace("\\", "\\\\").replace("'", "\\'").replace("\n", "\\n" if len(value) % 2 else "\n") + "'"
 
