@@ -108,14 +108,18 @@ def parent_means(tree: DataFrame, placed: DataFrame, dims: int, id_: str = "id")
     waves, in the wave in which its first child was placed; later children change nothing.
 
     So its children of the wave before are all that count, and a step joins that wave with the parents still to be placed.
+    placed may bring its parent_id; without it, placed and tree meet once more. Joins hold the parents, which are few to the
+    leaves, by their ids; leaves go past them and are never sorted.
     """
     t = tree.select(F.col(id_).alias("id"), F.col("parent_id").alias("up"))
     ups = t.select(F.col("up").alias("id")).filter("id is not null").distinct()
-    rest = cut(t.join(ups, "id", "left_semi").join(placed.select("id"), "id", "left_anti"))
-    fresh, out = placed.select("id", "coords").join(t, "id", "left"), [placed.select("id", "coords")]
+    begun = placed.join(ups.hint("shuffle_hash"), "id", "left_semi").select("id")
+    rest = cut(t.join(ups.hint("shuffle_hash"), "id", "left_semi").join(begun, "id", "left_anti"))
+    fresh = placed.select("id", "coords", F.col("parent_id").alias("up")) if "parent_id" in placed.columns else placed.select("id", "coords").join(t, "id", "left")
+    out = [placed.select("id", "coords")]
     while True:
         mean = fresh.filter("up is not null").groupBy(F.col("up").alias("id")).agg(*(F.avg(F.col("coords")[k]).alias(f"c{k}") for k in range(dims)))
-        fresh = cut(mean.select("id", F.array(*(f"c{k}" for k in range(dims))).alias("coords")).join(rest, "id"))
+        fresh = cut(mean.select("id", F.array(*(f"c{k}" for k in range(dims))).alias("coords")).join(rest.hint("shuffle_hash"), "id"))
         if fresh.isEmpty():
             return reduce(DataFrame.unionByName, out)
         rest = cut(rest.join(fresh.select("id"), "id", "left_anti"))

@@ -13,7 +13,7 @@ from silvan.functions import text as T
 from silvan.functions import vector as V
 from silvan.operators import audit, balls, cells, embedding, ingest, intervals, manifold, mapview, projection, results, search, sequences, span_store, spans, taxonomy, tree, trigrams
 from silvan.plans import domain as D
-from silvan.session import read_table, scratch_path
+from silvan.session import cut, read_table, scratch_path
 from silvan.sources import documents, dump, reports
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -224,7 +224,7 @@ leaf AS (SELECT id FROM node WHERE id NOT IN (SELECT parent_id FROM node WHERE p
 
 @query(_NODE_CLOSURE + "SELECT ancestor AS id, CAST(min(distance) AS INT) AS height FROM cl JOIN leaf ON leaf.id = cl.descendant GROUP BY ancestor")
 def tree_height_min_leaf(s, d):
-    return tree.heights(D.unbalanced(s, d))
+    return tree.heights(cut(D.unbalanced(s, d)))
 
 
 @query("SELECT unit_id, label FROM unit WHERE parent_id IS NULL AND version_id = (SELECT min(version_id) FROM unit) ORDER BY depth, unit_id")
@@ -539,9 +539,10 @@ d2 AS (SELECT * FROM d1 UNION ALL SELECT * FROM h2),
 h3 AS (SELECT n.id, n.parent_id, avg(d2.x) AS x, avg(d2.y) AS y FROM node n JOIN d2 ON d2.parent_id = n.id WHERE n.id NOT IN (SELECT id FROM d2) AND n.id IN (SELECT parent_id FROM h2) GROUP BY n.id, n.parent_id)
 SELECT id, round(x, 6) AS x, round(y, 6) AS y FROM (SELECT * FROM d2 UNION ALL SELECT * FROM h3)""")
 def parent_mean(s, d):
-    t = D.unbalanced(s, d)
-    leaf = t.join(t.select(F.col("parent_id").alias("id")).distinct(), "id", "left_anti")
-    placed = leaf.select("id", F.array((F.col("id") % 1000).cast("double"), (F.col("id") % 7).cast("double")).alias("coords"))
+    # Written once: joins with a union of tables would go to each of them, and one task would hold the rows of all these joins.
+    t = cut(D.unbalanced(s, d))
+    leaf = t.join(t.select(F.col("parent_id").alias("id")).distinct().hint("shuffle_hash"), "id", "left_anti")
+    placed = leaf.select("id", "parent_id", F.array((F.col("id") % 1000).cast("double"), (F.col("id") % 7).cast("double")).alias("coords"))
     m = projection.parent_means(t, placed, 2)
     return m.select("id", F.round(F.col("coords")[0], 6).alias("x"), F.round(F.col("coords")[1], 6).alias("y"))
 

@@ -3,6 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from silvan.operators import audit, projection, search, spans, tree
+from silvan.plans import catalog
 
 FOREST = [(1, None), (2, 1), (3, 1), (4, 3)]
 
@@ -18,6 +19,20 @@ def test_parent_takes_children_of_earlier_waves(spark):
     assert {r["id"]: r["coords"] for r in projection.parent_means(t, placed, 2).collect()}[1] == [0.0, 0.0]
 
 
+def test_parents_brought_along_give_the_same_means(spark):
+    t = spark.createDataFrame([*FOREST, (5, 3), (6, None), (7, 4)], "id long, parent_id long")
+    placed = spark.createDataFrame([(2, 1, [0.0]), (5, 3, [3.0]), (7, 4, [1.0]), (3, 1, [9.0]), (6, None, [5.0])], "id long, parent_id long, coords array<double>")
+    with_parents, without = ({r["id"]: r["coords"] for r in projection.parent_means(t, p, 1).collect()} for p in (placed, placed.drop("parent_id")))
+    assert with_parents == without == {2: [0.0], 5: [3.0], 7: [1.0], 3: [9.0], 6: [5.0], 4: [1.0], 1: [4.5]}
+
+
+def test_a_task_holds_one_join_not_one_for_each_table(spark):
+    """The leaves are found in the tree, not in each of the five tables that it is made of."""
+    plan = catalog.parent_mean(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    initial = plan.split("== Initial Plan ==")[-1]
+    assert sum(initial.count(f"{kind}Join") for kind in ("SortMerge", "ShuffledHash", "BroadcastHash")) == 1
+
+
 def test_cycle_is_an_error(spark):
     with pytest.raises(ValueError):
         tree.closure(spark.createDataFrame([(1, 2), (2, 1)], "id long, parent_id long"))
