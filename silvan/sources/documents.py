@@ -15,6 +15,7 @@ from html.parser import HTMLParser
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructType
 
 from silvan.functions import text as T
 
@@ -168,19 +169,42 @@ def html_blocks(html: str, skip=None) -> list[dict]:
     return [b for b in parser.found if b["text"]]
 
 
-BLOCK = "struct<tag:string,id:string,text:string,lines:array<string>,classes:array<string>,within:array<string>>"
 BLOCK_FIELDS = ("tag", "id", "text", "lines", "classes", "within")
+BLOCK_TYPES = [pa.string()] * 3 + [pa.list_(pa.string())] * 3
+#: Blocks, and characters of them, that a task hands on at once.
+BATCH_BLOCKS, BATCH_CHARS = 5_000, 1 << 21
 
 
-def parse_html(pages: DataFrame, id_: str, html: str = "html", skip=None) -> DataFrame:
-    """id, n, tag, element_id, text, lines, classes, within of each block of each page, in order."""
+def _block_batches(batch: pa.RecordBatch, names: list[str], skip) -> Iterator[pa.RecordBatch]:
+    """Blocks of the pages of a batch (id and page), handed on whenever there are BATCH_BLOCKS or BATCH_CHARS of them."""
+    held, rows, places, size = [], [], [], 0
+
+    def made() -> pa.RecordBatch:
+        columns = [pa.array([b[c] for b in held], t) for c, t in zip(BLOCK_FIELDS, BLOCK_TYPES, strict=True)]
+        return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), pa.array(places, pa.int32()), *columns], names)
 
-    @F.pandas_udf(f"array<{BLOCK}>")
-    def blocks(column):
-        return column.map(lambda h: html_blocks(h or "", skip))
+    for k in range(batch.num_rows):
+        for n, b in enumerate(html_blocks(batch.column(1)[k].as_py() or "", skip)):
+            held.append(b)
+            rows.append(k)
+            places.append(n)
+            size += len(b["text"])
+        if len(held) >= BATCH_BLOCKS or size >= BATCH_CHARS:
+            yield made()
+            held, rows, places, size = [], [], [], 0
+    if held:
+        yield made()
 
-    out = pages.select(id_, F.posexplode(blocks(F.col(html))).alias("n", "b"))
-    return out.select(id_, "n", *(F.col(f"b.{c}").alias("element_id" if c == "id" else c) for c in BLOCK_FIELDS))
+
+def parse_html(pages: DataFrame, id_: str, html: str = "html", skip=None) -> DataFrame:
+    """id, n, tag, element_id, text, lines, classes, within of each block of each page, in order. A task holds the blocks of
+    a few pages at a time, however many pages it has."""
+    texts = pages.select(id_, F.col(html).alias("__html"))
+    kinds = StructType([texts.schema[id_]]).add("n", IntegerType())
+    for c in BLOCK_FIELDS:
+        kinds = kinds.add("element_id" if c == "id" else c, ArrayType(StringType()) if c in BLOCK_FIELDS[3:] else StringType())
+    names = kinds.names
+    return texts.mapInArrow(lambda batches: (x for b in batches for x in _block_batches(b, names, skip)), kinds)
 
 
 def page_paragraphs(blocks: DataFrame, id_: str, least: int = 20, stop: str = r"(?i)^footnote") -> DataFrame:
@@ -198,7 +222,6 @@ def read_epub(spark: SparkSession, path: str, prefix: str = "", skip: str = "^$"
     item without blocks is one row without a tag."""
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.string()] * 3 + [pa.list_(pa.string())] * 3
         for batch in batches:
             for file, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
                 with zipfile.ZipFile(io.BytesIO(content)) as z:
@@ -207,7 +230,7 @@ def read_epub(spark: SparkSession, path: str, prefix: str = "", skip: str = "^$"
                         if not (re.search(r"(?i)\.x?html?$", name) and item.startswith(folder) and name.startswith(prefix)) or re.search(skip, name):
                             continue
                         b = html_blocks(z.read(item).decode("utf-8", "replace"), drop) or [dict.fromkeys(BLOCK_FIELDS)]
-                        columns = [pa.array([x[c] for x in b], t) for c, t in zip(BLOCK_FIELDS, kinds, strict=True)]
+                        columns = [pa.array([x[c] for x in b], t) for c, t in zip(BLOCK_FIELDS, BLOCK_TYPES, strict=True)]
                         yield pa.RecordBatch.from_arrays(
                             [pa.array([file.rsplit("/", 1)[-1]] * len(b)), pa.array([item] * len(b)), pa.array(range(len(b)), pa.int32()), *columns],
                             ["file", "item", "n", *("element_id" if c == "id" else c for c in BLOCK_FIELDS)],

@@ -5,6 +5,7 @@ import re
 import struct
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from silvan.operators import mapview, projection, search, taxonomy
 from silvan.plans import catalog
 from silvan.session import read_table
+from silvan.sources import documents
 
 SF = "/root/testdata/sf0.001"
 
@@ -111,6 +113,19 @@ def test_blocks_of_pages_by_their_tags(spark):
         assert opened - blank <= n <= opened, (tag, n, opened, blank)
 
 
+def test_blocks_are_handed_on_a_few_pages_at_a_time(monkeypatch):
+    """However many pages a batch has, what is held of their blocks is bounded; a page's blocks stay whole and in order."""
+    monkeypatch.setattr(documents, "BATCH_BLOCKS", 10)
+    monkeypatch.setattr(documents, "BATCH_CHARS", 1000)
+    pages = ["".join(f"<p id=b{j}>text {k} {j}</p>" for j in range(k % 4)) for k in range(200)] + [None, "<p>" + "x" * 5000 + "</p>", "<li>last"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(pages))), pa.array(pages)], ["page", "html"])
+    names = ["page", "n", "tag", "element_id", "text", "lines", "classes", "within"]
+    made = list(documents._block_batches(batch, names, None))
+    assert len(made) > 20 and max(x.num_rows for x in made) <= 13
+    got = [(r["page"], r["n"], r["tag"], r["element_id"], r["text"]) for x in made for r in x.to_pylist()]
+    assert got == [(k, n, b["tag"], b["id"], b["text"]) for k, p in enumerate(pages) for n, b in enumerate(documents.html_blocks(p or ""))]
+
+
 def test_projections_place_all_vectors(spark):
     for name in ("umap", "phate", "isomap"):
         rows = catalog.QUERIES[name](spark, SF).collect()
