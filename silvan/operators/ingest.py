@@ -10,7 +10,10 @@ from pyspark.sql import functions as F
 
 from silvan.functions import text as T
 from silvan.operators.tree import heights, paths
-from silvan.session import cut
+from silvan.session import cut, scratch_path
+
+#: Bytes of text in a range of the queue, and how many of its rows are drawn to find where ranges begin.
+RANGE_BYTES, SAMPLED = 1 << 26, 50
 
 
 def new_versions(parsed: DataFrame, existing: DataFrame) -> DataFrame:
@@ -152,9 +155,45 @@ def orphans(child: DataFrame, parent: DataFrame, child_key: str, parent_key: str
     return child.filter(F.col(child_key).isNotNull()).join(parent.select(F.col(parent_key).alias(child_key)), child_key, "left_anti")
 
 
+def _size_bounds(rows: DataFrame) -> list[tuple[int, int]]:
+    """(-cost, unit_id) at which ranges of RANGE_BYTES of text begin, in order, but for the first. From a sample by size, about
+    SAMPLED rows a range, by a hash of the id: texts larger than a sample's step all count, with their size."""
+    total = rows.agg(F.sum("size")).first()[0] or 0
+    step = max(RANGE_BYTES // SAMPLED, 1)
+    if total <= RANGE_BYTES:
+        return []
+    drawn = F.pmod(F.xxhash64("unit_id"), F.lit(1 << 30)) * step < F.col("size") * (1 << 30)
+    sample = rows.filter(drawn).select((-F.col("cost")).alias("c"), F.col("unit_id").alias("u"), F.greatest("size", F.lit(step)).alias("size"))
+    bounds, held = [], 0
+    for r in sample.orderBy("c", "u").collect():
+        if held and held + r["size"] > RANGE_BYTES:
+            bounds.append((r["c"], r["u"]))
+            held = 0
+        held += r["size"]
+    return bounds
+
+
+def longest_first(rows: DataFrame) -> DataFrame:
+    """rows (unit_id, cost, size, ...) by falling cost, then id: each partition in order, and the partitions one after another.
+    A partition is a range of about RANGE_BYTES. Ranges of as many rows each, which a plain sort makes, would give one task
+    the longest texts and most of the bytes."""
+    bounds = _size_bounds(rows)
+    if not bounds:
+        return rows.coalesce(1).sortWithinPartitions(F.desc("cost"), "unit_id")
+    starts = F.expr(f"array({', '.join(f'struct({c}L AS c, {u}L AS u)' for c, u in bounds)})")
+    key = F.struct((-F.col("cost")).cast("long").alias("c"), F.col("unit_id").cast("long").alias("u"))
+    steps = F.array(*(F.lit(1 << k) for k in reversed(range(len(bounds).bit_length()))))
+    # How many ranges begin at the row or before it, by halving.
+    place = F.aggregate(steps, F.lit(0), lambda at, by: F.when((at + by <= len(bounds)) & (F.get(starts, at + by - 1) <= key), at + by).otherwise(at))
+    return rows.withColumn("__range", place).repartitionById(len(bounds) + 1, "__range").sortWithinPartitions(F.desc("cost"), "unit_id").drop("__range")
+
+
 def embed_queue(units: DataFrame, done: DataFrame) -> DataFrame:
-    """unit_id, text, cost: leaf texts and the joined leaf texts of units of height 1, without those done, longest first."""
+    """unit_id, text, cost: leaf texts and the joined leaf texts of units of height 1, without those done, longest first
+    (partition by partition; a page of it has to be ordered again). The texts are written once, to the shared folder."""
     leaf = units.filter("height = 0").filter(T.blank_to_null(F.col("text")).isNotNull())
     joined = leaf.groupBy(F.col("parent_id").alias("unit_id")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("unit_id", "text"))), lambda s: s["text"]), " ").alias("text"))
     todo = leaf.select("unit_id", "text").unionByName(joined).join(done.select("unit_id"), "unit_id", "left_anti")
-    return todo.select("unit_id", T.with_prefix(F.col("text"), "search_document").alias("text"), T.token_estimate(T.word_count(F.col("text"))).alias("cost")).orderBy(F.desc("cost"), "unit_id")
+    where = scratch_path(units.sparkSession, "queue")
+    todo.select("unit_id", T.with_prefix(F.col("text"), "search_document").alias("text"), T.token_estimate(T.word_count(F.col("text"))).alias("cost"), F.octet_length("text").cast("long").alias("size")).write.parquet(where)
+    return longest_first(units.sparkSession.read.parquet(where)).select("unit_id", "text", "cost")
